@@ -178,18 +178,21 @@ def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, share: float = SHA
     p = pages.select(F.monotonically_increasing_id().alias("row_no"), F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), host_of(F.col(url_col)).alias("host"), F.col(html_col).cast("string").alias("html"))
     kind = p.schema["page_id"].dataType.simpleString()
     read = cut(p.mapInArrow(_read, f"row_no long, page_id {kind}, url string, host string, page_key long, texts array<string>, tokens array<long>"))
-    template = _templates(read, least_pages, share)
-    open_blocks = read.select("row_no", "host", F.explode("tokens").alias("token")).filter("token is not null")
-    gone = open_blocks.join(template, ["host", "token"]).groupBy("row_no").agg(F.collect_set("token").alias("gone"))
-    out = read.join(gone, "row_no", "left")
+    is_open = F.exists("tokens", lambda t: t.isNotNull())  # pages whose markup names the main text are done
+    done, rest = read.filter(~is_open), read.filter(is_open)
+    template = _templates(rest, least_pages, share)
+    open_blocks = rest.select("row_no", "host", F.explode("tokens").alias("token")).filter("token is not null")
+    gone = cut(open_blocks.join(template, ["host", "token"]).groupBy("row_no").agg(F.collect_set("token").alias("gone")))
     own = F.filter("texts", lambda t, i: ~F.coalesce(F.array_contains(F.col("gone"), F.get(F.col("tokens"), i)), F.lit(False)))
-    text = F.array_join(own, "\n\n")
-    return out.select("page_id", "url", text.alias("text"), F.length(text).cast("long").alias("n_chars"), (F.size("texts") - F.size(own)).cast("long").alias("n_template"))
+    rest = rest.join(gone, "row_no", "left").withColumn("own", own).select("page_id", "url", "texts", "own")
+    out = done.select("page_id", "url", "texts", F.col("texts").alias("own")).union(rest)
+    text = F.array_join("own", "\n\n")
+    return out.select("page_id", "url", text.alias("text"), F.length(text).cast("long").alias("n_chars"), (F.size("texts") - F.size("own")).cast("long").alias("n_template"))
 
 
-def _templates(read: DataFrame, least_pages: int, share: float) -> DataFrame:
+def _templates(pages: DataFrame, least_pages: int, share: float) -> DataFrame:
     """host, token: the tokens of the valid equivalence classes of each host."""
-    places = read.select("host", "page_key", F.posexplode("tokens").alias("pos", "token")).filter("token is not null")
+    places = pages.select("host", "page_key", F.posexplode("tokens").alias("pos", "token")).filter("token is not null")
     counts = places.groupBy("host", "page_key", "token").agg(F.count_distinct("pos").alias("n"), F.min("pos").alias("pos"))
     sizes = counts.groupBy("host").agg(F.count_distinct("page_key").alias("n_pages")).filter(F.col("n_pages") >= least_pages)
     # of a token: the pages that have it, and its occurrence vector, as a sum without order over page and count
