@@ -102,7 +102,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     gives an empty result, and other columns of ``docs`` are not looked at.
     """
     rows = cut(recipes(docs, id_col, text_col))
-    groups = rows.groupBy("recipe").agg(F.max(F.struct("doc_id", "row_no")).alias("stays"), F.count("*").alias("group_size"))
+    # a table of its own, so that the join can split a recipe that very many rows have
+    groups = cut(rows.groupBy("recipe").agg(F.max(F.struct("doc_id", "row_no")).alias("stays"), F.count("*").alias("group_size")))
     return rows.join(groups, "recipe").select(
         "doc_id",
         F.col("stays.doc_id").alias("keep_id"),
