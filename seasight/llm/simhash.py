@@ -106,7 +106,13 @@ def _forest(radius: int, similarity: float):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         fp, node = rows["fp"].to_numpy(np.int64).view(np.uint64), rows["node"].to_numpy()
         table = np.bitwise_count(fp[:, None] ^ refs[None, :]).astype(np.int8)
-        sketches = [np.asarray(x, np.int64) for x in rows["sketch"]] if similarity else None
+        if similarity:
+            sketches = [np.asarray(x, np.int64) for x in rows["sketch"]]
+            sizes = np.array([len(x) for x in sketches])
+            values, where = np.unique(np.concatenate(sketches), return_inverse=True)
+            held = np.full((len(fp), SKETCH), len(values))
+            held[np.arange(SKETCH)[None, :] < sizes[:, None]] = where
+            mark = np.zeros(len(values) + 1, bool)
         left, links = np.ones(len(fp), bool), []
         for root in range(len(fp)):
             if not left[root]:
@@ -117,6 +123,12 @@ def _forest(radius: int, similarity: float):
                 near = np.flatnonzero(left)
                 near = near[np.abs(table[near] - table[u]).max(axis=1, initial=0) <= radius]
                 near = near[np.bitwise_count(fp[near] ^ fp[u]) <= radius]
+                if similarity and len(near):  # what two sketches share bounds their similarity from above
+                    own = held[u, : sizes[u]]
+                    mark[own] = True
+                    shared = mark[held[near]].sum(axis=1)
+                    mark[own] = False
+                    near = near[shared >= similarity * np.minimum(SKETCH, np.maximum(sizes[near], sizes[u])) - 1e-9]
                 for v in near.tolist():
                     if not similarity or sketch_similarity(sketches[u], sketches[v]) >= similarity:
                         left[v] = False
