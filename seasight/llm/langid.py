@@ -217,7 +217,8 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     scored = cut(score(d, model))
     limits = scored.filter("not held_out and lang = lang_pred").groupBy("lang_pred").agg((F.avg("nats") + reject_sd * F.greatest(F.coalesce(F.stddev("nats"), F.lit(0.0)), F.lit(0.1))).alias("most"))
     far = (F.col("lang_pred") == UNKNOWN) | F.coalesce(F.col("nats") > F.col("most"), F.lit(False))
-    return scored.join(limits, "lang_pred", "left").select("doc_id", "held_out", "lang_pred", "score", "nats", far.alias("rejected"))
+    # one row per language of the model, which the driver holds
+    return scored.join(F.broadcast(limits), "lang_pred", "left").select("doc_id", "held_out", "lang_pred", "score", "nats", far.alias("rejected"))
 
 
 def drop_rejected(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
