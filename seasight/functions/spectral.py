@@ -64,6 +64,19 @@ def compute_indices(df: DataFrame, names: list[str] | None = None) -> DataFrame:
     return df.withColumns({n: INDICES[n][1]() for n in (names or can) if n in can})
 
 
+# The order of a classifier's features, eleven bands and seven indices.
+FEATURES = ("B01", "B02", "B03", "B04", "B05", "B06", "B07", "B08", "B8A", "B11", "B12", "FDI", "FAI", "NDVI", "NDWI", "PI", "KNDVI", "MNDWI")
+
+
+def features(df: DataFrame, bands: dict[str, str]) -> DataFrame:
+    """``df`` with a column per feature; bands names the columns of those that it has, the others and what needs them are NULL."""
+    d = compute_indices(df)
+    source = {f: bands.get(f, f.lower()) for f in FEATURES}
+    indices = set(available_indices(df.columns))
+    keep = [c for c in d.columns if c not in indices]
+    return d.select(*keep, *[(F.col(source[f]) if source[f] in d.columns else F.lit(None)).cast("double").alias(f) for f in FEATURES])
+
+
 def water_mask(threshold: float = NDWI_THRESHOLD) -> Column:
     return F.coalesce(INDICES["ndwi"][1]() > threshold, F.lit(False))
 

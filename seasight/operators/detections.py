@@ -69,9 +69,9 @@ def nms(dets: DataFrame, threshold: float = 0.5, keys: tuple[str, ...] = ("image
     A box overlaps few others, and suppression only passes along overlaps, so
     the boxes of a scene are joined to pairs first and a task gets those.
     """
-    a = dets.select("det_id", "score", *keys, *BOX)
+    a = dets.select("det_id", "score", "image", "label", *BOX)
     b = a.withColumnsRenamed({"det_id": "gt_id"})
-    same = iou_pairs(a.withColumn("label", F.col("label")), b, 1e-9, "label" in keys).filter(F.col("iou") > threshold).filter("det_id <> gt_id")
+    same = iou_pairs(a, b, 1e-9, "label" in keys).filter(F.col("iou") > threshold).filter("det_id <> gt_id")
     other = dets.select(F.col("det_id").alias("gt_id"), F.col("score").alias("g_score"))
     above = same.join(other, "gt_id").filter((F.col("g_score") > F.col("score")) | ((F.col("g_score") == F.col("score")) & (F.col("gt_id") < F.col("det_id"))))
 

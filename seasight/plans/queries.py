@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seasight.functions import geo, spectral
@@ -427,3 +427,102 @@ def class_balance(spark, sf):
     x = _spectra(spark, sf)
     total = x.agg(F.count("*").alias("total"))
     return x.crossJoin(F.broadcast(total)).groupBy("truth").agg(F.count("*").alias("n"), r6(F.count("*") / F.first("total")).alias("share"), F.count_if(F.col("pred") != F.col("truth")).alias("missed"))
+
+
+@query("num2deg", f"SELECT p_partkey, {s6('(p_partkey % 1024) / 1024.0e0 * 360 - 180')} AS lon, {s6('degrees(atan(sinh(pi() * (1 - 2 * (p_partkey % 1024) / 1024.0e0))))')} AS lat FROM part")
+def num2deg(spark, sf):
+    k, z = F.col("p_partkey") % 1024, F.lit(10)
+    return _table(spark, sf, "part").select("p_partkey", r6(geo.tile_lon(k, z)).alias("lon"), r6(geo.tile_lat(k, z)).alias("lat"))
+
+
+@query("xyz_tiles", """WITH b AS (SELECT n_nationkey, CAST(floor((n_nationkey * 10 - 120 + 180) / 360e0 * 64) AS BIGINT) AS x0, CAST(floor((n_nationkey * 10 - 110 + 180) / 360e0 * 64) AS BIGINT) AS x1 FROM nation)
+SELECT n_nationkey, unnest(range(x0, x1 + 1)) AS x FROM b""")
+def xyz_tiles(spark, sf):
+    lon = lambda d: geo.lon_tile((F.col("n_nationkey") * 10 + d).cast("double"), F.lit(6))
+    return _table(spark, sf, "nation").select("n_nationkey", F.explode(F.sequence(lon(-120), lon(-110))).alias("x"))
+
+
+@query("window_pixels", "SELECT tr, tc, wr, wc, count(*) AS n FROM (SELECT tr, tc, pid, unnest([CAST(floor(r / 20.0e0) AS BIGINT), CAST(floor((r - 5) / 20.0e0) AS BIGINT)]) AS wr, CAST(floor(c / 20.0e0) AS BIGINT) AS wc FROM px) GROUP BY ALL")
+def window_pixels(spark, sf):
+    """Pixels of overlapping windows: a pixel names its windows, none is crossed with all."""
+    wr = F.explode(F.array(F.floor(F.col("r") / 20), F.floor((F.col("r") - 5) / 20)))
+    return view(spark, sf, "px").select("tr", "tc", wr.alias("wr"), F.floor(F.col("c") / 20).alias("wc")).groupBy("tr", "tc", "wr", "wc").agg(F.count("*").alias("n"))
+
+
+@query("box_from_normalized", f"SELECT det_id, {s6('xmin / 1000 * 512')} AS xmin, {s6('ymax / 100 * 512')} AS ymax FROM dets")
+def box_from_normalized(spark, sf):
+    return view(spark, sf, "dets").select("det_id", r6(F.col("xmin") / 1000 * 512).alias("xmin"), r6(F.col("ymax") / 100 * 512).alias("ymax"))
+
+
+@query("targets_only", "SELECT det_id, label = 'marine_debris' AS is_target, label IN ('sargassum', 'wake', 'foam', 'sediment') AS is_confuser FROM dets WHERE label <> 'ship'")
+def targets_only(spark, sf):
+    l = F.col("label")
+    return view(spark, sf, "dets").filter(l != "ship").select("det_id", (l == "marine_debris").alias("is_target"), l.isin("sargassum", "wake", "foam", "sediment").alias("is_confuser"))
+
+
+@query("export_min_score", "SELECT label, count(*) AS n FROM dets WHERE coalesce(score, 0) >= 0.25 GROUP BY label")
+def export_min_score(spark, sf):
+    return view(spark, sf, "dets").filter(F.coalesce("score", F.lit(0.0)) >= 0.25).groupBy("label").agg(F.count("*").alias("n"))
+
+
+@query("asset_last_wins", f"WITH k AS (SELECT l_orderkey, l_linenumber, {_KEYS} AS key FROM lineitem), b AS (SELECT *, CASE lower(trim(key)) WHEN 'red' THEN 'B04' WHEN 'b04' THEN 'B04' WHEN 'scl' THEN 'SCL' END AS band FROM k) SELECT l_orderkey, band, arg_max(key, l_linenumber) AS key FROM b WHERE band IS NOT NULL GROUP BY l_orderkey, band")
+def asset_last_wins(spark, sf):
+    k = _table(spark, sf, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("pos"), F.expr(_KEYS).alias("key"))
+    return catalog.normalize(k, ["l_orderkey"], first=False).select("l_orderkey", "band", "key")
+
+
+@query("observability", "SELECT n_nationkey AS seg_id, CASE WHEN coalesce(cloud_fraction, 0) > 0.7 THEN 'blind' WHEN coalesce(cloud_fraction, 0) > 0.2 THEN 'partial' ELSE 'observed' END AS state FROM nation LEFT JOIN clouds ON seg_id = n_nationkey")
+def observability(spark, sf):
+    s = _table(spark, sf, "nation").select(F.col("n_nationkey").alias("seg_id"))
+    return s.join(view(spark, sf, "clouds"), "seg_id", "left").select("seg_id", coastal.observability(F.coalesce("cloud_fraction", F.lit(0.0))).alias("state"))
+
+
+@query("segment_cloud", f"SELECT tr, tc, {s6('avg(CASE WHEN scl IN (0, 1, 3, 8, 9, 10) THEN 1e0 ELSE 0e0 END)')} AS cloud_fraction, {s6('avg(CASE WHEN scl = 6 THEN 1e0 ELSE 0e0 END)')} AS water_fraction FROM px GROUP BY tr, tc")
+def segment_cloud(spark, sf):
+    """Shares of a zone's pixels under cloud and over water; here the zones are tiles."""
+    share = lambda c, n: r6(F.avg(c.cast("double"))).alias(n)
+    return view(spark, sf, "px").groupBy("tr", "tc").agg(share(spectral.cloud_mask(), "cloud_fraction"), share(F.col("scl") == 6, "water_fraction"))
+
+
+_SWEEP = _PAIRS.replace(">= 0.5", ">= t.thr").replace("d.det_id,", "t.thr, d.det_id,", 1).replace(" WHERE", " CROSS JOIN (SELECT unnest([0.5e0, 0.55e0, 0.6e0, 0.65e0, 0.7e0, 0.75e0, 0.8e0, 0.85e0, 0.9e0, 0.95e0]) AS thr) t WHERE", 1)
+
+
+@query("sweep_matches", f"WITH p AS ({_SWEEP}) SELECT thr AS threshold, count(DISTINCT gt_id) AS n FROM p GROUP BY thr")
+def sweep_matches(spark, sf):
+    """Matches at ten IoU thresholds; the pairs are made once."""
+    p = detections.iou_pairs(view(spark, sf, "dets"), view(spark, sf, "gts"))
+    levels = F.explode(F.array(*[F.lit(round(0.5 + 0.05 * i, 2)) for i in range(10)]))
+    return p.withColumn("threshold", levels).filter("iou >= threshold").groupBy("threshold").agg(F.count_distinct("gt_id").alias("n"))
+
+
+@query("best_f1", f"""WITH x AS (SELECT vec_id, label = 3 AS pos, embedding[1] AS s FROM embeddings), c AS (SELECT vec_id, s, sum(CASE WHEN pos THEN 1 ELSE 0 END) OVER (ORDER BY s DESC, vec_id ROWS UNBOUNDED PRECEDING) AS tp, row_number() OVER (ORDER BY s DESC, vec_id) AS n FROM x),
+f AS (SELECT n, 2 * tp / (n + (SELECT count(*) FROM x WHERE pos)) AS f1 FROM c) SELECT {s6('max(f1)')} AS f1 FROM f""")
+def best_f1(spark, sf):
+    """Best F1 over all thresholds of a score. Running counts go by bands of scores, then within them, so that no task gets all rows."""
+    x = _table(spark, sf, "embeddings").select("vec_id", (F.col("label") == 3).cast("long").alias("pos"), F.element_at("embedding", 1).alias("s")).withColumn("band", F.floor(F.col("s") * -256))
+    bands = x.groupBy("band").agg(F.sum("pos").alias("b_tp"), F.count("*").alias("b_n"))
+    before = Window.orderBy("band").rowsBetween(Window.unboundedPreceding, -1)
+    bands = bands.select("band", F.coalesce(F.sum("b_tp").over(before), F.lit(0)).alias("tp0"), F.coalesce(F.sum("b_n").over(before), F.lit(0)).alias("n0"), F.sum("b_tp").over(Window.orderBy("band").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("n_pos"))
+    w = Window.partitionBy("band").orderBy(F.desc("s"), "vec_id").rowsBetween(Window.unboundedPreceding, 0)
+    c = x.join(bands, "band").select("n_pos", (F.col("tp0") + F.sum("pos").over(w)).alias("tp"), (F.col("n0") + F.count("*").over(w)).alias("n"))
+    return c.agg(r6(F.max(2 * F.col("tp") / (F.col("n") + F.col("n_pos")))).alias("f1"))
+
+
+_FEATURE_SQL = {"B03": "green", "B04": "red", "B06": "rededge2", "B08": "nir", "B11": "swir1", "FDI": INDEX_SQL["fdi"], "FAI": INDEX_SQL["fai"], "NDVI": INDEX_SQL["ndvi"], "NDWI": INDEX_SQL["ndwi"], "PI": INDEX_SQL["pi"], "KNDVI": INDEX_SQL["kndvi"], "MNDWI": INDEX_SQL["mndwi"]}
+
+
+@query("features_18", "SELECT pid, " + ", ".join(f"{s6(_FEATURE_SQL[f])} AS {f}" if f in _FEATURE_SQL else f"CAST(NULL AS DOUBLE) AS {f}" for f in spectral.FEATURES) + " FROM px")
+def features_18(spark, sf):
+    return spectral.features(view(spark, sf, "px"), {"B03": "green", "B04": "red", "B06": "rededge2", "B08": "nir", "B11": "swir1"}).select("pid", *[r6(F.col(f)).alias(f) for f in spectral.FEATURES])
+
+
+def _bright_tiles(parts):
+    """A detector to test with: a box around each tile."""
+    for t in parts:
+        yield t.assign(label="marine_debris", score=0.5)[["tr", "tc", "label", "score"]]
+
+
+@query("detect_pipeline", _VERDICTS + "SELECT tr, tc, 'marine_debris' AS label, 0.5e0 AS score FROM v WHERE n_regions > 0")
+def detect_pipeline(spark, sf):
+    """Screening first, the detector on what it accepts alone."""
+    return screening.detect(screening.screen(view(spark, sf, "px"), 0.95).select("tr", "tc", "accepted"), _bright_tiles, "tr long, tc long, label string, score double")

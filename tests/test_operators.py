@@ -98,3 +98,29 @@ def test_prompts(spark):
     prompts = [("plastic", "debris"), ("floating plastic", "patch"), ("ship", "ship")]
     df = spark.createDataFrame([("a floating plastic patch",), ("plastic",), ("shi",), ("",), (None,)], "t string")
     assert [r[0] for r in df.select(catalog.prompt_class(F.col("t"), prompts)).collect()] == ["patch", "debris", "ship", "unknown", "unknown"]
+
+
+def test_scene_files(spark, tmp_path):
+    from seasight.sources.scenes import edges, read_segments, read_sidecars, read_split
+
+    (tmp_path / "s.txt").write_text("a_1\n\n  b_2 \n")
+    assert [r["roi"] for r in read_split(spark, f"file://{tmp_path}/s.txt").orderBy("pos").collect()] == ["a_1", "b_2"]
+    (tmp_path / "m.json").write_text('{"scene_id": "x", "bands": ["B03"], "reflectance_scale": null}')
+    r = read_sidecars(spark, f"file://{tmp_path}/m.json").first()
+    assert (r["scene_id"], r["reflectance_scale"], r["reflectance_offset"]) == ("x", 1e-4, 0.0)
+    (tmp_path / "g.json").write_text('{"features": [{"id": "k", "geometry": {"type": "LineString", "coordinates": [[0, 1], [2, 3], [4, 5]]}, "properties": {"name": "K"}}, {"geometry": null}, {"geometry": {"type": "LineString", "coordinates": [[0, 0], [1, 1]]}, "properties": {}}]}')
+    s = read_segments(spark, f"file://{tmp_path}/g.json")
+    assert [(r["segment_id"], r["name"]) for r in s.orderBy("segment_id").collect()] == [("k", "K"), ("segment_002", "segment_002")]
+    assert [tuple(r) for r in edges(s).orderBy("segment_id", "n").collect()] == [("k", 0, 0, 1, 2, 3), ("k", 1, 2, 3, 4, 5), ("segment_002", 0, 0, 0, 1, 1)]
+
+
+def test_history_is_appended(spark, tmp_path):
+    r = spark.sql("SELECT 1L AS seg_id, 'observed' AS state")
+    for day in ("2024-01-01", "2024-01-01", "2024-01-02"):
+        coastal.append_history(r, f"file://{tmp_path}/h", day)
+    assert spark.read.parquet(f"file://{tmp_path}/h").count() == 3
+
+
+def test_nms_without_regard_to_label(spark):
+    rows = [(1, 0, "a", 0.0, 0.0, 10.0, 10.0, 0.9), (2, 0, "b", 1.0, 0.0, 11.0, 10.0, 0.8)]
+    assert detections.nms(boxes(spark, rows)).count() == 2 and detections.nms(boxes(spark, rows), keys=("image",)).count() == 1
