@@ -23,6 +23,8 @@ ORDER = 4
 MAX_GRAMS = 200_000
 #: Rejected: cross-entropies so many deviations above the training rows' mean.
 REJECT_SD = 8.0
+#: The least deviation to reckon with: texts of one line or of two languages are rough, and stay.
+LEAST_SD = 0.2
 UNKNOWN = "und"
 _DISCOUNT = 0.75
 _OTHER = 1.0 / 100_000  # of a character that training never showed
@@ -215,7 +217,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.crc32(F.col(id_col).cast("string")) % 3 == 1, F.lit(False)).alias("held_out"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
     model = train(d.filter("not held_out"), max_grams)
     scored = cut(score(d, model))
-    limits = scored.filter("not held_out and lang = lang_pred").groupBy("lang_pred").agg((F.avg("nats") + reject_sd * F.greatest(F.coalesce(F.stddev("nats"), F.lit(0.0)), F.lit(0.1))).alias("most"))
+    limits = scored.filter("not held_out and lang = lang_pred").groupBy("lang_pred").agg((F.avg("nats") + reject_sd * F.greatest(F.coalesce(F.stddev("nats"), F.lit(0.0)), F.lit(LEAST_SD))).alias("most"))
     far = (F.col("lang_pred") == UNKNOWN) | F.coalesce(F.col("nats") > F.col("most"), F.lit(False))
     # one row per language of the model, which the driver holds
     return scored.join(F.broadcast(limits), "lang_pred", "left").select("doc_id", "held_out", "lang_pred", "score", "nats", far.alias("rejected"))
