@@ -1,12 +1,14 @@
 """Main text of web pages by equivalence-class template deduction.
 
-A page is a sequence of blocks of text, each a token made of its place in the
-markup and its words. Over the distinct pages of a host, tokens that occur
-equally often in every page form an equivalence class. A class is valid if
-most of the host's pages have it and it repeats in the same order in them; the
-valid classes, nested one in another, are the host's template, and what fills
-its slots is the page's own. Markup that names its role (menus, forms,
-adverts, comments) is no slot for main text from the start.
+A page is a sequence of tokens: its block elements, each by its path and
+classes, and its blocks of text. Over the distinct pages of a host, tokens that
+occur equally often in every page form an equivalence class. A class is valid
+if most of the host's pages have it and it stands in the same order in them;
+valid classes nest where each token's enclosing element is in one too, and
+these are the host's template. Its elements are slots. A page's own text is
+what fills those slots of the template that are main text (article, main), or
+all of them where the template names none, less the template's own text.
+Menus, forms, adverts, comments and the like, by their markup, are never text.
 """
 
 from __future__ import annotations
@@ -52,18 +54,31 @@ def _named(attrs: str) -> bool:
     return False
 
 
-def blocks(page: str | None) -> list[tuple[str, str, bool]]:
-    """(path, text, in main): the page's blocks of text in order, without those whose markup says they aren't main text."""
+def _classes(attrs: str) -> str:
+    for m in _ATTR.finditer(attrs):
+        if (m[1] or "").lower() == "class":
+            return "".join(f".{x}" for x in (m[2] or m[3] or m[4] or "").split())
+    return ""
+
+
+def parse(page: str | None) -> tuple[list[tuple[int, str]], list[list]]:
+    """The page's blocks (element, text) in order, without those whose markup says they aren't main text, and its distinct block elements.
+
+    An element is [path, its parent's number or -1, in main, times, first place]; a place counts elements opened before.
+    """
     src = page or ""
-    out: list[tuple[str, str, bool]] = []
-    stack: list[tuple[str, bool, str, bool]] = []  # name, skipped, path, in main
+    out: list[tuple[int, str]] = []
+    elements: list[list] = [["", -1, False, 1, 0]]
+    number: dict[str, int] = {"": 0}
+    opened = 0
+    stack: list[tuple[str, bool, int, bool]] = []  # name, skipped, element, in main
     words: list[str] = []
 
     def flush() -> None:
         text = " ".join("".join(words).split())
         words.clear()
         if text:
-            out.append((stack[-1][2] if stack else "", text, bool(stack) and stack[-1][3]))
+            out.append((stack[-1][2] if stack else 0, text))
 
     def close(n: int) -> None:
         if any(x[0] not in _INLINE for x in stack[n:]):
@@ -128,18 +143,31 @@ def blocks(page: str | None) -> list[tuple[str, str, bool]]:
             continue
         if skip and not skipped:
             flush()
-        path = stack[-1][2] if stack else ""
-        stack.append((name, skip, path if name in _INLINE else f"{path}/{name}", main))
+        at_element = stack[-1][2] if stack else 0
+        if name not in _INLINE:
+            path, parent = f"{elements[at_element][0]}/{name}{_classes(attrs)}", at_element
+            opened += 1
+            at_element = number.setdefault(path, len(elements))
+            if at_element == len(elements):
+                elements.append([path, parent, main, 0, opened])
+            elements[at_element][3] += 1
+        stack.append((name, skip, at_element, main))
     if not (stack and stack[-1][1]):
         flush()
-    return out
+    return out, elements
+
+
+def blocks(page: str | None) -> list[tuple[str, str, bool]]:
+    """(path, text, in main) of the page's blocks."""
+    found, elements = parse(page)
+    return [(elements[e][0], text, elements[e][2]) for e, text in found]
 
 
 _WHOLE = _MAIN | {"html", "body"}
 
 
-def _token(path: str, text: str) -> int:
-    x = xxh64_intdigest(f"{path}\n{text}".encode("utf-8", "replace"))
+def _hash(text: str) -> int:
+    x = xxh64_intdigest(text.encode("utf-8", "replace"))
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
@@ -147,61 +175,108 @@ def host_of(url):
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1), F.lit("")))
 
 
+_BLOCK = pa.list_(pa.struct([("element", pa.int32()), ("token", pa.int64()), ("text", pa.string())]))
+_ELEMENT = pa.list_(pa.struct([("token", pa.int64()), ("up", pa.int32()), ("main", pa.bool_())]))
+_TOKEN_OF_PAGE = pa.list_(pa.struct([("token", pa.int64()), ("up", pa.int64()), ("depth", pa.int32()), ("main", pa.bool_()), ("n", pa.int32()), ("pos", pa.int32())]))
+_READ = (
+    "host string, page_key long, blocks array<struct<element:int,token:long,text:string>>, elements array<struct<token:long,up:int,main:boolean>>, "
+    "tokens array<struct<token:long,up:long,depth:int,main:boolean,n:int,pos:int>>"
+)
+
+
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        texts, tokens, keys = [], [], []
+        keys, blocks_of, elements_of, tokens_of = [], [], [], []
         for value in b.column("html"):
-            own = blocks(value.as_py())
-            if any(main for _, _, main in own):  # the markup names the main text: the slot is known
-                own = [x for x in own if x[2]]
-            texts.append([t for _, t, _ in own])
-            tokens.append([None if main else _token(p, t) for p, t, main in own])
-            key = xxh64_intdigest("\n".join(t for _, t, _ in own).encode("utf-8", "replace"))
-            keys.append(key - (1 << 64) if key >= 1 << 63 else key)
+            found, elements = parse(value.as_py())
+            of = [_hash(x[0]) for x in elements]
+            # the text of main elements is no token: however often a host repeats it, it is main text
+            own = [None if elements[e][2] else _hash(f"{elements[e][0]}\n{text}") for e, text in found]
+            depth = [0]
+            for x in elements[1:]:  # a parent comes before its children
+                depth.append(depth[x[1]] + 1)
+            tokens = {of[i]: [of[i], of[up], depth[i], main, n, pos] for i, (_, up, main, n, pos) in enumerate(elements) if i}
+            for (e, _), token in zip(found, own):
+                if token is not None:
+                    tokens.setdefault(token, [token, of[e], depth[e] + 1, False, 0, elements[e][4]])[4] += 1
+            blocks_of.append([{"element": e, "token": t, "text": text} for (e, text), t in zip(found, own)])
+            elements_of.append([{"token": of[i], "up": x[1], "main": x[2]} for i, x in enumerate(elements)])
+            tokens_of.append([dict(zip(("token", "up", "depth", "main", "n", "pos"), x)) for x in tokens.values()])
+            keys.append(_hash("\n".join([*(f"{x[0]} {x[3]}" for x in elements), *(text for _, text in found)])))
         yield pa.RecordBatch.from_arrays(
-            [b.column("row_no"), b.column("page_id"), b.column("url"), b.column("host"), pa.array(keys, pa.int64()), pa.array(texts, pa.list_(pa.string())), pa.array(tokens, pa.list_(pa.int64()))],
-            names=["row_no", "page_id", "url", "host", "page_key", "texts", "tokens"],
+            [b.column("page_id"), b.column("url"), b.column("host"), pa.array(keys, pa.int64()), pa.array(blocks_of, _BLOCK), pa.array(elements_of, _ELEMENT), pa.array(tokens_of, _TOKEN_OF_PAGE)],
+            names=["page_id", "url", "host", "page_key", "blocks", "elements", "tokens"],
+        )
+
+
+def fill(found: list[dict], elements: list[dict], template: dict[int, bool]) -> tuple[list[str], int, int]:
+    """What a page fills the template's slots with: texts, slots they are from, blocks dropped as the template's own text.
+
+    template has the tokens, each with whether it is main. A page none of
+    whose blocks is in a main slot goes by its own markup.
+    """
+    slot = []
+    for i, e in enumerate(elements):
+        slot.append(i if i and e["token"] in template else slot[e["up"]] if i else 0)
+    main = lambda x: elements[x["element"]]["main"]
+    own = [x for x in found if template.get(elements[slot[x["element"]]]["token"])] if any(template.values()) else []
+    if not own:
+        own = [x for x in found if main(x)] or found
+    kept = [x for x in own if x["token"] is None or x["token"] not in template]
+    return [x["text"] for x in kept], len({slot[x["element"]] for x in kept}), len(own) - len(kept)
+
+
+def _write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        texts, slots, dropped = [], [], []
+        for found, elements, template in zip(b.column("blocks"), b.column("elements"), b.column("template")):
+            text, n, gone = fill(found.as_py(), elements.as_py(), {x["token"]: x["main"] for x in template.as_py() or ()})
+            texts.append("\n\n".join(text))
+            slots.append(n)
+            dropped.append(gone)
+        yield pa.RecordBatch.from_arrays(
+            [b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64()), pa.array(slots, pa.int64()), pa.array(dropped, pa.int64())],
+            names=["page_id", "url", "text", "n_chars", "n_slots", "n_template"],
         )
 
 
 def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, share: float = SHARE, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """One row per row of ``pages``: page_id, url, text, n_chars, n_template (blocks dropped as template).
-
-    Where the markup names the main text (article, main), that is the slot and
-    its blocks stay. Elsewhere blocks of the host's template go: tokens of an
-    equivalence class that at least ``share`` of the host's distinct pages
-    have, each as often as the next, on hosts with ``least_pages`` distinct
-    pages or more. Equal pages count as one. Null or empty html gives an empty
-    text; a null or odd url makes a host of its own kind; repeated rows each
-    give a row, and an empty table gives an empty result.
+    """One row per row of ``pages``: page_id, url, text, n_chars, n_slots (that the text is from), n_template (blocks dropped as template).
+
+    A host has a template if it has ``least_pages`` distinct pages or more; its
+    tokens are in at least ``share`` of them, as often in each. Elsewhere, and
+    where no block is in a main slot of the template, the page's own markup
+    names its main text. Text in article or main is never dropped as template.
+    Equal pages count as one. Null or empty html gives an empty text; a null or
+    odd url makes a host of its own kind; repeated rows each give a row, and an
+    empty table gives an empty result.
     """
-    p = pages.select(F.monotonically_increasing_id().alias("row_no"), F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), host_of(F.col(url_col)).alias("host"), F.col(html_col).cast("string").alias("html"))
+    p = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), host_of(F.col(url_col)).alias("host"), F.col(html_col).cast("string").alias("html"))
     kind = p.schema["page_id"].dataType.simpleString()
-    read = cut(p.mapInArrow(_read, f"row_no long, page_id {kind}, url string, host string, page_key long, texts array<string>, tokens array<long>"))
-    is_open = F.exists("tokens", lambda t: t.isNotNull())  # pages whose markup names the main text are done
-    done, rest = read.filter(~is_open), read.filter(is_open)
-    template = _templates(rest, least_pages, share)
-    open_blocks = rest.select("row_no", "host", F.explode("tokens").alias("token")).filter("token is not null")
-    gone = cut(open_blocks.join(template, ["host", "token"]).groupBy("row_no").agg(F.collect_set("token").alias("gone")))
-    own = F.filter("texts", lambda t, i: ~F.coalesce(F.array_contains(F.col("gone"), F.get(F.col("tokens"), i)), F.lit(False)))
-    rest = rest.join(gone, "row_no", "left").withColumn("own", own).select("page_id", "url", "texts", "own")
-    out = done.select("page_id", "url", "texts", F.col("texts").alias("own")).union(rest)
-    text = F.array_join("own", "\n\n")
-    return out.select("page_id", "url", text.alias("text"), F.length(text).cast("long").alias("n_chars"), (F.size("texts") - F.size("own")).cast("long").alias("n_template"))
-
-
-def _templates(pages: DataFrame, least_pages: int, share: float) -> DataFrame:
-    """host, token: the tokens of the valid equivalence classes of each host."""
-    places = pages.select("host", "page_key", F.posexplode("tokens").alias("pos", "token")).filter("token is not null")
-    counts = places.groupBy("host", "page_key", "token").agg(F.count_distinct("pos").alias("n"), F.min("pos").alias("pos"))
-    sizes = counts.groupBy("host").agg(F.count_distinct("page_key").alias("n_pages")).filter(F.col("n_pages") >= least_pages)
+    read = cut(p.mapInArrow(_read, f"page_id {kind}, url string, {_READ}"))
+    # a table of its own: its size is known before the join, which sends it to all tasks if it is small and splits hot hosts if not
+    templates = cut(host_templates(read, least_pages, share))
+    filled = read.select("page_id", "url", "host", "blocks", "elements").join(templates, "host", "left").drop("host")
+    return filled.mapInArrow(_write, f"page_id {kind}, url string, text string, n_chars long, n_slots long, n_template long")
+
+
+def host_templates(read: DataFrame, least_pages: int = LEAST_PAGES, share: float = SHARE) -> DataFrame:
+    """host, template: the tokens of the valid, nested equivalence classes of each host, each with whether it is main."""
+    counts = read.select("host", "page_key", F.explode("tokens").alias("t")).select("host", "page_key", "t.*").dropDuplicates(["host", "page_key", "token"])
+    sizes = read.select("host", "page_key").distinct().groupBy("host").agg(F.count("*").alias("n_pages")).filter(F.col("n_pages") >= least_pages)
     # of a token: the pages that have it, and its occurrence vector, as a sum without order over page and count
-    vectors = counts.groupBy("host", "token").agg(F.count("*").alias("support"), F.bit_xor(F.xxhash64("page_key", "n")).alias("vector"), F.min("n").alias("least"), F.max("n").alias("most"))
-    wide = vectors.join(sizes, "host").filter((F.col("support") >= share * F.col("n_pages")) & (F.col("least") == F.col("most"))).select("host", "token", "vector")
-    # nested: a class stands in the same order in every page that has it
-    ordered = counts.join(wide, ["host", "token"]).groupBy("host", "vector", "page_key").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"]).alias("tokens"))
-    valid = ordered.groupBy("host", "vector").agg(F.count_distinct(F.xxhash64("tokens")).alias("orders")).filter("orders = 1").select("host", "vector")
-    return wide.join(valid, ["host", "vector"]).select("host", "token")
+    vectors = counts.groupBy("host", "token").agg(
+        F.count("*").alias("support"), F.bit_xor(F.xxhash64("page_key", "n")).alias("vector"), F.min("n").alias("least"), F.max("n").alias("most"), F.min("up").alias("up"), F.min("depth").alias("depth"), F.bool_or("main").alias("main")
+    )
+    wide = cut(vectors.join(sizes, "host").filter((F.col("support") >= share * F.col("n_pages")) & (F.col("least") == F.col("most"))).select("host", "token", "vector", "up", "depth", "main"))
+    # a class stands in the same order in every page that has it
+    ordered = counts.select("host", "page_key", "token", "pos").join(wide.select("host", "token", "vector"), ["host", "token"]).groupBy("host", "vector", "page_key").agg(F.hash(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"])).alias("order"))
+    valid = ordered.groupBy("host", "vector").agg(F.min("order").alias("a"), F.max("order").alias("b")).filter("a = b").select("host", "vector")
+    # from the outside in: a token is nested if the element around it is; a host's tokens are about those of one page
+    tokens = wide.join(valid, ["host", "vector"]).groupBy("host").agg(F.array_sort(F.collect_list(F.struct("depth", "token", "up", "main"))).alias("x"))
+    none = F.expr("cast(array() as array<struct<token:bigint,main:boolean>>)")
+    nested = F.aggregate("x", none, lambda got, x: F.when((x["depth"] == 1) | F.exists(got, lambda g: g["token"] == x["up"]), F.concat(got, F.array(F.struct(x["token"].alias("token"), x["main"].alias("main"))))).otherwise(got))
+    return tokens.select("host", nested.alias("template"))
 
 
 def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:

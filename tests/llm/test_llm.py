@@ -292,6 +292,20 @@ def test_html_template(spark):
     assert html.extract(d.limit(0)).count() == 0
 
 
+def test_html_slots_come_from_the_host(spark):
+    """What most pages of a host share decides: the main slot, and constant text outside it."""
+    page = lambda i: f"<body><div class='a/b c'><nav><a>{i}</a></nav><div class=top><p>Welcome</p></div><main><p>own {i}</p>" + "<p>more</p>" * (i % 3) + "</main><div class=end>bye</div>"
+    odd = "<body><div class='a/b c'><div class=top><p>Welcome</p></div><div class=other><p>no main here</p></div><div class=end>bye</div>"
+    d = spark.createDataFrame([*((i, "http://h.example/x", page(i)) for i in range(9)), (50, "http://h.example/y", odd)], "page_id long, url string, html string")
+    got = {r["page_id"]: r for r in html.extract(d).collect()}
+    assert got[2]["text"] == "own 2\n\nmore\n\nmore" and got[3]["text"] == "own 3" and got[2]["n_slots"] == 1
+    assert got[50]["text"] == "no main here" and got[50]["n_template"] == 2
+    read = d.select("page_id", "url", html.host_of(F.col("url")).alias("host"), "html").mapInArrow(html._read, f"page_id long, url string, {html._READ}")
+    tokens = {x["token"]: x["main"] for x in html.host_templates(read).first()["template"]}
+    named = lambda path: html._hash(path)
+    assert tokens[named("/body/div.a/b.c/main")] and named("/body/div.a/b.c/main/p") not in tokens and not tokens[named("/body/div.a/b.c/div.end\nbye")]
+
+
 # 10
 
 
