@@ -36,7 +36,7 @@ TEMPLATES = (
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 #: Template words too common to look up; they count in phrases only.
 COMMON = frozenset("a and any are by for in into is of or that the this to with".split())
-#: How many of its rarest licence words a document looks up.
+#: How many of its rarest licence words a document looks up in each template that has them; no template has more.
 RAREST = 12
 _NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _PHRASES = sorted({p for _, _, ps in TEMPLATES for p in ps} | {p for p, _ in BASE})
@@ -93,8 +93,10 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     idf = df.crossJoin(rows.agg(F.count("*").alias("n_docs"))).select("w", F.log1p(F.col("n_docs") / F.col("df")).alias("idf"))  # one row beside the fixed vocabulary
     weighed = postings.join(idf, "w")
     total = weighed.groupBy("t").agg(F.sum("idf").alias("total"))
-    rare = found.join(F.broadcast(idf), "w").withColumn("r", F.dense_rank().over(Window.partitionBy("row_no").orderBy(F.desc("idf"), "w"))).filter(F.col("r") <= RAREST)
-    votes = rare.join(F.broadcast(postings), "w").groupBy("row_no", "t", (F.col("i") - F.col("at")).alias("start")).agg(F.sum("idf").alias("got"))
+    # ranked within a template, so that no template is lost to the words of others
+    by_idf = Window.partitionBy("row_no", "t").orderBy(F.desc("idf"), "w")
+    rare = found.join(F.broadcast(idf), "w").join(F.broadcast(postings), "w").withColumn("r", F.dense_rank().over(by_idf)).filter(F.col("r") <= RAREST)
+    votes = rare.groupBy("row_no", "t", (F.col("i") - F.col("at")).alias("start")).agg(F.sum("idf").alias("got"))
 
     phrases = F.flatten(F.array(*[_places(p, p) for p in sorted({p for _, _, ps in TEMPLATES for p in ps})]))
     seen = some.select("row_no", F.explode(phrases).alias("p")).select("row_no", "p.i", F.col("p.label").alias("phrase"))

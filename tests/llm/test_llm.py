@@ -120,6 +120,14 @@ def test_license_templates(spark):
     assert got == {1: ("", "apache-2.0"), 2: ("", ""), 3: ("cc-by", "cc-by,cc-by-nc-4.0")}
 
 
+def test_license_templates_of_many_in_one_text(spark):
+    """A text with every notice in it loses none, however many rarer licence words it has."""
+    text = ". ".join(t for _, t, _ in licenses.TEMPLATES)
+    d = spark.createDataFrame([(1, text), (2, "x")], "doc_id long, text string")
+    got = {r["doc_id"]: r["labels"] for r in licenses.scan(d).collect()}
+    assert set(got[1].split(",")) == {label for label, _, _ in licenses.TEMPLATES} | {"gpl", "cc-by"} and got[2] == ""
+
+
 # 3
 
 
