@@ -18,6 +18,9 @@ _ALPHA = (
     61 * _N**3 / 240,
 )
 
+_BETA = (_N / 2 - 2 * _N**2 / 3 + 37 * _N**3 / 96, _N**2 / 48 + _N**3 / 15, 17 * _N**3 / 480)
+_DELTA = (2 * _N - 2 * _N**2 / 3 - 2 * _N**3, 7 * _N**2 / 3 - 8 * _N**3 / 5, 56 * _N**3 / 15)
+
 
 def tile_lon(x: Column, z: Column) -> Column:
     return x / F.pow(F.lit(2.0), z) * 360.0 - 180.0
@@ -59,6 +62,26 @@ def utm_forward(lon: Column, lat: Column, zone: Column) -> tuple[Column, Column]
     return _FALSE_EAST + _K0 * _RADIUS * east, _K0 * _RADIUS * north
 
 
+def utm_inverse(easting: Column, northing: Column, zone: Column) -> tuple[Column, Column]:
+    """Longitude and latitude of easting and northing (of the northern grid)."""
+    xi, eta = northing / (_K0 * _RADIUS), (easting - _FALSE_EAST) / (_K0 * _RADIUS)
+    x, e = xi, eta
+    for j, b in enumerate(_BETA, 1):
+        x = x - b * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
+        e = e - b * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
+    chi = F.asin(F.sin(x) / F.cosh(e))
+    phi = chi
+    for j, d in enumerate(_DELTA, 1):
+        phi = phi + d * F.sin(2 * j * chi)
+    return zone * 6 - 183 + F.degrees(F.atan2(F.sinh(e), F.cos(x))), F.degrees(phi)
+
+
+def affine(x: Column, y: Column, transform: tuple[float, float, float, float, float, float]) -> tuple[Column, Column]:
+    """A pixel position in map units: transform is (a, b, c, d, e, f) of x' = ax + by + c, y' = dx + ey + f."""
+    a, b, c, d, e, f = transform
+    return a * x + b * y + c, d * x + e * y + f
+
+
 def overlap(a: str = "", b: str = "g_") -> Column:
     c = F.col
     w = F.least(c(f"{a}xmax"), c(f"{b}xmax")) - F.greatest(c(f"{a}xmin"), c(f"{b}xmin"))

@@ -7,9 +7,24 @@ from pyspark.sql import functions as F
 
 # Other names of bands in providers' catalogues.
 BAND_ALIASES = {
-    "b02": "B02", "blue": "B02", "b03": "B03", "green": "B03", "b04": "B04", "red": "B04", "b06": "B06", "rededge2": "B06",
-    "b08": "B08", "nir": "B08", "b11": "B11", "swir1": "B11", "swir16": "B11", "scl": "SCL",
+    "b01": "B01", "coastal": "B01", "coastal_aerosol": "B01",
+    "b02": "B02", "blue": "B02", "b03": "B03", "green": "B03", "b04": "B04", "red": "B04",
+    "b05": "B05", "rededge1": "B05", "b06": "B06", "rededge2": "B06", "b07": "B07", "rededge3": "B07",
+    "b08": "B08", "nir": "B08", "b8a": "B8A", "b08a": "B8A", "nir08": "B8A", "b09": "B09", "nir09": "B09", "b10": "B10", "cirrus": "B10",
+    "b11": "B11", "swir16": "B11", "swir1": "B11", "b12": "B12", "swir22": "B12", "swir2": "B12",
+    "scl": "SCL", "aot": "AOT", "wvp": "WVP", "visual": "VISUAL", "tci": "VISUAL",
 }
+# Ground sample distance of the bands in metres.
+BAND_GSD = {
+    "B01": 60, "B02": 10, "B03": 10, "B04": 10, "B05": 20, "B06": 20, "B07": 20, "B08": 10, "B8A": 20,
+    "B09": 60, "B10": 60, "B11": 20, "B12": 20, "SCL": 20, "AOT": 10, "WVP": 10, "VISUAL": 10,
+}
+# Annotated classes in the order of their codes (1 first), each with its surface class.
+CLASSES = (
+    ("Marine Debris", "marine_debris"), ("Dense Sargassum", "sargassum"), ("Sparse Sargassum", "sargassum"), ("Natural Organic Material", "sargassum"),
+    ("Ship", "ship"), ("Clouds", "cloud"), ("Marine Water", "water"), ("Sediment-Laden Water", "sediment"), ("Foam", "foam"), ("Turbid Water", "sediment"),
+    ("Shallow Water", "water"), ("Waves", "foam"), ("Cloud Shadows", "cloud"), ("Wakes", "wake"), ("Mixed Water", "water"),
+)
 #: Endpoint part, provider.
 PROVIDERS = (("planetarycomputer", "planetary-computer"), ("earth-search", "earth-search"))
 
@@ -20,6 +35,43 @@ def alias(name: Column) -> Column:
     return F.try_element_at(known, F.replace(F.lower(F.trim(name)), F.lit("-"), F.lit("_")))
 
 
+def _lookup(table: dict, key: Column, default) -> Column:
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), key), F.lit(default))
+
+
+def gsd(band: Column) -> Column:
+    """Metres per pixel of a canonical band; NULL for another name."""
+    return _lookup(BAND_GSD, band, None)
+
+
+def class_name(code: Column) -> Column:
+    """The annotated class of a pixel's code; NULL for 0 and for codes without a class."""
+    names = F.array(*[F.lit(n) for n, _ in CLASSES])
+    return F.when(code > 0, F.get(names, code.cast("int") - 1))
+
+
+def surface_class(name: Column) -> Column:
+    return _lookup(dict(CLASSES), name, "unknown")
+
+
+def multi_hot(bits: Column) -> Column:
+    """The surface classes of an array of 0 and 1 in class order, each once, in order."""
+    names = F.array(*[F.lit(s) for _, s in CLASSES])
+    return F.array_distinct(F.array_compact(F.transform(bits, lambda b, i: F.when(b == 1, F.get(names, i)))))
+
+
+def tile_url(base: str, item_type: Column, item: Column, z: Column, x: Column, y: Column) -> Column:
+    """Of a provider's tile service, without a key: keys go into headers, not into tables."""
+    return F.concat(F.lit(base.rstrip("/")), F.lit("/"), F.concat_ws("/", item_type, item, z.cast("string"), x.cast("string"), y.cast("string")), F.lit(".png"))
+
+
+def valid_box(west="west", south="south", east="east", north="north") -> Column:
+    """Longitudes and latitudes in range, north not below south; west may be east of east."""
+    c = F.col
+    ok = c(west).between(-180, 180) & c(east).between(-180, 180) & c(south).between(-90, 90) & c(north).between(-90, 90) & (c(north) >= c(south))
+    return F.coalesce(ok, F.lit(False))
+
+
 def normalize(assets: DataFrame, by: list[str], first: bool = True) -> DataFrame:
     """Of columns pos and key, per ``by``: the first (or last) key of every band."""
     pick = F.min_by if first else F.max_by

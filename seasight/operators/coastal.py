@@ -34,6 +34,48 @@ def near(dets: DataFrame, segs: DataFrame, reach: float = REACH) -> DataFrame:
     return d.join(s, ["image", "cx", "cy"]).withColumn("distance", centre_distance()).filter(F.col("distance") <= reach)
 
 
+def _edge_distance(x: Column, y: Column) -> Column:
+    """From a point to the edge (x0, y0)-(x1, y1)."""
+    c = F.col
+    dx, dy = c("x1") - c("x0"), c("y1") - c("y0")
+    size = dx * dx + dy * dy
+    t = F.when(size > 0, _inside(((x - c("x0")) * dx + (y - c("y0")) * dy) / size, F.lit(0.0), F.lit(1.0))).otherwise(F.lit(0.0))
+    ex, ey = x - (c("x0") + t * dx), y - (c("y0") + t * dy)
+    return F.sqrt(ex * ex + ey * ey)
+
+
+def _meet(dets: DataFrame, segs: DataFrame, reach: float) -> DataFrame:
+    """Boxes and edges of an image whose boxes, the edge's grown by ``reach``, overlap; a pair comes once, from the cell of its overlap's corner."""
+    grid = 4 * reach
+    span = lambda lo, hi: F.explode(F.sequence(F.floor(lo / grid), F.floor(hi / grid)))
+    c = F.col
+    s = segs.withColumns({"sx0": F.least("x0", "x1") - reach, "sx1": F.greatest("x0", "x1") + reach, "sy0": F.least("y0", "y1") - reach, "sy1": F.greatest("y0", "y1") + reach})
+    s = s.withColumn("cx", span(c("sx0"), c("sx1"))).withColumn("cy", span(c("sy0"), c("sy1")))
+    d = dets.withColumn("cx", span(c("xmin"), c("xmax"))).withColumn("cy", span(c("ymin"), c("ymax")))
+    corner = (c("cx") == F.floor(F.greatest("xmin", "sx0") / grid)) & (c("cy") == F.floor(F.greatest("ymin", "sy0") / grid))
+    return d.join(s, ["image", "cx", "cy"]).filter(corner & (c("xmin") <= c("sx1")) & (c("xmax") >= c("sx0")) & (c("ymin") <= c("sy1")) & (c("ymax") >= c("sy0"))).drop("cx", "cy", "sx0", "sx1", "sy0", "sy1")
+
+
+def union_area(dets: DataFrame, segs: DataFrame, reach: float = REACH, cell: float = 1.0) -> DataFrame:
+    """seg_id, area: of the cells within ``reach`` of a segment whose centre a detection covers, each counted once."""
+    run = lambda lo, hi: F.explode(F.sequence(F.ceil(F.col(lo) / cell - 0.5), F.ceil(F.col(hi) / cell - 0.5) - 1))
+    wide = _meet(dets, segs, reach).filter(F.ceil(F.col("xmin") / cell - 0.5) < F.ceil(F.col("xmax") / cell - 0.5)).filter(F.ceil(F.col("ymin") / cell - 0.5) < F.ceil(F.col("ymax") / cell - 0.5))
+    cells = wide.withColumn("i", run("xmin", "xmax")).withColumn("j", run("ymin", "ymax")).filter(_edge_distance((F.col("i") + 0.5) * cell, (F.col("j") + 0.5) * cell) <= reach)
+    return cells.select("seg_id", "i", "j").distinct().groupBy("seg_id").agg((F.count("*") * (cell * cell)).alias("area"))
+
+
+def front(dets: DataFrame, segs: DataFrame, reach: float = REACH, step: float = 1.0) -> DataFrame:
+    """seg_id, front: the length of each segment that has a detection within ``reach``, sampled in pieces of about ``step``."""
+    c = F.col
+    size = F.sqrt((c("x1") - c("x0")) * (c("x1") - c("x0")) + (c("y1") - c("y0")) * (c("y1") - c("y0")))
+    p = _meet(dets, segs, reach).withColumn("length", size).withColumn("pieces", F.greatest(F.ceil(c("length") / step), F.lit(1))).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), c("pieces") - 1)))
+    t = (c("k") + 0.5) / c("pieces")
+    x, y = c("x0") + t * (c("x1") - c("x0")), c("y0") + t * (c("y1") - c("y0"))
+    dx, dy = F.greatest(c("xmin") - x, x - c("xmax"), F.lit(0.0)), F.greatest(c("ymin") - y, y - c("ymax"), F.lit(0.0))
+    hit = p.filter(F.sqrt(dx * dx + dy * dy) <= reach).select("seg_id", "k", "x0", "y0", "length", "pieces").distinct()
+    return hit.groupBy("seg_id").agg(F.sum(c("length") / c("pieces")).alias("front"))
+
+
 def observability(cloud: Column) -> Column:
     return F.when(cloud > BLIND_ABOVE, "blind").when(cloud > PARTIAL_ABOVE, "partial").otherwise("observed")
 

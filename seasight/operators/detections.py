@@ -48,19 +48,43 @@ def match(dets: DataFrame, gts: DataFrame, threshold: float = 0.5, by_label: boo
     Ties go to the smaller det_id, then gt_id. A scene (with ``by_label``, a
     label of it) is matched in one task, from its pairs alone.
     """
-    keys = ["image", "label"] if by_label else ["image"]
+    return greedy(iou_pairs(dets, gts, threshold, by_label), ["image", "label"] if by_label else ["image"])
+
+
+def greedy(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """det_id, gt_id, iou, and the ``keys`` beyond scene and label, of the greedy match within each group of ``keys``."""
+    more = [k for k in keys if k not in ("image", "label")]
 
     def take(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["score", "det_id", "iou", "gt_id"], ascending=[False, True, False, True])
         used, done, out = set(), set(), []
+        group = [rows[k].iloc[0] for k in more]
         for d, g, v in zip(rows["det_id"].tolist(), rows["gt_id"].tolist(), rows["iou"].tolist()):
             if d not in done and g not in used:
                 done.add(d)
                 used.add(g)
-                out.append((d, g, v))
-        return pd.DataFrame(out, columns=["det_id", "gt_id", "iou"])
+                out.append((d, g, v, *group))
+        return pd.DataFrame(out, columns=["det_id", "gt_id", "iou", *more])
+
+    extra = "".join(f", {k} {pairs.schema[k].dataType.simpleString()}" for k in more)
+    return pairs.groupBy(*keys).applyInPandas(take, f"det_id long, gt_id long, iou double{extra}")
+
+
+#: IoU thresholds of the sweep.
+THRESHOLDS = tuple(round(0.5 + 0.05 * i, 2) for i in range(10))
+
 
-    return iou_pairs(dets, gts, threshold, by_label).groupBy(*keys).applyInPandas(take, "det_id long, gt_id long, iou double")
+def sweep(dets: DataFrame, gts: DataFrame, thresholds: tuple[float, ...] = THRESHOLDS) -> DataFrame:
+    """threshold, label, ap: average precision at every IoU threshold; boxes are joined to pairs once."""
+    level = F.explode(F.array(*[F.lit(t) for t in thresholds]))
+    pairs = iou_pairs(dets, gts, min(thresholds)).withColumn("threshold", level).filter("iou >= threshold")
+    matches = greedy(pairs, ["image", "label", "threshold"])
+    return average_precision(pr_curve(dets.withColumn("threshold", level), gts, matches, ("threshold", "label")), keys=("threshold", "label"))
+
+
+def merge_tiles(dets: DataFrame, width: float, height: float, threshold: float = 0.5, keys: tuple[str, ...] = ("image", "label")) -> DataFrame:
+    """Boxes of tiles (with the tile's corner x_off, y_off) as the scene's: moved, cut to it, those at seams suppressed once."""
+    return nms(clip(offset(dets, F.col("x_off"), F.col("y_off")), width, height), threshold, keys)
 
 
 def nms(dets: DataFrame, threshold: float = 0.5, keys: tuple[str, ...] = ("image", "label")) -> DataFrame:
@@ -106,26 +130,53 @@ def class_counts(dets: DataFrame, gts: DataFrame, matches: DataFrame) -> DataFra
     return d.join(g, "label", "full").select("label", z("tp").alias("tp"), (z("n_det") - z("tp")).alias("fp"), (z("n_gt") - z("tp")).alias("fn"))
 
 
-def pr_curve(dets: DataFrame, gts: DataFrame, matches: DataFrame) -> DataFrame:
-    """label, det_id, rank, tp, recall, precision, envelope: one row per detection, by falling score."""
-    w = Window.partitionBy("label").orderBy(F.desc("score"), "det_id")
-    d = dets.join(matches.select("det_id").withColumn("hit", F.lit(1)), "det_id", "left").withColumn("hit", F.coalesce("hit", F.lit(0)))
-    d = d.withColumn("rank", F.row_number().over(w)).withColumn("tp", F.sum("hit").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    d = d.join(F.broadcast(gts.groupBy("label").agg(F.count("*").alias("n_gt"))), "label")  # a row per label
+#: Bands of scores in which running counts are made.
+BANDS = 4096
+
+
+def pr_curve(dets: DataFrame, gts: DataFrame, matches: DataFrame, keys: tuple[str, ...] = ("label",)) -> DataFrame:
+    """keys, det_id, rank, tp, recall, precision, envelope, hit, n_gt: one row per detection, by falling score, per ``keys``.
+
+    Counts run over bands of scores first and then within each band, so that a
+    label with most of the rows isn't one task. A key without ground truth has
+    no curve.
+    """
+    keys = list(keys)
+    own = [k for k in keys if k in matches.columns]
+    d = dets.join(matches.select("det_id", *own).withColumn("hit", F.lit(1)), ["det_id", *own], "left").withColumn("hit", F.coalesce("hit", F.lit(0))).withColumn("band", F.coalesce(F.floor(F.col("score") * -BANDS), F.lit(1)))
+    d = d.select(*keys, "det_id", "score", "hit", "band")
+    before = Window.partitionBy(*keys).orderBy("band").rowsBetween(Window.unboundedPreceding, -1)  # as many rows as bands
+    sums = d.groupBy(*keys, "band").agg(F.sum("hit").alias("b_tp"), F.count("*").alias("b_n"))
+    sums = sums.select(*keys, "band", *[F.coalesce(F.sum(f"b_{c}").over(before), F.lit(0)).alias(f"{c}_0") for c in ("tp", "n")])
+    truths = gts.groupBy("label").agg(F.count("*").alias("n_gt"))  # a row per label
+    w = Window.partitionBy(*keys, "band").orderBy(F.desc("score"), "det_id")
+    d = d.join(sums, [*keys, "band"]).join(F.broadcast(truths), "label")
+    d = d.withColumn("rank", (F.row_number().over(w) + F.col("n_0")).cast("long")).withColumn("tp", F.sum("hit").over(w.rowsBetween(Window.unboundedPreceding, 0)) + F.col("tp_0"))
     d = d.withColumns({"recall": F.col("tp") / F.col("n_gt"), "precision": F.col("tp") / F.col("rank")})
-    up = Window.partitionBy("label").orderBy("rank").rowsBetween(0, Window.unboundedFollowing)
-    return d.withColumn("envelope", F.max("precision").over(up)).select("label", "det_id", "rank", "tp", "recall", "precision", "envelope")
+    after = Window.partitionBy(*keys).orderBy("band").rowsBetween(1, Window.unboundedFollowing)
+    later = d.groupBy(*keys, "band").agg(F.max("precision").alias("b_most")).select(*keys, "band", F.max("b_most").over(after).alias("later"))
+    up = Window.partitionBy(*keys, "band").orderBy("rank").rowsBetween(0, Window.unboundedFollowing)
+    d = d.withColumn("own", F.max("precision").over(up)).join(later, [*keys, "band"])
+    return d.select(*keys, "det_id", "rank", "tp", "recall", "precision", F.greatest("own", "later").alias("envelope"), "hit", "n_gt")
 
 
-def average_precision(curve: DataFrame, method: str = "all") -> DataFrame:
-    """label, ap: all points, or the mean of the envelope at 101 recall levels."""
+def average_precision(curve: DataFrame, method: str = "all", keys: tuple[str, ...] = ("label",)) -> DataFrame:
+    """keys, ap: all points (each hit is a step of recall), or the mean of the envelope at 101 recall levels."""
     if method == "all":
-        w = Window.partitionBy("label").orderBy("rank")
-        step = curve.withColumn("step", F.col("recall") - F.lag("recall", 1, 0.0).over(w))
-        return step.groupBy("label").agg(F.sum(F.col("step") * F.col("envelope")).alias("ap"))
+        return curve.groupBy(*keys).agg((F.sum(F.col("hit") * F.col("envelope")) / F.max("n_gt")).alias("ap"))
     levels = curve.withColumn("k", F.explode(F.expr("sequence(0, 100)"))).filter(F.col("recall") >= F.col("k") * F.lit(0.01))
-    best = levels.groupBy("label", "k").agg(F.max("envelope").alias("p"))
-    return best.groupBy("label").agg((F.sum("p") / 101).alias("ap"))
+    best = levels.groupBy(*keys, "k").agg(F.max("envelope").alias("p"))
+    return best.groupBy(*keys).agg((F.sum("p") / 101).alias("ap"))
+
+
+def evaluate(dets: DataFrame, gts: DataFrame, threshold: float = 0.5, min_score: float = 0.0) -> DataFrame:
+    """label, tp, fp, fn, precision, recall, f1, ap: a row per label, and one of label ``all`` (micro counts, mean ap)."""
+    d = dets.filter(F.col("score") >= min_score)
+    m = match(d, gts, threshold)
+    per = class_counts(d, gts, m).join(average_precision(pr_curve(d, gts, m)), "label", "left")
+    both = per.unionByName(per.agg(F.lit("all").alias("label"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tp", "fp", "fn")], F.avg("ap").alias("ap")))
+    p, r, f1 = prf(F.col("tp"), F.col("fp"), F.col("fn"))
+    return both.select("label", "tp", "fp", "fn", p.alias("precision"), r.alias("recall"), f1.alias("f1"), "ap")
 
 
 def confusion(dets: DataFrame, gts: DataFrame, matches: DataFrame, background: str = "background") -> DataFrame:
