@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seasight.functions import geo, spectral
-from seasight.operators import catalog, coastal, detections, screening
+from seasight.operators import catalog, coastal, curves, detections, screening
 from seasight.sources.documents import features, from_features, FEATURES
 from seasight.views import view, with_views
 
@@ -416,10 +416,7 @@ def _spectra(spark, sf):
 @query("class_report", f"WITH x AS ({_SPECTRA}), k AS (SELECT truth, pred, count(*) AS n FROM x GROUP BY ALL), t AS (SELECT truth AS label, sum(n) AS support, sum(n) FILTER (WHERE truth = pred) AS tp FROM k GROUP BY truth), p AS (SELECT pred AS label, sum(n) AS n_pred FROM k GROUP BY pred) SELECT label, CAST(support AS BIGINT) AS support, {s6('CASE WHEN n_pred > 0 THEN coalesce(tp, 0) / n_pred ELSE 0 END')} AS precision, {s6('coalesce(tp, 0) / support')} AS recall FROM t LEFT JOIN p USING (label)")
 def class_report(spark, sf):
     k = _spectra(spark, sf).groupBy("truth", "pred").agg(F.count("*").alias("n"))
-    t = k.groupBy(F.col("truth").alias("label")).agg(F.sum("n").alias("support"), F.sum(F.when(F.col("truth") == F.col("pred"), F.col("n")).otherwise(0)).alias("tp"))
-    p = k.groupBy(F.col("pred").alias("label")).agg(F.sum("n").alias("n_pred"))
-    c = F.col
-    return t.join(p, "label", "left").select("label", "support", r6(F.when(c("n_pred") > 0, c("tp") / c("n_pred")).otherwise(F.lit(0.0))).alias("precision"), r6(c("tp") / c("support")).alias("recall"))
+    return curves.class_report(k).select("label", "support", r6(F.col("precision")).alias("precision"), r6(F.col("recall")).alias("recall"))
 
 
 @query("class_balance", f"WITH x AS ({_SPECTRA}) SELECT truth, count(*) AS n, {s6('count(*) / (SELECT count(*) FROM x)')} AS share, count(*) FILTER (WHERE pred <> truth) AS missed FROM x GROUP BY truth")
@@ -498,14 +495,8 @@ def sweep_matches(spark, sf):
 @query("best_f1", f"""WITH x AS (SELECT vec_id, label = 3 AS pos, embedding[1] AS s FROM embeddings), c AS (SELECT vec_id, s, sum(CASE WHEN pos THEN 1 ELSE 0 END) OVER (ORDER BY s DESC, vec_id ROWS UNBOUNDED PRECEDING) AS tp, row_number() OVER (ORDER BY s DESC, vec_id) AS n FROM x),
 f AS (SELECT n, 2 * tp / (n + (SELECT count(*) FROM x WHERE pos)) AS f1 FROM c) SELECT {s6('max(f1)')} AS f1 FROM f""")
 def best_f1(spark, sf):
-    """Best F1 over all thresholds of a score. Running counts go by bands of scores, then within them, so that no task gets all rows."""
-    x = _table(spark, sf, "embeddings").select("vec_id", (F.col("label") == 3).cast("long").alias("pos"), F.element_at("embedding", 1).alias("s")).withColumn("band", F.floor(F.col("s") * -256))
-    bands = x.groupBy("band").agg(F.sum("pos").alias("b_tp"), F.count("*").alias("b_n"))
-    before = Window.orderBy("band").rowsBetween(Window.unboundedPreceding, -1)
-    bands = bands.select("band", F.coalesce(F.sum("b_tp").over(before), F.lit(0)).alias("tp0"), F.coalesce(F.sum("b_n").over(before), F.lit(0)).alias("n0"), F.sum("b_tp").over(Window.orderBy("band").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("n_pos"))
-    w = Window.partitionBy("band").orderBy(F.desc("s"), "vec_id").rowsBetween(Window.unboundedPreceding, 0)
-    c = x.join(bands, "band").select("n_pos", (F.col("tp0") + F.sum("pos").over(w)).alias("tp"), (F.col("n0") + F.count("*").over(w)).alias("n"))
-    return c.agg(r6(F.max(2 * F.col("tp") / (F.col("n") + F.col("n_pos")))).alias("f1"))
+    x = _table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), (F.col("label") == 3).cast("long").alias("pos"), F.element_at("embedding", 1).alias("score"))
+    return curves.running(x).agg(r6(curves.best_f1()).alias("f1"))
 
 
 _FEATURE_SQL = {"B03": "green", "B04": "red", "B06": "rededge2", "B08": "nir", "B11": "swir1", "FDI": INDEX_SQL["fdi"], "FAI": INDEX_SQL["fai"], "NDVI": INDEX_SQL["ndvi"], "NDWI": INDEX_SQL["ndwi"], "PI": INDEX_SQL["pi"], "KNDVI": INDEX_SQL["kndvi"], "MNDWI": INDEX_SQL["mndwi"]}

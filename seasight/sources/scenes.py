@@ -34,3 +34,25 @@ def edges(segments: DataFrame) -> DataFrame:
     pairs = F.transform(F.slice("pts", F.lit(2), F.greatest(F.size("pts") - 1, F.lit(0))), lambda p, i: F.struct(F.get("pts", i).alias("a"), p.alias("b")))
     e = segments.select("segment_id", F.posexplode(pairs).alias("n", "e"))
     return e.select("segment_id", "n", F.col("e.a.lon").alias("lon0"), F.col("e.a.lat").alias("lat0"), F.col("e.b.lon").alias("lon1"), F.col("e.b.lat").alias("lat1"))
+
+
+ITEMS = "features array<struct<id:string,collection:string,bbox:array<double>,properties:struct<datetime:string,platform:string,`eo:cloud_cover`:double>,assets:map<string,struct<href:string>>>>"
+
+
+def read_items(spark: SparkSession, path: str) -> DataFrame:
+    """scene_id, collection, day, platform, cloud, west, south, east, north, assets (name, href) of catalogue item collections."""
+    f = spark.read.option("multiLine", True).schema(ITEMS).json(path).select(F.explode("features").alias("f"))
+    box = [F.get("f.bbox", i).alias(n) for i, n in enumerate(("west", "south", "east", "north"))]
+    return f.select(
+        F.col("f.id").alias("scene_id"), "f.collection", F.substring("f.properties.datetime", 1, 10).alias("day"), "f.properties.platform", F.col("f.properties.`eo:cloud_cover`").alias("cloud"), *box,
+        F.transform(F.map_entries("f.assets"), lambda a: F.struct(a["key"].alias("name"), a["value"]["href"].alias("href"))).alias("assets"),
+    )
+
+
+def asset_hrefs(items: DataFrame) -> DataFrame:
+    """scene_id, band, href: the first asset of every canonical band; other assets go."""
+    from seasight.operators.catalog import normalize
+
+    a = items.select("scene_id", F.posexplode("assets").alias("pos", "a")).select("scene_id", "pos", F.col("a.name").alias("key"), "a.href")
+    first = normalize(a, ["scene_id"])
+    return first.join(a.select("scene_id", "key", "href"), ["scene_id", "key"]).select("scene_id", "band", "href")

@@ -124,3 +124,64 @@ def test_history_is_appended(spark, tmp_path):
 def test_nms_without_regard_to_label(spark):
     rows = [(1, 0, "a", 0.0, 0.0, 10.0, 10.0, 0.9), (2, 0, "b", 1.0, 0.0, 11.0, 10.0, 0.8)]
     assert detections.nms(boxes(spark, rows)).count() == 2 and detections.nms(boxes(spark, rows), keys=("image",)).count() == 1
+
+
+def test_tiles_merge_to_the_scene_that_was_cut(spark):
+    """Boxes that two tiles both saw come once."""
+    whole = [(i, 0, "a", 40.0 * i, 5.0, 40.0 * i + 20, 25.0, 0.9 - i / 100) for i in range(5)]
+    tiles = [(i, 0.0, *r[1:]) for i, r in enumerate(whole) if r[5] <= 120] + [(10 + i, 70.0, *r[1:3], r[3] - 70, r[4], r[5] - 70, r[6], r[7]) for i, r in enumerate(whole) if r[3] >= 70]
+    d = spark.createDataFrame(tiles, "det_id long, x_off double, image long, label string, xmin double, ymin double, xmax double, ymax double, score double").withColumn("y_off", F.lit(0.0))
+    got = sorted((r["xmin"], r["xmax"]) for r in detections.merge_tiles(d, 200, 100).collect())
+    assert got == [(r[3], r[5]) for r in whole]
+
+
+def test_sweep_and_report(spark, tmp_path):
+    from seasight.sources.reports import markdown_rows, write_report
+
+    d = boxes(spark, [(1, 0, "a", 0.0, 0.0, 10.0, 10.0, 0.9), (2, 0, "a", 50.0, 0.0, 60.0, 10.0, 0.8), (3, 0, "b", 0.0, 0.0, 1.0, 1.0, 0.7)])
+    g = boxes(spark, [(1, 0, "a", 0.0, 0.0, 10.0, 8.0, 1.0), (2, 0, "a", 50.0, 0.0, 60.0, 10.0, 1.0)], "gt_id").drop("score")
+    ap = {r["threshold"]: r["ap"] for r in detections.sweep(d, g).collect()}
+    assert ap[0.8] == 1.0 and ap[0.85] == pytest.approx(0.25)  # the first of two is missed there
+    e = detections.evaluate(d, g)
+    got = {r["label"]: r for r in e.collect()}
+    assert (got["a"]["tp"], got["b"]["fp"], got["all"]["tp"], got["all"]["fp"]) == (2, 1, 2, 1) and got["b"]["ap"] is None
+    assert {r["line"] for r in markdown_rows(e).filter("label = 'b'").collect()} == {"| b | 0 | 1 | 0 | 0.00 | 1.00 | 0.00 | n/a |"}
+    write_report(e, f"file://{tmp_path}/r")
+    assert spark.read.option("header", True).csv(f"file://{tmp_path}/r/csv").count() == 3 and spark.read.text(f"file://{tmp_path}/r/md").count() == 5
+
+
+def test_front_and_union_area(spark):
+    segs = spark.createDataFrame([(1, 0, 0.0, 0.0, 1000.0, 0.0)], "seg_id long, image long, x0 double, y0 double, x1 double, y1 double")
+    d = boxes(spark, [(1, 0, "a", 300.0, 10.0, 500.0, 15.0, 0.5), (2, 0, "a", 400.0, 10.0, 600.0, 15.0, 0.5), (3, 0, "a", 0.0, 900.0, 9.0, 909.0, 0.5)])
+    assert coastal.front(d, segs).first()["front"] == pytest.approx(300 + 2 * (20**2 - 10**2) ** 0.5, abs=2)
+    assert coastal.union_area(d, segs).first()["area"] == 300 * 5
+
+
+def test_classifier(spark, tmp_path):
+    from seasight.operators import classifier
+
+    r = random.Random(8)
+    rows = [(i, k, r.gauss(k * 3, 1), None if i % 11 == 0 else r.gauss(-k, 1)) for i, k in enumerate([0] * 300 + [1] * 60 + [2] * 30)]
+    d = spark.createDataFrame([(i, f"class {k}", a, b) for i, k, a, b in rows], "id long, label string, a double, b double")
+    m = classifier.fit(d.filter("id % 3 <> 1"), ["a", "b"], trees=20, depth=5)
+    out = classifier.predict(m, d.filter("id % 3 = 1")).collect()
+    assert sum(x["predicted"] == x["label"] for x in out) > 0.85 * len(out) and all(abs(sum(x["proba"]) - 1) < 1e-9 for x in out)
+    classifier.save(m, f"file://{tmp_path}/m")
+    again = classifier.load(f"file://{tmp_path}/m", ["a", "b"])
+    assert [x["predicted"] for x in classifier.predict(again, d).orderBy("id").collect()] == [x["predicted"] for x in classifier.predict(m, d).orderBy("id").collect()]
+    with pytest.raises(ValueError):
+        classifier.load(f"file://{tmp_path}/m", ["b", "a"])
+    with pytest.raises(ValueError):
+        classifier.probability(m, d, "class 9")
+    with pytest.raises(ValueError):
+        classifier.predict(m, d.drop("b"))
+
+
+def test_catalogue_items(spark, tmp_path):
+    from seasight.sources.scenes import asset_hrefs, read_items
+
+    (tmp_path / "i.json").write_text('{"features": [{"id": "s", "collection": "k", "bbox": [1, 2, 3, 4], "properties": {"datetime": "2024-05-27T10:00:00Z", "eo:cloud_cover": 3.5}, "assets": {"red": {"href": "r"}, "B04": {"href": "other"}, "nir08": {"href": "n"}, "thumbnail": {"href": "t"}}}]}')
+    i = read_items(spark, f"file://{tmp_path}/i.json")
+    r = i.first()
+    assert (r["scene_id"], r["day"], r["cloud"], r["west"], r["north"]) == ("s", "2024-05-27", 3.5, 1.0, 4.0)
+    assert {(x["band"], x["href"]) for x in asset_hrefs(i).collect()} == {("B04", "r"), ("B8A", "n")}

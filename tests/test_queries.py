@@ -3,6 +3,7 @@ import os
 import duckdb
 import pytest
 
+import seasight.plans.more  # noqa: F401  (registers its queries)
 from seasight.plans.queries import QUERIES, SQL
 
 DATA = "/root/testdata/sf0.001"
