@@ -10,13 +10,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seasight.functions.spectral import FDI_THRESHOLD, INDICES, cloud_mask, water_mask
+from seasight.operators.quantiles import percentiles
 
 TILE = ["tr", "tc"]
 MIN_CANDIDATES, MIN_REGION = 4, 8
 
 
 def adaptive_threshold(fdi: Column, clean: Column, percentile: float = 0.999, floor: float = FDI_THRESHOLD) -> Column:
-    """An aggregate: the percentile of the index over clean water, the floor at least; the floor where there's none."""
+    """An aggregate of a tile, which bounds what it holds: the percentile of the index over clean water, the floor at least; the floor where there's none."""
     return F.greatest(F.lit(floor), F.coalesce(F.percentile(F.when(clean, fdi), F.lit(percentile)), F.lit(floor)))
 
 
@@ -81,8 +82,10 @@ def index_stats(px: DataFrame, names: list[str]) -> DataFrame:
     """index, mean, p50, p99, water_p99: over the pixels that have data."""
     p = px.withColumns({n: INDICES[n][1]() for n in names}).withColumn("water", water_mask())
     long = p.select("water", F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).alias("v")) for n in names])).alias("x")).select("water", F.col("x.name").alias("index"), "x.v")
-    q = lambda f, c="v": F.percentile(c, F.lit(f))
-    return long.groupBy("index").agg(F.avg("v").alias("mean"), q(0.5).alias("p50"), q(0.99).alias("p99"), F.percentile(F.when(F.col("water"), F.col("v")), F.lit(0.99)).alias("water_p99"))
+    out = long.groupBy("index").agg(F.avg("v").alias("mean"))
+    for part in (percentiles(long, "v", {"p50": 0.5, "p99": 0.99}, ("index",)), percentiles(long.filter("water"), "v", {"water_p99": 0.99}, ("index",))):
+        out = out.join(part, "index", "left")  # a row per index
+    return out
 
 
 def detect(tiles: DataFrame, detector, schema: str) -> DataFrame:

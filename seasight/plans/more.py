@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from seasight.functions import geo, spectral
 from seasight.operators import catalog, classifier, coastal, curves, detections
 from seasight.plans.queries import _CLOUD, _COUNTS, _FDI, _MATCH, _SPECTRA, _SWEEP, _T, _WATER, _match, _places, _spectra, _table, query, r6, s6
+from seasight.operators.quantiles import percentiles
 from seasight.sources.reports import markdown_rows
 from seasight.views import view
 
@@ -29,7 +30,7 @@ def stretch_joint(spark, sf):
     """One stretch for all channels, cut down to whole numbers."""
     px = view(spark, sf, "px")
     u = px.select(F.explode(F.array("red", "green")).alias("v"))
-    q = u.agg(F.percentile("v", F.lit(0.02)).alias("lo"), F.percentile("v", F.lit(0.98)).alias("hi"))
+    q = percentiles(u, "v", {"lo": 0.02, "hi": 0.98})
     to8 = lambda b: F.floor(F.least(F.greatest((c(b) - c("lo")) / (c("hi") - c("lo")), F.lit(0.0)), F.lit(1.0)) * 255).cast("int").alias(f"{b}8")
     return px.select("pid", "red", "green").crossJoin(F.broadcast(q)).select("pid", to8("red"), to8("green"))
 
@@ -37,7 +38,8 @@ def stretch_joint(spark, sf):
 @query("clean_vs_naive_threshold", f"WITH f AS (SELECT {_FDI} AS fdi, {_WATER} AND NOT {_CLOUD} AS clean FROM px) SELECT {s6('quantile_cont(fdi, 0.999e0) FILTER (WHERE clean)')} AS clean, {s6('quantile_cont(fdi, 0.999e0)')} AS naive FROM f")
 def clean_vs_naive_threshold(spark, sf):
     f = view(spark, sf, "px").select(spectral.INDICES["fdi"][1]().alias("fdi"), (spectral.water_mask() & ~spectral.cloud_mask()).alias("clean"))
-    return f.agg(r6(F.percentile(F.when(c("clean"), c("fdi")), F.lit(0.999))).alias("clean"), r6(F.percentile("fdi", F.lit(0.999))).alias("naive"))
+    one = lambda rows, n: percentiles(rows, "fdi", {n: 0.999}).select(r6(c(n)).alias(n))
+    return one(f.filter("clean"), "clean").crossJoin(one(f, "naive"))  # one row each
 
 
 @query("crop_boxes", """WITH m AS (SELECT tr, tc, greatest(min(c) - 30, 0) AS x0, least(max(c) + 31, 100) AS x1, greatest(min(r) - 30, 0) AS y0, max(r) + 31 AS y1 FROM px WHERE scl = 9 GROUP BY tr, tc)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from seasight.functions import geo, spectral
 from seasight.operators import catalog, coastal, curves, detections, screening
+from seasight.operators.quantiles import percentiles
 from seasight.sources.documents import features, from_features, FEATURES
 from seasight.views import view, with_views
 
@@ -155,7 +156,7 @@ def index_stats(spark, sf):
 @query("fixed_vs_adaptive", f"WITH f AS (SELECT {_FDI} AS fdi, {_WATER} AND NOT {_CLOUD} AS clean FROM px), w AS (SELECT fdi FROM f WHERE clean AND fdi IS NOT NULL), t AS (SELECT greatest(0.006e0, quantile_cont(fdi, 0.999e0)) AS t FROM w) SELECT count(*) AS n, count(*) FILTER (WHERE fdi > 0.006e0) AS over_fixed, count(*) FILTER (WHERE fdi > t) AS over_adaptive, {s6('min(t)')} AS threshold FROM w, t")
 def fixed_vs_adaptive(spark, sf):
     w = view(spark, sf, "px").withColumns({"fdi": spectral.INDICES["fdi"][1](), "clean": spectral.water_mask() & ~spectral.cloud_mask()}).filter("clean and fdi is not null")
-    t = w.agg(screening.adaptive_threshold(F.col("fdi"), F.lit(True)).alias("t"))
+    t = percentiles(w, "fdi", {"p": 0.999}).select(F.greatest(F.lit(spectral.FDI_THRESHOLD), F.coalesce("p", F.lit(spectral.FDI_THRESHOLD))).alias("t"))
     return w.select("fdi").crossJoin(F.broadcast(t)).agg(F.count("*").alias("n"), F.count_if(F.col("fdi") > 0.006).alias("over_fixed"), F.count_if(F.col("fdi") > F.col("t")).alias("over_adaptive"), r6(F.min("t")).alias("threshold"))
 
 
@@ -168,7 +169,7 @@ def fdi_histogram(spark, sf):
 @query("rgb_stretch", "WITH q AS (SELECT quantile_cont(red, 0.02e0) AS lo, quantile_cont(red, 0.98e0) AS hi FROM px) SELECT pid, CAST(round_even(least(greatest((red - lo) / (hi - lo), 0), 1) * 255, 0) AS INT) AS red8, CAST(floor(least(greatest(red / 0.02e0, 0), 1) * 255) AS INT) AS linear8 FROM px, q")
 def rgb_stretch(spark, sf):
     px = view(spark, sf, "px")
-    q = px.agg(F.percentile("red", F.lit(0.02)).alias("lo"), F.percentile("red", F.lit(0.98)).alias("hi"))
+    q = percentiles(px, "red", {"lo": 0.02, "hi": 0.98})
     unit = lambda c: F.least(F.greatest(c, F.lit(0.0)), F.lit(1.0))
     return px.crossJoin(F.broadcast(q)).select("pid", F.rint(unit((F.col("red") - F.col("lo")) / (F.col("hi") - F.col("lo"))) * 255).cast("int").alias("red8"), F.floor(unit(F.col("red") / 0.02) * 255).cast("int").alias("linear8"))
 

@@ -185,3 +185,20 @@ def test_catalogue_items(spark, tmp_path):
     r = i.first()
     assert (r["scene_id"], r["day"], r["cloud"], r["west"], r["north"]) == ("s", "2024-05-27", 3.5, 1.0, 4.0)
     assert {(x["band"], x["href"]) for x in asset_hrefs(i).collect()} == {("B04", "r"), ("B8A", "n")}
+
+
+def test_percentiles_are_exact(spark):
+    import numpy as np
+
+    from seasight.operators.quantiles import percentiles
+
+    r = random.Random(9)
+    rows = [(k, r.choice([r.gauss(0, 1), 7.0, -3.0, 1e6 * r.random()])) for k in "ab" for _ in range(501)] + [("c", 4.0), ("d", None), ("a", float("nan")), ("b", float("inf"))]
+    df = spark.createDataFrame(rows, "k string, x double")
+    want = {"lo": 0.02, "mid": 0.5, "hi": 0.999, "top": 1.0}
+    got = {x["k"]: x for x in percentiles(df, "x", want, ("k",), bins=16).collect()}
+    assert set(got) == {"a", "b", "c"} and got["c"]["mid"] == 4.0
+    for k in "ab":
+        v = [x for g, x in rows if g == k and np.isfinite(x)]
+        assert [got[k][n] for n in want] == pytest.approx([np.quantile(v, f) for f in want.values()])
+    assert percentiles(df.limit(0), "x", want).collect()[0][:] == (None,) * 4
