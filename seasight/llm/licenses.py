@@ -90,7 +90,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     some = rows.filter(F.size("hits") > 0)
     found = some.select("row_no", F.explode("hits").alias("h")).select("row_no", "h.i", "h.w").filter(F.col("w").isin(sorted({w for _, t, _ in TEMPLATES for w in t.split() if w not in COMMON})))
     df = found.groupBy("w").agg(F.count_distinct("row_no").alias("df"))
-    idf = df.crossJoin(rows.agg(F.count("*").alias("n_docs"))).select("w", F.log1p(F.col("n_docs") / F.col("df")).alias("idf"))  # one row beside the fixed vocabulary
+    idf = df.select("w", F.log1p(F.lit(rows.count()) / F.col("df")).alias("idf"))
     weighed = postings.join(idf, "w")
     total = weighed.groupBy("t").agg(F.sum("idf").alias("total"))
     # ranked within a template, so that no template is lost to the words of others

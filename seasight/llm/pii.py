@@ -126,10 +126,9 @@ def find(docs: DataFrame, alpha: float = ALPHA, support: int = SUPPORT, id_col:
     rows, words = got.filter("row_no is not null"), got.filter("row_no is null").groupBy("word").agg(F.sum("n").alias("n_word"))
     near = rows.filter(F.size("near") > 0).select("row_no", F.explode("near").alias("x")).select("row_no", "x.*")
     pairs = near.groupBy("word", "kind").agg(F.count("*").alias("n_pair"))
-    # at most four kinds, and one row of the total
-    facts = pairs.groupBy("kind").agg(F.sum("n_pair").alias("n_kind")).crossJoin(words.agg(F.sum("n_word").alias("n_all")))
+    facts = pairs.groupBy("kind").agg(F.sum("n_pair").alias("n_kind"))  # at most four kinds
     judged = pairs.filter(F.col("n_pair") >= support).join(words, "word").join(F.broadcast(facts), "kind")
-    n = F.col("n_all").cast("double")
+    n = F.lit(float(got.agg(F.sum("n")).first()[0] or 0))
     telling = judged.filter(F.log(F.col("n_pair") * n / F.col("n_word") / F.col("n_kind")) >= alpha * F.log(n / F.col("n_kind"))).select("word", "kind")
     span = F.struct("start", F.lit(len(KINDS)).alias("kind"), "end")
     terms = near.join(telling, ["word", "kind"]).select("row_no", "start", "end").distinct().groupBy("row_no").agg(F.array_sort(F.collect_list(span)).alias("terms"))

@@ -26,7 +26,7 @@ SHINGLE, RADIUS, PIVOTS = 4, 4, 8
 #: Keys with more fingerprints are compared in blocks of about BLOCK fingerprints, which give trees of links in place of pairs.
 PAIRED, BLOCK = 64, 1024
 #: Of the near-dedup stage: words of a shingle, similarity, sketch size, min-hash keys, and a radius that loses none of those.
-STAGE_SHINGLE, STAGE_SIMILARITY, SKETCH, MIN_HASHES, STAGE_RADIUS = 5, 0.8, 128, 6, 18
+STAGE_SHINGLE, STAGE_SIMILARITY, SKETCH, MIN_HASHES, STAGE_RADIUS = 5, 0.8, 256, 6, 18
 _PART = 1 << 16
 
 
@@ -60,7 +60,7 @@ def fingerprint(h: np.ndarray) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text", sketch: int = 0, min_hashes: int = 0) -> DataFrame:
-    """doc_id, fp (signed); with ``sketch`` the smallest distinct shingle hashes, with ``min_hashes`` that many minima over the shingles."""
+    """doc_id, fp (signed); with ``sketch`` the upper halves of so many smallest distinct shingle hashes, with ``min_hashes`` that many minima over the shingles."""
     kind = docs.schema[id_col].dataType.simpleString()
     odd = np.random.default_rng(7).integers(1, 2**63, max(1, min_hashes), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -72,12 +72,12 @@ def fingerprints(docs: DataFrame, words: int = SHINGLE, id_col: str = "doc_id",
                 fps.append(_signed(fingerprint(h)))
                 if sketch:
                     h = np.unique(h)
-                    sketches.append(h[:sketch].view(np.int64))
+                    sketches.append((h[:sketch] >> np.uint64(32)).astype(np.uint32).view(np.int32))
                     keys.append(np.array([(h * m).min() for m in odd] if len(h) else [], np.uint64).view(np.int64))
-            more = [pa.array(sketches, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))] if sketch else []
+            more = [pa.array(sketches, pa.list_(pa.int32())), pa.array(keys, pa.list_(pa.int64()))] if sketch else []
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps, pa.int64()), *more], names=["doc_id", "fp", *["sketch", "keys"][: len(more)]])
 
-    tail = ", sketch array<long>, keys array<long>" if sketch else ""
+    tail = ", sketch array<int>, keys array<long>" if sketch else ""
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, fp long{tail}")
 
 
@@ -107,10 +107,10 @@ def _forest(radius: int, similarity: float):
         fp, node = rows["fp"].to_numpy(np.int64).view(np.uint64), rows["node"].to_numpy()
         table = np.bitwise_count(fp[:, None] ^ refs[None, :]).astype(np.int8)
         if similarity:
-            sketches = [np.asarray(x, np.int64) for x in rows["sketch"]]
+            sketches = [np.asarray(x, np.int32) for x in rows["sketch"]]
             sizes = np.array([len(x) for x in sketches])
             values, where = np.unique(np.concatenate(sketches), return_inverse=True)
-            held = np.full((len(fp), SKETCH), len(values))
+            held = np.full((len(fp), SKETCH), len(values), np.int32)
             held[np.arange(SKETCH)[None, :] < sizes[:, None]] = where
             mark = np.zeros(len(values) + 1, bool)
         left, links = np.ones(len(fp), bool), []
@@ -141,7 +141,7 @@ def _forest(radius: int, similarity: float):
 
 def sketch_similarity(a: np.ndarray, b: np.ndarray, size: int = SKETCH) -> float:
     """Jaccard similarity from two bottom sketches; exact where a sketch holds the whole set."""
-    a, b = a.view(np.uint64), b.view(np.uint64)
+    a, b = a.view(np.uint32), b.view(np.uint32)
     both = np.union1d(a, b)[:size]
     return float(np.isin(both, np.intersect1d(a, b)).mean()) if len(both) else 0.0
 
@@ -167,7 +167,7 @@ def link(nodes: DataFrame, keyed: DataFrame, radius: int, similarity: float = 0.
 
         @F.pandas_udf("double")
         def alike(x: pd.Series, y: pd.Series) -> pd.Series:
-            return pd.Series([sketch_similarity(np.asarray(p, np.int64), np.asarray(q, np.int64)) for p, q in zip(x, y)], dtype="float64")
+            return pd.Series([sketch_similarity(np.asarray(p, np.int32), np.asarray(q, np.int32)) for p, q in zip(x, y)], dtype="float64")
 
         pairs = pairs.join(sa, "a").join(sb, "b").filter(alike("sa", "sb") >= similarity).select("a", "b")
     many = keyed.filter(F.col("n") > PAIRED).select("c", "k", "node", "fp", F.ceil(F.col("n") / BLOCK).alias("m"))
