@@ -82,6 +82,24 @@ def affine(x: Column, y: Column, transform: tuple[float, float, float, float, fl
     return a * x + b * y + c, d * x + e * y + f
 
 
+def tile_transform(x: Column, y: Column, z: Column, size: int) -> tuple[Column, ...]:
+    """Of a tile's image, ``size`` pixels wide: pixels to degrees, linear within the tile."""
+    west, north = tile_lon(x, z), tile_lat(y, z)
+    zero = F.lit(0.0)
+    return (tile_lon(x + 1, z) - west) / size, zero, west, zero, (tile_lat(y + 1, z) - north) / size, north
+
+
+def box_ring(transform: tuple) -> Column:
+    """The four corners (x, y) of a box through a transform, from (xmin, ymin) on, around."""
+    corners = [affine(F.col(a), F.col(b), transform) for a, b in (("xmin", "ymin"), ("xmax", "ymin"), ("xmax", "ymax"), ("xmin", "ymax"))]
+    return F.array(*[F.struct(x.alias("x"), y.alias("y")) for x, y in corners])
+
+
+def area_m2(pixel: Column) -> Column:
+    """Of a box in pixels ``pixel`` metres wide; NULL where that is unknown."""
+    return area() * pixel * pixel
+
+
 def overlap(a: str = "", b: str = "g_") -> Column:
     c = F.col
     w = F.least(c(f"{a}xmax"), c(f"{b}xmax")) - F.greatest(c(f"{a}xmin"), c(f"{b}xmin"))

@@ -22,8 +22,8 @@ BAND_GSD = {
 # Annotated classes in the order of their codes (1 first), each with its surface class.
 CLASSES = (
     ("Marine Debris", "marine_debris"), ("Dense Sargassum", "sargassum"), ("Sparse Sargassum", "sargassum"), ("Natural Organic Material", "sargassum"),
-    ("Ship", "ship"), ("Clouds", "cloud"), ("Marine Water", "water"), ("Sediment-Laden Water", "sediment"), ("Foam", "foam"), ("Turbid Water", "sediment"),
-    ("Shallow Water", "water"), ("Waves", "foam"), ("Cloud Shadows", "cloud"), ("Wakes", "wake"), ("Mixed Water", "water"),
+    ("Ship", "ship"), ("Clouds", "cloud"), ("Marine Water", "open_water"), ("Sediment-Laden Water", "sediment_plume"), ("Foam", "sea_foam"), ("Turbid Water", "sediment_plume"),
+    ("Shallow Water", "open_water"), ("Waves", "sea_foam"), ("Cloud Shadows", "cloud"), ("Wakes", "ship_wake"), ("Mixed Water", "open_water"),
 )
 #: Endpoint part, provider.
 PROVIDERS = (("planetarycomputer", "planetary-computer"), ("earth-search", "earth-search"))

@@ -80,10 +80,14 @@ def observability(cloud: Column) -> Column:
     return F.when(cloud > BLIND_ABOVE, "blind").when(cloud > PARTIAL_ABOVE, "partial").otherwise("observed")
 
 
-def roll_up(dets: DataFrame, segs: DataFrame, clouds: DataFrame, labels: tuple[str, ...] = ("sargassum", "marine_debris"), reach: float = REACH) -> DataFrame:
-    """seg_id, name, n_detections, area, cloud_fraction, state: one row per segment; one without a cloud figure is clear."""
-    hits = near(dets.filter(F.col("label").isin(list(labels))), segs, reach).groupBy("seg_id").agg(F.count("*").alias("n_detections"), F.sum((F.col("xmax") - F.col("xmin")) * (F.col("ymax") - F.col("ymin"))).alias("area"))
-    out = segs.select("seg_id", "name").join(hits, "seg_id", "left").join(clouds, "seg_id", "left")
+def roll_up(dets: DataFrame, segs: DataFrame, clouds: DataFrame, labels: tuple[str, ...] | None = ("sargassum", "marine_debris"), reach: float = REACH) -> DataFrame:
+    """seg_id, name, n_detections, area, cloud_fraction, state: one row per segment; one without a cloud figure is clear.
+
+    ``segs`` has a row per edge; a detection near several edges of a segment counts once. No ``labels``: all count.
+    """
+    own = dets if labels is None else dets.filter(F.col("label").isin(list(labels)))
+    hits = near(own, segs, reach).dropDuplicates(["seg_id", "det_id"]).groupBy("seg_id").agg(F.count("*").alias("n_detections"), F.sum((F.col("xmax") - F.col("xmin")) * (F.col("ymax") - F.col("ymin"))).alias("area"))
+    out = segs.select("seg_id", "name").distinct().join(hits, "seg_id", "left").join(clouds, "seg_id", "left")
     cloud = F.coalesce("cloud_fraction", F.lit(0.0))
     return out.select("seg_id", "name", F.coalesce("n_detections", F.lit(0)).alias("n_detections"), F.coalesce("area", F.lit(0.0)).alias("area"), cloud.alias("cloud_fraction"), observability(cloud).alias("state"))
 
@@ -94,6 +98,21 @@ def ranked(report: DataFrame) -> DataFrame:
     return report.orderBy(state, F.desc("area"), F.desc("n_detections"), "seg_id")
 
 
+def affected(report: DataFrame) -> DataFrame:
+    """Segments with detections, where they could be seen."""
+    return report.filter((F.col("n_detections") > 0) & (F.col("state") != "blind"))
+
+
+def blind(report: DataFrame) -> DataFrame:
+    """Segments that couldn't be seen: no detection there means nothing."""
+    return report.filter(F.col("state") == "blind")
+
+
+def rows(report: DataFrame) -> DataFrame:
+    """``report`` in order, as flat rows for files: fractions to 4 digits, areas to one, half to even, no name as an empty one."""
+    return ranked(report).select("seg_id", F.coalesce("name", F.lit("")).alias("name"), "state", F.bround("cloud_fraction", 4).alias("cloud_fraction"), F.bround("area", 1).alias("area"), "n_detections")
+
+
 def append_history(report: DataFrame, path: str, observed_on: str) -> None:
     """Append to the history table, by day; it is never made distinct."""
     report.withColumn("observed_on", F.lit(observed_on)).write.mode("append").partitionBy("observed_on").parquet(path)

@@ -186,3 +186,22 @@ def confusion(dets: DataFrame, gts: DataFrame, matches: DataFrame, background: s
     both = d.join(g, "gt_id", "full")
     return both.groupBy(F.coalesce("truth", F.lit(background)).alias("truth"), F.coalesce("predicted", F.lit(background)).alias("predicted")).agg(F.count("*").alias("n"))
 
+
+
+# Surface classes in order, and those commonly taken for debris.
+SURFACES = ("marine_debris", "sargassum", "ship", "ship_wake", "sea_foam", "cloud", "sediment_plume", "open_water", "unknown")
+CONFUSERS = ("sargassum", "ship_wake", "sea_foam", "sediment_plume")
+
+
+def is_target(label: Column) -> Column:
+    return label == "marine_debris"
+
+
+def is_confuser(label: Column) -> Column:
+    return label.isin(list(CONFUSERS))
+
+
+def present_labels(dets: DataFrame, gts: DataFrame) -> DataFrame:
+    """label, place: the labels of either side, with their place in the order of surface classes, from 1."""
+    both = dets.select("label").union(gts.select("label")).distinct()
+    return both.select("label", F.array_position(F.array(*[F.lit(s) for s in SURFACES]), F.col("label")).cast("int").alias("place"))

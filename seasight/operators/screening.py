@@ -95,3 +95,10 @@ def detect(tiles: DataFrame, detector, schema: str) -> DataFrame:
         yield from detector(parts)
 
     return tiles.filter("accepted").mapInPandas(run, schema)
+
+
+def values_at(dets: DataFrame, px: DataFrame, names: list[str], width: int, height: int) -> DataFrame:
+    """``dets`` with the named indices at the pixel of each box's centre, kept inside the image; NULL without data."""
+    at = lambda a, b, n: F.least(F.greatest(F.rint((F.col(a) + F.col(b)) / 2), F.lit(0.0)), F.lit(n - 1.0)).cast("long")
+    v = px.select("image", "r", "c", *[INDICES[n][1]().alias(n) for n in names])
+    return dets.withColumns({"r": at("ymin", "ymax", height), "c": at("xmin", "xmax", width)}).join(v, ["image", "r", "c"], "left").drop("r", "c")

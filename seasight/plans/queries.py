@@ -455,7 +455,7 @@ def box_from_normalized(spark, sf):
 @query("targets_only", "SELECT det_id, label = 'marine_debris' AS is_target, label IN ('sargassum', 'wake', 'foam', 'sediment') AS is_confuser FROM dets WHERE label <> 'ship'")
 def targets_only(spark, sf):
     l = F.col("label")
-    return view(spark, sf, "dets").filter(l != "ship").select("det_id", (l == "marine_debris").alias("is_target"), l.isin("sargassum", "wake", "foam", "sediment").alias("is_confuser"))
+    return view(spark, sf, "dets").filter(l != "ship").select("det_id", detections.is_target(l).alias("is_target"), detections.is_confuser(l).alias("is_confuser"))
 
 
 @query("export_min_score", "SELECT label, count(*) AS n FROM dets WHERE coalesce(score, 0) >= 0.25 GROUP BY label")

@@ -56,3 +56,19 @@ def asset_hrefs(items: DataFrame) -> DataFrame:
     a = items.select("scene_id", F.posexplode("assets").alias("pos", "a")).select("scene_id", "pos", F.col("a.name").alias("key"), "a.href")
     first = normalize(a, ["scene_id"])
     return first.join(a.select("scene_id", "key", "href"), ["scene_id", "key"]).select("scene_id", "band", "href")
+
+
+def read_label_map(spark: SparkSession, path: str) -> DataFrame:
+    """roi, bits: a JSON object of file names, each with 0 or 1 per class."""
+    t = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string,array<int>>")).alias("name", "bits"))
+    return t.select(F.regexp_extract("name", r"^(?:S2_)?(.*?)(?:\.tif)?$", 1).alias("roi"), "bits")
+
+
+def read_cloud_fractions(spark: SparkSession, path: str) -> DataFrame:
+    """seg_id, cloud_fraction: a JSON object of segments."""
+    return spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string,double>")).alias("seg_id", "cloud_fraction"))
+
+
+def checksums(spark: SparkSession, path: str) -> DataFrame:
+    """path, size, md5 of every file; a file is read whole, so that it must fit a task (2 GB at most)."""
+    return spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("size"), F.md5("content").alias("md5"))

@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 import seasight.plans.more  # noqa: F401  (registers its queries)
+import seasight.plans.patches  # noqa: F401  (likewise)
 from seasight.plans.queries import QUERIES, SQL
 
 DATA = "/root/testdata/sf0.001"
