@@ -1,19 +1,21 @@
 """Personal data, and information-theoretic sanitisation of what gives it away.
 
 Emails, IP addresses, card and phone numbers are found by pattern. Words near
-them are then held against the whole corpus: a word gives a kind of personal
-data away as far as seeing it makes that kind less surprising, their pointwise
-mutual information. At ``alpha`` of the kind's own information content, or
-above, the word is disclosing, and its places near that kind become spans.
+them are then held against the whole corpus: a word gives an entity (one value,
+or its whole kind) away as far as seeing it makes that entity less surprising,
+their pointwise mutual information. If that is ``alpha`` of the entity's own
+information content or above, even at the lower bound that the number of the
+word's places supports, the word is disclosing, and all its places become spans.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -26,8 +28,12 @@ KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
 #: Words before and after personal data that are held to be near it.
 NEAR = 5
-#: Share of a kind's information content that a word may give away, and the places that a word needs to be judged.
-ALPHA, SUPPORT = 0.9, 20
+#: Share of an entity's information content that a word may give away, and the deviations of the lower bound (Wilson's, one-sided 95 %) on it.
+ALPHA, DEVIATIONS = 0.9, 1.645
+#: What a word's places are counted under: 0 to 3 is a kind, ALL every place, and a value is below zero.
+ALL = len(KINDS)
+#: Bits, and bits of Spark's bitmap buckets, of the filters that the second pass looks words up in; a join then decides.
+_BITS, _BUCKET = 1 << 26, 1 << 15
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]+\.[0-9]+\.[0-9]+")
@@ -35,7 +41,6 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[0-9]")
 _WORD = re.compile(r"[^\W\d_]{3,}")
-_BEFORE, _AFTER = 200, 200
 
 
 def luhn(digits: str) -> bool:
@@ -67,16 +72,18 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return [(KINDS[k], s, e) for s, k, e in sorted(out)]
 
 
-def near_words(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[int, int, str, str]]:
-    """(start, end, word, kind) of up to NEAR words on either side of each span, none inside any span."""
-    out = set()
-    inside = lambda a, b: any(a < e and b > s for _, s, e in spans)
+def near_words(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[int, int, str, str, int]]:
+    """(start, end, word, kind, entity) of up to NEAR words on either side of each span, however far; words inside any span don't count."""
+    out, free, i, upto = set(), [], 0, 0
+    for m in _WORD.finditer(text):
+        while i < len(spans) and spans[i][1] < m.end():
+            upto = max(upto, spans[i][2])
+            i += 1
+        if m.start() >= upto:
+            free.append((m.start(), m.end(), m[0].lower()))
     for kind, s, e in spans:
-        lo = max(0, s - _BEFORE)
-        before = [m for m in _WORD.finditer(text, lo, s) if m.start() > lo or lo == 0][-NEAR:]
-        hi = min(len(text), e + _AFTER)
-        after = [m for m in _WORD.finditer(text, e, hi) if m.end() < hi or hi == len(text)][:NEAR]
-        out.update((m.start(), m.end(), m[0].lower(), kind) for m in before + after if not inside(m.start(), m.end()))
+        at = bisect_left(free, (s,))
+        out.update((*x, kind, entity(kind, text[s:e])) for x in free[max(0, at - NEAR) : at + NEAR])
     return sorted(out)
 
 
@@ -85,53 +92,119 @@ def _id(word: str) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of two kinds in one pass: with row_no a text's spans and near words, without it a word's count in the batch."""
-    names = ["row_no", "doc_id", "spans", "near", "word", "n"]
+def entity(kind: str, value: str) -> int:
+    """Hash, below zero, of the normalised value: of an email in lower case, of an IP address its numbers, of the others their digits."""
+    value = value.lower() if kind == "email" else ".".join(str(int(x)) for x in value.split(".")) if kind == "ip" else "".join(_DIGITS.findall(value))
+    return -1 - (_id(f"{kind}:{value}") & (1 << 63) - 1)
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """word, entity, n: a word's places in the batch, all of them (ALL), and those near each kind and each value."""
     for b in batches:
-        spans, near, counts, size = [], [], Counter(), len(b)
+        raw, counts = Counter(), Counter()
         for value in b.column("text"):
             text = value.as_py() or ""
+            raw.update(_WORD.findall(text))
             own = base_spans(text)
-            spans.append([{"start": s, "kind": KINDS.index(k), "end": e} for k, s, e in own])
-            near.append([{"start": s, "end": e, "word": _id(w), "kind": KINDS.index(k)} for s, e, w, k in (near_words(text, own) if own else ())])
-            counts.update(_WORD.findall(text.lower()))
-        none = pa.nulls(size, pa.int64())
-        yield pa.RecordBatch.from_arrays([b.column("row_no"), b.column("doc_id"), pa.array(spans, _SPANS), pa.array(near, _NEAR_WORDS), none, none], names=names)
-        ids = pa.array([_id(w) for w in counts], pa.int64())
-        size = len(ids)
+            if own:
+                near = near_words(text, own)
+                counts.update((w, x) for _, w, x in {(s, w, x) for s, _, w, k, v in near for x in (KINDS.index(k), v)})
+        for w, n in raw.items():
+            counts[w.lower(), ALL] += n
+        ids = {w: _id(w) for w in {w for w, _ in counts}}
         yield pa.RecordBatch.from_arrays(
-            [pa.nulls(size, pa.int64()), pa.nulls(size, b.column("doc_id").type), pa.nulls(size, _SPANS), pa.nulls(size, _NEAR_WORDS), ids, pa.array(list(counts.values()), pa.int64())], names=names
+            [pa.array([ids[w] for w, _ in counts], pa.int64()), pa.array([x for _, x in counts], pa.int64()), pa.array(list(counts.values()), pa.int64())], names=["word", "entity", "n"]
         )
 
 
 _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
-_NEAR_WORDS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("word", pa.int64()), ("kind", pa.int32())]))
-
-
-def find(docs: DataFrame, alpha: float = ALPHA, support: int = SUPPORT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+_WORDS = pa.list_(pa.struct([("word", pa.int64()), ("places", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))]))
+
+
+def _filter(words: DataFrame) -> np.ndarray:
+    """Bits of the column word, as bytes; of a fixed size, however many words there are."""
+    v = F.pmod("word", F.lit(_BITS)) + 1
+    out = np.zeros(_BITS // 8, np.uint8)
+    for r in words.groupBy(F.bitmap_bucket_number(v).alias("at")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(v)).alias("bits")).collect():
+        at = (r["at"] - 1) * _BUCKET // 8
+        out[at : at + _BUCKET // 8] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
+def _held(bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    at = np.mod(ids, _BITS)
+    return (bits[at >> 3] >> (at & 7)) & 1 > 0
+
+
+def _read(near_bits, all_bits):
+    """Of a text: its spans, and the places of words that may be disclosing: those near a span, and those with places elsewhere."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = [x.as_py() or "" for x in b.column("text")]
+            owns = [base_spans(t) for t in texts]
+            known = list({w for t in texts for w in _WORD.findall(t)})
+            ids = np.array([_id(w.lower()) for w in known], np.int64)
+            beside, anywhere = ({known[i]: int(ids[i]) for i in np.flatnonzero(_held(x.value, ids))} for x in (near_bits, all_bits))
+            words = []
+            for text, own in zip(texts, owns):
+                places: dict[int, list] = {}
+                if beside and own:
+                    for s, e in {(s, e) for s, e, *_ in near_words(text, own)}:
+                        if text[s:e] in beside:
+                            places.setdefault(beside[text[s:e]], []).append((s, e))
+                if anywhere and not anywhere.keys().isdisjoint(_WORD.findall(text)):
+                    for m in _WORD.finditer(text):
+                        if m[0] in anywhere and not any(s < m.end() and e > m.start() for _, s, e in own):
+                            places.setdefault(anywhere[m[0]], []).append(m.span())
+                words.append([{"word": w, "places": [{"start": s, "end": e} for s, e in sorted(set(x))]} for w, x in places.items()])
+            spans = [[{"start": s, "kind": KINDS.index(k), "end": e} for k, s, e in own] for own in owns]
+            yield pa.RecordBatch.from_arrays([b.column("row_no"), b.column("doc_id"), pa.array(spans, _SPANS), pa.array(words, _WORDS)], names=["row_no", "doc_id", "spans", "words"])
+
+    return run
+
+
+def judge(texts: DataFrame, alpha: float = ALPHA, deviations: float = DEVIATIONS) -> DataFrame:
+    """word, entity, n_pair, n_word, n_entity, elsewhere, tells: pairs that have ``alpha`` of the entity's content, and whether they do at the lower bound too."""
+    got = cut(texts.select("text").mapInArrow(_count, "word long, entity long, n long"))
+    words = got.filter(F.col("entity") == ALL).groupBy("word").agg(F.sum("n").alias("n_word"))
+    pairs = cut(got.filter(F.col("entity") != ALL).groupBy("word", "entity").agg(F.sum("n").alias("n_pair")))
+    total = got.filter(F.col("entity") == ALL).agg(F.sum("n")).first()[0]
+    n = F.lit(float(total or 1))
+    # an entity has one place at least: words with too small a share near any go before their pairs are joined
+    most = pairs.groupBy("word").agg(F.max("n_pair").alias("most"))
+    known = cut(words.join(most, "word").filter(F.log(F.col("most") / F.col("n_word")) >= (alpha - 1) * F.log(n)))
+    judged = cut(pairs.join(known, "word"))
+    facts = pairs.groupBy("entity").agg(F.sum("n_pair").alias("n_entity"))
+    # four kinds, held by many words, and many values, held by few words each
+    judged = judged.filter("entity >= 0").join(F.broadcast(facts.filter("entity >= 0")), "entity").union(judged.filter("entity < 0").join(facts.filter("entity < 0"), "entity"))
+    m, p, z = F.col("n_word"), F.col("n_pair") / F.col("n_word"), deviations
+    low = (p + z * z / 2 / m - z * F.sqrt(p * (1 - p) / m + z * z / 4 / m / m)) / (1 + z * z / m)
+    enough = lambda share: F.log(share * n / F.col("n_entity")) >= alpha * F.log(n / F.col("n_entity"))
+    return judged.filter(enough(p)).select("word", "entity", "n_pair", "n_word", "n_entity", (F.col("n_word") > F.col("most")).alias("elsewhere"), enough(low).alias("tells"))
+
+
+def find(docs: DataFrame, alpha: float = ALPHA, deviations: float = DEVIATIONS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, base and terms, both arrays of (start, kind, end); kind as numbered in KINDS.
 
     A word's counts are those of its places in the whole corpus; a place is
-    near a kind if fewer than NEAR words stand between. PMI of word and kind is
-    log(n(word, kind) * n / (n(word) * n(kind))), the kind's information
-    content log(n / n(kind)), with n(kind) the places near it. A word with fewer
-    than ``support`` places near a kind gives no evidence on it. Null and empty
-    texts have no spans; repeated rows each count; ids may be null; an empty
-    table gives an empty result.
+    near an entity, one value or all of its kind, if fewer than NEAR words
+    stand between. PMI of word and entity is log(n(word, entity) * n / (n(word)
+    * n(entity))), the entity's information content log(n / n(entity)), with
+    n(entity) the places near it. In place of n(word, entity) / n(word) stands
+    its lower bound at ``deviations``, so that few places count as little
+    evidence but as some. All places of a disclosing word outside personal data
+    are terms, near it or not. Null and empty texts have no spans; repeated
+    rows each count; ids may be null; an empty table gives an empty result.
     """
     d = docs.select(F.monotonically_increasing_id().alias("row_no"), F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = d.schema["doc_id"].dataType.simpleString()
-    got = cut(d.mapInArrow(_read, f"row_no long, doc_id {kind}, spans array<struct<start:int,kind:int,end:int>>, near array<struct<start:int,end:int,word:long,kind:int>>, word long, n long"))
-    rows, words = got.filter("row_no is not null"), got.filter("row_no is null").groupBy("word").agg(F.sum("n").alias("n_word"))
-    near = rows.filter(F.size("near") > 0).select("row_no", F.explode("near").alias("x")).select("row_no", "x.*")
-    pairs = near.groupBy("word", "kind").agg(F.count("*").alias("n_pair"))
-    facts = pairs.groupBy("kind").agg(F.sum("n_pair").alias("n_kind"))  # at most four kinds
-    judged = pairs.filter(F.col("n_pair") >= support).join(words, "word").join(F.broadcast(facts), "kind")
-    n = F.lit(float(got.agg(F.sum("n")).first()[0] or 0))
-    telling = judged.filter(F.log(F.col("n_pair") * n / F.col("n_word") / F.col("n_kind")) >= alpha * F.log(n / F.col("n_kind"))).select("word", "kind")
-    span = F.struct("start", F.lit(len(KINDS)).alias("kind"), "end")
-    terms = near.join(telling, ["word", "kind"]).select("row_no", "start", "end").distinct().groupBy("row_no").agg(F.array_sort(F.collect_list(span)).alias("terms"))
+    telling = cut(judge(d, alpha, deviations).filter("tells").groupBy("word").agg(F.bool_or("elsewhere").alias("elsewhere")))
+    near_bits, all_bits = (d.sparkSession.sparkContext.broadcast(_filter(x)) for x in (telling, telling.filter("elsewhere")))
+    rows = cut(d.mapInArrow(_read(near_bits, all_bits), f"row_no long, doc_id {kind}, spans array<struct<start:int,kind:int,end:int>>, words array<struct<word:long,places:array<struct<start:int,end:int>>>>"))
+    places = rows.select("row_no", F.explode("words").alias("x")).select("row_no", "x.word", "x.places").join(telling.select("word"), "word").select("row_no", F.explode("places").alias("p"))
+    span = F.struct("p.start", F.lit(len(KINDS)).alias("kind"), "p.end")
+    terms = places.groupBy("row_no").agg(F.array_sort(F.collect_list(span)).alias("terms"))
     return rows.join(terms, "row_no", "left").select("doc_id", F.col("spans").alias("base"), F.coalesce("terms", F.slice("spans", 1, 0)).alias("terms"))
 
 

@@ -261,6 +261,22 @@ def test_disclosing_words(spark, docs, empty):
     assert pii.report(empty).count() == 0
 
 
+def _prose(seed, n, texts):
+    """n texts of common words, with ``texts`` put into the first ones."""
+    r = random.Random(seed)
+    fill = lambda k: " ".join(r.choice(["alpha", "beta", "gamma", "delta"]) for _ in range(k))
+    return [(i, f"{fill(20)} {texts[i]} {fill(20)}" if i < len(texts) else fill(40)) for i in range(n)]
+
+
+def test_a_rare_word_gives_one_value_away(spark):
+    """Five places beside one address, in different spellings; at the kind's level, of which the corpus is full, they would not do."""
+    texts = [f"ludmilla {v}" for v in ["jo@q.org", "JO@q.org", "Jo@Q.org", "jo@Q.ORG", "jO@q.org"]] + [f"p{i}@q.org" for i in range(395)]
+    d = spark.createDataFrame(_prose(7, 400, texts=texts), "doc_id long, text string")
+    got = {x["doc_id"]: x["n_terms"] for x in pii.report(d).collect()}
+    assert [got[i] for i in range(400)] == [1] * 5 + [0] * 395
+    assert pii.entity("ip", "01.2.3.4") == pii.entity("ip", "1.2.3.4") != pii.entity("phone", "+1.2.3.4")
+
+
 # 8
 
 
