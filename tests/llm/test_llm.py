@@ -277,6 +277,16 @@ def test_a_rare_word_gives_one_value_away(spark):
     assert pii.entity("ip", "01.2.3.4") == pii.entity("ip", "1.2.3.4") != pii.entity("phone", "+1.2.3.4")
 
 
+def test_all_places_of_a_disclosing_word_go(spark):
+    """Also those without the value beside them, and those with a long run in between."""
+    gap = "0" * 400
+    texts = [f"ludmilla {gap if i % 2 else ''} jo@q.org" for i in range(12)] + ["ludmilla"] * 2
+    d = spark.createDataFrame(_prose(8, 400, texts=texts), "doc_id long, text string")
+    got = {x["doc_id"]: x["n_terms"] for x in pii.report(d).collect()}
+    assert [got[i] for i in range(400)] == [1] * 14 + [0] * 386
+    assert not [x for x in pii.sanitise(d).collect() if "ludmilla" in x["text"]]
+
+
 # 8
 
 
