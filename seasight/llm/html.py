@@ -6,8 +6,9 @@ occur equally often in every page form an equivalence class. A class is valid
 if most of the host's pages have it and it stands in the same order in them;
 valid classes nest where each token's enclosing element is in one too, and
 these are the host's template. Its elements are slots. A page's own text is
-what fills those slots of the template that are main text (article, main), or
-all of them where the template names none, less the template's own text.
+what fills those slots of the template that are main text (article, main) and
+its own further main elements, or all slots where there are none of these, less
+the template's own text.
 Menus, forms, adverts, comments and the like, by their markup, are never text.
 """
 
@@ -212,16 +213,15 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fill(found: list[dict], elements: list[dict], template: dict[int, bool]) -> tuple[list[str], int, int]:
     """What a page fills the template's slots with: texts, slots they are from, blocks dropped as the template's own text.
 
-    template has the tokens, each with whether it is main. A page none of
-    whose blocks is in a main slot goes by its own markup.
+    template has the tokens, each with whether it is main. Blocks are kept
+    that are in a main slot, or in an article or main of the page's own that
+    the template doesn't have; if there are none, all slots count.
     """
     slot = []
     for i, e in enumerate(elements):
         slot.append(i if i and e["token"] in template else slot[e["up"]] if i else 0)
     main = lambda x: elements[x["element"]]["main"]
-    own = [x for x in found if template.get(elements[slot[x["element"]]]["token"])] if any(template.values()) else []
-    if not own:
-        own = [x for x in found if main(x)] or found
+    own = [x for x in found if main(x) or template.get(elements[slot[x["element"]]]["token"])] or found
     kept = [x for x in own if x["token"] is None or x["token"] not in template]
     return [x["text"] for x in kept], len({slot[x["element"]] for x in kept}), len(own) - len(kept)
 
@@ -244,9 +244,8 @@ def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, share: float = SHA
     """One row per row of ``pages``: page_id, url, text, n_chars, n_slots (that the text is from), n_template (blocks dropped as template).
 
     A host has a template if it has ``least_pages`` distinct pages or more; its
-    tokens are in at least ``share`` of them, as often in each. Elsewhere, and
-    where no block is in a main slot of the template, the page's own markup
-    names its main text. Text in article or main is never dropped as template.
+    tokens are in at least ``share`` of them, as often in each. A page's own
+    markup adds main text that the template doesn't have. Text in article or main is never dropped as template.
     Equal pages count as one. Null or empty html gives an empty text; a null or
     odd url makes a host of its own kind; repeated rows each give a row, and an
     empty table gives an empty result.

@@ -340,6 +340,13 @@ def test_html_slots_come_from_the_host(spark):
     assert tokens[named("/body/div.a/b.c/main")] and named("/body/div.a/b.c/main/p") not in tokens and not tokens[named("/body/div.a/b.c/div.end\nbye")]
 
 
+def test_html_keeps_an_optional_second_article(spark):
+    page = lambda i: f"<body><div class=top>Welcome</div><article class=lead><p>lead {i}</p></article>" + f"<div class=more><article class=update><p>update {i}</p></article></div>" * (i % 2) + "<div class=end>bye</div>"
+    d = spark.createDataFrame([(i, "http://h.example/x", page(i)) for i in range(10)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html.extract(d).collect()}
+    assert got == {i: f"lead {i}" + f"\n\nupdate {i}" * (i % 2) for i in range(10)}
+
+
 # 10
 
 
