@@ -40,26 +40,30 @@ _ROLES = frozenset(
 _CLOSES_P = frozenset("address article aside blockquote center details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 _CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*+)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([A-Za-z][^\s/>]*+)([^>]*+)(?:>|\Z)", re.S)
-_ATTR = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|\b(hidden)\b", re.I)
+_ATTR = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|([^\s\"'>]+)))?")
 
 
-def _named(attrs: str) -> bool:
-    """Whether class, id or role say that an element isn't main text."""
+def _attributes(attrs: str) -> dict[str, str]:
+    """Values by name in lower case; of a repeated name the first counts, and one without a value has an empty one."""
+    out: dict[str, str] = {}
     for m in _ATTR.finditer(attrs):
-        if m[5]:
+        out.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    return out
+
+
+def _named(attrs: dict[str, str]) -> bool:
+    """Whether an element is hidden, or its class, id or role say that it isn't main text."""
+    if "hidden" in attrs or attrs.get("aria-hidden", "").strip().lower() == "true":
+        return True
+    for name in " ".join(attrs.get(x, "") for x in ("class", "id", "role")).lower().split():
+        parts = re.split(r"[-_]+", name)
+        if (parts[0] in _ROLES or parts[-1] in _ROLES) and not {"no", "not", "has", "with", "without"} & set(parts):
             return True
-        for name in (m[2] or m[3] or m[4] or "").lower().split():
-            parts = re.split(r"[-_]+", name)
-            if (parts[0] in _ROLES or parts[-1] in _ROLES) and not {"no", "not", "has", "with", "without"} & set(parts):
-                return True
     return False
 
 
-def _classes(attrs: str) -> str:
-    for m in _ATTR.finditer(attrs):
-        if (m[1] or "").lower() == "class":
-            return "".join(f".{x}" for x in (m[2] or m[3] or m[4] or "").split())
-    return ""
+def _classes(attrs: dict[str, str]) -> str:
+    return "".join(f".{x}" for x in attrs.get("class", "").split())
 
 
 def parse(page: str | None) -> tuple[list[tuple[int, str]], list[list]]:
@@ -138,8 +142,8 @@ def parse(page: str | None) -> tuple[list[tuple[int, str]], list[list]]:
                 flush()
         skipped = bool(stack) and stack[-1][1]
         main = bool(stack) and stack[-1][3] or name in _MAIN
-        attrs = (m[3] or m[6] or "") if name not in _WHOLE else ""
-        skip = skipped or name in _SKIP or (name == "header" and not main) or bool(attrs and _named(attrs))
+        attrs = _attributes(m[3] or m[6] or "") if name not in _WHOLE else {}
+        skip = skipped or name in _SKIP or (name == "header" and not main) or _named(attrs)
         if m[3] and m[3].endswith("/"):
             continue
         if skip and not skipped:

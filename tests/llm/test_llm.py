@@ -317,6 +317,13 @@ def test_html_blocks():
     assert html.blocks(None) == html.blocks("") == [] and html.blocks("<a href='x") == []
 
 
+def test_html_attributes_go_by_name():
+    kept = ["style='overflow:hidden'", 'aria-hidden="false"', 'title="Hidden gems"', 'data-role="share"', "data-id=menu", "title='class=\"ad\"'", "title=\"it's hidden\" class=x"]
+    gone = ["hidden", "class=x hidden=''", 'aria-hidden="true"', "role=search", "ID = 'menu'", "class='x ad'", "data-x='a' class=\"ad\""]
+    page = "<article>" + "".join(f"<div {a}>{i}</div>" for i, a in enumerate(kept + gone))
+    assert [t for _, t, _ in html.blocks(page)] == [str(i) for i in range(len(kept))]
+
+
 def test_html_template(spark):
     page = lambda i: f"<body><div><p>Site of things</p></div><div><p>own {i}</p><p>more {i}</p></div><div><p>Terms apply</p></div>"
     rows = [(i, "http://h.example/x", page(i)) for i in range(8)] + [(90, "http://other.example/", page(90)), (91, None, None), (92, "http://h.example/", "<article><p>Site of things</p></article>")]
