@@ -25,8 +25,8 @@ from seasight.llm.components import components
 SHINGLE, RADIUS, PIVOTS = 4, 4, 8
 #: Keys with more fingerprints are compared in blocks of about BLOCK fingerprints, which give trees of links in place of pairs.
 PAIRED, BLOCK = 64, 1024
-#: Of the near-dedup stage: words of a shingle, similarity, sketch size, min-hash keys, and a radius that loses none of those.
-STAGE_SHINGLE, STAGE_SIMILARITY, SKETCH, MIN_HASHES, STAGE_RADIUS = 5, 0.8, 256, 6, 18
+#: Of the near-dedup stage: words of a shingle, similarity, sketch size, min-hash keys.
+STAGE_SHINGLE, STAGE_SIMILARITY, SKETCH, MIN_HASHES = 5, 0.8, 256, 6
 _PART = 1 << 16
 
 
@@ -60,24 +60,25 @@ def fingerprint(h: np.ndarray) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text", sketch: int = 0, min_hashes: int = 0) -> DataFrame:
-    """doc_id, fp (signed); with ``sketch`` the upper halves of so many smallest distinct shingle hashes, with ``min_hashes`` that many minima over the shingles."""
+    """doc_id, fp (signed); with ``sketch`` fp is of the distinct shingles, and there are their number (size), the upper halves of so many smallest distinct shingle hashes, with ``min_hashes`` that many minima over the shingles."""
     kind = docs.schema[id_col].dataType.simpleString()
     odd = np.random.default_rng(7).integers(1, 2**63, max(1, min_hashes), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps, sketches, keys = [], [], []
+            fps, sizes, sketches, keys = [], [], [], []
             for value in b.column("text"):
                 h = shingle_hashes(value.as_py(), words)
+                h = np.unique(h) if sketch else h
                 fps.append(_signed(fingerprint(h)))
                 if sketch:
-                    h = np.unique(h)
+                    sizes.append(len(h))
                     sketches.append((h[:sketch] >> np.uint64(32)).astype(np.uint32).view(np.int32))
                     keys.append(np.array([(h * m).min() for m in odd] if len(h) else [], np.uint64).view(np.int64))
-            more = [pa.array(sketches, pa.list_(pa.int32())), pa.array(keys, pa.list_(pa.int64()))] if sketch else []
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps, pa.int64()), *more], names=["doc_id", "fp", *["sketch", "keys"][: len(more)]])
+            more = [pa.array(sizes, pa.int32()), pa.array(sketches, pa.list_(pa.int32())), pa.array(keys, pa.list_(pa.int64()))] if sketch else []
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps, pa.int64()), *more], names=["doc_id", "fp", *["size", "sketch", "keys"][: len(more)]])
 
-    tail = ", sketch array<int>, keys array<long>" if sketch else ""
+    tail = ", size int, sketch array<int>, keys array<long>" if sketch else ""
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, fp long{tail}")
 
 
@@ -107,6 +108,7 @@ def _forest(radius: int, similarity: float):
         fp, node = rows["fp"].to_numpy(np.int64).view(np.uint64), rows["node"].to_numpy()
         table = np.bitwise_count(fp[:, None] ^ refs[None, :]).astype(np.int8)
         if similarity:
+            whole = rows["size"].to_numpy()
             sketches = [np.asarray(x, np.int32) for x in rows["sketch"]]
             sizes = np.array([len(x) for x in sketches])
             values, where = np.unique(np.concatenate(sketches), return_inverse=True)
@@ -121,8 +123,11 @@ def _forest(radius: int, similarity: float):
             while todo:
                 u = todo.pop()
                 near = np.flatnonzero(left)
-                near = near[np.abs(table[near] - table[u]).max(axis=1, initial=0) <= radius]
-                near = near[np.bitwise_count(fp[near] ^ fp[u]) <= radius]
+                if similarity:  # as far as their sizes allow
+                    near = near[np.minimum(whole[near], whole[u]) >= similarity * np.maximum(whole[near], whole[u]) - 1e-9]
+                else:
+                    near = near[np.abs(table[near] - table[u]).max(axis=1, initial=0) <= radius]
+                    near = near[np.bitwise_count(fp[near] ^ fp[u]) <= radius]
                 if similarity and len(near):  # what two sketches share bounds their similarity from above
                     own = held[u, : sizes[u]]
                     mark[own] = True
@@ -147,7 +152,10 @@ def sketch_similarity(a: np.ndarray, b: np.ndarray, size: int = SKETCH) -> float
 
 
 def link(nodes: DataFrame, keyed: DataFrame, radius: int, similarity: float = 0.0) -> DataFrame:
-    """a, b: links between ``nodes`` (node, fp[, sketch]) that meet under a key of ``keyed`` (c, k, node, fp).
+    """a, b: links between ``nodes`` (node, fp[, size, sketch]) that meet under a key of ``keyed`` (c, k, node, fp[, size]).
+
+    With ``similarity`` the shingles decide, and the radius plays no part: the
+    sizes of two sets bound their similarity, and the sketches give it.
 
     Keys of up to PAIRED rows are joined to pairs. The rows of larger ones are
     dealt into blocks, every two blocks meet in one task, and a task returns a
@@ -155,11 +163,15 @@ def link(nodes: DataFrame, keyed: DataFrame, radius: int, similarity: float = 0.
     """
     keyed = cut(keyed)
     sizes = keyed.groupBy("c", "k").agg(F.count("*").alias("n")).filter("n > 1")
-    keyed = cut(keyed.join(sizes, ["c", "k"]).withColumns(_pivot_columns()))
+    keyed = cut(keyed.join(sizes, ["c", "k"]).withColumns({} if similarity else _pivot_columns()))
     few = keyed.filter(F.col("n") <= PAIRED)
     a, b = few.alias("a"), few.select(*[F.col(c).alias(f"{c}_") for c in few.columns])
-    near = (F.col("a.node") < F.col("node_")) & (F.bit_count(F.col("a.fp").bitwiseXOR(F.col("fp_"))) <= radius)
-    for i in range(PIVOTS):
+    near = F.col("a.node") < F.col("node_")
+    if similarity:
+        near = near & (F.least("a.size", "size_") >= similarity * F.greatest("a.size", "size_") - 1e-9)
+    else:
+        near = near & (F.bit_count(F.col("a.fp").bitwiseXOR(F.col("fp_"))) <= radius)
+    for i in range(0 if similarity else PIVOTS):
         near = (F.abs(F.col(f"a.d{i}").cast("int") - F.col(f"d{i}_").cast("int")) <= radius) & near
     pairs = a.join(b, (F.col("a.c") == F.col("c_")) & (F.col("a.k") == F.col("k_")) & near).select(F.col("a.node").alias("a"), F.col("node_").alias("b")).distinct()
     if similarity:
@@ -174,7 +186,7 @@ def link(nodes: DataFrame, keyed: DataFrame, radius: int, similarity: float = 0.
     many = many.withColumn("g", F.pmod(F.xxhash64("fp", "node"), F.col("m")))
     many = many.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1))).select("c", "k", F.least("g", "with").alias("i"), F.greatest("g", "with").alias("j"), "node", "fp")
     if similarity:
-        many = many.join(nodes.select("node", "sketch"), "node")
+        many = many.join(nodes.select("node", "size", "sketch"), "node")
     kind = nodes.schema["node"].dataType.simpleString()
     return pairs.union(many.groupBy("c", "k", "i", "j").applyInPandas(_forest(radius, similarity), f"a {kind}, b {kind}"))
 
@@ -198,19 +210,19 @@ def near_groups(docs: DataFrame, words: int = SHINGLE, radius: int = RADIUS, id_
     return fps.join(of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def drop_near_copies(docs: DataFrame, words: int = STAGE_SHINGLE, similarity: float = STAGE_SIMILARITY, radius: int = STAGE_RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_near_copies(docs: DataFrame, words: int = STAGE_SHINGLE, similarity: float = STAGE_SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document, that of the smallest id, of each group of near copies.
 
     Near copies share at least ``similarity`` of their distinct word shingles.
     Their fingerprints differ in more bits than block keys can cover, so pairs
-    meet under the minima of six hash orders of their shingles instead; pivot
-    table, Hamming distance and a sketch of the shingles then verify them.
+    meet under the minima of six hash orders of their shingles instead; the
+    number of distinct shingles and a sketch of them then verify pairs.
     Texts without words have no near copies.
     """
     rows = cut(fingerprints(docs.filter(F.col(id_col).isNotNull()), words, id_col, text_col, SKETCH, MIN_HASHES))
-    nodes = rows.select(F.col("doc_id").alias("node"), "fp", "sketch")
-    keyed = rows.select(F.posexplode("keys").alias("c", "k"), F.col("doc_id").alias("node"), "fp").select("c", "k", "node", "fp")
-    comp = components(link(nodes, keyed, radius, similarity))
+    nodes = rows.select(F.col("doc_id").alias("node"), "fp", "size", "sketch")
+    keyed = rows.select(F.posexplode("keys").alias("c", "k"), F.col("doc_id").alias("node"), "fp", "size").select("c", "k", "node", "fp", "size")
+    comp = components(link(nodes, keyed, 0, similarity))
     gone = comp.filter("node <> component").select(F.col("node").alias(id_col))
     return docs.join(gone, id_col, "left_anti").select(docs.columns)
 

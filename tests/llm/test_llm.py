@@ -101,6 +101,19 @@ def test_near_copies_go_and_others_stay(spark):
     assert sorted(x["doc_id"] for x in simhash.drop_near_copies(d).collect()) == [0, 3, 4, 5, 6]
 
 
+@pytest.mark.parametrize("paired", [64, 1])
+def test_near_copies_with_repeats_and_short_ones_go(spark, monkeypatch, paired):
+    """Of pairs that differ in repeats of a passage, or have 8 and 9 words, the first stays."""
+    monkeypatch.setattr(simhash, "PAIRED", paired)
+    r = random.Random(9)
+    texts = []
+    for i in range(60):
+        w = [f"w{r.randrange(10**6)}" for _ in range(9 if i % 2 else 150)]
+        texts += [w[:8], w] if i % 2 else [w, w[:60] + w[40:60] * 40 + w[60:]]
+    d = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    assert sorted(x["doc_id"] for x in simhash.drop_near_copies(d).collect()) == list(range(0, 120, 2))
+
+
 # 2
 
 
