@@ -1,47 +1,54 @@
-"""Floating material rolled up onto named stretches of coast."""
+"""Floating material rolled up onto named stretches of coast.
+
+A segment is one or more edges (x0, y0)-(x1, y1) in a metric plane; its zone is
+all within ``reach`` of any of them. Areas and zones are measured in cells of
+``cell`` a side, fronts in pieces of about ``step``.
+"""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seasight.functions.geo import utm_inverse
+from seasight.functions.spectral import cloud_mask
+
 REACH = 20.0
+TARGETS = ("sargassum", "marine_debris")
 # Cloud fractions above which a segment is blind, or seen in part.
 BLIND_ABOVE, PARTIAL_ABOVE = 0.70, 0.20
 
 
-def _inside(v: Column, lo: Column, hi: Column) -> Column:
-    return F.least(F.greatest(v, lo), hi)
-
-
-def centre_distance() -> Column:
-    """From a detection's centre to the edge (x0, y0)-(x1, y1)."""
+def edge_distance(x: Column, y: Column) -> Column:
+    """From a point to the edge (x0, y0)-(x1, y1)."""
     c = F.col
-    px, py = (c("xmin") + c("xmax")) / 2, (c("ymin") + c("ymax")) / 2
     dx, dy = c("x1") - c("x0"), c("y1") - c("y0")
     size = dx * dx + dy * dy
-    t = F.when(size > 0, _inside(((px - c("x0")) * dx + (py - c("y0")) * dy) / size, F.lit(0.0), F.lit(1.0))).otherwise(F.lit(0.0))
-    ex, ey = px - (c("x0") + t * dx), py - (c("y0") + t * dy)
+    t = F.when(size > 0, F.least(F.greatest(((x - c("x0")) * dx + (y - c("y0")) * dy) / size, F.lit(0.0)), F.lit(1.0))).otherwise(F.lit(0.0))
+    ex, ey = x - (c("x0") + t * dx), y - (c("y0") + t * dy)
     return F.sqrt(ex * ex + ey * ey)
 
 
-def near(dets: DataFrame, segs: DataFrame, reach: float = REACH) -> DataFrame:
-    """Detections within ``reach`` of a segment of the same image, met in grid cells of that size."""
-    lo = lambda a, b: F.floor((F.least(a, b) - reach) / reach)
-    hi = lambda a, b: F.floor((F.greatest(a, b) + reach) / reach)
-    s = segs.withColumn("cx", F.explode(F.sequence(lo("x0", "x1"), hi("x0", "x1")))).withColumn("cy", F.explode(F.sequence(lo("y0", "y1"), hi("y0", "y1"))))
-    d = dets.withColumns({"cx": F.floor((F.col("xmin") + F.col("xmax")) / 2 / reach), "cy": F.floor((F.col("ymin") + F.col("ymax")) / 2 / reach)})
-    return d.join(s, ["image", "cx", "cy"]).withColumn("distance", centre_distance()).filter(F.col("distance") <= reach)
+def box_edge_distance() -> Column:
+    """From a box to the edge; 0 where they touch. The nearest points of two that don't are a corner of the box or an end of the edge."""
+    c = F.col
 
+    def to_box(x: Column, y: Column) -> Column:
+        dx, dy = F.greatest(c("xmin") - x, x - c("xmax"), F.lit(0.0)), F.greatest(c("ymin") - y, y - c("ymax"), F.lit(0.0))
+        return F.sqrt(dx * dx + dy * dy)
 
-def _edge_distance(x: Column, y: Column) -> Column:
-    """From a point to the edge (x0, y0)-(x1, y1)."""
-    c = F.col
-    dx, dy = c("x1") - c("x0"), c("y1") - c("y0")
-    size = dx * dx + dy * dy
-    t = F.when(size > 0, _inside(((x - c("x0")) * dx + (y - c("y0")) * dy) / size, F.lit(0.0), F.lit(1.0))).otherwise(F.lit(0.0))
-    ex, ey = x - (c("x0") + t * dx), y - (c("y0") + t * dy)
-    return F.sqrt(ex * ex + ey * ey)
+    corners = [edge_distance(c(x), c(y)) for x in ("xmin", "xmax") for y in ("ymin", "ymax")]
+    # the part of the edge, from 0 to 1, that is in the box's stretch of either axis
+    enter, leave = F.lit(0.0), F.lit(1.0)
+    for a, b, lo, hi in (("x0", "x1", "xmin", "xmax"), ("y0", "y1", "ymin", "ymax")):
+        d = c(b) - c(a)
+        t0, t1 = (c(lo) - c(a)) / d, (c(hi) - c(a)) / d
+        inside = c(a).between(c(lo), c(hi))
+        enter = F.greatest(enter, F.when(d != 0, F.least(t0, t1)).otherwise(F.when(inside, 0.0).otherwise(2.0)))
+        leave = F.least(leave, F.when(d != 0, F.greatest(t0, t1)).otherwise(F.when(inside, 1.0).otherwise(-1.0)))
+    return F.when(enter <= leave, F.lit(0.0)).otherwise(F.least(to_box(c("x0"), c("y0")), to_box(c("x1"), c("y1")), *corners))
 
 
 def _meet(dets: DataFrame, segs: DataFrame, reach: float) -> DataFrame:
@@ -56,46 +63,137 @@ def _meet(dets: DataFrame, segs: DataFrame, reach: float) -> DataFrame:
     return d.join(s, ["image", "cx", "cy"]).filter(corner & (c("xmin") <= c("sx1")) & (c("xmax") >= c("sx0")) & (c("ymin") <= c("sy1")) & (c("ymax") >= c("sy0"))).drop("cx", "cy", "sx0", "sx1", "sy0", "sy1")
 
 
+def near(dets: DataFrame, segs: DataFrame, reach: float = REACH) -> DataFrame:
+    """Detections that touch the zone of an edge of the same image, with their distance from it."""
+    return _meet(dets, segs, reach).withColumn("distance", box_edge_distance()).filter(F.col("distance") <= reach)
+
+
+def _cells(df: DataFrame, x: tuple[Column, Column], y: tuple[Column, Column], cell: float) -> DataFrame:
+    """``df`` by the cells (i, j) whose centres lie from x[0] to below x[1], and from y[0] to below y[1]."""
+    first, past = (lambda v: F.ceil(v / cell - 0.5)), (lambda v: F.ceil(v / cell - 0.5))
+    d = df.withColumns({"i0": first(x[0]), "i1": past(x[1]), "j0": first(y[0]), "j1": past(y[1])}).filter("i0 < i1 and j0 < j1")
+    return d.withColumn("i", F.explode(F.sequence(F.col("i0"), F.col("i1") - 1))).withColumn("j", F.explode(F.sequence(F.col("j0"), F.col("j1") - 1))).drop("i0", "i1", "j0", "j1")
+
+
+def _in_zone(cells: DataFrame, reach: float, cell: float) -> DataFrame:
+    return cells.filter(edge_distance((F.col("i") + 0.5) * cell, (F.col("j") + 0.5) * cell) <= reach).select("seg_id", "i", "j").distinct()
+
+
+def _area(cells: DataFrame, name: str, cell: float) -> DataFrame:
+    return cells.groupBy("seg_id").agg((F.count("*") * (cell * cell)).alias(name))
+
+
 def union_area(dets: DataFrame, segs: DataFrame, reach: float = REACH, cell: float = 1.0) -> DataFrame:
-    """seg_id, area: of the cells within ``reach`` of a segment whose centre a detection covers, each counted once."""
-    run = lambda lo, hi: F.explode(F.sequence(F.ceil(F.col(lo) / cell - 0.5), F.ceil(F.col(hi) / cell - 0.5) - 1))
-    wide = _meet(dets, segs, reach).filter(F.ceil(F.col("xmin") / cell - 0.5) < F.ceil(F.col("xmax") / cell - 0.5)).filter(F.ceil(F.col("ymin") / cell - 0.5) < F.ceil(F.col("ymax") / cell - 0.5))
-    cells = wide.withColumn("i", run("xmin", "xmax")).withColumn("j", run("ymin", "ymax")).filter(_edge_distance((F.col("i") + 0.5) * cell, (F.col("j") + 0.5) * cell) <= reach)
-    return cells.select("seg_id", "i", "j").distinct().groupBy("seg_id").agg((F.count("*") * (cell * cell)).alias("area"))
+    """seg_id, area: of the cells of a segment's zone whose centre a detection covers, each counted once."""
+    c = F.col
+    return _area(_in_zone(_cells(_meet(dets, segs, reach), (c("xmin"), c("xmax")), (c("ymin"), c("ymax")), cell), reach, cell), "area", cell)
+
+
+def zone_area(segs: DataFrame, reach: float = REACH, cell: float = 1.0) -> DataFrame:
+    """seg_id, zone_area: of the cells whose centre is in the segment's zone."""
+    x, y = (F.least("x0", "x1") - reach, F.greatest("x0", "x1") + reach + cell), (F.least("y0", "y1") - reach, F.greatest("y0", "y1") + reach + cell)
+    return _area(_in_zone(_cells(segs, x, y, cell), reach, cell), "zone_area", cell)
 
 
 def front(dets: DataFrame, segs: DataFrame, reach: float = REACH, step: float = 1.0) -> DataFrame:
     """seg_id, front: the length of each segment that has a detection within ``reach``, sampled in pieces of about ``step``."""
     c = F.col
-    size = F.sqrt((c("x1") - c("x0")) * (c("x1") - c("x0")) + (c("y1") - c("y0")) * (c("y1") - c("y0")))
-    p = _meet(dets, segs, reach).withColumn("length", size).withColumn("pieces", F.greatest(F.ceil(c("length") / step), F.lit(1))).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), c("pieces") - 1)))
+    p = _meet(dets, segs, reach).withColumn("length", edge_length()).withColumn("pieces", F.greatest(F.ceil(c("length") / step), F.lit(1))).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), c("pieces") - 1)))
     t = (c("k") + 0.5) / c("pieces")
     x, y = c("x0") + t * (c("x1") - c("x0")), c("y0") + t * (c("y1") - c("y0"))
     dx, dy = F.greatest(c("xmin") - x, x - c("xmax"), F.lit(0.0)), F.greatest(c("ymin") - y, y - c("ymax"), F.lit(0.0))
-    hit = p.filter(F.sqrt(dx * dx + dy * dy) <= reach).select("seg_id", "k", "x0", "y0", "length", "pieces").distinct()
+    hit = p.filter(F.sqrt(dx * dx + dy * dy) <= reach).select("seg_id", "k", "x0", "y0", "x1", "y1", "length", "pieces").distinct()
     return hit.groupBy("seg_id").agg(F.sum(c("length") / c("pieces")).alias("front"))
 
 
-def observability(cloud: Column) -> Column:
-    return F.when(cloud > BLIND_ABOVE, "blind").when(cloud > PARTIAL_ABOVE, "partial").otherwise("observed")
+def edge_length() -> Column:
+    c = F.col
+    return F.sqrt((c("x1") - c("x0")) * (c("x1") - c("x0")) + (c("y1") - c("y0")) * (c("y1") - c("y0")))
+
+
+def observability(cloud: Column, blind_above: float = BLIND_ABOVE, partial_above: float = PARTIAL_ABOVE) -> Column:
+    return F.when(cloud > blind_above, "blind").when(cloud > partial_above, "partial").otherwise("observed")
 
 
-def roll_up(dets: DataFrame, segs: DataFrame, clouds: DataFrame, labels: tuple[str, ...] | None = ("sargassum", "marine_debris"), reach: float = REACH) -> DataFrame:
-    """seg_id, name, n_detections, area, cloud_fraction, state: one row per segment; one without a cloud figure is clear.
+def cloud_fractions(px: DataFrame, segs: DataFrame, transform: tuple[float, ...], reach: float = REACH) -> DataFrame:
+    """seg_id, cloud_fraction: the share of a zone's pixels under cloud, by their centres; a segment whose zone has no pixel is not seen, and has 1.
 
-    ``segs`` has a row per edge; a detection near several edges of a segment counts once. No ``labels``: all count.
+    ``px`` has r, c and scl; ``transform`` is (a, b, c, d, e, f) of an image whose rows and columns run along the axes.
+    """
+    a, b, x, d, e, y = transform
+    if b or d:
+        raise ValueError("the image must lie along the axes")
+    px = px.select("scl", (a * (F.col("c") + 0.5) + x).alias("px"), (e * (F.col("r") + 0.5) + y).alias("py"))
+    grid, c = 4 * reach, F.col
+    span = lambda lo, hi: F.explode(F.sequence(F.floor((F.least(lo, hi) - reach) / grid), F.floor((F.greatest(lo, hi) + reach) / grid)))
+    s = segs.withColumn("cx", span("x0", "x1")).withColumn("cy", span("y0", "y1"))
+    p = px.withColumns({"cx": F.floor(c("px") / grid), "cy": F.floor(c("py") / grid)})
+    inside = p.join(s, ["cx", "cy"]).filter(edge_distance(c("px"), c("py")) <= reach).select("seg_id", "px", "py", cloud_mask().alias("cloud")).distinct()
+    share = inside.groupBy("seg_id").agg(F.avg(c("cloud").cast("double")).alias("cloud_fraction"))
+    return segs.select("seg_id").distinct().join(share, "seg_id", "left").select("seg_id", F.coalesce("cloud_fraction", F.lit(1.0)).alias("cloud_fraction"))
+
+
+def check(reach: float, blind_above: float = BLIND_ABOVE, partial_above: float = PARTIAL_ABOVE) -> None:
+    if reach <= 0:
+        raise ValueError(f"reach must be above 0, got {reach}")
+    if not 0 <= partial_above <= blind_above <= 1:
+        raise ValueError(f"need 0 <= partial_above <= blind_above <= 1, got {partial_above} and {blind_above}")
+
+
+def roll_up(
+    dets: DataFrame,
+    segs: DataFrame,
+    clouds: DataFrame,
+    labels: tuple[str, ...] | None = TARGETS,
+    reach: float = REACH,
+    cell: float = 1.0,
+    step: float = 1.0,
+    blind_above: float = BLIND_ABOVE,
+    partial_above: float = PARTIAL_ABOVE,
+) -> DataFrame:
+    """seg_id, name, state, cloud_fraction, coverage, area, front, front_length, front_fraction, n_detections: one row per segment.
+
+    ``segs`` has a row per edge. n_detections counts the boxes that touch the
+    zone, area is that of their union inside it, coverage its share of the zone,
+    front the length of coast within ``reach`` of one. A segment without a cloud
+    figure is clear; one out of 0 to 1 is an error. No ``labels``: all count.
     """
+    check(reach, blind_above, partial_above)
+    if segs.isEmpty():
+        raise ValueError("there are no segments")
     own = dets if labels is None else dets.filter(F.col("label").isin(list(labels)))
-    hits = near(own, segs, reach).dropDuplicates(["seg_id", "det_id"]).groupBy("seg_id").agg(F.count("*").alias("n_detections"), F.sum((F.col("xmax") - F.col("xmin")) * (F.col("ymax") - F.col("ymin"))).alias("area"))
-    out = segs.select("seg_id", "name").distinct().join(hits, "seg_id", "left").join(clouds, "seg_id", "left")
-    cloud = F.coalesce("cloud_fraction", F.lit(0.0))
-    return out.select("seg_id", "name", F.coalesce("n_detections", F.lit(0)).alias("n_detections"), F.coalesce("area", F.lit(0.0)).alias("area"), cloud.alias("cloud_fraction"), observability(cloud).alias("state"))
+    hits = near(own, segs, reach).groupBy("seg_id").agg(F.count_distinct("det_id").alias("n_detections"))
+    lengths = segs.groupBy("seg_id").agg(F.first("name").alias("name"), F.sum(edge_length()).alias("front_length"))
+    out = lengths
+    for part in (hits, union_area(own, segs, reach, cell), zone_area(segs, reach, cell), front(own, segs, reach, step), clouds.select("seg_id", F.col("cloud_fraction").cast("double").alias("cloud"))):
+        out = out.join(part, "seg_id", "left")
+    c, zero = F.col, lambda name: F.coalesce(name, F.lit(0.0))
+    cloud = zero("cloud")
+    cloud = F.when(cloud.between(0, 1), cloud).otherwise(F.raise_error(F.concat(F.lit("cloud fractions must be from 0 to 1, got "), cloud.cast("string"))).cast("double"))
+    out = out.withColumn("cloud_fraction", cloud)
+    share = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))
+    return out.select(
+        "seg_id",
+        "name",
+        observability(c("cloud_fraction"), blind_above, partial_above).alias("state"),
+        "cloud_fraction",
+        share(zero("area"), zero("zone_area")).alias("coverage"),
+        zero("area").alias("area"),
+        zero("front").alias("front"),
+        "front_length",
+        share(zero("front"), c("front_length")).alias("front_fraction"),
+        F.coalesce("n_detections", F.lit(0)).alias("n_detections"),
+    )
+
+
+def _order() -> list[Column]:
+    state = F.when(F.col("state") == "observed", 0).when(F.col("state") == "partial", 1).otherwise(2)
+    return [state, F.desc("coverage"), F.desc("front"), F.asc("seg_id")]
 
 
 def ranked(report: DataFrame) -> DataFrame:
-    """``report`` in order: observed, partial, blind, then by falling area and count."""
-    state = F.when(F.col("state") == "observed", 0).when(F.col("state") == "partial", 1).otherwise(2)
-    return report.orderBy(state, F.desc("area"), F.desc("n_detections"), "seg_id")
+    """``report`` in order: observed, partial, blind, then by falling coverage and front."""
+    return report.orderBy(*_order())
 
 
 def affected(report: DataFrame) -> DataFrame:
@@ -108,9 +206,54 @@ def blind(report: DataFrame) -> DataFrame:
     return report.filter(F.col("state") == "blind")
 
 
-def rows(report: DataFrame) -> DataFrame:
-    """``report`` in order, as flat rows for files: fractions to 4 digits, areas to one, half to even, no name as an empty one."""
-    return ranked(report).select("seg_id", F.coalesce("name", F.lit("")).alias("name"), "state", F.bround("cloud_fraction", 4).alias("cloud_fraction"), F.bround("area", 1).alias("area"), "n_detections")
+def rows(report: DataFrame, observed_on: str = "", scene_id: str = "") -> DataFrame:
+    """``report`` in order, as flat rows for files: fractions to 4 digits, coverage to 6, areas and lengths to one, half to even, no name as the id."""
+    r = lambda name, digits: F.bround(name, digits).alias(name)
+    return ranked(report).select(
+        "seg_id", F.coalesce(F.nullif(F.col("name"), F.lit("")), F.col("seg_id").cast("string")).alias("name"), F.lit(observed_on).alias("observed_on"), "state",
+        r("cloud_fraction", 4), r("coverage", 6), r("area", 1), r("front", 1), r("front_length", 1), "n_detections", F.lit(scene_id).alias("scene_id"),
+    )
+
+
+def zones(segs: DataFrame, reach: float, zone: int | None = None, sides: int = 16) -> DataFrame:
+    """seg_id, geometry (GeoJSON): every segment's zone as the outlines of all that is within ``reach`` of an edge, in degrees if ``zone`` names the UTM zone of the plane."""
+    check(reach)
+    c = F.col
+    turn = F.atan2(c("y1") - c("y0"), c("x1") - c("x0"))
+
+    def end(k: int) -> Column:
+        """Half a circle around an end of the edge, on its far side."""
+        x, y = (c("x1"), c("y1")) if k else (c("x0"), c("y0"))
+        from_angle = turn - math.pi / 2 if k else turn + math.pi / 2
+        points = [(x + reach * F.cos(from_angle + math.pi * i / sides), y + reach * F.sin(from_angle + math.pi * i / sides)) for i in range(sides + 1)]
+        if zone is not None:
+            points = [utm_inverse(px, py, F.lit(zone)) for px, py in points]
+        return F.array(*[F.array(px, py) for px, py in points])
+
+    ring = F.concat(end(1), end(0))
+    closed = F.concat(ring, F.slice(ring, 1, 1))
+    shape = segs.groupBy("seg_id").agg(F.sort_array(F.collect_list(F.array(closed))).alias("coordinates"))  # a segment's edges
+    return shape.select("seg_id", F.to_json(F.struct(F.lit("MultiPolygon").alias("type"), "coordinates")).alias("geometry"))
+
+
+def report_geojson(flat: DataFrame, shapes: DataFrame, reach: float, observed_on: str = "", scene_id: str = "", crs: str = "") -> DataFrame:
+    """value: one row, the FeatureCollection of a report's ``rows`` with their ``zones``; a report has a row per segment."""
+    props = [x for x in flat.columns if x != "seg_id"]
+    c = F.col
+    one = flat.join(shapes, "seg_id").withColumn("k", F.struct(*[e for e in (F.when(c("state") == "observed", 0).when(c("state") == "partial", 1).otherwise(2), -c("coverage"), -c("front"), c("seg_id"))]))
+    text = F.concat(
+        F.lit('{"type":"Feature","id":'), F.to_json(F.array(c("seg_id").cast("string"))).substr(F.lit(2), F.length(F.to_json(F.array(c("seg_id").cast("string")))) - 2),
+        F.lit(',"geometry":'), "geometry", F.lit(',"properties":'), F.to_json(F.struct("seg_id", *props)), F.lit("}"),
+    )
+    head = {"observed_on": observed_on, "scene_id": scene_id, "surf_zone_m": reach, "metric_crs": crs}
+    every = one.agg(F.array_sort(F.collect_list(F.struct("k", text.alias("f")))).alias("f"), F.count("*").alias("n"), F.count_if(c("state") == "blind").alias("blind"), F.count_if((c("n_detections") > 0) & (c("state") != "blind")).alias("hit"))
+    properties = F.to_json(F.struct(c("n").alias("count"), *[F.lit(v).alias(k) for k, v in head.items()], c("blind").alias("blind_segments"), c("hit").alias("affected_segments")))
+    return every.select(
+        F.concat(
+            F.lit('{"type":"FeatureCollection","crs":{"type":"name","properties":{"name":"urn:ogc:def:crs:OGC:1.3:CRS84"}},"features":['),
+            F.array_join(F.transform("f", lambda x: x["f"]), ","), F.lit('],"properties":'), properties, F.lit("}"),
+        ).alias("value")
+    )
 
 
 def append_history(report: DataFrame, path: str, observed_on: str) -> None:

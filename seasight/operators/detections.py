@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seasight.functions.geo import iou
+from seasight.lineage import keep
 
 BOX = ["xmin", "ymin", "xmax", "ymax"]
 TARGETS = ("sargassum", "marine_debris")
@@ -30,44 +32,53 @@ def _cells(df: DataFrame, cell: float) -> DataFrame:
     return df.withColumn("cx", F.explode(span("xmin", "xmax"))).withColumn("cy", F.explode(span("ymin", "ymax")))
 
 
-def iou_pairs(dets: DataFrame, gts: DataFrame, threshold: float = 0.5, by_label: bool = True, cell: float = CELL) -> DataFrame:
+def iou_pairs(dets: DataFrame, gts: DataFrame, threshold: float = 0.5, by_label: bool = True, cell: float = CELL, better: bool = False) -> DataFrame:
     """det_id, gt_id, image, label, score, iou of every pair at or above ``threshold`` (over 0).
 
     Boxes meet in the grid cells that both touch; a pair counts in the cell of
     its intersection's corner alone, so that no pair has to be made distinct.
+    With ``better``, gts has scores, and a box meets only those of a higher one;
+    of equal scores the smaller id is better.
     """
-    g = _cells(gts, cell).select(*[F.col(c).alias(f"g_{c}") for c in ["image", "label", "cx", "cy", *BOX]], "gt_id")
-    on = [F.col("image") == F.col("g_image"), F.col("cx") == F.col("g_cx"), F.col("cy") == F.col("g_cy")] + ([F.col("label") == F.col("g_label")] if by_label else [])
+    g = _cells(gts, cell).select(*[F.col(c).alias(f"g_{c}") for c in ["image", "label", "cx", "cy", *BOX]], "gt_id", *([F.col("score").alias("g_score")] if better else []))
+    on = (F.col("image") == F.col("g_image")) & (F.col("cx") == F.col("g_cx")) & (F.col("cy") == F.col("g_cy"))
+    if by_label:
+        on = on & (F.col("label") == F.col("g_label"))
+    if better:
+        on = on & ((F.col("g_score") > F.col("score")) | ((F.col("g_score") == F.col("score")) & (F.col("gt_id") < F.col("det_id"))))
     corner = (F.col("cx") == F.floor(F.greatest("xmin", "g_xmin") / cell)) & (F.col("cy") == F.floor(F.greatest("ymin", "g_ymin") / cell))
-    return _cells(dets, cell).join(g, on).filter(corner).withColumn("iou", iou()).filter(F.col("iou") >= threshold).select("det_id", "gt_id", "image", "label", "g_label", "score", "iou")
+    return _cells(dets, cell).join(g, on & corner).withColumn("iou", iou()).filter(F.col("iou") >= threshold).select("det_id", "gt_id", "image", "label", "g_label", "score", "iou")
 
 
 def match(dets: DataFrame, gts: DataFrame, threshold: float = 0.5, by_label: bool = True) -> DataFrame:
     """det_id, gt_id, iou: greedily, by falling score, each detection takes its best free ground truth.
 
-    Ties go to the smaller det_id, then gt_id. A scene (with ``by_label``, a
-    label of it) is matched in one task, from its pairs alone.
+    Ties go to the smaller det_id, then gt_id.
     """
-    return greedy(iou_pairs(dets, gts, threshold, by_label), ["image", "label"] if by_label else ["image"])
+    return greedy(iou_pairs(dets, gts, threshold, by_label))
+
 
+def greedy(pairs: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """keys, det_id, gt_id, iou of the greedy match, for each value of the ``keys``.
 
-def greedy(pairs: DataFrame, keys: list[str]) -> DataFrame:
-    """det_id, gt_id, iou, and the ``keys`` beyond scene and label, of the greedy match within each group of ``keys``."""
-    more = [k for k in keys if k not in ("image", "label")]
+    A pair whose ground truth is the detection's best, and whose detection has
+    the highest score of all that overlap the ground truth, is in the match.
+    Such pairs are taken in rounds, each without what the last one took.
+    """
+    p = keep(pairs.select(*keys, "det_id", "gt_id", "iou", "score"))
+    out = []
+    while not p.isEmpty():
+        first = p.groupBy(*keys, "det_id").agg(F.max_by("gt_id", F.struct("iou", -F.col("gt_id"))).alias("gt_id"))
+        best = p.groupBy(*keys, "gt_id").agg(F.max_by("det_id", F.struct("score", -F.col("det_id"))).alias("det_id"))
+        won = keep(p.join(first, [*keys, "det_id", "gt_id"]).join(best, [*keys, "det_id", "gt_id"]).select(*keys, "det_id", "gt_id", "iou"))
+        out.append(won)
+        p = keep(p.join(won, [*keys, "det_id"], "left_anti").join(won, [*keys, "gt_id"], "left_anti"))
+    return reduce(DataFrame.union, out) if out else p.drop("score")
 
-    def take(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["score", "det_id", "iou", "gt_id"], ascending=[False, True, False, True])
-        used, done, out = set(), set(), []
-        group = [rows[k].iloc[0] for k in more]
-        for d, g, v in zip(rows["det_id"].tolist(), rows["gt_id"].tolist(), rows["iou"].tolist()):
-            if d not in done and g not in used:
-                done.add(d)
-                used.add(g)
-                out.append((d, g, v, *group))
-        return pd.DataFrame(out, columns=["det_id", "gt_id", "iou", *more])
 
-    extra = "".join(f", {k} {pairs.schema[k].dataType.simpleString()}" for k in more)
-    return pairs.groupBy(*keys).applyInPandas(take, f"det_id long, gt_id long, iou double{extra}")
+def hit_flags(dets: DataFrame, matches: DataFrame) -> DataFrame:
+    """``dets`` with hit: whether the match has the detection."""
+    return dets.join(matches.select("det_id", F.lit(True).alias("hit")), "det_id", "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
 
 
 #: IoU thresholds of the sweep.
@@ -75,11 +86,32 @@ THRESHOLDS = tuple(round(0.5 + 0.05 * i, 2) for i in range(10))
 
 
 def sweep(dets: DataFrame, gts: DataFrame, thresholds: tuple[float, ...] = THRESHOLDS) -> DataFrame:
-    """threshold, label, ap: average precision at every IoU threshold; boxes are joined to pairs once."""
+    """threshold, label, ap: average precision at every IoU threshold.
+
+    Boxes are joined to pairs once, and a detection carries an array of hits,
+    one per threshold, through one pass of running counts (as in ``pr_curve``).
+    """
     level = F.explode(F.array(*[F.lit(t) for t in thresholds]))
-    pairs = iou_pairs(dets, gts, min(thresholds)).withColumn("threshold", level).filter("iou >= threshold")
-    matches = greedy(pairs, ["image", "label", "threshold"])
-    return average_precision(pr_curve(dets.withColumn("threshold", level), gts, matches, ("threshold", "label")), keys=("threshold", "label"))
+    matches = greedy(iou_pairs(dets, gts, min(thresholds)).withColumn("threshold", level).filter("iou >= threshold"), ("threshold",))
+    hits = matches.groupBy("det_id").agg(F.collect_set("threshold").alias("at"))
+    c, each = F.col, range(len(thresholds))
+    d = dets.select("label", "det_id", "score").join(hits, "det_id", "left").withColumn("band", F.coalesce(F.floor(c("score") * -BANDS), F.lit(1)))
+    d = d.select("label", "det_id", "score", "band", *[F.coalesce(F.array_contains("at", t), F.lit(False)).cast("long").alias(f"h{i}") for i, t in enumerate(thresholds)])
+    before = Window.partitionBy("label").orderBy("band").rowsBetween(Window.unboundedPreceding, -1)  # as many rows as bands
+    sums = d.groupBy("label", "band").agg(F.count("*").alias("n"), *[F.sum(f"h{i}").alias(f"s{i}") for i in each])
+    sums = sums.select("label", "band", *[F.coalesce(F.sum(x).over(before), F.lit(0)).alias(x) for x in ("n", *(f"s{i}" for i in each))])
+    truths = gts.groupBy("label").agg(F.count("*").alias("n_gt"))  # a row per label
+    w = Window.partitionBy("label", "band").orderBy(F.desc("score"), "det_id")
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    d = d.join(sums, ["label", "band"]).join(truths, "label").withColumn("rank", F.row_number().over(w) + c("n"))
+    d = d.withColumns({f"p{i}": (F.sum(f"h{i}").over(upto) + c(f"s{i}")) / c("rank") for i in each})
+    after = Window.partitionBy("label").orderBy("band").rowsBetween(1, Window.unboundedFollowing)
+    later = d.groupBy("label", "band").agg(*[F.max(f"p{i}").alias(f"m{i}") for i in each]).select("label", "band", *[F.max(f"m{i}").over(after).alias(f"m{i}") for i in each])
+    on = Window.partitionBy("label", "band").orderBy("rank").rowsBetween(0, Window.unboundedFollowing)
+    d = d.withColumns({f"o{i}": F.max(f"p{i}").over(on) for i in each}).join(later, ["label", "band"])
+    ap = d.groupBy("label").agg(*[(F.sum(c(f"h{i}") * F.greatest(f"o{i}", f"m{i}")) / F.max("n_gt")).alias(f"ap{i}") for i in each])
+    one = F.explode(F.array(*[F.struct(F.lit(t).alias("threshold"), c(f"ap{i}").alias("ap")) for i, t in enumerate(thresholds)]))
+    return ap.select("label", one.alias("x")).select("x.threshold", "label", "x.ap")
 
 
 def merge_tiles(dets: DataFrame, width: float, height: float, threshold: float = 0.5, keys: tuple[str, ...] = ("image", "label")) -> DataFrame:
@@ -88,31 +120,27 @@ def merge_tiles(dets: DataFrame, width: float, height: float, threshold: float =
 
 
 def nms(dets: DataFrame, threshold: float = 0.5, keys: tuple[str, ...] = ("image", "label")) -> DataFrame:
-    """``dets`` without boxes that a kept box of higher score overlaps by more than ``threshold``; ties go to the smaller det_id.
+    """``dets`` without boxes that a kept box of higher score overlaps by more than ``threshold``; ties go to the smaller det_id."""
+    a = dets.select("det_id", "score", "image", "label", *BOX)
+    worse = iou_pairs(a, a.withColumnsRenamed({"det_id": "gt_id"}), 1e-9, "label" in keys, better=True).filter(F.col("iou") > threshold)
+    return dets.join(suppressed(worse.select("det_id", F.col("gt_id").alias("by"))), "det_id", "left_anti")
+
+
+def suppressed(pairs: DataFrame) -> DataFrame:
+    """det_id of the boxes that go, of ``pairs`` (det_id, by) of a box with a better one that it overlaps.
 
-    A box overlaps few others, and suppression only passes along overlaps, so
-    the boxes of a scene are joined to pairs first and a task gets those.
+    A box that no better one is left to suppress is kept, and those that it
+    overlaps go. That is settled in rounds, each over the pairs of which neither
+    box is decided yet; as many rounds as the longest chain of overlaps takes.
     """
-    a = dets.select("det_id", "score", "image", "label", *BOX)
-    b = a.withColumnsRenamed({"det_id": "gt_id"})
-    same = iou_pairs(a, b, 1e-9, "label" in keys).filter(F.col("iou") > threshold).filter("det_id <> gt_id")
-    other = dets.select(F.col("det_id").alias("gt_id"), F.col("score").alias("g_score"))
-    above = same.join(other, "gt_id").filter((F.col("g_score") > F.col("score")) | ((F.col("g_score") == F.col("score")) & (F.col("gt_id") < F.col("det_id"))))
-
-    def drop(rows: pd.DataFrame) -> pd.DataFrame:
-        better: dict[int, list[int]] = {}
-        rank: dict[int, tuple] = {}
-        for d, g, s, t in zip(rows["det_id"].tolist(), rows["gt_id"].tolist(), rows["score"].tolist(), rows["g_score"].tolist()):
-            better.setdefault(d, []).append(g)
-            rank[d], rank[g] = (-s, d), (-t, g)
-        gone: set[int] = set()
-        for d in sorted(rank, key=rank.get):
-            if any(g not in gone for g in better.get(d, ())):
-                gone.add(d)
-        return pd.DataFrame({"det_id": sorted(gone)}, dtype="int64")
-
-    gone = above.groupBy(*keys).applyInPandas(drop, "det_id long")
-    return dets.join(gone, "det_id", "left_anti")
+    pairs = keep(pairs)
+    gone = [pairs.select("det_id").limit(0)]
+    while not pairs.isEmpty():
+        kept = pairs.select("by").distinct().join(pairs.select(F.col("det_id").alias("by")), "by", "left_anti")
+        lost = keep(pairs.join(kept, "by", "left_semi").select("det_id").distinct())
+        gone.append(lost)
+        pairs = keep(pairs.join(lost, "det_id", "left_anti").join(lost.select(F.col("det_id").alias("by")), "by", "left_anti"))
+    return reduce(DataFrame.union, gone)
 
 
 def prf(tp: Column, fp: Column, fn: Column) -> tuple[Column, Column, Column]:
@@ -187,7 +215,6 @@ def confusion(dets: DataFrame, gts: DataFrame, matches: DataFrame, background: s
     return both.groupBy(F.coalesce("truth", F.lit(background)).alias("truth"), F.coalesce("predicted", F.lit(background)).alias("predicted")).agg(F.count("*").alias("n"))
 
 
-
 # Surface classes in order, and those commonly taken for debris.
 SURFACES = ("marine_debris", "sargassum", "ship", "ship_wake", "sea_foam", "cloud", "sediment_plume", "open_water", "unknown")
 CONFUSERS = ("sargassum", "ship_wake", "sea_foam", "sediment_plume")

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from seasight.functions import geo, spectral
-from seasight.operators import catalog, classifier, coastal, curves, detections
-from seasight.plans.queries import _CLOUD, _COUNTS, _FDI, _MATCH, _SPECTRA, _SWEEP, _T, _WATER, _match, _places, _spectra, _table, query, r6, s6
+from seasight.operators import catalog, classifier, curves, detections
+from seasight.plans.queries import _CLOUD, _COUNTS, _FDI, _MATCH, _SPECTRA, _SWEEP, _WATER, _match, _places, _spectra, _table, query, r6, s6
 from seasight.operators.quantiles import percentiles
 from seasight.sources.reports import markdown_rows
 from seasight.views import view
@@ -109,30 +109,6 @@ def merge_tiles(spark, sf):
     return detections.merge_tiles(d, 1900, 100).select("det_id", *detections.BOX)
 
 
-_EDGE_T = "CASE WHEN (x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0) > 0 THEN least(greatest(((i + 0.5e0 - x0) * (x1 - x0) + (j + 0.5e0 - y0) * (y1 - y0)) / ((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0)), 0), 1) ELSE 0 END"
-
-
-@query("segment_counts", f"WITH q AS (SELECT *, {_T} AS t FROM dets JOIN segs USING (image)) SELECT seg_id, label, count(*) AS n FROM q WHERE sqrt(pow((xmin + xmax) / 2 - (x0 + t * (x1 - x0)), 2) + pow((ymin + ymax) / 2 - (y0 + t * (y1 - y0)), 2)) <= 20 GROUP BY seg_id, label")
-def segment_counts(spark, sf):
-    return coastal.near(view(spark, sf, "dets"), view(spark, sf, "segs")).groupBy("seg_id", "label").agg(F.count("*").alias("n"))
-
-
-@query("segment_union_area", f"""WITH b AS (SELECT seg_id, x0, y0, x1, y1, unnest(range(CAST(xmin AS BIGINT), CAST(xmax AS BIGINT))) AS i, ymin, ymax FROM dets JOIN segs USING (image) WHERE xmin <= greatest(x0, x1) + 20 AND xmax >= least(x0, x1) - 20),
-k AS (SELECT seg_id, x0, y0, x1, y1, i, unnest(range(CAST(ymin AS BIGINT), CAST(ymax AS BIGINT))) AS j FROM b), q AS (SELECT *, {_EDGE_T} AS t FROM k)
-SELECT seg_id, CAST(count(DISTINCT (i, j)) AS DOUBLE) AS area FROM q WHERE sqrt(pow(i + 0.5e0 - (x0 + t * (x1 - x0)), 2) + pow(j + 0.5e0 - (y0 + t * (y1 - y0)), 2)) <= 20 GROUP BY seg_id""")
-def segment_union_area(spark, sf):
-    return coastal.union_area(view(spark, sf, "dets"), view(spark, sf, "segs"))
-
-
-@query("segment_front", f"""WITH s AS (SELECT *, sqrt(pow(x1 - x0, 2) + pow(y1 - y0, 2)) AS length FROM segs), n AS (SELECT *, CAST(greatest(ceil(length), 1) AS BIGINT) AS pieces FROM s),
-k AS (SELECT *, unnest(range(pieces)) AS k FROM n), p AS (SELECT *, x0 + (k + 0.5e0) / pieces * (x1 - x0) AS x, y0 + (k + 0.5e0) / pieces * (y1 - y0) AS y FROM k),
-h AS (SELECT DISTINCT seg_id, k, length, pieces FROM p JOIN dets d ON p.image = d.image WHERE sqrt(pow(greatest(xmin - x, x - xmax, 0), 2) + pow(greatest(ymin - y, y - ymax, 0), 2)) <= 20)
-SELECT seg_id, {s6('sum(length / pieces)')} AS front FROM h GROUP BY seg_id""")
-def segment_front(spark, sf):
-    f = coastal.front(view(spark, sf, "dets"), view(spark, sf, "segs"))
-    return f.select("seg_id", r6(c("front")).alias("front"))
-
-
 @query("utm_inverse", f"SELECT c_custkey, {s6('c_custkey % 360 - 180 + 0.25e0')} AS lon, {s6('c_custkey % 170 - 85 + 0.25e0')} AS lat FROM customer WHERE abs(c_custkey % 170 - 85 + 0.25e0) < 80")
 def utm_inverse(spark, sf):
     """There and back again."""

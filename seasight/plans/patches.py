@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from seasight.functions import geo
-from seasight.operators import coastal, detections, patches, screening
+from seasight.operators import detections, patches, screening
 from seasight.operators.catalog import CLASSES
-from seasight.plans.queries import _FDI, _NDWI, _ROLL, _table, query, r6, s6
+from seasight.plans.queries import _FDI, _NDWI, _table, query, r6, s6
 from seasight.views import view
 
 c = F.col
@@ -100,22 +100,3 @@ def index_at_centre(spark, sf):
 @query("present_labels", "SELECT label, CASE label WHEN 'marine_debris' THEN 1 WHEN 'sargassum' THEN 2 ELSE 3 END AS place FROM (SELECT label FROM dets UNION SELECT label FROM gts)")
 def present_labels(spark, sf):
     return detections.present_labels(view(spark, sf, "dets"), view(spark, sf, "gts"))
-
-
-def _report(spark, sf):
-    return coastal.roll_up(view(spark, sf, "dets"), view(spark, sf, "segs"), view(spark, sf, "clouds"))
-
-
-@query("segments_affected", f"SELECT seg_id, n_detections, area FROM ({_ROLL}) WHERE n_detections > 0 AND state <> 'blind'")
-def segments_affected(spark, sf):
-    return coastal.affected(_report(spark, sf)).select("seg_id", "n_detections", "area")
-
-
-@query("segments_blind", f"SELECT seg_id, cloud_fraction FROM ({_ROLL}) WHERE state = 'blind'")
-def segments_blind(spark, sf):
-    return coastal.blind(_report(spark, sf)).select("seg_id", "cloud_fraction")
-
-
-@query("segment_rows", f"SELECT seg_id, coalesce(name, '') AS name, state, round_even(cloud_fraction, 4) AS cloud_fraction, round_even(area, 1) AS area, n_detections FROM ({_ROLL})")
-def segment_rows(spark, sf):
-    return coastal.rows(_report(spark, sf))

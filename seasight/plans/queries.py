@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seasight.functions import geo, spectral
-from seasight.operators import catalog, coastal, curves, detections, screening
+from seasight.operators import catalog, curves, detections, screening
 from seasight.operators.quantiles import percentiles
 from seasight.sources.documents import features, from_features, FEATURES
 from seasight.views import view, with_views
@@ -325,8 +325,7 @@ p AS (SELECT a.det_id, b.det_id AS by_id FROM d a JOIN d b ON a.image = b.image
 SELECT count(*) AS n_pairs, count(DISTINCT det_id) AS n_worse FROM p""")
 def nms_suppressed(spark, sf):
     d = view(spark, sf, "dets").withColumn("image", F.floor(F.col("image") / 10))
-    other = d.select(F.col("det_id").alias("gt_id"), F.col("score").alias("g_score"))
-    p = detections.iou_pairs(d, d.withColumnRenamed("det_id", "gt_id"), 1e-9).filter("iou > 0.8 and det_id <> gt_id").join(other, "gt_id").filter("g_score > score or (g_score = score and gt_id < det_id)")
+    p = detections.iou_pairs(d, d.withColumnRenamed("det_id", "gt_id"), 1e-9, better=True).filter("iou > 0.8")
     return p.agg(F.count("*").alias("n_pairs"), F.count_distinct("det_id").alias("n_worse"))
 
 
@@ -346,20 +345,6 @@ def top20_detections(spark, sf):
     return view(spark, sf, "dets").orderBy(F.desc("score"), "det_id").limit(20).select("det_id", "score")
 
 
-_T = "CASE WHEN (x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0) > 0 THEN least(greatest((((xmin + xmax) / 2 - x0) * (x1 - x0) + ((ymin + ymax) / 2 - y0) * (y1 - y0)) / ((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0)), 0), 1) ELSE 0 END"
-_ROLL = f"""WITH q AS (SELECT *, {_T} AS t FROM dets JOIN segs USING (image) WHERE label IN ('sargassum', 'marine_debris')),
-h AS (SELECT seg_id, count(*) AS n_detections, sum((xmax - xmin) * (ymax - ymin)) AS area FROM q
-  WHERE sqrt(pow((xmin + xmax) / 2 - (x0 + t * (x1 - x0)), 2) + pow((ymin + ymax) / 2 - (y0 + t * (y1 - y0)), 2)) <= 20 GROUP BY seg_id)
-SELECT seg_id, name, coalesce(n_detections, 0) AS n_detections, coalesce(area, 0) AS area, coalesce(cloud_fraction, 0e0) AS cloud_fraction,
-  CASE WHEN coalesce(cloud_fraction, 0) > 0.7 THEN 'blind' WHEN coalesce(cloud_fraction, 0) > 0.2 THEN 'partial' ELSE 'observed' END AS state
-FROM segs LEFT JOIN h USING (seg_id) LEFT JOIN clouds USING (seg_id)"""
-
-
-@query("segments_ranked", _ROLL)
-def segments_ranked(spark, sf):
-    return coastal.ranked(coastal.roll_up(view(spark, sf, "dets"), view(spark, sf, "segs"), view(spark, sf, "clouds")))
-
-
 @query("scene_search", "SELECT o_orderkey AS scene_id, CAST(o_custkey % 100 AS DOUBLE) AS cloud FROM orders WHERE o_custkey % 360 - 180 <= 20 AND o_custkey % 360 - 179 >= -20 AND o_orderkey % 180 - 90 <= 30 AND o_orderkey % 180 - 89 >= -30 AND o_custkey % 100 < 50 ORDER BY 2, 1 LIMIT 100")
 def scene_search(spark, sf):
     k, c = F.col("o_orderkey"), F.col("o_custkey")
@@ -469,19 +454,6 @@ def asset_last_wins(spark, sf):
     return catalog.normalize(k, ["l_orderkey"], first=False).select("l_orderkey", "band", "key")
 
 
-@query("observability", "SELECT n_nationkey AS seg_id, CASE WHEN coalesce(cloud_fraction, 0) > 0.7 THEN 'blind' WHEN coalesce(cloud_fraction, 0) > 0.2 THEN 'partial' ELSE 'observed' END AS state FROM nation LEFT JOIN clouds ON seg_id = n_nationkey")
-def observability(spark, sf):
-    s = _table(spark, sf, "nation").select(F.col("n_nationkey").alias("seg_id"))
-    return s.join(view(spark, sf, "clouds"), "seg_id", "left").select("seg_id", coastal.observability(F.coalesce("cloud_fraction", F.lit(0.0))).alias("state"))
-
-
-@query("segment_cloud", f"SELECT tr, tc, {s6('avg(CASE WHEN scl IN (0, 1, 3, 8, 9, 10) THEN 1e0 ELSE 0e0 END)')} AS cloud_fraction, {s6('avg(CASE WHEN scl = 6 THEN 1e0 ELSE 0e0 END)')} AS water_fraction FROM px GROUP BY tr, tc")
-def segment_cloud(spark, sf):
-    """Shares of a zone's pixels under cloud and over water; here the zones are tiles."""
-    share = lambda c, n: r6(F.avg(c.cast("double"))).alias(n)
-    return view(spark, sf, "px").groupBy("tr", "tc").agg(share(spectral.cloud_mask(), "cloud_fraction"), share(F.col("scl") == 6, "water_fraction"))
-
-
 _SWEEP = _PAIRS.replace(">= 0.5", ">= t.thr").replace("d.det_id,", "t.thr, d.det_id,", 1).replace(" WHERE", " CROSS JOIN (SELECT unnest([0.5e0, 0.55e0, 0.6e0, 0.65e0, 0.7e0, 0.75e0, 0.8e0, 0.85e0, 0.9e0, 0.95e0]) AS thr) t WHERE", 1)
 
 

@@ -3,7 +3,8 @@ import os
 import duckdb
 import pytest
 
-import seasight.plans.more  # noqa: F401  (registers its queries)
+import seasight.plans.coast  # noqa: F401  (registers its queries)
+import seasight.plans.more  # noqa: F401  (likewise)
 import seasight.plans.patches  # noqa: F401  (likewise)
 from seasight.plans.queries import QUERIES, SQL
 
