@@ -41,6 +41,59 @@ def lat_tile(lat: Column, z: Column) -> Column:
     return F.least(F.greatest(F.floor((1.0 - F.log(F.tan(phi) + 1.0 / F.cos(phi)) / math.pi) / 2.0 * n), F.lit(0)), (n - 1).cast("long"))
 
 
+def tile_name(x: Column, y: Column, z: Column) -> Column:
+    return F.concat_ws("-", x.cast("string"), y.cast("string"), z.cast("string"))
+
+
+def valid_tile(x: Column, y: Column, z: Column) -> Column:
+    """Zooms from 0 to 30, and columns and rows that the zoom has."""
+    n = F.pow(F.lit(2.0), z)
+    return F.coalesce(z.between(0, 30) & (x >= 0) & (x < n) & (y >= 0) & (y < n), F.lit(False))
+
+
+def parse_tile_name(name: Column) -> Column:
+    """x, y and z of a tile's file name: its last three parts between hyphens; NULL where they aren't whole numbers or name no tile."""
+    stem = F.regexp_replace(F.regexp_extract(F.replace(name, F.lit("\\"), F.lit("/")), r"([^/]*)$", 1), r"(?<=.)\.[^.]*$", "")
+    part = lambda i: F.regexp_extract(stem, r"(?:^|.*-)([0-9]+)-([0-9]+)-([0-9]+)$", i).try_cast("long")
+    x, y, z = part(1), part(2), part(3)
+    return F.when(valid_tile(x, y, z), F.struct(x.alias("x"), y.alias("y"), z.cast("int").alias("z")))
+
+
+def tiles_of_box(west: Column, south: Column, east: Column, north: Column, zoom: int) -> Column:
+    """x and y of every tile of the zoom that a box in degrees reaches, row by row; a box whose west is east of its east crosses the date line."""
+    if not 0 <= zoom <= 30:
+        raise ValueError(f"zoom must be from 0 to 30, got {zoom}")
+    z, edge = F.lit(zoom), 1e-11  # a box that ends at a tile's edge doesn't reach the next one
+    top = F.lit(2**zoom - 1).cast("long")
+    run = lambda a, b: F.sequence(a, F.greatest(a, b))
+    first, last = lon_tile(west, z), lon_tile(east - edge, z)
+    xs = F.when(west > east, F.array_distinct(F.concat(run(F.lit(0).cast("long"), last), run(first, top)))).otherwise(run(first, last))
+    ys = run(lat_tile(north, z), lat_tile(south + edge, z))
+    return F.flatten(F.transform(ys, lambda y: F.transform(xs, lambda x: F.struct(x.alias("x"), y.alias("y")))))
+
+
+def axis_offsets(extent: Column, size: int, step: int) -> Column:
+    """Where windows of ``size`` start along an axis: every ``step``, and once more where a strip is left."""
+    return F.when(extent > 0, F.expr("sequence(0L, 0L)") if size <= 0 else F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0), F.ceil((extent - size) / step) * step).cast("long"), F.lit(step).cast("long")))
+
+
+def windows_of(width: Column, height: Column, size: int, overlap: int) -> Column:
+    """col_off, row_off, width and height of overlapping windows over a raster, row by row; the last ones of a row or column may be short."""
+    if size <= 0 or not 0 <= overlap < size:
+        raise ValueError(f"need 0 <= overlap < size, got {overlap} and {size}")
+    xs, ys = axis_offsets(width, size, size - overlap), axis_offsets(height, size, size - overlap)
+    part = lambda extent, at: F.least(F.lit(size), extent - at)
+    one = lambda y: F.transform(xs, lambda x: F.struct(x.alias("col_off"), y.alias("row_off"), part(width, x).alias("width"), part(height, y).alias("height")))
+    return F.flatten(F.transform(ys, one))
+
+
+def window_transform(transform: tuple[float, ...], col_off: Column, row_off: Column) -> tuple[Column, ...]:
+    """The transform of a window's own pixels, of a raster's ``transform``."""
+    a, b, c, d, e, f = transform
+    x, y = affine(col_off, row_off, transform)
+    return F.lit(a), F.lit(b), x, F.lit(d), F.lit(e), y
+
+
 def utm_zone(lon: Column) -> Column:
     return F.least(F.greatest(F.floor((lon + 180.0) / 6.0) + 1, F.lit(1)), F.lit(60))
 
@@ -116,3 +169,50 @@ def iou(a: str = "", b: str = "g_") -> Column:
     both = overlap(a, b)
     union = area(a) + area(b) - both
     return F.when(union > 0, both / union).otherwise(F.lit(0.0))
+
+
+def width(a: str = "") -> Column:
+    return F.col(f"{a}xmax") - F.col(f"{a}xmin")
+
+
+def height(a: str = "") -> Column:
+    return F.col(f"{a}ymax") - F.col(f"{a}ymin")
+
+
+def centre(a: str = "") -> tuple[Column, Column]:
+    return (F.col(f"{a}xmin") + F.col(f"{a}xmax")) / 2, (F.col(f"{a}ymin") + F.col(f"{a}ymax")) / 2
+
+
+def geo_centre(west="west", south="south", east="east", north="north") -> tuple[Column, Column]:
+    """Longitude and latitude of the middle of a box in degrees."""
+    return (F.col(west) + F.col(east)) / 2, (F.col(south) + F.col(north)) / 2
+
+
+def xyxy(a: str = "") -> Column:
+    return F.array(*[F.col(f"{a}{k}") for k in ("xmin", "ymin", "xmax", "ymax")])
+
+
+def valid_pixel_box(a: str = "") -> Column:
+    """Neither axis runs backwards; a box without width or height is one."""
+    return F.coalesce((F.col(f"{a}xmax") >= F.col(f"{a}xmin")) & (F.col(f"{a}ymax") >= F.col(f"{a}ymin")), F.lit(False))
+
+
+def box_of(values: Column, order: str = "yxyx", width: Column | None = None, height: Column | None = None) -> dict[str, Column]:
+    """xmin, ymin, xmax, ymax of an array of four in the ``order`` yxyx or xyxy; with width and height they are shares of these."""
+    if order not in ("yxyx", "xyxy"):
+        raise ValueError(f"order must be yxyx or xyxy, got {order}")
+    names = ("ymin", "xmin", "ymax", "xmax") if order == "yxyx" else ("xmin", "ymin", "xmax", "ymax")
+    scale = {"x": width, "y": height}
+    out = {n: F.get(values, i).cast("double") for i, n in enumerate(names)}
+    return {n: out[n] * scale[n[0]] if scale[n[0]] is not None else out[n] for n in ("xmin", "ymin", "xmax", "ymax")}
+
+
+def around(lon: Column, lat: Column, by: float = 0.15) -> dict[str, Column]:
+    """A box in degrees, ``by`` on all sides of a point."""
+    return {"west": lon - by, "south": lat - by, "east": lon + by, "north": lat + by}
+
+
+def geo_ring(west="west", south="south", east="east", north="north") -> Column:
+    """The closed ring of a box in degrees, as GeoJSON has it."""
+    at = lambda x, y: F.array(F.col(x).cast("double"), F.col(y).cast("double"))
+    return F.array(at(west, south), at(east, south), at(east, north), at(west, north), at(west, south))

@@ -93,7 +93,7 @@ def candidate_mask(columns: list[str], fdi: float = FDI_THRESHOLD, ndwi: float =
     return mask & ~cloud_mask() if "scl" in columns else mask
 
 
-def to_reflectance(dn: Column, offset: Column | float, scale: float = REFLECTANCE_SCALE) -> Column:
+def to_reflectance(dn: Column, offset: Column | float, scale: Column | float = REFLECTANCE_SCALE) -> Column:
     return dn * scale + offset
 
 
@@ -101,3 +101,21 @@ def baseline_offset(baseline: Column) -> Column:
     """The reflectance offset of a processing baseline; what can't be read counts as a modern one."""
     b = F.coalesce(F.expr("1") * baseline.try_cast("double"), F.lit(OFFSET_BASELINE))
     return F.when(b >= OFFSET_BASELINE, F.lit(BOA_OFFSET)).otherwise(F.lit(0.0))
+
+
+# Layers that are no reflectance.
+NO_REFLECTANCE = ("SCL", "AOT", "WVP", "VISUAL")
+
+
+def scale_bands(df: DataFrame, bands: dict[str, str], scale: float = REFLECTANCE_SCALE, offset: Column | float = BOA_OFFSET, skip: tuple[str, ...] = NO_REFLECTANCE) -> DataFrame:
+    """``df`` with its reflectance columns as reflectances (float); ``bands`` names the band of each column. Layers of ``skip``, and columns without a band, stay as they are."""
+    own = {column: band for column, band in bands.items() if band not in skip and column in df.columns}
+    return df.withColumns({column: to_reflectance(F.col(column).cast("float"), F.lit(offset).cast("float") if not isinstance(offset, Column) else offset.cast("float"), F.lit(scale).cast("float")) for column in own})
+
+
+def item_params(assets: Column, baseline: Column) -> Column:
+    """scale and offset of a catalogue item: what its first reflectance asset says (``assets``: band, scale, offset), else what its processing baseline implies."""
+    told = F.get(F.filter(assets, lambda a: a["band"].isNotNull() & ~a["band"].isin(list(NO_REFLECTANCE)) & a["scale"].isNotNull()), 0)
+    return F.when(told.isNotNull(), F.struct(told["scale"].cast("double").alias("scale"), F.coalesce(told["offset"].cast("double"), F.lit(0.0)).alias("offset"))).otherwise(
+        F.struct(F.lit(REFLECTANCE_SCALE).alias("scale"), baseline_offset(baseline).alias("offset"))
+    )

@@ -107,3 +107,57 @@ def prompt_class(text: Column, prompts: list[tuple[str, str]], unknown: str = "u
     for p, label in reversed(prompts):
         out = F.when(t == p, label).otherwise(out)
     return out
+
+
+# Places of the tiles that annotated patches come from.
+SITES = {
+    "16PCC": "Motagua, Guatemala", "16PDC": "Ulua, Honduras", "16PEC": "La Ceiba, Honduras", "16QED": "Roatan, Honduras", "18QWF": "Haiti", "18QYF": "Haiti", "18QYG": "Haiti",
+    "19QDA": "Santo Domingo, Dominican Republic", "30VWH": "Scotland", "36JUN": "Durban, South Africa", "48MXU": "Jakarta, Indonesia", "48MYU": "Jakarta, Indonesia",
+    "48PZC": "Danang, Vietnam", "50LLR": "Bali, Indonesia", "51PTS": "Manila, Philippines", "51RVQ": "Yangtze, China", "52SDD": "Nakdong, South Korea",
+}
+
+
+def class_code(name: Column) -> Column:
+    """The code of an annotated class, from 1; an unknown name is an error."""
+    known = F.array_position(F.array(*[F.lit(n) for n, _ in CLASSES]), name).cast("int")
+    return F.when(known > 0, known).otherwise(F.raise_error(F.concat(F.lit("no annotated class "), F.coalesce(name, F.lit("")))).cast("int"))
+
+
+def roi_tile(roi: Column) -> Column:
+    """The tile of a patch name ``d-m-yy_TILE_n``."""
+    return F.split_part(roi, F.lit("_"), F.lit(2))
+
+
+def site(tile: Column) -> Column:
+    """The place of a patch's tile; the tile itself where none is known."""
+    return F.coalesce(_lookup(SITES, tile, None), tile)
+
+
+def tile_url_template(base: str, item_type: Column, item: Column) -> Column:
+    """``tile_url`` with {z}, {x} and {y} left open."""
+    return tile_url(base, item_type, item, F.lit("{z}"), F.lit("{x}"), F.lit("{y}"))
+
+
+def item(items: DataFrame, scene_id: str, collection: str | None = None) -> DataFrame:
+    """The item of that id; none raises."""
+    found = items.filter(F.col("scene_id") == scene_id)
+    found = found if collection is None else found.filter(F.col("collection") == collection)
+    if found.isEmpty():
+        raise LookupError(f"no item {scene_id}")
+    return found
+
+
+def scene_refs(items: DataFrame, endpoint: Column) -> DataFrame:
+    """scene_id, collection, datetime, platform, cloud_cover, source of catalogue items, with defaults where an item is silent."""
+    has = lambda c, default=None: F.coalesce(c, F.lit(default)) if c in items.columns else F.lit(default)
+    return items.select("scene_id", has("collection", "sentinel-2-l2a").alias("collection"), has("day").cast("string").alias("datetime"), has("platform").cast("string").alias("platform"), has("cloud").cast("double").alias("cloud_cover"), provider(endpoint).alias("source"))
+
+
+def parse_box(text: str) -> tuple[float, float, float, float]:
+    """west, south, east, north from a text, with commas or spaces between."""
+    parts = text.replace(" ", ",").split(",")
+    try:
+        west, south, east, north = (float(p) for p in parts if p.strip())
+    except ValueError as e:
+        raise ValueError(f"a box is west,south,east,north, got {text!r}") from e
+    return west, south, east, north

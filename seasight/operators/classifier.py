@@ -6,9 +6,11 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from seasight.operators.curves import permuted
+
 #: What a feature without data counts as: below any that has.
 MISSING = -9999.0
 
@@ -24,8 +26,8 @@ def fit(df: DataFrame, features: list[str], label: str = "label", trees: int = 6
     """Learns from all rows with a label; a class weighs as much as any other, however many rows it has."""
     d = _filled(df.filter(F.col(label).isNotNull()), features).withColumn("_label", F.col(label).cast("string"))
     sizes = d.groupBy("_label").agg(F.count("*").alias("_n"))  # a row per class
-    total = sizes.agg(F.sum("_n").alias("_all"), F.count("*").alias("_k"))
-    weights = sizes.crossJoin(total).select("_label", (F.col("_all") / (F.col("_k") * F.col("_n"))).alias("_weight"))
+    every = Window.partitionBy(F.lit(1))
+    weights = sizes.select("_label", (F.sum("_n").over(every) / (F.count("*").over(every) * F.col("_n"))).alias("_weight"))
     d = d.join(F.broadcast(weights), "_label")
     index = StringIndexer(inputCol="_label", outputCol="_index", stringOrderType="alphabetAsc").fit(d)
     forest = RandomForestClassifier(featuresCol="_features", labelCol="_index", weightCol="_weight", numTrees=trees, maxDepth=depth, seed=seed, predictionCol="_prediction", probabilityCol="_probability", rawPredictionCol="_raw")
@@ -67,3 +69,22 @@ def load(path: str, features: list[str]) -> PipelineModel:
     if features_of(model) != list(features):
         raise ValueError("the model was fitted on other features")
     return model
+
+
+def importances(model: PipelineModel) -> list[tuple[str, float]]:
+    """Features with their share of the forest's gain, the most informative first; a value per feature."""
+    return sorted(zip(features_of(model), model.stages[2].featureImportances.toArray().tolist()), key=lambda x: (-x[1], x[0]))
+
+
+def permutation_importances(model: PipelineModel, df: DataFrame, key: str, label: str = "label") -> list[tuple[str, float]]:
+    """Features with what accuracy loses when their values are exchanged between rows, the most informative first; a value per feature."""
+    right = lambda d: predict(model, d).agg(F.avg((F.col("predicted") == F.col(label).cast("string")).cast("double"))).first()[0]
+    d = df.filter(F.col(label).isNotNull())
+    whole = right(d)
+    return sorted(((f, whole - right(permuted(d, f, key))) for f in features_of(model)), key=lambda x: (-x[1], x[0]))
+
+
+def confusion_counts(model: PipelineModel, df: DataFrame, label: str = "label") -> DataFrame:
+    """truth, pred, n on rows that the model hasn't seen."""
+    d = predict(model, df.filter(F.col(label).isNotNull()))
+    return d.groupBy(F.col(label).cast("string").alias("truth"), F.col("predicted").alias("pred")).agg(F.count("*").alias("n"))

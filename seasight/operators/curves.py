@@ -43,3 +43,28 @@ def class_report(counts: DataFrame) -> DataFrame:
     zero = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))
     c = F.col
     return d.select("label", "support", zero(c("tp"), c("n_pred")).alias("precision"), zero(c("tp"), c("support")).alias("recall"), zero(2 * c("tp"), c("n_pred") + c("support")).alias("f1"))
+
+
+def overall(counts: DataFrame) -> DataFrame:
+    """One row: n, accuracy, macro_f1 of counts n by (truth, pred); macro over the labels of either side."""
+    c = F.col
+    t = counts.groupBy(c("truth").alias("label")).agg(F.sum("n").alias("support"), F.sum(F.when(c("truth") == c("pred"), c("n")).otherwise(0)).alias("tp"))
+    p = counts.groupBy(c("pred").alias("label")).agg(F.sum("n").alias("n_pred"))
+    both = t.join(p, "label", "full").na.fill(0, ["support", "tp", "n_pred"])
+    return both.agg(F.sum("support").alias("n"), F.try_divide(F.sum("tp"), F.sum("support")).alias("accuracy"), F.avg(F.when(c("n_pred") + c("support") > 0, 2 * c("tp") / (c("n_pred") + c("support"))).otherwise(0.0)).alias("macro_f1"))
+
+
+def best_threshold(rows: DataFrame, bands: int = 256) -> DataFrame:
+    """One row: threshold, precision, recall, f1 of the best F1 over the scores of (id, pos, score); of equal ones the highest threshold."""
+    c = F.col
+    scored = running(rows, bands).withColumn("f1", 2 * c("tp") / (c("n") + c("n_pos")))
+    best = scored.agg(F.max_by(F.struct("score", "tp", "n", "n_pos", "f1"), F.struct("f1", "score")).alias("b"))
+    return best.select(c("b.score").alias("threshold"), (c("b.tp") / c("b.n")).alias("precision"), (c("b.tp") / c("b.n_pos")).alias("recall"), c("b.f1").alias("f1"))
+
+
+def permuted(df: DataFrame, feature: str, key: str, buckets: int = 64, seed: int = 7) -> DataFrame:
+    """``df`` with the feature's values exchanged between rows at random, within ``buckets`` parts of the rows."""
+    part = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(buckets))
+    w = Window.partitionBy(part).orderBy(F.xxhash64(F.col(key).cast("string"), F.lit(seed)), key)
+    every = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return df.withColumn(feature, F.coalesce(F.lag(feature).over(w), F.last(feature).over(every)))

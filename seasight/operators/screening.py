@@ -61,14 +61,14 @@ def regions(px: DataFrame, mask: str = "candidate", connectivity: int = 8, least
 
 
 def screen(px: DataFrame, percentile: float = 0.999, tile: list[str] = TILE) -> DataFrame:
-    """tile, n_pixels, threshold, candidate_pixels, n_regions, accepted, reason: one row per tile."""
+    """tile, n_pixels, threshold, candidate_pixels, candidate_fraction, n_regions, accepted, reason: one row per tile."""
     p = candidates(px, percentile, tile=tile)
     counts = p.groupBy(*tile).agg(F.count("*").alias("n_pixels"), F.first("threshold").alias("threshold"), F.count_if("candidate").alias("candidate_pixels"))
     few = counts.filter(F.col("candidate_pixels") >= MIN_CANDIDATES).select(*tile)
     found = regions(p.join(few, tile, "left_semi"), least=MIN_REGION, tile=tile).groupBy(*tile).agg(F.count("*").alias("n_regions"))
     out = counts.join(found, tile, "left").withColumn("n_regions", F.coalesce("n_regions", F.lit(0)))
     reason = F.when(F.col("candidate_pixels") < MIN_CANDIDATES, "too few candidate pixels").when(F.col("n_regions") == 0, "no region large enough").otherwise("candidate region")
-    return out.withColumns({"accepted": F.col("n_regions") > 0, "reason": reason})
+    return out.withColumns({"candidate_fraction": F.col("candidate_pixels") / F.col("n_pixels"), "accepted": F.col("n_regions") > 0, "reason": reason})
 
 
 def summary(tiles: DataFrame) -> DataFrame:
@@ -79,11 +79,11 @@ def summary(tiles: DataFrame) -> DataFrame:
 
 
 def index_stats(px: DataFrame, names: list[str]) -> DataFrame:
-    """index, mean, p50, p99, water_p99: over the pixels that have data."""
+    """index, mean, p50, p99, p999, water_p99: over the pixels that have data."""
     p = px.withColumns({n: INDICES[n][1]() for n in names}).withColumn("water", water_mask())
     long = p.select("water", F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).alias("v")) for n in names])).alias("x")).select("water", F.col("x.name").alias("index"), "x.v")
     out = long.groupBy("index").agg(F.avg("v").alias("mean"))
-    for part in (percentiles(long, "v", {"p50": 0.5, "p99": 0.99}, ("index",)), percentiles(long.filter("water"), "v", {"water_p99": 0.99}, ("index",))):
+    for part in (percentiles(long, "v", {"p50": 0.5, "p99": 0.99, "p999": 0.999}, ("index",)), percentiles(long.filter("water"), "v", {"water_p99": 0.99}, ("index",))):
         out = out.join(part, "index", "left")  # a row per index
     return out
 

@@ -14,42 +14,6 @@ from seasight.views import view
 c = F.col
 
 
-@query("regrid_bilinear", f"""WITH k AS (SELECT * FROM (VALUES (-1, 0.25e0), (0, 0.75e0), (1, 0.75e0), (2, 0.25e0)) AS k(d, w)),
-o AS (SELECT r * 2 + a.d AS r2, c * 2 + b.d AS c2, nir, a.w * b.w AS w FROM px, k a, k b WHERE nir IS NOT NULL)
-SELECT r2, c2, floor(sum(nir * w) / sum(w) * 1e11 + 0.5e0) / 1e11 AS nir FROM o GROUP BY r2, c2""")
-def regrid_bilinear(spark, sf):
-    """To half the pixel size: a pixel gives its weight to the sixteen that it reaches, no data gives none. Sixteenths end before the last digit kept."""
-    near = lambda: F.explode(F.array(*[F.struct(F.lit(d).alias("d"), F.lit(w).alias("w")) for d, w in ((-1, 0.25), (0, 0.75), (1, 0.75), (2, 0.25))]))
-    p = view(spark, sf, "px").filter("nir is not null").select("r", "c", "nir").withColumn("a", near()).withColumn("b", near())
-    o = p.select((c("r") * 2 + c("a.d")).alias("r2"), (c("c") * 2 + c("b.d")).alias("c2"), "nir", (c("a.w") * c("b.w")).alias("w"))
-    return o.groupBy("r2", "c2").agg((F.floor(F.sum(c("nir") * c("w")) / F.sum("w") * 1e11 + 0.5) / 1e11).alias("nir"))
-
-
-@query("stretch_joint", "WITH u AS (SELECT red AS v FROM px UNION ALL SELECT green FROM px), q AS (SELECT quantile_cont(v, 0.02e0) AS lo, quantile_cont(v, 0.98e0) AS hi FROM u) SELECT pid, CAST(floor(least(greatest((red - lo) / (hi - lo), 0), 1) * 255) AS INT) AS red8, CAST(floor(least(greatest((green - lo) / (hi - lo), 0), 1) * 255) AS INT) AS green8 FROM px, q")
-def stretch_joint(spark, sf):
-    """One stretch for all channels, cut down to whole numbers."""
-    px = view(spark, sf, "px")
-    u = px.select(F.explode(F.array("red", "green")).alias("v"))
-    q = percentiles(u, "v", {"lo": 0.02, "hi": 0.98})
-    to8 = lambda b: F.floor(F.least(F.greatest((c(b) - c("lo")) / (c("hi") - c("lo")), F.lit(0.0)), F.lit(1.0)) * 255).cast("int").alias(f"{b}8")
-    return px.select("pid", "red", "green").crossJoin(F.broadcast(q)).select("pid", to8("red"), to8("green"))
-
-
-@query("clean_vs_naive_threshold", f"WITH f AS (SELECT {_FDI} AS fdi, {_WATER} AND NOT {_CLOUD} AS clean FROM px) SELECT {s6('quantile_cont(fdi, 0.999e0) FILTER (WHERE clean)')} AS clean, {s6('quantile_cont(fdi, 0.999e0)')} AS naive FROM f")
-def clean_vs_naive_threshold(spark, sf):
-    f = view(spark, sf, "px").select(spectral.INDICES["fdi"][1]().alias("fdi"), (spectral.water_mask() & ~spectral.cloud_mask()).alias("clean"))
-    one = lambda rows, n: percentiles(rows, "fdi", {n: 0.999}).select(r6(c(n)).alias(n))
-    return one(f.filter("clean"), "clean").crossJoin(one(f, "naive"))  # one row each
-
-
-@query("crop_boxes", """WITH m AS (SELECT tr, tc, greatest(min(c) - 30, 0) AS x0, least(max(c) + 31, 100) AS x1, greatest(min(r) - 30, 0) AS y0, max(r) + 31 AS y1 FROM px WHERE scl = 9 GROUP BY tr, tc)
-SELECT tr, tc, greatest(least(x0, x1 - 55), 0) AS x0, x1, greatest(least(y0, y1 - 110), 0) AS y0, y1 FROM m""")
-def crop_boxes(spark, sf):
-    """A padded box of at least 55 by 110 pixels around each tile's cloud, inside the scene."""
-    m = view(spark, sf, "px").filter("scl = 9").groupBy("tr", "tc").agg(F.greatest(F.min("c") - 30, F.lit(0)).alias("x0"), F.least(F.max("c") + 31, F.lit(100)).alias("x1"), F.greatest(F.min("r") - 30, F.lit(0)).alias("y0"), (F.max("r") + 31).alias("y1"))
-    return m.select("tr", "tc", F.greatest(F.least("x0", c("x1") - 55), F.lit(0)).alias("x0"), "x1", F.greatest(F.least("y0", c("y1") - 110), F.lit(0)).alias("y0"), "y1")
-
-
 @query("match_counts", _MATCH + " SELECT image, count(*) AS n_pred, count(m.det_id) AS tp, count(*) - count(m.det_id) AS fp FROM dets LEFT JOIN m USING (det_id) GROUP BY image")
 def match_counts(spark, sf):
     d, _, m = _match(spark, sf)
@@ -184,15 +148,10 @@ def false_alarms_from(spark, sf):
     return _spectra(spark, sf).filter(c("pred").isin(3, 4) & ~c("truth").isin(3, 4)).groupBy("truth").agg(F.count("*").alias("n"))
 
 
-@query("agreement_annotated", f"WITH x AS ({_SPECTRA}) SELECT count(*) AS n, {s6('avg(CASE WHEN pred = truth THEN 1e0 ELSE 0e0 END)')} AS agreement FROM x WHERE truth > 0")
-def agreement_annotated(spark, sf):
-    return _spectra(spark, sf).filter("truth > 0").agg(F.count("*").alias("n"), r6(F.avg((c("pred") == c("truth")).cast("double"))).alias("agreement"))
-
-
 @query("forest_predict")
 def forest_predict(spark, sf):
     """No SQL: the tests hold its held-out accuracy. Learns from two thirds of the rows, predicts all."""
-    names = [f"f{i}" for i in range(16)]
+    names = [f"f{i}" for i in range(64)]
     e = _table(spark, sf, "embeddings").filter("embedding is not null").select("vec_id", "label", *[F.get("embedding", i).alias(n) for i, n in enumerate(names)])
     model = classifier.fit(e.filter("vec_id % 3 <> 1"), names, trees=20, depth=8)
     return classifier.predict(model, e).select("vec_id", "label", "predicted")

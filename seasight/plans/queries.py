@@ -134,9 +134,9 @@ v AS (SELECT s.tr, s.tc, candidate_pixels, CASE WHEN candidate_pixels < 4 THEN 0
 )
 
 
-@query("screen_verdicts", _VERDICTS + "SELECT tr, tc, candidate_pixels, n_regions, n_regions > 0 AS accepted, CASE WHEN candidate_pixels < 4 THEN 'too few candidate pixels' WHEN n_regions = 0 THEN 'no region large enough' ELSE 'candidate region' END AS reason FROM v")
+@query("screen_verdicts", _VERDICTS + "SELECT tr, tc, candidate_pixels, n_regions, n_regions > 0 AS accepted, CASE WHEN candidate_pixels < 4 THEN 'too few candidate pixels' WHEN n_regions = 0 THEN 'no region large enough' ELSE 'candidate region' END AS reason, " + s6("candidate_pixels / n_pixels") + " AS candidate_fraction FROM v JOIN (SELECT tr, tc, count(*) AS n_pixels FROM px GROUP BY tr, tc) USING (tr, tc)")
 def screen_verdicts(spark, sf):
-    return screening.screen(view(spark, sf, "px"), 0.95).select("tr", "tc", "candidate_pixels", "n_regions", "accepted", "reason")
+    return screening.screen(view(spark, sf, "px"), 0.95).select("tr", "tc", "candidate_pixels", "n_regions", "accepted", "reason", r6(F.col("candidate_fraction")).alias("candidate_fraction"))
 
 
 @query("screen_summary", _VERDICTS + "SELECT count(*) AS n_tiles, count(*) FILTER (WHERE n_regions > 0) AS n_accepted, round_even(count(*) FILTER (WHERE n_regions > 0) / count(*), 4) AS accept_rate, round_even(1 - count(*) FILTER (WHERE n_regions > 0) / count(*), 4) AS work_avoided, CAST(sum(candidate_pixels) AS BIGINT) AS candidate_pixels FROM v")
@@ -146,45 +146,19 @@ def screen_summary(spark, sf):
 
 @query(
     "index_stats",
-    "WITH u AS (" + " UNION ALL ".join(f"SELECT '{n}' AS \"index\", {INDEX_SQL[n]} AS v, {_WATER} AS water FROM px" for n in ("fdi", "ndvi", "ndwi")) + f") SELECT \"index\", {s6('avg(v)')} AS mean, {s6('quantile_cont(v, 0.5e0)')} AS p50, {s6('quantile_cont(v, 0.99e0)')} AS p99, {s6('quantile_cont(v, 0.99e0) FILTER (WHERE water)')} AS water_p99 FROM u GROUP BY 1",
+    "WITH u AS (" + " UNION ALL ".join(f"SELECT '{n}' AS \"index\", {INDEX_SQL[n]} AS v, {_WATER} AS water FROM px" for n in ("fdi", "ndvi", "ndwi")) + f") SELECT \"index\", {s6('avg(v)')} AS mean, {s6('quantile_cont(v, 0.5e0)')} AS p50, {s6('quantile_cont(v, 0.99e0)')} AS p99, {s6('quantile_cont(v, 0.999e0)')} AS p999, {s6('quantile_cont(v, 0.99e0) FILTER (WHERE water)')} AS water_p99 FROM u GROUP BY 1",
 )
 def index_stats(spark, sf):
     s = screening.index_stats(view(spark, sf, "px"), ["fdi", "ndvi", "ndwi"])
-    return s.select("index", *[r6(F.col(c)).alias(c) for c in ("mean", "p50", "p99", "water_p99")])
+    return s.select("index", *[r6(F.col(c)).alias(c) for c in ("mean", "p50", "p99", "p999", "water_p99")])
 
 
 @query("fixed_vs_adaptive", f"WITH f AS (SELECT {_FDI} AS fdi, {_WATER} AND NOT {_CLOUD} AS clean FROM px), w AS (SELECT fdi FROM f WHERE clean AND fdi IS NOT NULL), t AS (SELECT greatest(0.006e0, quantile_cont(fdi, 0.999e0)) AS t FROM w) SELECT count(*) AS n, count(*) FILTER (WHERE fdi > 0.006e0) AS over_fixed, count(*) FILTER (WHERE fdi > t) AS over_adaptive, {s6('min(t)')} AS threshold FROM w, t")
 def fixed_vs_adaptive(spark, sf):
     w = view(spark, sf, "px").withColumns({"fdi": spectral.INDICES["fdi"][1](), "clean": spectral.water_mask() & ~spectral.cloud_mask()}).filter("clean and fdi is not null")
-    t = percentiles(w, "fdi", {"p": 0.999}).select(F.greatest(F.lit(spectral.FDI_THRESHOLD), F.coalesce("p", F.lit(spectral.FDI_THRESHOLD))).alias("t"))
-    return w.select("fdi").crossJoin(F.broadcast(t)).agg(F.count("*").alias("n"), F.count_if(F.col("fdi") > 0.006).alias("over_fixed"), F.count_if(F.col("fdi") > F.col("t")).alias("over_adaptive"), r6(F.min("t")).alias("threshold"))
-
-
-@query("fdi_histogram", f"WITH f AS (SELECT {_FDI} AS fdi FROM px WHERE {_WATER}), b AS (SELECT CAST(floor(fdi / 0.002e0) AS BIGINT) AS bin FROM f WHERE fdi IS NOT NULL) SELECT bin, count(*) AS n FROM b GROUP BY bin")
-def fdi_histogram(spark, sf):
-    f = view(spark, sf, "px").filter(spectral.water_mask()).select(spectral.INDICES["fdi"][1]().alias("fdi")).filter("fdi is not null")
-    return f.groupBy(F.floor(F.col("fdi") / 0.002).alias("bin")).agg(F.count("*").alias("n"))
-
-
-@query("rgb_stretch", "WITH q AS (SELECT quantile_cont(red, 0.02e0) AS lo, quantile_cont(red, 0.98e0) AS hi FROM px) SELECT pid, CAST(round_even(least(greatest((red - lo) / (hi - lo), 0), 1) * 255, 0) AS INT) AS red8, CAST(floor(least(greatest(red / 0.02e0, 0), 1) * 255) AS INT) AS linear8 FROM px, q")
-def rgb_stretch(spark, sf):
-    px = view(spark, sf, "px")
-    q = percentiles(px, "red", {"lo": 0.02, "hi": 0.98})
-    unit = lambda c: F.least(F.greatest(c, F.lit(0.0)), F.lit(1.0))
-    return px.crossJoin(F.broadcast(q)).select("pid", F.rint(unit((F.col("red") - F.col("lo")) / (F.col("hi") - F.col("lo"))) * 255).cast("int").alias("red8"), F.floor(unit(F.col("red") / 0.02) * 255).cast("int").alias("linear8"))
-
-
-@query("regrid_nearest", "SELECT CAST(floor(r / 2.0e0) AS BIGINT) AS r2, CAST(floor(c / 2.0e0) AS BIGINT) AS c2, count(*) AS n, min(pid) AS first_pid, count(nir) AS n_data FROM px GROUP BY 1, 2")
-def regrid_nearest(spark, sf):
-    return view(spark, sf, "px").groupBy(F.floor(F.col("r") / 2).alias("r2"), F.floor(F.col("c") / 2).alias("c2")).agg(F.count("*").alias("n"), F.min("pid").alias("first_pid"), F.count("nir").alias("n_data"))
-
-
-@query("windows_for_raster", """WITH e AS (SELECT c_custkey, 100 + c_custkey % 900 AS w FROM customer), s AS (SELECT c_custkey, w, unnest(range(0, CASE WHEN w <= 256 THEN 1 ELSE w - 256 + 1 END, 224)) AS x FROM e),
-a AS (SELECT * FROM s UNION SELECT c_custkey, w, max(x) + 224 FROM s GROUP BY c_custkey, w HAVING max(x) + 256 < w) SELECT c_custkey, x, least(256, w - x) AS size FROM a""")
-def windows_for_raster(spark, sf):
-    e = _table(spark, sf, "customer").select("c_custkey", (100 + F.col("c_custkey") % 900).alias("w"))
-    x = F.explode(F.expr("sequence(0L, greatest(0L, cast(ceil((w - 256) / 224) as bigint) * 224), 224L)"))
-    return e.withColumn("x", x).select("c_custkey", "x", F.least(F.lit(256), F.col("w") - F.col("x")).alias("size"))
+    p = percentiles(w, "fdi", {"p": 0.999}).first()["p"]
+    t = max(spectral.FDI_THRESHOLD, p if p is not None else spectral.FDI_THRESHOLD)
+    return w.agg(F.count("*").alias("n"), F.count_if(F.col("fdi") > 0.006).alias("over_fixed"), F.count_if(F.col("fdi") > t).alias("over_adaptive"), r6(F.lit(t)).alias("threshold"))
 
 
 _LONLAT = "c_custkey % 360 - 180 + 0.25e0 AS lon, c_custkey % 170 - 85 + 0.25e0 AS lat"
@@ -208,14 +182,6 @@ def tile_bounds(spark, sf):
     return _table(spark, sf, "part").select("p_partkey", *[r6(e).alias(n) for n, e in out.items()])
 
 
-@query("parse_tile_name", "SELECT p_partkey, p_partkey % 1024 AS x, p_partkey * 7 % 1024 AS y, 10 AS z FROM part")
-def parse_tile_name(spark, sf):
-    k = F.col("p_partkey")
-    name = F.concat(F.lit("tiles/a-"), k % 1024, F.lit("-"), k * 7 % 1024, F.lit("-10.png"))
-    part = lambda i, t: F.regexp_extract(name, r"(\d+)-(\d+)-(\d+)(?:\.[^./]*)?$", i).cast(t)
-    return _table(spark, sf, "part").select("p_partkey", part(1, "long").alias("x"), part(2, "long").alias("y"), part(3, "int").alias("z"))
-
-
 @query("utm_zone", f"WITH p AS (SELECT c_custkey, {_LONLAT} FROM customer) SELECT c_custkey, CAST(least(greatest(floor((lon + 180) / 6) + 1, 1), 60) AS BIGINT) + CASE WHEN lat >= 0 THEN 32600 ELSE 32700 END AS epsg FROM p")
 def utm_zone(spark, sf):
     return _places(spark, sf).select("c_custkey", geo.utm_epsg(F.col("lon"), F.col("lat")).alias("epsg"))
@@ -405,44 +371,6 @@ def class_report(spark, sf):
     return curves.class_report(k).select("label", "support", r6(F.col("precision")).alias("precision"), r6(F.col("recall")).alias("recall"))
 
 
-@query("class_balance", f"WITH x AS ({_SPECTRA}) SELECT truth, count(*) AS n, {s6('count(*) / (SELECT count(*) FROM x)')} AS share, count(*) FILTER (WHERE pred <> truth) AS missed FROM x GROUP BY truth")
-def class_balance(spark, sf):
-    x = _spectra(spark, sf)
-    total = x.agg(F.count("*").alias("total"))
-    return x.crossJoin(F.broadcast(total)).groupBy("truth").agg(F.count("*").alias("n"), r6(F.count("*") / F.first("total")).alias("share"), F.count_if(F.col("pred") != F.col("truth")).alias("missed"))
-
-
-@query("num2deg", f"SELECT p_partkey, {s6('(p_partkey % 1024) / 1024.0e0 * 360 - 180')} AS lon, {s6('degrees(atan(sinh(pi() * (1 - 2 * (p_partkey % 1024) / 1024.0e0))))')} AS lat FROM part")
-def num2deg(spark, sf):
-    k, z = F.col("p_partkey") % 1024, F.lit(10)
-    return _table(spark, sf, "part").select("p_partkey", r6(geo.tile_lon(k, z)).alias("lon"), r6(geo.tile_lat(k, z)).alias("lat"))
-
-
-@query("xyz_tiles", """WITH b AS (SELECT n_nationkey, CAST(floor((n_nationkey * 10 - 120 + 180) / 360e0 * 64) AS BIGINT) AS x0, CAST(floor((n_nationkey * 10 - 110 + 180) / 360e0 * 64) AS BIGINT) AS x1 FROM nation)
-SELECT n_nationkey, unnest(range(x0, x1 + 1)) AS x FROM b""")
-def xyz_tiles(spark, sf):
-    lon = lambda d: geo.lon_tile((F.col("n_nationkey") * 10 + d).cast("double"), F.lit(6))
-    return _table(spark, sf, "nation").select("n_nationkey", F.explode(F.sequence(lon(-120), lon(-110))).alias("x"))
-
-
-@query("window_pixels", "SELECT tr, tc, wr, wc, count(*) AS n FROM (SELECT tr, tc, pid, unnest([CAST(floor(r / 20.0e0) AS BIGINT), CAST(floor((r - 5) / 20.0e0) AS BIGINT)]) AS wr, CAST(floor(c / 20.0e0) AS BIGINT) AS wc FROM px) GROUP BY ALL")
-def window_pixels(spark, sf):
-    """Pixels of overlapping windows: a pixel names its windows, none is crossed with all."""
-    wr = F.explode(F.array(F.floor(F.col("r") / 20), F.floor((F.col("r") - 5) / 20)))
-    return view(spark, sf, "px").select("tr", "tc", wr.alias("wr"), F.floor(F.col("c") / 20).alias("wc")).groupBy("tr", "tc", "wr", "wc").agg(F.count("*").alias("n"))
-
-
-@query("box_from_normalized", f"SELECT det_id, {s6('xmin / 1000 * 512')} AS xmin, {s6('ymax / 100 * 512')} AS ymax FROM dets")
-def box_from_normalized(spark, sf):
-    return view(spark, sf, "dets").select("det_id", r6(F.col("xmin") / 1000 * 512).alias("xmin"), r6(F.col("ymax") / 100 * 512).alias("ymax"))
-
-
-@query("targets_only", "SELECT det_id, label = 'marine_debris' AS is_target, label IN ('sargassum', 'wake', 'foam', 'sediment') AS is_confuser FROM dets WHERE label <> 'ship'")
-def targets_only(spark, sf):
-    l = F.col("label")
-    return view(spark, sf, "dets").filter(l != "ship").select("det_id", detections.is_target(l).alias("is_target"), detections.is_confuser(l).alias("is_confuser"))
-
-
 @query("export_min_score", "SELECT label, count(*) AS n FROM dets WHERE coalesce(score, 0) >= 0.25 GROUP BY label")
 def export_min_score(spark, sf):
     return view(spark, sf, "dets").filter(F.coalesce("score", F.lit(0.0)) >= 0.25).groupBy("label").agg(F.count("*").alias("n"))
