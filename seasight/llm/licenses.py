@@ -1,9 +1,10 @@
 """Licence scan with a positional index of rare template words.
 
-A document looks up its licence words of the highest inverse document
-frequency in an index of the templates' words and positions. Words of one
-template that stand as far apart in the document as in the template agree on
-where the template would start; there its mandatory phrases are verified.
+A document looks up, of every mandatory phrase, its words of the highest
+inverse document frequency in an index of the templates' words and positions.
+Places that all of a template's rare words agree on, as far apart in the
+document as in the template, are where it would start; only there are the
+mandatory phrases verified and the other words counted.
 """
 
 from __future__ import annotations
@@ -36,8 +37,8 @@ TEMPLATES = (
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 #: Template words too common to look up; they count in phrases only.
 COMMON = frozenset("a and any are by for in into is of or that the this to with".split())
-#: How many of its rarest licence words a document looks up in each template that has them; no template has more.
-RAREST = 12
+#: How many of the rarest words of each mandatory phrase are looked up; a phrase that is there has them, so that none is lost.
+RAREST = 2
 _NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _PHRASES = sorted({p for _, _, ps in TEMPLATES for p in ps} | {p for p, _ in BASE})
 
@@ -61,7 +62,7 @@ def _places(phrase: str, label: str) -> Column:
 
 
 def _rows(spark: SparkSession, names: str, rows: list[tuple]) -> DataFrame:
-    values = ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else str(x) for x in r) + ")" for r in rows)
+    values = ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else str(x).lower() for x in r) + ")" for r in rows)
     return spark.sql(f"SELECT * FROM VALUES {values} AS v({names})")
 
 
@@ -71,8 +72,10 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     places has the templates found: label, start (words, from 0) and score, the
     share of the template's inverse document frequency that was found there;
     score is the largest of them, else 0. labels adds the templates' labels to
-    the base phrases'. A null text counts as empty and has no words. Repeated
-    rows each count, ids may be null, and an empty table gives an empty result.
+    the base phrases'. Of words equally rare the first by name is looked up. A
+    null text counts as empty and has no words. Repeated rows each count, ids
+    may be null, other columns aren't looked at, and an empty table gives an
+    empty result.
     """
     spark = docs.sparkSession
     vocabulary = sorted({w for _, t, _ in TEMPLATES for w in t.split() if w not in COMMON} | {w for p in _PHRASES for w in p.split()})
@@ -83,31 +86,34 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     rows = rows.withColumn("base", F.flatten(F.array(*[_places(p, label) for p, label in BASE])))
 
     # tables of the templates, whose sizes are fixed by the constants above
-    postings = _rows(spark, "t, w, at", [(n, w, i) for n, (_, t, _) in enumerate(TEMPLATES) for i, w in enumerate(t.split()) if w not in COMMON])
-    must = _rows(spark, "t, phrase, at", [(n, p, _offset(t, p)) for n, (_, t, ps) in enumerate(TEMPLATES) for p in ps])
-    names = _rows(spark, "t, label, n_must", [(n, label, len(ps)) for n, (label, _, ps) in enumerate(TEMPLATES)])
-
-    some = rows.filter(F.size("hits") > 0)
-    found = some.select("row_no", F.explode("hits").alias("h")).select("row_no", "h.i", "h.w").filter(F.col("w").isin(sorted({w for _, t, _ in TEMPLATES for w in t.split() if w not in COMMON})))
-    df = found.groupBy("w").agg(F.count_distinct("row_no").alias("df"))
-    idf = df.select("w", F.log1p(F.lit(rows.count()) / F.col("df")).alias("idf"))
-    weighed = postings.join(idf, "w")
+    each = [(n, w, i, t, ps) for n, (_, t, ps) in enumerate(TEMPLATES) for i, w in enumerate(t.split())]
+    index = _rows(spark, "t, w, at, counts, must", [(n, w, i, w not in COMMON, any(_offset(t, p) <= i < _offset(t, p) + len(p.split()) for p in ps)) for n, w, i, t, ps in each])
+    phrases = _rows(spark, "t, phrase, w, at", [(n, p, w, _offset(t, p) + i) for n, (_, t, ps) in enumerate(TEMPLATES) for p in ps for i, w in enumerate(p.split()) if w not in COMMON])
+    names = _rows(spark, "t, label, n_must", [(n, label, len({_offset(t, p) + i for p in ps for i in range(len(p.split()))})) for n, (label, t, ps) in enumerate(TEMPLATES)])
+
+    found = rows.filter(F.size("hits") > 0).select("row_no", F.explode("hits").alias("h")).select("row_no", "h.i", "h.w")
+    df = found.filter(~F.col("w").isin(sorted(COMMON))).groupBy("w").agg(F.count_distinct("row_no").alias("df"))
+    # a row per licence word; a word that no document has is rarer than any
+    idf = cut(df.select("w", F.log1p(F.lit(rows.count()) / F.col("df")).alias("idf")))
+    weighed = index.join(idf, "w", "left").withColumn("idf", F.when(F.col("counts"), F.coalesce("idf", F.lit(0.0))).otherwise(0.0))
     total = weighed.groupBy("t").agg(F.sum("idf").alias("total"))
-    # ranked within a template, so that no template is lost to the words of others
-    by_idf = Window.partitionBy("row_no", "t").orderBy(F.desc("idf"), "w")
-    rare = found.join(F.broadcast(idf), "w").join(F.broadcast(postings), "w").withColumn("r", F.dense_rank().over(by_idf)).filter(F.col("r") <= RAREST)
-    votes = rare.groupBy("row_no", "t", (F.col("i") - F.col("at")).alias("start")).agg(F.sum("idf").alias("got"))
-
-    phrases = F.flatten(F.array(*[_places(p, p) for p in sorted({p for _, _, ps in TEMPLATES for p in ps})]))
-    seen = some.select("row_no", F.explode(phrases).alias("p")).select("row_no", "p.i", F.col("p.label").alias("phrase"))
-    firm = seen.join(F.broadcast(must), "phrase").groupBy("row_no", "t", (F.col("i") - F.col("at")).alias("start")).agg(F.count("*").alias("n_seen"))
+    by_idf = Window.partitionBy("t", "phrase").orderBy(F.coalesce("idf", F.lit(float("inf"))).desc(), "w", "at")
+    rare = cut(phrases.join(idf, "w", "left").withColumn("r", F.row_number().over(by_idf)).filter(F.col("r") <= RAREST).select("t", "w", "at").distinct())
+    agree = rare.groupBy("t").agg(F.count("*").alias("n_rare"))
+
+    # where all rare words of a template agree on its start
+    votes = found.join(F.broadcast(rare), "w").groupBy("row_no", "t", (F.col("i") - F.col("at")).alias("start")).agg(F.count("*").alias("n"))
+    starts = cut(votes.join(F.broadcast(agree), "t").filter("n = n_rare").select("row_no", "t", "start"))
+    # the words that should stand around each start, held against those that do
+    due = starts.join(F.broadcast(weighed), "t").select("row_no", "t", "start", (F.col("start") + F.col("at")).alias("i"), "w", "must", "idf")
+    there = found.join(starts.select("row_no").distinct(), "row_no", "left_semi")
+    seen = due.join(there, ["row_no", "i", "w"]).groupBy("row_no", "t", "start").agg(F.count_if("must").alias("n_seen"), F.sum("idf").alias("got"))
     places = (
-        votes.join(firm, ["row_no", "t", "start"])
-        .join(F.broadcast(names), "t")
+        seen.join(F.broadcast(names), "t")
         .join(F.broadcast(total), "t")
         .filter("n_seen = n_must")
         .groupBy("row_no")
-        .agg(F.array_sort(F.collect_list(F.struct("label", F.col("start").cast("long").alias("start"), F.least(F.col("got") / F.col("total"), F.lit(1.0)).alias("score")))).alias("places"))
+        .agg(F.array_sort(F.collect_list(F.struct("label", F.col("start").cast("long").alias("start"), F.coalesce(F.least(F.try_divide("got", "total"), F.lit(1.0)), F.lit(1.0)).alias("score")))).alias("places"))
     )
     at = F.transform("base", lambda b: b["i"].cast("long"))
     joined = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
