@@ -69,16 +69,33 @@ def windows(turns: DataFrame, stride: int = STRIDE, history: int = HISTORY, conv
     return w.select("conv_id", "window", F.array_join(F.transform("x", lambda x: x["piece"]), "").alias("formatted"), F.transform("x", lambda x: x["part"]).alias("parts"))
 
 
+def parse(formatted: Column) -> Column:
+    """role and text of every turn in a formatted window, by its control strings alone, unescaped."""
+    turns = F.split(formatted, F.lit(END.replace("|", r"\|")))
+    head = len(OPEN)
+
+    def turn(x: Column) -> Column:
+        close = F.instr(x, CLOSE)
+        return F.struct(unescape(F.substr(x, F.lit(head + 1), close - head - 1)).alias("role"), unescape(F.substr(x, close + len(CLOSE))).alias("text"))
+
+    return F.transform(F.filter(turns, lambda x: F.startswith(x, F.lit(OPEN))), turn)
+
+
 def read_back(formatted: DataFrame) -> DataFrame:
-    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars: what the windows say, unescaped."""
-    take = lambda at, size: unescape(F.substring("formatted", at + 1, size))
-    new = F.filter("parts", lambda p: p["new"])
-    w = formatted.select(
+    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars: what the windows say.
+
+    Turns are parsed from the formatted string; parts says which of them are
+    new, and where in the string the loss mask is.
+    """
+    masked = F.transform(F.filter("parts", lambda p: p["loss"]), lambda p: unescape(F.substring("formatted", p["text_at"] + 1, p["text_len"])))
+    read = formatted.select("conv_id", "window", "parts", "formatted", parse(F.col("formatted")).alias("read"))
+    new = F.filter("read", lambda x, i: F.get(F.col("parts"), i)["new"])
+    w = read.select(
         "conv_id",
         "window",
         F.size(new).cast("long").alias("n"),
-        F.array_join(F.transform(new, lambda p: F.concat(take(p["role_at"], p["role_len"]), F.lit("\n"), take(p["text_at"], p["text_len"]), F.lit("\n"))), "").alias("turns"),
-        F.array_join(F.transform(F.filter("parts", lambda p: p["loss"]), lambda p: take(p["text_at"], p["text_len"])), "").alias("loss"),
+        F.array_join(F.transform(new, lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "").alias("turns"),
+        F.array_join(masked, "").alias("loss"),
         F.length("formatted").cast("long").alias("chars"),
     )
     c = w.groupBy("conv_id").agg(F.sum("n").alias("n_turns"), F.array_sort(F.collect_list(F.struct("window", "turns", "loss"))).alias("x"), F.sum("chars").alias("formatted_chars"))
