@@ -1,10 +1,11 @@
 """Exact dedup by content-defined chunk recipes.
 
 Every text is cut where a rolling hash of its UTF-8 bytes says so. Only chunk
-digests leave the task that read the text: a short key, and a strong digest
-that tells apart chunks whose short keys collide. The distinct (key, digest)
-pairs are numbered per key, which makes them verified identifiers; a text is
-then its ordered list of identifiers, and texts are equal when their lists are.
+digests leave the task that read the text: a short key, and the chunk's length
+with a strong digest of another kind, which tell apart chunks whose short keys
+collide. The distinct chunks are numbered per key, which makes them verified
+identifiers; a text is then its ordered list of identifiers, and texts are equal
+when their lists are.
 """
 
 from __future__ import annotations
@@ -66,7 +67,7 @@ def _recipes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for end in chunk_ends(data):
                 part = data[start:end]
                 k.append(_signed(xxh64_intdigest(part)))
-                d.append(hashlib.blake2b(part, digest_size=16).digest())
+                d.append(hashlib.blake2b(part, digest_size=16).digest() + len(part).to_bytes(4, "big"))
                 start = end
             keys.append(k)
             digests.append(d)
