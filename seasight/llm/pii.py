@@ -1,6 +1,8 @@
 """Personal data, and information-theoretic sanitisation of what gives it away.
 
-Emails, IP addresses, card and phone numbers are found by pattern. Words near
+Emails, IP addresses, card and phone numbers are found by pattern, and so are
+secrets: long values without a word's regularity, alone or after a name that
+says what they are. Words near
 them are then held against the whole corpus: a word gives an entity (one value,
 or its whole kind) away as far as seeing it makes that entity less surprising,
 their pointwise mutual information. If that is ``alpha`` of the entity's own
@@ -10,10 +12,12 @@ word's places supports, the word is disclosing, and all its places become spans.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from math import log2
 
 import numpy as np
 import pandas as pd
@@ -22,25 +26,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from seasight.llm.common import cut, table
+from seasight.llm.common import cut, free_name, pieces, table
 
-KINDS = ("email", "ip", "card", "phone")
+#: Kinds of personal data; the first BASE have a fixed pattern each.
+KINDS, BASE = ("email", "ip", "card", "phone", "secret"), 4
 TERM = "term"
 #: Words before and after personal data that are held to be near it.
 NEAR = 5
 #: Share of an entity's information content that a word may give away, and the deviations of the lower bound (Wilson's, one-sided 95 %) on it.
 ALPHA, DEVIATIONS = 0.9, 1.645
-#: What a word's places are counted under: 0 to 3 is a kind, ALL every place, and a value is below zero.
+#: What a word's places are counted under: below ALL is a kind, ALL every place, and a value is below zero.
 ALL = len(KINDS)
 #: Bits, and bits of Spark's bitmap buckets, of the filters that the second pass looks words up in; a join then decides.
 _BITS, _BUCKET = 1 << 26, 1 << 15
-_LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
+_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[0-9]")
 _WORD = re.compile(r"[^\W\d_]{3,}")
+#: Values after a name that promises a secret, hexadecimal runs, and keys that name themselves.
+_NAMED = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{0,40}(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|(?:access|private|auth)[_-]?key|credential)[A-Za-z0-9_-]{0,40}[\"']?\s{0,8}(?::=|=>|=|:)\s{0,8}[\"']?([A-Za-z0-9+/_.~-]{12,}={0,2})", re.I)
+_HEX = re.compile(r"(?<![A-Za-z0-9])[0-9A-Fa-f]{32,}(?![A-Za-z0-9])")
+_KEY = re.compile(r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9_-]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,})(?![A-Za-z0-9])")
+#: A secret has letters and digits, and this many bits of information by its own letters' frequencies.
+LEAST_BITS = 32.0
 
 
 def luhn(digits: str) -> bool:
@@ -55,12 +66,14 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) by start, then kind as listed: leftmost, non-overlapping per kind, failing matches dropped."""
     out, last = [], 0
     for m in _DOMAIN.finditer(text):  # the local part is what stands before, in one run, and not in the match before
-        at = last + len(text[last : m.start()].rstrip(_LOCAL))
+        at = m.start()
+        while at > last and text[at - 1] in _LOCAL:
+            at -= 1
         if at < m.start():
             out.append((at, 0, m.end()))
             last = m.end()
     for m in _IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+        if all(len(p) <= 3 and int(p or 0) <= 255 for p in (p.lstrip("0") for p in m[0].split("."))):
             out.append((m.start(), 1, m.end()))
     for m in _CARD.finditer(text):
         digits = m[0].replace(" ", "").replace("-", "")
@@ -72,18 +85,46 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return [(KINDS[k], s, e) for s, k, e in sorted(out)]
 
 
-def near_words(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[int, int, str, str, int]]:
-    """(start, end, word, kind, entity) of up to NEAR words on either side of each span, however far; words inside any span don't count."""
-    out, free, i, upto = set(), [], 0, 0
+def bits(value: str) -> float:
+    """Information of a string by the frequencies of its own characters."""
+    n = len(value)
+    return -sum(c * log2(c / n) for c in Counter(value).values())
+
+
+def all_spans(text: str) -> list[tuple[str, int, int]]:
+    """``base_spans``, and secrets that don't overlap any of them or each other."""
+    out = [(s, KINDS.index(k), e) for k, s, e in base_spans(text)]
+    found = [m.span(1) for m in _NAMED.finditer(text)] if "=" in text or ":" in text else []
+    found += [m.span() for p in (_HEX, _KEY) for m in p.finditer(text)]
+    taken, upto, i, own = sorted((s, e) for s, _, e in out), 0, 0, []
+    for s, e in sorted(found, key=lambda x: (x[0], -x[1])):
+        while i < len(taken) and taken[i][0] < e:
+            upto = max(upto, taken[i][1])
+            i += 1
+        value = text[s:e]
+        if s >= upto and re.search("[A-Za-z]", value) and re.search("[0-9]", value) and bits(value) >= LEAST_BITS:
+            own.append((s, KINDS.index("secret"), e))
+            upto = e
+    return [(KINDS[k], s, e) for s, k, e in sorted(out + own)]
+
+
+def free_words(text: str, spans: list[tuple[str, int, int]]) -> Iterator[re.Match]:
+    """The text's words that no span touches; spans come by start."""
+    i, upto = 0, 0
     for m in _WORD.finditer(text):
         while i < len(spans) and spans[i][1] < m.end():
             upto = max(upto, spans[i][2])
             i += 1
         if m.start() >= upto:
-            free.append((m.start(), m.end(), m[0].lower()))
+            yield m
+
+
+def near_words(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[int, int, str, str, int]]:
+    """(start, end, word, kind, entity) of up to NEAR words on either side of each span, however far; words inside any span don't count."""
+    out, free = set(), [(m.start(), m.end(), m[0].lower()) for m in free_words(text, spans)]
     for kind, s, e in spans:
-        at = bisect_left(free, (s,))
-        out.update((*x, kind, entity(kind, text[s:e])) for x in free[max(0, at - NEAR) : at + NEAR])
+        at, own = bisect_left(free, (s,)), entity(kind, text[s:e])
+        out.update((*x, kind, own) for x in free[max(0, at - NEAR) : at + NEAR])
     return sorted(out)
 
 
@@ -93,8 +134,8 @@ def _id(word: str) -> int:
 
 
 def entity(kind: str, value: str) -> int:
-    """Hash, below zero, of the normalised value: of an email in lower case, of an IP address its numbers, of the others their digits."""
-    value = value.lower() if kind == "email" else ".".join(str(int(x)) for x in value.split(".")) if kind == "ip" else "".join(_DIGITS.findall(value))
+    """Hash, below zero, of the normalised value: of an email in lower case, of an IP address its numbers, of a secret itself, of the others their digits."""
+    value = value.lower() if kind == "email" else ".".join(x.lstrip("0") or "0" for x in value.split(".")) if kind == "ip" else value if kind == "secret" else "".join(_DIGITS.findall(value))
     return -1 - (_id(f"{kind}:{value}") & (1 << 63) - 1)
 
 
@@ -105,7 +146,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for value in b.column("text"):
             text = value.as_py() or ""
             raw.update(_WORD.findall(text))
-            own = base_spans(text)
+            own = all_spans(text)
             if own:
                 near = near_words(text, own)
                 counts.update((w, x) for _, w, x in {(s, w, x) for s, _, w, k, v in near for x in (KINDS.index(k), v)})
@@ -136,13 +177,27 @@ def _held(bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return (bits[at >> 3] >> (at & 7)) & 1 > 0
 
 
+def sanitised(text: str, spans: list[tuple[int, int, int]]) -> str:
+    """The text with spans (start, kind, end) generalised: personal data to its kind, disclosing words to dots."""
+    out, last = [], 0
+    for s, k, e in sorted(spans):
+        if s >= last:
+            out += [text[last:s], f"[{KINDS[k]}]" if k < len(KINDS) else "[...]"]
+        last = max(last, e)
+    return "".join([*out, text[last:]])
+
+
+def _sha(text: str) -> str:
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
 def _read(near_bits, all_bits):
-    """Of a text: its spans, and the places of words that may be disclosing: those near a span, and those with places elsewhere."""
+    """Of a text: its spans, the places of words that may be disclosing (those near a span, and those with places elsewhere), and the digest of the sanitised text, or the text where such words are left to judge."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             texts = [x.as_py() or "" for x in b.column("text")]
-            owns = [base_spans(t) for t in texts]
+            owns = [all_spans(t) for t in texts]
             known = list({w for t in texts for w in _WORD.findall(t)})
             ids = np.array([_id(w.lower()) for w in known], np.int64)
             beside, anywhere = ({known[i]: int(ids[i]) for i in np.flatnonzero(_held(x.value, ids))} for x in (near_bits, all_bits))
@@ -154,12 +209,17 @@ def _read(near_bits, all_bits):
                         if text[s:e] in beside:
                             places.setdefault(beside[text[s:e]], []).append((s, e))
                 if anywhere and not anywhere.keys().isdisjoint(_WORD.findall(text)):
-                    for m in _WORD.finditer(text):
-                        if m[0] in anywhere and not any(s < m.end() and e > m.start() for _, s, e in own):
+                    for m in free_words(text, own):
+                        if m[0] in anywhere:
                             places.setdefault(anywhere[m[0]], []).append(m.span())
                 words.append([{"word": w, "places": [{"start": s, "end": e} for s, e in sorted(set(x))]} for w, x in places.items()])
-            spans = [[{"start": s, "kind": KINDS.index(k), "end": e} for k, s, e in own] for own in owns]
-            yield pa.RecordBatch.from_arrays([b.column("row_no"), b.column("doc_id"), pa.array(spans, _SPANS), pa.array(words, _WORDS)], names=["row_no", "doc_id", "spans", "words"])
+            found = [[(s, KINDS.index(k), e) for k, s, e in own] for own in owns]
+            clean = [None if w else _sha(sanitised(t, f)) for t, f, w in zip(texts, found, words)]
+            left = [t if w else None for t, w in zip(texts, words)]
+            spans = [[{"start": s, "kind": k, "end": e} for s, k, e in f] for f in found]
+            yield pa.RecordBatch.from_arrays(
+                [b.column("row_no"), b.column("doc_id"), pa.array(spans, _SPANS), pa.array(words, _WORDS), pa.array(clean, pa.string()), pa.array(left, pa.string())], names=["row_no", "doc_id", "spans", "words", "clean", "left"]
+            )
 
     return run
 
@@ -184,28 +244,37 @@ def judge(texts: DataFrame, alpha: float = ALPHA, deviations: float = DEVIATIONS
     return judged.filter(enough(p)).select("word", "entity", "n_pair", "n_word", "n_entity", (F.col("n_word") > F.col("most")).alias("elsewhere"), enough(low).alias("tells"))
 
 
-def find(docs: DataFrame, alpha: float = ALPHA, deviations: float = DEVIATIONS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, base and terms, both arrays of (start, kind, end); kind as numbered in KINDS.
-
-    A word's counts are those of its places in the whole corpus; a place is
-    near an entity, one value or all of its kind, if fewer than NEAR words
-    stand between. PMI of word and entity is log(n(word, entity) * n / (n(word)
-    * n(entity))), the entity's information content log(n / n(entity)), with
-    n(entity) the places near it. In place of n(word, entity) / n(word) stands
-    its lower bound at ``deviations``, so that few places count as little
-    evidence but as some. All places of a disclosing word outside personal data
-    are terms, near it or not. Null and empty texts have no spans; repeated
-    rows each count; ids may be null; an empty table gives an empty result.
+def find(docs: DataFrame, alpha: float = ALPHA, deviations: float = DEVIATIONS, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """One row per row of ``docs``: row_no, doc_id, found and terms, both arrays of (start, kind, end), and clean, the SHA-256 of the sanitised text.
+
+    kind is numbered as in KINDS, terms come after them. A word's counts are
+    those of its places in the whole corpus; a place is near an entity, one
+    value or all of its kind, if fewer than NEAR words stand between. PMI of
+    word and entity is log(n(word, entity) * n / (n(word) * n(entity))), the
+    entity's information content log(n / n(entity)), with n(entity) the places
+    near it. In place of n(word, entity) / n(word) stands its lower bound at
+    ``deviations``, so that few places count as little evidence but as some. All
+    places of a disclosing word outside personal data are terms, near it or
+    not. Null and empty texts have no spans; repeated rows each count; ids may
+    be null; an empty table gives an empty result. row_no is ``row_col``, or a
+    number of its own.
     """
-    d = docs.select(F.monotonically_increasing_id().alias("row_no"), F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    row = F.col(row_col) if row_col else F.monotonically_increasing_id()
+    d = docs.select(row.alias("row_no"), F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = d.schema["doc_id"].dataType.simpleString()
     telling = cut(judge(d, alpha, deviations).filter("tells").groupBy("word").agg(F.bool_or("elsewhere").alias("elsewhere")))
     near_bits, all_bits = (d.sparkSession.sparkContext.broadcast(_filter(x)) for x in (telling, telling.filter("elsewhere")))
-    rows = cut(d.mapInArrow(_read(near_bits, all_bits), f"row_no long, doc_id {kind}, spans array<struct<start:int,kind:int,end:int>>, words array<struct<word:long,places:array<struct<start:int,end:int>>>>"))
+    rows = cut(d.mapInArrow(_read(near_bits, all_bits), f"row_no long, doc_id {kind}, spans array<struct<start:int,kind:int,end:int>>, words array<struct<word:long,places:array<struct<start:int,end:int>>>>, clean string, left string"))
     places = rows.select("row_no", F.explode("words").alias("x")).select("row_no", "x.word", "x.places").join(telling.select("word"), "word").select("row_no", F.explode("places").alias("p"))
     span = F.struct("p.start", F.lit(len(KINDS)).alias("kind"), "p.end")
     terms = places.groupBy("row_no").agg(F.array_sort(F.collect_list(span)).alias("terms"))
-    return rows.join(terms, "row_no", "left").select("doc_id", F.col("spans").alias("base"), F.coalesce("terms", F.slice("spans", 1, 0)).alias("terms"))
+    out = rows.join(terms, "row_no", "left").withColumn("terms", F.coalesce("terms", F.slice("spans", 1, 0)))
+
+    @F.pandas_udf("string")
+    def digest(clean: pd.Series, texts: pd.Series, spans: pd.Series) -> pd.Series:
+        return pd.Series([c if t is None else _sha(sanitised(t, [(x["start"], x["kind"], x["end"]) for x in own])) for c, t, own in zip(clean, texts, spans)], dtype="object")
+
+    return out.select("row_no", "doc_id", F.col("spans").alias("found"), "terms", digest("clean", "left", F.concat("spans", "terms")).alias("clean"))
 
 
 def _listed(spans):
@@ -214,33 +283,37 @@ def _listed(spans):
 
 
 def report(docs: DataFrame, **how) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_terms: ``find``, counted and written out."""
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_secret, n_private, n_terms, clean_sha256: ``find``, counted and written out; n_private counts all but terms."""
     found = find(docs, **how)
-    count = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}")
+    count = lambda k: F.size(F.filter("found", lambda x: x["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}")
     return found.select(
-        "doc_id", *map(count, range(len(KINDS))), F.sha2(_listed(F.col("base")), 256).alias("base_sha256"), _listed(F.array_sort(F.concat("base", "terms"))).alias("spans"), F.size("terms").cast("long").alias("n_terms")
+        "doc_id",
+        *map(count, range(BASE)),
+        F.sha2(_listed(F.filter("found", lambda x: x["kind"] < BASE)), 256).alias("base_sha256"),
+        _listed(F.array_sort(F.concat("found", "terms"))).alias("spans"),
+        *map(count, range(BASE, len(KINDS))),
+        F.size("found").cast("long").alias("n_private"),
+        F.size("terms").cast("long").alias("n_terms"),
+        F.col("clean").alias("clean_sha256"),
     )
 
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """``docs`` with the text's personal data generalised to its kind in brackets and disclosing words removed; id_col must be a key."""
+    """``docs`` with the text's personal data generalised to its kind in brackets and disclosing words to dots.
+
+    Null texts stay null, rows may repeat, ids may be null, columns may have any
+    names, and an empty table stays empty.
+    """
 
     @F.pandas_udf("string")
     def clean(texts: pd.Series, spans: pd.Series) -> pd.Series:
-        def one(text, own):
-            if text is None or own is None or not len(own):
-                return text
-            out, last = [], 0
-            for s, k, e in sorted((x["start"], x["kind"], x["end"]) for x in own):
-                if s >= last:
-                    out += [text[last:s], f"[{KINDS[k]}]" if k < len(KINDS) else "[...]"]
-                last = max(last, e)
-            return "".join([*out, text[last:]])
-
-        return pd.Series([one(t, s) for t, s in zip(texts, spans)], dtype="object")
-
-    found = find(docs, id_col=id_col, text_col=text_col, **how).select(F.col("doc_id").alias(id_col), F.concat("base", "terms").alias("_spans")).filter(F.size("_spans") > 0)
-    return docs.join(found, id_col, "left").withColumn(text_col, clean(text_col, "_spans")).select(docs.columns)
+        return pd.Series([t if t is None or own is None else sanitised(t, [(x["start"], x["kind"], x["end"]) for x in own]) for t, own in zip(texts, spans)], dtype="object")
+
+    row, spans = free_name("row", docs), free_name("spans", docs)
+    # a table of its own: the numbers of its rows stay what they are
+    d = cut(docs.withColumn(row, F.monotonically_increasing_id()))
+    found = find(d, id_col=id_col, text_col=text_col, row_col=row, **how).select(F.col("row_no").alias(row), F.concat("found", "terms").alias(spans)).filter(F.size(spans) > 0)
+    return d.join(found, row, "left").withColumn(text_col, clean(F.col(text_col).cast("string"), spans)).select(docs.columns)
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
