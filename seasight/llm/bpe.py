@@ -22,14 +22,14 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seasight.llm.common import table
+from seasight.llm.common import pieces, table
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 #: The published pattern of byte-level BPE: how a text is cut into words.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _NEVER = 1 << 40
-#: Characters that are cut into words at a time, and words kept from one time to the next.
-_STEP, _KEPT = 2_000_000, 400_000
+#: Characters that are cut into words at a time, and words and token borders kept from one time to the next.
+_STEP, _KEPT, _BORDERS = 200_000, 100_000, 400_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -53,7 +53,12 @@ class Bpe:
             self.bytes_of[i] = b
         for t, i in self.special.items():
             self.bytes_of[i] = t.encode()
-        self.longest = max(map(len, self.ids))
+        # by the last three bytes the lengths of tokens that end so, longest first
+        lengths: dict[bytes, set[int]] = {}
+        for b in self.ids:
+            if len(b) > 2:
+                lengths.setdefault(b[-3:], {1, 2}).add(len(b))
+        self.lengths = {b: tuple(sorted(n, reverse=True)) for b, n in lengths.items()}
         self.merged: dict[tuple[int, int], tuple[int, int]] = {}  # of two tokens: rank, token
         halves: dict[int, tuple[int, int, int]] = {}
         for rank, m in enumerate(spec["model"]["merges"]):
@@ -95,16 +100,16 @@ class Bpe:
                 i += 1
             else:
                 j += 1
-        if len(self.borders) > 4_000_000:
+        if len(self.borders) > _BORDERS:
             self.borders.clear()
         self.borders[key] = keeps
         return keeps
 
     def learn(self, words: set[str]) -> None:
         """Encode distinct words: their sorted bytes are the trie, depth first."""
-        ids, longest, border, put = self.ids, self.longest, self.border, self.words
+        ids, lengths, border, put = self.ids, self.lengths.get, self.border, self.words
         last, size = [-1], [0]  # at each depth of the path: the last token and its length
-        before = b""
+        before, short = b"", (2, 1)
         for data, word in sorted((w.encode(), w) for w in words):
             n, shared = len(data), 0
             for x, y in zip(before, data):
@@ -113,11 +118,14 @@ class Bpe:
                 shared += 1
             del last[shared + 1 :], size[shared + 1 :]
             for end in range(shared + 1, n + 1):
-                for start in range(max(0, end - longest), end):
+                for long in lengths(data[end - 3 : end], short) if end > 2 else short:
+                    start = end - long
+                    if start < 0:
+                        continue
                     token = ids.get(data[start:end])
                     if token is not None and (start == 0 or border(last[start], token)):
                         last.append(token)
-                        size.append(end - start)
+                        size.append(long)
                         break
                 else:
                     raise ValueError(f"no token ends at byte {end} of {word!r}")
@@ -175,7 +183,7 @@ def encode(docs: DataFrame, path: str = TOKENIZER, id_col: str = "doc_id", text_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(path)
-        for b in batches:
+        for b in pieces(batches):
             n, first, second = [], [], []
             for texts in _steps([t or "" for t in b.column("text").to_pylist()]):
                 for ids in bpe.encode_batch(texts):
