@@ -4,12 +4,16 @@ A page is a sequence of tokens: its block elements, each by its path and
 classes, and its blocks of text. Over the distinct pages of a host, tokens that
 occur equally often in every page form an equivalence class. A class is valid
 if most of the host's pages have it and it stands in the same order in them;
-valid classes nest where each token's enclosing element is in one too, and
-these are the host's template. Its elements are slots. A page's own text is
-what fills those slots of the template that are main text (article, main) and
-its own further main elements, or all slots where there are none of these, less
-the template's own text.
-Menus, forms, adverts, comments and the like, by their markup, are never text.
+valid classes nest where each element's enclosing one is in one too, and
+these are the host's template: its elements are slots, its texts are the same on
+every page and never main text, wherever they stand.
+
+What fills the slots tells them apart: the main slot is that which has the
+largest share of the pages' running text. A page's own text is what fills the main slot,
+the headings of the elements around it, and, where the slot is in an article or
+main, that element's other slots. Other slots (menus, adverts, reader comments,
+footers, whatever they are called) are left out. Where a host has too few pages
+for a template, the page's own markup decides.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from seasight.llm.common import cut, table
+from seasight.llm.common import cut, pieces, table
 
 #: Distinct pages of a host from which a template is deduced, and the share of them that has its classes.
 LEAST_PAGES, SHARE = 5, 0.8
@@ -32,7 +36,8 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
 _SKIP = frozenset("nav footer aside form head button select option input object canvas dialog audio video map menu datalist fieldset".split()) | _RAW
 _MAIN = frozenset(["article", "main"])
-#: Words of a class, id or role that name what isn't main text.
+_HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Words of a class, id or role that name what isn't main text: for what no template has, and for what fills a main slot.
 _ROLES = frozenset(
     "ad ads advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies dialog disqus footer gdpr masthead menu modal nav navbar navigation newsletter "
     "notice notices pagination popup promo promotion related replies search share sharing sidebar social sponsor sponsored subscribe toolbar widget widgets".split()
@@ -66,24 +71,29 @@ def _classes(attrs: dict[str, str]) -> str:
     return "".join(f".{x}" for x in attrs.get("class", "").split())
 
 
-def parse(page: str | None) -> tuple[list[tuple[int, str]], list[list]]:
-    """The page's blocks (element, text) in order, without those whose markup says they aren't main text, and its distinct block elements.
+def parse(page: str | None) -> tuple[list[tuple[int, str, bool, int]], list[list]]:
+    """The page's blocks (element, text, aside, characters outside links) in order, and its distinct block elements.
 
-    An element is [path, its parent's number or -1, in main, times, first place]; a place counts elements opened before.
+    Aside is what the markup itself sets apart: menus, footers, forms, hidden
+    elements, and what a class, id or role names. An element is [path, its
+    parent's number or -1, in main, times, first place]; a place counts elements
+    opened before.
     """
     src = page or ""
-    out: list[tuple[int, str]] = []
+    out: list[tuple[int, str, bool, int]] = []
     elements: list[list] = [["", -1, False, 1, 0]]
     number: dict[str, int] = {"": 0}
     opened = 0
-    stack: list[tuple[str, bool, int, bool]] = []  # name, skipped, element, in main
+    stack: list[tuple[str, bool, int, bool]] = []  # name, aside, element, in main
     words: list[str] = []
+    plain = [0]
 
     def flush() -> None:
         text = " ".join("".join(words).split())
         words.clear()
         if text:
-            out.append((stack[-1][2] if stack else 0, text))
+            out.append((stack[-1][2] if stack else 0, text, bool(stack) and stack[-1][1], min(plain[0], len(text))))
+        plain[0] = 0
 
     def close(n: int) -> None:
         if any(x[0] not in _INLINE for x in stack[n:]):
@@ -94,8 +104,11 @@ def parse(page: str | None) -> tuple[list[tuple[int, str]], list[list]]:
     while at < len(src):
         m = _TOKEN.search(src, at)
         upto = m.start() if m else len(src)
-        if upto > at and not (stack and stack[-1][1]):
-            words.append(html.unescape(src[at:upto]))
+        if upto > at:
+            names = [x[0] for x in stack]
+            if not stack or not stack[-1][1] or names[[x[1] for x in stack].index(True)] not in _INLINE:  # else set apart within a line
+                words.append(part := html.unescape(src[at:upto]))
+                plain[0] += 0 if "a" in names else len(part)
         if not m:
             break
         at = m.end()
@@ -110,18 +123,17 @@ def parse(page: str | None) -> tuple[list[tuple[int, str]], list[list]]:
                 if stack[n][0] in ("article", "body") and name in _INLINE:
                     break
             continue
-        skipped = bool(stack) and stack[-1][1]
         if name == "br":
-            words.append("" if skipped else " ")
+            words.append(" ")
             continue
         if name in _VOID:
-            if name == "hr" and not skipped:
+            if name == "hr":
                 flush()
             continue
         if name in _RAW:
             end = re.compile(rf"</{name}\b[^>]*>", re.I).search(src, at)
             at = end.end() if end else len(src)
-            words.append(" " if not skipped and name in ("iframe", "svg", "math") else "")
+            words.append(" " if name in ("iframe", "svg", "math") else "")
             continue
         if name not in _INLINE:
             if name in _CLOSES_P:  # an open paragraph ends here, with what is open inside it
@@ -138,16 +150,13 @@ def parse(page: str | None) -> tuple[list[tuple[int, str]], list[list]]:
                     break
                 if stack[n][0] in ("ul", "ol", "dl", "table", "select"):
                     break
-            if not skipped:
-                flush()
+            flush()
         skipped = bool(stack) and stack[-1][1]
         main = bool(stack) and stack[-1][3] or name in _MAIN
         attrs = _attributes(m[3] or m[6] or "") if name not in _WHOLE else {}
         skip = skipped or name in _SKIP or (name == "header" and not main) or _named(attrs)
         if m[3] and m[3].endswith("/"):
             continue
-        if skip and not skipped:
-            flush()
         at_element = stack[-1][2] if stack else 0
         if name not in _INLINE:
             path, parent = f"{elements[at_element][0]}/{name}{_classes(attrs)}", at_element
@@ -157,15 +166,14 @@ def parse(page: str | None) -> tuple[list[tuple[int, str]], list[list]]:
                 elements.append([path, parent, main, 0, opened])
             elements[at_element][3] += 1
         stack.append((name, skip, at_element, main))
-    if not (stack and stack[-1][1]):
-        flush()
+    flush()
     return out, elements
 
 
 def blocks(page: str | None) -> list[tuple[str, str, bool]]:
-    """(path, text, in main) of the page's blocks."""
+    """(path, text, in main) of the page's blocks that its markup doesn't set apart."""
     found, elements = parse(page)
-    return [(elements[e][0], text, elements[e][2]) for e, text in found]
+    return [(elements[e][0], text, elements[e][2]) for e, text, aside, _ in found if not aside]
 
 
 _WHOLE = _MAIN | {"html", "body"}
@@ -180,62 +188,122 @@ def host_of(url):
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1), F.lit("")))
 
 
-_BLOCK = pa.list_(pa.struct([("element", pa.int32()), ("token", pa.int64()), ("text", pa.string())]))
-_ELEMENT = pa.list_(pa.struct([("token", pa.int64()), ("up", pa.int32()), ("main", pa.bool_())]))
-_TOKEN_OF_PAGE = pa.list_(pa.struct([("token", pa.int64()), ("up", pa.int64()), ("depth", pa.int32()), ("main", pa.bool_()), ("n", pa.int32()), ("pos", pa.int32())]))
+_BLOCK = pa.list_(pa.struct([("element", pa.int32()), ("token", pa.int64()), ("aside", pa.bool_()), ("plain", pa.int32())]))
+_ELEMENT = pa.list_(pa.struct([("token", pa.int64()), ("up", pa.int32()), ("main", pa.bool_()), ("opens", pa.bool_()), ("heading", pa.bool_())]))
+_TOKEN_OF_PAGE = pa.list_(pa.struct([("token", pa.int64()), ("up", pa.int64()), ("depth", pa.int32()), ("n", pa.int32()), ("pos", pa.int32())]))
 _READ = (
-    "host string, page_key long, blocks array<struct<element:int,token:long,text:string>>, elements array<struct<token:long,up:int,main:boolean>>, "
-    "tokens array<struct<token:long,up:long,depth:int,main:boolean,n:int,pos:int>>"
+    "host string, page_key long, texts array<string>, blocks array<struct<element:int,token:long,aside:boolean,plain:int>>, elements array<struct<token:long,up:int,main:boolean,opens:boolean,heading:boolean>>, "
+    "tokens array<struct<token:long,up:long,depth:int,n:int,pos:int>>"
 )
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        keys, blocks_of, elements_of, tokens_of = [], [], [], []
+    for b in pieces(batches, 256):
+        keys, texts_of, blocks_of, elements_of, tokens_of = [], [], [], [], []
         for value in b.column("html"):
             found, elements = parse(value.as_py())
             of = [_hash(x[0]) for x in elements]
-            # the text of main elements is no token: however often a host repeats it, it is main text
-            own = [None if elements[e][2] else _hash(f"{elements[e][0]}\n{text}") for e, text in found]
+            own = [_hash(f"{elements[e][0]}\n{text}") for e, text, _, _ in found]
             depth = [0]
             for x in elements[1:]:  # a parent comes before its children
                 depth.append(depth[x[1]] + 1)
-            tokens = {of[i]: [of[i], of[up], depth[i], main, n, pos] for i, (_, up, main, n, pos) in enumerate(elements) if i}
-            for (e, _), token in zip(found, own):
-                if token is not None:
-                    tokens.setdefault(token, [token, of[e], depth[e] + 1, False, 0, elements[e][4]])[4] += 1
-            blocks_of.append([{"element": e, "token": t, "text": text} for (e, text), t in zip(found, own)])
-            elements_of.append([{"token": of[i], "up": x[1], "main": x[2]} for i, x in enumerate(elements)])
-            tokens_of.append([dict(zip(("token", "up", "depth", "main", "n", "pos"), x)) for x in tokens.values()])
-            keys.append(_hash("\n".join([*(f"{x[0]} {x[3]}" for x in elements), *(text for _, text in found)])))
+            tokens = {of[i]: [of[i], of[up], depth[i], n, pos] for i, (_, up, _, n, pos) in enumerate(elements) if i}
+            for (e, *_), token in zip(found, own):
+                tokens.setdefault(token, [token, None, depth[e] + 1, 0, elements[e][4]])[3] += 1
+            texts_of.append([x[1] for x in found])
+            blocks_of.append([{"element": e, "token": t, "aside": aside, "plain": n} for (e, _, aside, n), t in zip(found, own)])
+            names = [x[0].rsplit("/", 1)[-1].split(".")[0] for x in elements]
+            elements_of.append([{"token": of[i], "up": x[1], "main": x[2], "opens": names[i] in _MAIN, "heading": names[i] in _HEADING} for i, x in enumerate(elements)])
+            tokens_of.append([dict(zip(("token", "up", "depth", "n", "pos"), x)) for x in tokens.values()])
+            keys.append(_hash("\n".join([*(f"{x[0]} {x[3]}" for x in elements), *(x[1] for x in found)])))
         yield pa.RecordBatch.from_arrays(
-            [b.column("page_id"), b.column("url"), b.column("host"), pa.array(keys, pa.int64()), pa.array(blocks_of, _BLOCK), pa.array(elements_of, _ELEMENT), pa.array(tokens_of, _TOKEN_OF_PAGE)],
-            names=["page_id", "url", "host", "page_key", "blocks", "elements", "tokens"],
+            [b.column("page_id"), b.column("url"), b.column("host"), pa.array(keys, pa.int64()), pa.array(texts_of, pa.list_(pa.string())), pa.array(blocks_of, _BLOCK), pa.array(elements_of, _ELEMENT), pa.array(tokens_of, _TOKEN_OF_PAGE)],
+            names=["page_id", "url", "host", "page_key", "texts", "blocks", "elements", "tokens"],
         )
 
 
-def fill(found: list[dict], elements: list[dict], template: dict[int, bool]) -> tuple[list[str], int, int]:
-    """What a page fills the template's slots with: texts, slots they are from, blocks dropped as the template's own text.
-
-    template has the tokens, each with whether it is main. Blocks are kept
-    that are in a main slot, or in an article or main of the page's own that
-    the template doesn't have; if there are none, all slots count.
-    """
-    slot = []
+def slots_of(elements: list[dict], template: set[int]) -> list[int]:
+    """For every element the innermost element of the template around it, itself included; 0 is the page."""
+    slot: list[int] = []
     for i, e in enumerate(elements):
         slot.append(i if i and e["token"] in template else slot[e["up"]] if i else 0)
-    main = lambda x: elements[x["element"]]["main"]
-    own = [x for x in found if main(x) or template.get(elements[slot[x["element"]]]["token"])] or found
-    kept = [x for x in own if x["token"] is None or x["token"] not in template]
-    return [x["text"] for x in kept], len({slot[x["element"]] for x in kept}), len(own) - len(kept)
+    return slot
+
+
+def shares(found: list[dict], elements: list[dict], template: set[int]) -> dict[int, int]:
+    """By slot's token, thousandths of the page's running text: not aside, not in links, not the template's own."""
+    slot, sums = slots_of(elements, template), {}
+    for x in found:
+        if not x["aside"] and x["token"] not in template:
+            token = elements[slot[x["element"]]]["token"]
+            sums[token] = sums.get(token, 0) + x["plain"]
+    total = sum(sums.values())
+    return {t: n * 1000 // total for t, n in sums.items()} if total else {}
+
+
+def fill(found: list[dict], elements: list[dict], template: set[int], main_slot: int | None) -> tuple[list[int], int, int]:
+    """What a page fills its host's main slot with: the blocks' numbers, the slots they are from, blocks dropped by the template.
+
+    A page without the main slot, or a host without a template (main_slot
+    None), goes by its own markup: what is in an article or main, or all if
+    there is none, less the template's texts.
+    """
+    slot = slots_of(elements, template)
+    at = next((i for i, e in enumerate(elements) if e["token"] == main_slot and slot[i] == i), None) if main_slot is not None else None
+    if at is None:
+        free = [i for i, x in enumerate(found) if not x["aside"]]
+        own = [i for i in free if elements[found[i]["element"]]["main"]] or free
+        kept = [i for i in own if found[i]["token"] not in template]
+        return kept, len({slot[found[i]["element"]] for i in kept}), len(own) - len(kept)
+    around, i = {at}, at
+    while i:
+        i = elements[i]["up"]
+        around.add(i)
+    inner = at  # the innermost article or main around the slot; 0 if there is none
+    while inner and not elements[inner]["opens"]:
+        inner = elements[inner]["up"]
+    good = set()
+    for n in {slot[x["element"]] for x in found}:
+        up, inside = n, False
+        while up:
+            inside = inside or up == inner > 0
+            up = elements[up]["up"]
+        # another slot: of the same article or main, or the heading of an element around the main slot
+        if n == at or inside or (elements[n]["heading"] and slot[elements[n]["up"]] in around):
+            good.add(n)
+    kept, gone = [], 0
+    for i, x in enumerate(found):
+        e = elements[x["element"]]
+        n = slot[x["element"]]
+        # an article or main of the page's own, inside what is around the main slot
+        if n in good or (e["main"] and n in around):
+            if x["aside"]:
+                continue
+            if x["token"] not in template:
+                kept.append(i)
+                continue
+        gone += 1
+    return kept, len({slot[found[i]["element"]] for i in kept}), gone
+
+
+def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """host, slot, n: every page's ``shares``."""
+    for b in batches:
+        hosts, slots, n = [], [], []
+        for host, found, elements, template in zip(*(b.column(c) for c in ("host", "blocks", "elements", "template"))):
+            own = shares(found.as_py(), elements.as_py(), set(template.as_py()))
+            hosts += [host.as_py()] * len(own)
+            slots += own.keys()
+            n += own.values()
+        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(slots, pa.int64()), pa.array(n, pa.int64())], names=["host", "slot", "n"])
 
 
 def _write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         texts, slots, dropped = [], [], []
-        for found, elements, template in zip(b.column("blocks"), b.column("elements"), b.column("template")):
-            text, n, gone = fill(found.as_py(), elements.as_py(), {x["token"]: x["main"] for x in template.as_py() or ()})
-            texts.append("\n\n".join(text))
+        for own, found, elements, template, main in zip(*(b.column(c) for c in ("texts", "blocks", "elements", "template", "main_slot"))):
+            kept, n, gone = fill(found.as_py(), elements.as_py(), set(template.as_py() or ()), main.as_py())
+            texts.append("\n\n".join(own[i].as_py() for i in kept))
             slots.append(n)
             dropped.append(gone)
         yield pa.RecordBatch.from_arrays(
@@ -245,40 +313,43 @@ def _write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, share: float = SHARE, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """One row per row of ``pages``: page_id, url, text, n_chars, n_slots (that the text is from), n_template (blocks dropped as template).
+    """One row per row of ``pages``: page_id, url, text, n_chars, n_slots (that the text is from), n_template (blocks that the template drops).
 
     A host has a template if it has ``least_pages`` distinct pages or more; its
-    tokens are in at least ``share`` of them, as often in each. A page's own
-    markup adds main text that the template doesn't have. Text in article or main is never dropped as template.
-    Equal pages count as one. Null or empty html gives an empty text; a null or
-    odd url makes a host of its own kind; repeated rows each give a row, and an
-    empty table gives an empty result.
+    tokens are in at least ``share`` of them, as often in each. Equal pages count
+    as one. Elements that a page has beside the template count for the slot
+    around them. Of slots with equal shares the one with the smaller token is
+    the main slot. Null or empty html gives an empty text; a null
+    or odd url makes a host of its own kind; repeated rows each give a row, and
+    an empty table gives an empty result.
     """
     p = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), host_of(F.col(url_col)).alias("host"), F.col(html_col).cast("string").alias("html"))
     kind = p.schema["page_id"].dataType.simpleString()
     read = cut(p.mapInArrow(_read, f"page_id {kind}, url string, {_READ}"))
-    # a table of its own: its size is known before the join, which sends it to all tasks if it is small and splits hot hosts if not
+    # tables of their own: their sizes are known before the joins, which send them to all tasks if they are small and split hot hosts if not
     templates = cut(host_templates(read, least_pages, share))
-    filled = read.select("page_id", "url", "host", "blocks", "elements").join(templates, "host", "left").drop("host")
+    votes = read.select("host", "blocks", "elements").join(templates, "host").mapInArrow(_vote, "host string, slot long, n long")
+    votes = votes.groupBy("host", "slot").agg(F.sum("n").alias("n")).groupBy("host").agg(F.max_by("slot", F.struct("n", -F.col("slot"))).alias("main_slot"))
+    templates = cut(templates.join(votes, "host", "left"))
+    filled = read.select("page_id", "url", "host", "texts", "blocks", "elements").join(templates, "host", "left").drop("host")
     return filled.mapInArrow(_write, f"page_id {kind}, url string, text string, n_chars long, n_slots long, n_template long")
 
 
 def host_templates(read: DataFrame, least_pages: int = LEAST_PAGES, share: float = SHARE) -> DataFrame:
-    """host, template: the tokens of the valid, nested equivalence classes of each host, each with whether it is main."""
+    """host, template: the tokens of the valid, nested equivalence classes of each host."""
     counts = read.select("host", "page_key", F.explode("tokens").alias("t")).select("host", "page_key", "t.*").dropDuplicates(["host", "page_key", "token"])
     sizes = read.select("host", "page_key").distinct().groupBy("host").agg(F.count("*").alias("n_pages")).filter(F.col("n_pages") >= least_pages)
     # of a token: the pages that have it, and its occurrence vector, as a sum without order over page and count
     vectors = counts.groupBy("host", "token").agg(
-        F.count("*").alias("support"), F.bit_xor(F.xxhash64("page_key", "n")).alias("vector"), F.min("n").alias("least"), F.max("n").alias("most"), F.min("up").alias("up"), F.min("depth").alias("depth"), F.bool_or("main").alias("main")
+        F.count("*").alias("support"), F.bit_xor(F.xxhash64("page_key", "n")).alias("vector"), F.min("n").alias("least"), F.max("n").alias("most"), F.min("up").alias("up"), F.min("depth").alias("depth")
     )
-    wide = cut(vectors.join(sizes, "host").filter((F.col("support") >= share * F.col("n_pages")) & (F.col("least") == F.col("most"))).select("host", "token", "vector", "up", "depth", "main"))
+    wide = cut(vectors.join(sizes, "host").filter((F.col("support") >= share * F.col("n_pages")) & (F.col("least") == F.col("most"))).select("host", "token", "vector", "up", "depth"))
     # a class stands in the same order in every page that has it
     ordered = counts.select("host", "page_key", "token", "pos").join(wide.select("host", "token", "vector"), ["host", "token"]).groupBy("host", "vector", "page_key").agg(F.hash(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"])).alias("order"))
     valid = ordered.groupBy("host", "vector").agg(F.min("order").alias("a"), F.max("order").alias("b")).filter("a = b").select("host", "vector")
     # from the outside in: a token is nested if the element around it is; a host's tokens are about those of one page
-    tokens = wide.join(valid, ["host", "vector"]).groupBy("host").agg(F.array_sort(F.collect_list(F.struct("depth", "token", "up", "main"))).alias("x"))
-    none = F.expr("cast(array() as array<struct<token:bigint,main:boolean>>)")
-    nested = F.aggregate("x", none, lambda got, x: F.when((x["depth"] == 1) | F.exists(got, lambda g: g["token"] == x["up"]), F.concat(got, F.array(F.struct(x["token"].alias("token"), x["main"].alias("main"))))).otherwise(got))
+    tokens = wide.join(valid, ["host", "vector"]).groupBy("host").agg(F.array_sort(F.collect_list(F.struct("depth", "token", "up"))).alias("x"))
+    nested = F.aggregate("x", F.expr("cast(array() as array<bigint>)"), lambda got, x: F.when((x["depth"] == 1) | x["up"].isNull() | F.array_contains(got, x["up"]), F.concat(got, F.array(x["token"]))).otherwise(got))
     return tokens.select("host", nested.alias("template"))
 
 
