@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from seasight.functions import geo
 from seasight.functions.spectral import available_indices
+from seasight.lineage import keep
 from seasight.operators import catalog, coastal, detections, scene, screening
 from seasight.settings import Settings
 from seasight.sources import documents, reports, scenes
@@ -66,9 +67,10 @@ def beaches(spark: SparkSession, a: argparse.Namespace, s: Settings) -> DataFram
     e = e.join(segments.select(F.col("segment_id").alias("seg_id"), "name"), "seg_id")
     (left, low), (right, high) = at("xmin", "ymin"), at("xmax", "ymax")
     d = _boxes(spark, a.detections).select("det_id", "image", "label", left.alias("xmin"), low.alias("ymin"), right.alias("xmax"), high.alias("ymax"))
+    d, e = keep(d), keep(e)  # projected once, and not inside what is made of them
     clouds = scenes.read_cloud_fractions(spark, a.clouds) if a.clouds else spark.createDataFrame([], "seg_id string, cloud_fraction double")
     labels, reach = None if a.all_labels else coastal.TARGETS, a.surf_zone or s.surf_zone
-    report = coastal.rows(coastal.roll_up(d, e, clouds, labels, reach, reach / 50, reach / 50), a.day)
+    report = coastal.rows(coastal.roll_up(d, e, clouds, labels, reach), a.day)
     if a.csv:
         report.coalesce(1).write.mode("overwrite").option("header", True).csv(a.csv)
     if a.geojson:

@@ -1,19 +1,25 @@
 """Floating material rolled up onto named stretches of coast.
 
 A segment is one or more edges (x0, y0)-(x1, y1) in a metric plane; its zone is
-all within ``reach`` of any of them. Areas and zones are measured in cells of
-``cell`` a side, fronts in pieces of about ``step``.
+all within ``reach`` of any of them. Areas, zones and fronts are exact, but for
+rounding: boxes are cut to the cells (of ``4 * reach``) that an edge's zone
+meets, made disjoint there by slabs between their sides, and those that the
+zone's border crosses are integrated between all places where it bends.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seasight.functions.geo import utm_inverse
 from seasight.functions.spectral import cloud_mask
+from seasight.lineage import keep
+from seasight.operators.pairs import box_pairs
 
 REACH = 20.0
 TARGETS = ("sargassum", "marine_debris")
@@ -21,13 +27,13 @@ TARGETS = ("sargassum", "marine_debris")
 BLIND_ABOVE, PARTIAL_ABOVE = 0.70, 0.20
 
 
-def edge_distance(x: Column, y: Column) -> Column:
-    """From a point to the edge (x0, y0)-(x1, y1)."""
-    c = F.col
-    dx, dy = c("x1") - c("x0"), c("y1") - c("y0")
+def edge_distance(x: Column, y: Column, *edge: Column) -> Column:
+    """From a point to the edge (x0, y0)-(x1, y1), or another of four such columns."""
+    x0, y0, x1, y1 = edge or map(F.col, ("x0", "y0", "x1", "y1"))
+    dx, dy = x1 - x0, y1 - y0
     size = dx * dx + dy * dy
-    t = F.when(size > 0, F.least(F.greatest(((x - c("x0")) * dx + (y - c("y0")) * dy) / size, F.lit(0.0)), F.lit(1.0))).otherwise(F.lit(0.0))
-    ex, ey = x - (c("x0") + t * dx), y - (c("y0") + t * dy)
+    t = F.when(size > 0, F.least(F.greatest(((x - x0) * dx + (y - y0) * dy) / size, F.lit(0.0)), F.lit(1.0))).otherwise(F.lit(0.0))
+    ex, ey = x - (x0 + t * dx), y - (y0 + t * dy)
     return F.sqrt(ex * ex + ey * ey)
 
 
@@ -51,59 +57,198 @@ def box_edge_distance() -> Column:
     return F.when(enter <= leave, F.lit(0.0)).otherwise(F.least(to_box(c("x0"), c("y0")), to_box(c("x1"), c("y1")), *corners))
 
 
-def _meet(dets: DataFrame, segs: DataFrame, reach: float) -> DataFrame:
-    """Boxes and edges of an image whose boxes, the edge's grown by ``reach``, overlap; a pair comes once, from the cell of its overlap's corner."""
-    grid = 4 * reach
-    span = lambda lo, hi: F.explode(F.sequence(F.floor(lo / grid), F.floor(hi / grid)))
+def _edges(segs: DataFrame, reach: float) -> DataFrame:
+    """The edges of ``segs`` by their pieces of ``4 * reach`` at most (u0, v0)-(u1, v1), each with its box, grown by ``reach``."""
     c = F.col
-    s = segs.withColumns({"sx0": F.least("x0", "x1") - reach, "sx1": F.greatest("x0", "x1") + reach, "sy0": F.least("y0", "y1") - reach, "sy1": F.greatest("y0", "y1") + reach})
-    s = s.withColumn("cx", span(c("sx0"), c("sx1"))).withColumn("cy", span(c("sy0"), c("sy1")))
-    d = dets.withColumn("cx", span(c("xmin"), c("xmax"))).withColumn("cy", span(c("ymin"), c("ymax")))
-    corner = (c("cx") == F.floor(F.greatest("xmin", "sx0") / grid)) & (c("cy") == F.floor(F.greatest("ymin", "sy0") / grid))
-    return d.join(s, ["image", "cx", "cy"]).filter(corner & (c("xmin") <= c("sx1")) & (c("xmax") >= c("sx0")) & (c("ymin") <= c("sy1")) & (c("ymax") >= c("sy0"))).drop("cx", "cy", "sx0", "sx1", "sy0", "sy1")
+    s = segs.select("seg_id", c("image").alias("s_image"), "x0", "y0", "x1", "y1").distinct()
+    s = s.withColumn("n", F.greatest(F.ceil(edge_length() / (4 * reach)), F.lit(1))).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), c("n") - 1)))
+    at = lambda a, b, k: F.when(k == c("n"), c(b)).otherwise(c(a) + (c(b) - c(a)) * k / c("n"))
+    s = s.withColumns({f"{w}{i}": at(f"{x}0", f"{x}1", c("k") + i) for w, x in (("u", "x"), ("v", "y")) for i in (0, 1)})
+    grown = {"gx0": F.least("u0", "u1") - reach, "gy0": F.least("v0", "v1") - reach, "gx1": F.greatest("u0", "u1") + reach, "gy1": F.greatest("v0", "v1") + reach}
+    return s.withColumns(grown).drop("n", "k")
 
 
-def near(dets: DataFrame, segs: DataFrame, reach: float = REACH) -> DataFrame:
-    """Detections that touch the zone of an edge of the same image, with their distance from it."""
-    return _meet(dets, segs, reach).withColumn("distance", box_edge_distance()).filter(F.col("distance") <= reach)
+def meet(dets: DataFrame, segs: DataFrame, reach: float) -> DataFrame:
+    """Detections of an image beside the pieces of edges whose boxes, grown by ``reach``, they overlap: what the other functions begin with."""
+    d = dets.select("det_id", "image", "label", "xmin", "ymin", "xmax", "ymax")
+    return keep(box_pairs(d, _edges(segs, reach), {"image": "s_image"}, ("xmin", "ymin", "xmax", "ymax"), ("gx0", "gy0", "gx1", "gy1"), 4 * reach))
 
 
-def _cells(df: DataFrame, x: tuple[Column, Column], y: tuple[Column, Column], cell: float) -> DataFrame:
-    """``df`` by the cells (i, j) whose centres lie from x[0] to below x[1], and from y[0] to below y[1]."""
-    first, past = (lambda v: F.ceil(v / cell - 0.5)), (lambda v: F.ceil(v / cell - 0.5))
-    d = df.withColumns({"i0": first(x[0]), "i1": past(x[1]), "j0": first(y[0]), "j1": past(y[1])}).filter("i0 < i1 and j0 < j1")
-    return d.withColumn("i", F.explode(F.sequence(F.col("i0"), F.col("i1") - 1))).withColumn("j", F.explode(F.sequence(F.col("j0"), F.col("j1") - 1))).drop("i0", "i1", "j0", "j1")
+def near(dets: DataFrame, segs: DataFrame, reach: float = REACH, met: DataFrame | None = None) -> DataFrame:
+    """Detections that touch the zone of an edge of the same image, with their distance from it."""
+    met = meet(dets, segs, reach) if met is None else met
+    pairs = met.select("det_id", "image", "label", "xmin", "ymin", "xmax", "ymax", "seg_id", "x0", "y0", "x1", "y1").distinct()
+    return pairs.withColumn("distance", box_edge_distance()).filter(F.col("distance") <= reach)
+
+
+def _by_cell(df: DataFrame, reach: float, x0: Column, y0: Column, x1: Column, y1: Column) -> DataFrame:
+    """``df`` by the cells (cx, cy) that the box meets, with its part of each: a, l, b, h."""
+    g = 4 * reach
+    d = df.withColumns({"a": x0, "l": y0, "b": x1, "h": y1}).filter("a < b and l < h")
+    for c, lo, hi in (("cx", "a", "b"), ("cy", "l", "h")):
+        d = d.withColumn(c, F.explode(F.sequence(F.floor(F.col(lo) / g), F.ceil(F.col(hi) / g) - 1)))
+        d = d.withColumns({lo: F.greatest(lo, F.col(c) * g), hi: F.least(hi, (F.col(c) + 1) * g)})
+    return d
+
+
+def _disjoint(rects: DataFrame) -> DataFrame:
+    """seg_id, cx, cy and rectangles a, l, b, h that cover what those of ``rects`` do, without overlaps: slabs between their sides, and in each the union of their stretches."""
+    cell = ["seg_id", "cx", "cy"]
+    ends = rects.select(*cell, F.explode(F.array("a", "b")).alias("s")).distinct()
+    slabs = ends.withColumn("t", F.lead("s").over(Window.partitionBy(*cell).orderBy("s"))).filter("t is not null")
+    d = rects.join(slabs, cell).filter("a <= s and b >= t").select(*cell, "s", "t", "l", "h").distinct()
+    w = Window.partitionBy(*cell, "s").orderBy("l", "h")
+    d = d.withColumn("upto", F.max("h").over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    d = d.withColumn("run", F.sum(F.when(F.col("upto") >= F.col("l"), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return d.groupBy(*cell, F.col("s").alias("a"), F.col("t").alias("b"), "run").agg(F.min("l").alias("l"), F.max("h").alias("h")).drop("run")
+
+
+def part_in_zone(a: float, l: float, b: float, h: float, edges: np.ndarray, reach: float) -> float:  # noqa: E741
+    """The area of the rectangle from (a, l) to (b, h) within ``reach`` of an edge (rows x0, y0, x1, y1).
+
+    Between two neighbours among all places where arcs and sides of the zones
+    begin, end, or cross each other or the rectangle, nothing crosses, so that
+    mean heights there make up the union as heights do; those of arcs and sides
+    are known.
+    """
+    x0, y0, x1, y1 = edges.T
+    dx, dy = x1 - x0, y1 - y0
+    size = np.hypot(dx, dy)
+    u = np.stack([dx, dy], 1)[size > 0] / size[size > 0, None]
+    n = reach * np.stack([-u[:, 1], u[:, 0]], 1)
+    ends = edges[size > 0].reshape(-1, 2, 2)
+    corners = np.concatenate([ends + n[:, None], ends - n[:, None]]).reshape(-1, 2)
+    c = edges.reshape(-1, 2)
+    q = np.concatenate([ends[:, 0] + n, ends[:, 0] - n, [[0, l], [0, h]]])
+    v = np.concatenate([u, u, [[1, 0], [1, 0]]])
+    xs = [np.array([a, b]), c[:, 0] - reach, c[:, 0] + reach, corners[:, 0]]
+    i, j = np.triu_indices(len(c), 1)
+    d, m = c[j] - c[i], (c[j] + c[i]) / 2
+    far = np.hypot(*d.T)
+    ok = (far > 0) & (far <= 2 * reach)
+    off = np.sqrt(reach**2 - far[ok] ** 2 / 4) * d[ok, 1] / far[ok]
+    xs += [m[ok, 0] - off, m[ok, 0] + off]
+    w = c[:, None] - q[None]
+    across, along = v[None, :, 0] * w[..., 1] - v[None, :, 1] * w[..., 0], (v[None] * w).sum(-1)
+    half = np.sqrt(np.maximum(reach**2 - across**2, 0)) * v[None, :, 0]
+    ok = np.abs(across) <= reach
+    foot = q[None, :, 0] + along * v[None, :, 0]
+    xs += [(foot - half)[ok], (foot + half)[ok]]
+    det = v[:, None, 0] * v[None, :, 1] - v[:, None, 1] * v[None, :, 0]
+    r = q[None] - q[:, None]
+    ok = np.abs(det) > 1e-12
+    xs.append((q[:, None, 0] + v[:, None, 0] * (r[..., 0] * v[None, :, 1] - r[..., 1] * v[None, :, 0]) / np.where(ok, det, 1))[ok])
+    x = np.unique(np.clip(np.concatenate(xs), a, b))
+    x = x[np.concatenate([[True], np.diff(x) > 1e-12 * np.maximum(1, np.abs(x[1:]))])]
+    begin, end = x[:-1, None], x[1:, None]
+    mid, wide = (begin + end) / 2, end - begin
+    # of a zone, the highest and lowest points at x are over the edge's point to which they are upright, or over its end
+    lean = np.where(size > 0, -dy * np.sign(dx) / np.where(size > 0, size, 1), 0) * reach
+
+    def under(v: np.ndarray) -> np.ndarray:
+        """Of half a circle, the area from its middle to v."""
+        v = np.clip(v, -reach, reach)
+        return (v * np.sqrt(reach**2 - v**2) + reach**2 * np.arcsin(v / reach)) / 2
+
+    def mean(way: int) -> np.ndarray:
+        t = np.where(dx != 0, (mid - way * lean - x0) / np.where(dx != 0, dx, 1), way * np.sign(dy))
+        t = np.clip(t, 0, 1)
+        at = x0 + t * dx
+        rest = reach**2 - (mid - at) ** 2
+        over = np.where((t == 0) | (t == 1), (under(end - at) - under(begin - at)) / wide, np.sqrt(np.maximum(rest, 0)))
+        return np.where(rest >= 0, y0 + t * dy + way * over, np.nan)
+
+    low, high = np.maximum(mean(-1), l), np.minimum(mean(1), h)
+    low, high = np.where(high > low, low, np.inf), np.where(high > low, high, -np.inf)
+    order = np.argsort(low, axis=1)
+    low, high = np.take_along_axis(low, order, 1), np.take_along_axis(high, order, 1)
+    upto = np.maximum.accumulate(np.concatenate([np.full((len(mid), 1), -np.inf), high[:, :-1]], 1), axis=1)
+    heights = np.where(high > low, np.maximum(high - np.maximum(low, upto), 0), 0).sum(1)
+    return float(heights @ wide[:, 0])
+
+
+def _area(rects: DataFrame, segs: DataFrame, reach: float, name: str) -> DataFrame:
+    """seg_id and the area of a segment's ``rects``, disjoint and by cells, inside its zone."""
+    c = F.col
+    edges = _by_cell(_edges(segs, reach), reach, *map(c, ("gx0", "gy0", "gx1", "gy1")))
+    edges = edges.groupBy("seg_id", "cx", "cy").agg(F.array_sort(F.collect_set(F.array("x0", "y0", "x1", "y1"))).alias("edges"))
+    d = keep(rects.select("seg_id", "cx", "cy", "a", "l", "b", "h").join(edges, ["seg_id", "cx", "cy"]))
 
+    def holds(e: Column) -> Column:
+        """Zones are convex: one that has the corners has the rectangle."""
+        out = F.lit(True)
+        for x in ("a", "b"):
+            for y in ("l", "h"):
+                out = out & (edge_distance(c(x), c(y), *[e[i] for i in range(4)]) <= reach)
+        return out
 
-def _in_zone(cells: DataFrame, reach: float, cell: float) -> DataFrame:
-    return cells.filter(edge_distance((F.col("i") + 0.5) * cell, (F.col("j") + 0.5) * cell) <= reach).select("seg_id", "i", "j").distinct()
+    inside = F.exists("edges", holds)
 
+    @F.pandas_udf("double")
+    def crossed(a: pd.Series, l: pd.Series, b: pd.Series, h: pd.Series, edges: pd.Series) -> pd.Series:  # noqa: E741
+        return pd.Series([part_in_zone(*box, np.stack(e), reach) for *box, e in zip(a, l, b, h, edges)], dtype=float)
 
-def _area(cells: DataFrame, name: str, cell: float) -> DataFrame:
-    return cells.groupBy("seg_id").agg((F.count("*") * (cell * cell)).alias(name))
+    whole = d.filter(inside).select("seg_id", ((c("b") - c("a")) * (c("h") - c("l"))).alias("s"))
+    part = d.filter(~inside).select("seg_id", crossed("a", "l", "b", "h", "edges").alias("s"))
+    return whole.union(part).groupBy("seg_id").agg(F.sum("s").alias(name)).filter(c(name) > 0)
 
 
-def union_area(dets: DataFrame, segs: DataFrame, reach: float = REACH, cell: float = 1.0) -> DataFrame:
-    """seg_id, area: of the cells of a segment's zone whose centre a detection covers, each counted once."""
-    c = F.col
-    return _area(_in_zone(_cells(_meet(dets, segs, reach), (c("xmin"), c("xmax")), (c("ymin"), c("ymax")), cell), reach, cell), "area", cell)
+def union_area(dets: DataFrame, segs: DataFrame, reach: float = REACH, met: DataFrame | None = None) -> DataFrame:
+    """seg_id, area: of what detections cover of a segment's zone, counted once."""
+    met = meet(dets, segs, reach) if met is None else met
+    rects = _by_cell(met, reach, F.greatest("xmin", "gx0"), F.greatest("ymin", "gy0"), F.least("xmax", "gx1"), F.least("ymax", "gy1"))
+    return _area(_disjoint(rects.select("seg_id", "cx", "cy", "a", "l", "b", "h").distinct()), segs, reach, "area")
+
 
+def zone_area(segs: DataFrame, reach: float = REACH) -> DataFrame:
+    """seg_id, zone_area: of all within ``reach`` of the segment's edges."""
+    g = 4 * reach
+    cells = _by_cell(_edges(segs, reach), reach, *map(F.col, ("gx0", "gy0", "gx1", "gy1"))).select("seg_id", "cx", "cy").distinct()
+    return _area(cells.withColumns({"a": F.col("cx") * g, "l": F.col("cy") * g, "b": (F.col("cx") + 1) * g, "h": (F.col("cy") + 1) * g}), segs, reach, "zone_area")
 
-def zone_area(segs: DataFrame, reach: float = REACH, cell: float = 1.0) -> DataFrame:
-    """seg_id, zone_area: of the cells whose centre is in the segment's zone."""
-    x, y = (F.least("x0", "x1") - reach, F.greatest("x0", "x1") + reach + cell), (F.least("y0", "y1") - reach, F.greatest("y0", "y1") + reach + cell)
-    return _area(_in_zone(_cells(segs, x, y, cell), reach, cell), "zone_area", cell)
 
+def reached(reach: float) -> tuple[Column, Column]:
+    """Of a piece (u0, v0)-(u1, v1) of an edge, from where to where, as shares of it, it lies within ``reach`` of the box; null where it doesn't.
 
-def front(dets: DataFrame, segs: DataFrame, reach: float = REACH, step: float = 1.0) -> DataFrame:
-    """seg_id, front: the length of each segment that has a detection within ``reach``, sampled in pieces of about ``step``."""
+    All within reach of a box is it grown along either axis, and circles at its corners.
+    """
     c = F.col
-    p = _meet(dets, segs, reach).withColumn("length", edge_length()).withColumn("pieces", F.greatest(F.ceil(c("length") / step), F.lit(1))).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), c("pieces") - 1)))
-    t = (c("k") + 0.5) / c("pieces")
-    x, y = c("x0") + t * (c("x1") - c("x0")), c("y0") + t * (c("y1") - c("y0"))
-    dx, dy = F.greatest(c("xmin") - x, x - c("xmax"), F.lit(0.0)), F.greatest(c("ymin") - y, y - c("ymax"), F.lit(0.0))
-    hit = p.filter(F.sqrt(dx * dx + dy * dy) <= reach).select("seg_id", "k", "x0", "y0", "x1", "y1", "length", "pieces").distinct()
-    return hit.groupBy("seg_id").agg(F.sum(c("length") / c("pieces")).alias("front"))
+    dx, dy = c("u1") - c("u0"), c("v1") - c("v0")
+    size = dx * dx + dy * dy
+    spans = []
+
+    def found(lo: Column, hi: Column, cond: Column) -> None:
+        spans.append(F.struct(lo.alias("lo"), hi.alias("hi"), cond.alias("ok")))
+
+    for gx, gy in ((reach, 0.0), (0.0, reach)):
+        enter, leave = F.lit(0.0), F.lit(1.0)
+        for a, d, lo, hi in ((c("u0"), dx, c("xmin") - gx, c("xmax") + gx), (c("v0"), dy, c("ymin") - gy, c("ymax") + gy)):
+            t0, t1, level = F.when(d != 0, (lo - a) / d), F.when(d != 0, (hi - a) / d), a.between(lo, hi)
+            enter = F.greatest(enter, F.when(d != 0, F.least(t0, t1)).otherwise(F.when(level, 0.0).otherwise(2.0)))
+            leave = F.least(leave, F.when(d != 0, F.greatest(t0, t1)).otherwise(F.when(level, 1.0).otherwise(-1.0)))
+        found(enter, leave, enter <= leave)
+    for x in ("xmin", "xmax"):
+        for y in ("ymin", "ymax"):
+            px, py = c("u0") - c(x), c("v0") - c(y)
+            along, rest = dx * px + dy * py, px * px + py * py - reach * reach
+            root = along * along - size * rest
+            wide = F.sqrt(F.greatest(root, F.lit(0.0)))
+            found((-along - wide) / size, (-along + wide) / size, root >= 0)
+    real = F.filter(F.array(*spans), lambda s: s["ok"] & (s["lo"] <= 1) & (s["hi"] >= 0))
+    ends = F.transform(real, lambda s: F.struct(F.greatest(s["lo"], F.lit(0.0)).alias("lo"), F.least(s["hi"], F.lit(1.0)).alias("hi")))
+    return F.array_min(F.transform(ends, lambda s: s["lo"])), F.array_max(F.transform(ends, lambda s: s["hi"]))
+
+
+def front(dets: DataFrame, segs: DataFrame, reach: float = REACH, met: DataFrame | None = None) -> DataFrame:
+    """seg_id, front: the length of each segment that has a detection within ``reach``."""
+    met = meet(dets, segs, reach) if met is None else met
+    piece, c = ["seg_id", "u0", "v0", "u1", "v1"], F.col
+    t0, t1 = reached(reach)
+    d = met.filter("u0 <> u1 or v0 <> v1").select(*piece, t0.alias("t0"), t1.alias("t1")).filter("t0 < t1").distinct()
+    upto = F.max("t1").over(Window.partitionBy(*piece).orderBy("t0", "t1").rowsBetween(Window.unboundedPreceding, -1))
+    length = F.sqrt((c("u1") - c("u0")) * (c("u1") - c("u0")) + (c("v1") - c("v0")) * (c("v1") - c("v0")))
+    new = F.greatest(c("t1") - F.greatest("t0", upto), F.lit(0.0))
+    return d.withColumn("new", new * length).groupBy("seg_id").agg(F.sum("new").alias("front"))
 
 
 def edge_length() -> Column:
@@ -146,8 +291,6 @@ def roll_up(
     clouds: DataFrame,
     labels: tuple[str, ...] | None = TARGETS,
     reach: float = REACH,
-    cell: float = 1.0,
-    step: float = 1.0,
     blind_above: float = BLIND_ABOVE,
     partial_above: float = PARTIAL_ABOVE,
 ) -> DataFrame:
@@ -162,10 +305,12 @@ def roll_up(
     if segs.isEmpty():
         raise ValueError("there are no segments")
     own = dets if labels is None else dets.filter(F.col("label").isin(list(labels)))
-    hits = near(own, segs, reach).groupBy("seg_id").agg(F.count_distinct("det_id").alias("n_detections"))
-    lengths = segs.groupBy("seg_id").agg(F.first("name").alias("name"), F.sum(edge_length()).alias("front_length"))
+    segs = keep(segs)
+    met = meet(own, segs, reach)
+    hits = near(own, segs, reach, met).groupBy("seg_id").agg(F.count_distinct("det_id").alias("n_detections"))
+    lengths = segs.groupBy("seg_id").agg(F.min("name").alias("name"), F.sum(edge_length()).alias("front_length"))
     out = lengths
-    for part in (hits, union_area(own, segs, reach, cell), zone_area(segs, reach, cell), front(own, segs, reach, step), clouds.select("seg_id", F.col("cloud_fraction").cast("double").alias("cloud"))):
+    for part in (hits, union_area(own, segs, reach, met), zone_area(segs, reach), front(own, segs, reach, met), clouds.select("seg_id", F.col("cloud_fraction").cast("double").alias("cloud"))):
         out = out.join(part, "seg_id", "left")
     c, zero = F.col, lambda name: F.coalesce(name, F.lit(0.0))
     cloud = zero("cloud")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from seasight.functions.geo import iou
 from seasight.lineage import keep
+from seasight.operators.pairs import box_pairs
 
 BOX = ["xmin", "ymin", "xmax", "ymax"]
 TARGETS = ("sargassum", "marine_debris")
@@ -27,27 +28,19 @@ def clip(dets: DataFrame, width: float, height: float, min_area: float = 1.0) ->
     return d.filter((w > 0) & (h > 0) & (w * h >= min_area))
 
 
-def _cells(df: DataFrame, cell: float) -> DataFrame:
-    span = lambda lo, hi: F.sequence(F.floor(F.col(lo) / cell), F.floor(F.col(hi) / cell))
-    return df.withColumn("cx", F.explode(span("xmin", "xmax"))).withColumn("cy", F.explode(span("ymin", "ymax")))
-
-
 def iou_pairs(dets: DataFrame, gts: DataFrame, threshold: float = 0.5, by_label: bool = True, cell: float = CELL, better: bool = False) -> DataFrame:
     """det_id, gt_id, image, label, score, iou of every pair at or above ``threshold`` (over 0).
 
-    Boxes meet in the grid cells that both touch; a pair counts in the cell of
-    its intersection's corner alone, so that no pair has to be made distinct.
+    Boxes meet in cells of the larger one's size, from ``cell`` up (``box_pairs``).
     With ``better``, gts has scores, and a box meets only those of a higher one;
     of equal scores the smaller id is better.
     """
-    g = _cells(gts, cell).select(*[F.col(c).alias(f"g_{c}") for c in ["image", "label", "cx", "cy", *BOX]], "gt_id", *([F.col("score").alias("g_score")] if better else []))
-    on = (F.col("image") == F.col("g_image")) & (F.col("cx") == F.col("g_cx")) & (F.col("cy") == F.col("g_cy"))
-    if by_label:
-        on = on & (F.col("label") == F.col("g_label"))
+    g = gts.select(*[F.col(c).alias(f"g_{c}") for c in ["image", "label", *BOX]], "gt_id", *([F.col("score").alias("g_score")] if better else []))
+    on = {"image": "g_image"} | ({"label": "g_label"} if by_label else {})
+    met = box_pairs(dets, g, on, tuple(BOX), tuple(f"g_{c}" for c in BOX), cell)
     if better:
-        on = on & ((F.col("g_score") > F.col("score")) | ((F.col("g_score") == F.col("score")) & (F.col("gt_id") < F.col("det_id"))))
-    corner = (F.col("cx") == F.floor(F.greatest("xmin", "g_xmin") / cell)) & (F.col("cy") == F.floor(F.greatest("ymin", "g_ymin") / cell))
-    return _cells(dets, cell).join(g, on & corner).withColumn("iou", iou()).filter(F.col("iou") >= threshold).select("det_id", "gt_id", "image", "label", "g_label", "score", "iou")
+        met = met.filter((F.col("g_score") > F.col("score")) | ((F.col("g_score") == F.col("score")) & (F.col("gt_id") < F.col("det_id"))))
+    return met.withColumn("iou", iou()).filter(F.col("iou") >= threshold).select("det_id", "gt_id", "image", "label", "g_label", "score", "iou")
 
 
 def match(dets: DataFrame, gts: DataFrame, threshold: float = 0.5, by_label: bool = True) -> DataFrame:

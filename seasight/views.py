@@ -39,12 +39,20 @@ MARKS = """SELECT event_id AS det_id, CAST(floor(event_id / 1000.0e0) AS bigint)
   CAST((event_id % 100) * 10 + user_id % 5 + 4 + user_id % 11 AS double) AS xmax, CAST(floor((event_id % 1000) / 100.0e0) * 4 + user_id % 3 + 3 + event_id % 8 AS double) AS ymax,
   CAST(floor(value / 5.0e0) / 100.0e0 AS double) AS score FROM events"""
 
+#: The same off whole coordinates, from under a metre to six kilometres long.
+DRIFT = """SELECT event_id AS det_id, CAST(floor(event_id / 1000.0e0) AS bigint) AS image,
+  CASE event_id % 9 WHEN 0 THEN 'marine_debris' WHEN 1 THEN 'sargassum' WHEN 2 THEN 'ship' WHEN 3 THEN 'ship_wake' WHEN 4 THEN 'sea_foam' WHEN 5 THEN 'cloud' WHEN 6 THEN 'sediment_plume' WHEN 7 THEN 'open_water' ELSE 'unknown' END AS label,
+  CAST((event_id % 100) * 10 + user_id % 5 + 0.3e0 AS double) AS xmin, CAST(floor((event_id % 1000) / 100.0e0) * 4 + (user_id % 7) / 8.0e0 AS double) AS ymin,
+  CAST((event_id % 100) * 10 + user_id % 5 + CASE WHEN event_id % 400 = 0 THEN 6000 ELSE 0.7e0 + user_id % 11 END AS double) AS xmax,
+  CAST(floor((event_id % 1000) / 100.0e0) * 4 + (user_id % 7) / 8.0e0 + 0.4e0 + event_id % 8 AS double) AS ymax,
+  CAST(floor(value / 5.0e0) / 100.0e0 AS double) AS score FROM events"""
+
 #: Coast segments of one to many edges each.
 SHORE = """SELECT CAST(s_nationkey AS bigint) AS seg_id, 'coast ' || s_nationkey AS name, CAST(s_nationkey % 5 AS bigint) AS image,
   CAST(s_nationkey * 40 + (s_suppkey % 4) * 8 AS double) AS x0, CAST((s_suppkey % 3) * 6 AS double) AS y0,
   CAST(s_nationkey * 40 + (s_suppkey % 4) * 8 + 8 AS double) AS x1, CAST((s_suppkey % 5) * 5 AS double) AS y1 FROM supplier"""
 
-VIEWS = {"marks": MARKS, "shore": SHORE, "px": PX, "dets": DETS, "gts": GTS, "segs": SEGS, "clouds": CLOUDS}
+VIEWS = {"marks": MARKS, "drift": DRIFT, "shore": SHORE, "px": PX, "dets": DETS, "gts": GTS, "segs": SEGS, "clouds": CLOUDS}
 
 
 def with_views(sql: str) -> str:
