@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
 from pyspark.sql import functions as F
 
 from seasight.functions import geo, spectral
-from seasight.operators import catalog, classifier, curves, detections, display, prompts, scene, screening
+from seasight.operators import blocks, catalog, classifier, curves, detections, display, prompts, scene, screening
 from seasight.operators.quantiles import percentiles
 from seasight.plans.queries import _CLOUD, _FDI, _NDWI, _SPECTRA, _WATER, _spectra, _table, query, r6, s6
 from seasight.settings import Settings
@@ -285,32 +285,50 @@ def collections_roundtrip(spark, sf):
     return flat.select(c("f.properties.tile").cast("long").alias("k"), "image", c("f.properties.label").alias("label"), r6(c("f.properties.score")).alias("score"), r6(c("f.properties.area_m2")).alias("area_m2"), c("f.properties.scene_id").alias("scene_id"))
 
 
-_SMALL = Settings(tile_size=64, tile_overlap=14, score_threshold=0.1, nms_iou=0.5)
+_SMALL = Settings(tile_size=64, tile_overlap=16, score_threshold=0.1, nms_iou=0.5)
 
 
-def corners(parts):
-    """A detector to test with: in each window a box at its corner and one that the next windows see too."""
-    for t in parts:
-        for dx, dy, score in ((0.0, 0.0, 0.9), (52.0, 10.0, 0.5), (2.0, 10.0, 0.6), (5.0, 5.0, 0.05)):
-            yield pd.DataFrame({"image": t["image"], "row_off": t["row_off"], "col_off": t["col_off"], "xmin": dx, "ymin": dy, "xmax": dx + 8.0, "ymax": dy + 6.0, "label": "marine_debris", "score": score})
+def bright(bands):
+    """A detector to test with: every 8 x 8 pixels, from the window's corner, whose mean near infrared is above a limit."""
+    nir = bands["nir"]
+    for r in range(0, nir.shape[0], 8):
+        for c0 in range(0, nir.shape[1], 8):
+            part = nir[r : r + 8, c0 : c0 + 8]
+            good = part[np.isfinite(part)]
+            if len(good) and good.mean() > 0.0075:
+                yield float(c0), float(r), c0 + 8.0, r + 8.0, "marine_debris", float(np.floor(good.mean() * 4e7 + 0.501) / 1e6)
 
 
-@query("scene_detect", """WITH m AS (SELECT max(r) + 1 AS h FROM px), y AS (SELECT unnest(range(0, CASE WHEN h <= 64 THEN 1 ELSE CAST(ceil((h - 64) / 50e0) AS BIGINT) * 50 + 1 END, 50)) AS row_off FROM m), x AS (SELECT unnest([0, 50]) AS col_off),
-b AS (SELECT col_off + dx AS xmin, row_off + dy AS ymin, col_off + dx + 8 AS xmax, row_off + dy + 6 AS ymax, score, h FROM y, x, m, (VALUES (0, 0, 0.9e0), (52, 10, 0.5e0), (2, 10, 0.6e0)) AS d(dx, dy, score)),
-k AS (SELECT xmin, ymin, least(xmax, 100) AS xmax, least(ymax, h) AS ymax, score FROM b),
-v AS (SELECT * FROM k WHERE xmax > xmin AND ymax > ymin AND (xmax - xmin) * (ymax - ymin) >= 1)
-SELECT CAST(xmin AS DOUBLE) AS xmin, CAST(ymin AS DOUBLE) AS ymin, CAST(xmax AS DOUBLE) AS xmax, CAST(ymax AS DOUBLE) AS ymax, score, CAST(xmin * 10 + 300000 AS DOUBLE) AS west, CAST(4000000 - ymin * 10 AS DOUBLE) AS north FROM v a
-WHERE NOT EXISTS (SELECT 1 FROM v b WHERE b.score > a.score AND greatest(least(a.xmax, b.xmax) - greatest(a.xmin, b.xmin), 0) * greatest(least(a.ymax, b.ymax) - greatest(a.ymin, b.ymin), 0)
-  / ((a.xmax - a.xmin) * (a.ymax - a.ymin) + (b.xmax - b.xmin) * (b.ymax - b.ymin) - greatest(least(a.xmax, b.xmax) - greatest(a.xmin, b.xmin), 0) * greatest(least(a.ymax, b.ymax) - greatest(a.ymin, b.ymin), 0)) > 0.5e0)""")
+@query("scene_detect", """WITH m AS (SELECT max(r) + 1 AS h FROM px), y AS (SELECT unnest(range(0, CASE WHEN h <= 64 THEN 1 ELSE CAST(ceil((h - 64) / 48e0) AS BIGINT) * 48 + 1 END, 48)) AS row_off FROM m), x AS (SELECT unnest([0, 48]) AS col_off),
+b AS (SELECT row_off, col_off, (r - row_off) // 8 AS i, (c - col_off) // 8 AS j, avg(nir) AS v FROM px JOIN y ON r >= row_off AND r < row_off + 64 JOIN x ON c >= col_off AND c < col_off + 64 GROUP BY ALL),
+k AS (SELECT DISTINCT col_off + 8 * j AS xmin, row_off + 8 * i AS ymin, least(col_off + 8 * j + 8, 100) AS xmax, least(row_off + 8 * i + 8, h) AS ymax, floor(v * 4e7 + 0.501e0) / 1e6 AS score FROM b, m WHERE v > 0.0075e0)
+SELECT CAST(xmin AS DOUBLE) AS xmin, CAST(ymin AS DOUBLE) AS ymin, CAST(xmax AS DOUBLE) AS xmax, CAST(ymax AS DOUBLE) AS ymax, score, CAST(xmin * 10 + 300000 AS DOUBLE) AS west, CAST(4000000 - ymin * 10 AS DOUBLE) AS north FROM k""")
 def scene_detect(spark, sf):
-    """The whole path over one scene: windows, detector, seams, map coordinates."""
+    """The whole path over one scene: windows, their bands to the detector, seams, map coordinates."""
     px = view(spark, sf, "px").withColumn("image", F.lit(0).cast("long"))
     h = px.agg(F.max("r") + 1).first()[0]
-    found, _ = scene.detect(px, corners, 100, int(h), _SMALL, screened=False, transform=(10.0, 0.0, 300000.0, 0.0, -10.0, 4000000.0), scene_id="s")
+    found, _ = scene.detect(px, blocks.per_window(bright), 100, int(h), _SMALL, screened=False, transform=(10.0, 0.0, 300000.0, 0.0, -10.0, 4000000.0), scene_id="s", dtype="float64")
     ring = lambda k: F.get("ring", 0)[k]
     return found.select(*detections.BOX, "score", ring("x").alias("west"), ring("y").alias("north"))
 
 
+@query("window_blocks", """WITH m AS (SELECT max(r) + 1 AS h FROM px), y AS (SELECT unnest(range(0, CASE WHEN h <= 64 THEN 1 ELSE CAST(ceil((h - 64) / 48e0) AS BIGINT) * 48 + 1 END, 48)) AS row_off FROM m), x AS (SELECT unnest([0, 48]) AS col_off)
+SELECT row_off, col_off, CAST(least(64, h - row_off) AS INT) AS height, CAST(least(64, 100 - col_off) AS INT) AS width, count(nir) AS n_nir, CAST(sum(scl) AS BIGINT) AS sum_scl FROM px JOIN y ON r >= row_off AND r < row_off + 64 JOIN x ON c >= col_off AND c < col_off + 64, m GROUP BY ALL""")
+def window_blocks(spark, sf):
+    """What the blocks of all windows hold, by what a detector makes of them."""
+    px = view(spark, sf, "px").withColumn("image", F.lit(0).cast("long"))
+    h = int(px.agg(F.max("r") + 1).first()[0])
+    wanted = display.window_pixels(px, 64, 16, 100, h).select(*blocks.WINDOW).distinct()
+    b = blocks.blocks(blocks.stretches(px, ["nir", "scl"], 32), wanted, 100, h, 64, 16)
+
+    def count(frames):
+        for f in frames:
+            each = [blocks.arrays(x) for x in f.to_dict("records")]
+            yield f[["row_off", "col_off", "height", "width"]].assign(n_nir=[int(np.isfinite(a["nir"]).sum()) for a in each], sum_scl=[int(a["scl"].sum()) for a in each])
+
+    return blocks.detect(b, count, "row_off long, col_off long, height int, width int, n_nir long, sum_scl long")
+
+
 @query("scene_screened", f"""WITH RECURSIVE w AS (SELECT unnest([0, 50]) AS col_off), h AS (SELECT max(r) + 1 AS h FROM px), y AS (SELECT unnest(range(0, CASE WHEN h <= 64 THEN 1 ELSE CAST(ceil((h - 64) / 50e0) AS BIGINT) * 50 + 1 END, 50)) AS row_off FROM h),
 p AS (SELECT row_off, col_off, {_FDI} AS fdi, {_WATER} AND NOT {_CLOUD} AS clean FROM px JOIN y ON r >= row_off AND r < row_off + 64 JOIN w ON c >= col_off AND c < col_off + 64),
 t AS (SELECT row_off, col_off, greatest(0.006e0, coalesce(quantile_cont(fdi, 0.95e0) FILTER (WHERE clean), 0.006e0)) AS t FROM p GROUP BY ALL)

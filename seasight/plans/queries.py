@@ -414,7 +414,7 @@ def _bright_tiles(parts):
         yield t.assign(label="marine_debris", score=0.5)[["tr", "tc", "label", "score"]]
 
 
-@query("detect_pipeline", _VERDICTS + "SELECT tr, tc, 'marine_debris' AS label, 0.5e0 AS score FROM v WHERE n_regions > 0")
+@query("detect_pipeline", _VERDICTS.replace("0.95e0", "0.6e0") + "SELECT tr, tc, 'marine_debris' AS label, 0.5e0 AS score FROM v WHERE n_regions > 0")
 def detect_pipeline(spark, sf):
     """Screening first, the detector on what it accepts alone."""
-    return screening.detect(screening.screen(view(spark, sf, "px"), 0.95).select("tr", "tc", "accepted"), _bright_tiles, "tr long, tc long, label string, score double")
+    return screening.detect(screening.screen(view(spark, sf, "px"), 0.6).select("tr", "tc", "accepted"), _bright_tiles, "tr long, tc long, label string, score double")
