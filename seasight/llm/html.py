@@ -6,12 +6,16 @@ occur equally often in every page form an equivalence class. A class is valid
 if most of the host's pages have it and it stands in the same order in them;
 valid classes nest where each element's enclosing one is in one too, and
 these are the host's template: its elements are slots, its texts are the same on
-every page and never main text, wherever they stand.
+every page.
 
 What fills the slots tells them apart: the main slot is that which has the
 largest share of the pages' running text. A page's own text is what fills the main slot,
-the headings of the elements around it, and, where the slot is in an article or
-main, that element's other slots. Other slots (menus, adverts, reader comments,
+the headings of the elements around it, and that element's other slots where the slot is in an article or
+main, else those of lists, tables and headings beside it. Texts of the template that stand between such
+texts of the page's own are part of it (the headings of a recipe, the questions
+of a form of answers), and so are those after the last one in an article or
+main, unless they are in an element of a class that has nothing of the page's
+own. Others of its texts, such as a notice before the first, and other slots (menus, adverts, reader comments,
 footers, whatever they are called) are left out. Where a host has too few pages
 for a template, the page's own markup decides.
 """
@@ -37,6 +41,8 @@ _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 _SKIP = frozenset("nav footer aside form head button select option input object canvas dialog audio video map menu datalist fieldset".split()) | _RAW
 _MAIN = frozenset(["article", "main"])
 _HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Parts of running text, which stand in something that holds a text.
+_FLOW = _HEADING | frozenset("p ul ol li dl dt dd table caption thead tbody tfoot tr td th blockquote pre figure figcaption".split())
 #: Words of a class, id or role that name what isn't main text: for what no template has, and for what fills a main slot.
 _ROLES = frozenset(
     "ad ads advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies dialog disqus footer gdpr masthead menu modal nav navbar navigation newsletter "
@@ -189,10 +195,10 @@ def host_of(url):
 
 
 _BLOCK = pa.list_(pa.struct([("element", pa.int32()), ("token", pa.int64()), ("aside", pa.bool_()), ("plain", pa.int32())]))
-_ELEMENT = pa.list_(pa.struct([("token", pa.int64()), ("up", pa.int32()), ("main", pa.bool_()), ("opens", pa.bool_()), ("heading", pa.bool_())]))
+_ELEMENT = pa.list_(pa.struct([("token", pa.int64()), ("up", pa.int32()), ("main", pa.bool_()), ("opens", pa.bool_()), ("heading", pa.bool_()), ("classed", pa.bool_()), ("flow", pa.bool_())]))
 _TOKEN_OF_PAGE = pa.list_(pa.struct([("token", pa.int64()), ("up", pa.int64()), ("depth", pa.int32()), ("n", pa.int32()), ("pos", pa.int32())]))
 _READ = (
-    "host string, page_key long, texts array<string>, blocks array<struct<element:int,token:long,aside:boolean,plain:int>>, elements array<struct<token:long,up:int,main:boolean,opens:boolean,heading:boolean>>, "
+    "host string, page_key long, texts array<string>, blocks array<struct<element:int,token:long,aside:boolean,plain:int>>, elements array<struct<token:long,up:int,main:boolean,opens:boolean,heading:boolean,classed:boolean,flow:boolean>>, "
     "tokens array<struct<token:long,up:long,depth:int,n:int,pos:int>>"
 )
 
@@ -213,7 +219,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             texts_of.append([x[1] for x in found])
             blocks_of.append([{"element": e, "token": t, "aside": aside, "plain": n} for (e, _, aside, n), t in zip(found, own)])
             names = [x[0].rsplit("/", 1)[-1].split(".")[0] for x in elements]
-            elements_of.append([{"token": of[i], "up": x[1], "main": x[2], "opens": names[i] in _MAIN, "heading": names[i] in _HEADING} for i, x in enumerate(elements)])
+            elements_of.append([{"token": of[i], "up": x[1], "main": x[2], "opens": names[i] in _MAIN, "heading": names[i] in _HEADING, "classed": "." in x[0].rsplit("/", 1)[-1], "flow": names[i] in _FLOW} for i, x in enumerate(elements)])
             tokens_of.append([dict(zip(("token", "up", "depth", "n", "pos"), x)) for x in tokens.values()])
             keys.append(_hash("\n".join([*(f"{x[0]} {x[3]}" for x in elements), *(x[1] for x in found)])))
         yield pa.RecordBatch.from_arrays(
@@ -246,14 +252,15 @@ def fill(found: list[dict], elements: list[dict], template: set[int], main_slot:
 
     A page without the main slot, or a host without a template (main_slot
     None), goes by its own markup: what is in an article or main, or all if
-    there is none, less the template's texts.
+    there is none, less the template's texts that aren't part of an article.
     """
     slot = slots_of(elements, template)
     at = next((i for i, e in enumerate(elements) if e["token"] == main_slot and slot[i] == i), None) if main_slot is not None else None
     if at is None:
         free = [i for i, x in enumerate(found) if not x["aside"]]
-        own = [i for i in free if elements[found[i]["element"]]["main"]] or free
-        kept = [i for i in own if found[i]["token"] not in template]
+        marked = [i for i in free if elements[found[i]["element"]]["main"]]
+        own = marked or free
+        kept = _own(found, elements, template, own, set(marked), bool(marked))
         return kept, len({slot[found[i]["element"]] for i in kept}), len(own) - len(kept)
     around, i = {at}, at
     while i:
@@ -262,28 +269,46 @@ def fill(found: list[dict], elements: list[dict], template: set[int], main_slot:
     inner = at  # the innermost article or main around the slot; 0 if there is none
     while inner and not elements[inner]["opens"]:
         inner = elements[inner]["up"]
+    root = inner or at
+    while not inner and elements[root]["flow"]:
+        root = elements[root]["up"]
     good = set()
     for n in {slot[x["element"]] for x in found}:
-        up, inside = n, False
-        while up:
-            inside = inside or up == inner > 0
+        up = n
+        while up and up != root and (inner or elements[up]["flow"]):
             up = elements[up]["up"]
+        inside = up == root > 0
         # another slot: of the same article or main, or the heading of an element around the main slot
         if n == at or inside or (elements[n]["heading"] and slot[elements[n]["up"]] in around):
             good.add(n)
-    kept, gone = [], 0
+    own, gone = [], 0
     for i, x in enumerate(found):
-        e = elements[x["element"]]
-        n = slot[x["element"]]
-        # an article or main of the page's own, inside what is around the main slot
-        if n in good or (e["main"] and n in around):
-            if x["aside"]:
-                continue
-            if x["token"] not in template:
-                kept.append(i)
-                continue
-        gone += 1
-    return kept, len({slot[found[i]["element"]] for i in kept}), gone
+        e, n = elements[x["element"]], slot[x["element"]]
+        # also an article or main of the page's own, inside what is around the main slot
+        if n not in good and not (e["main"] and n in around):
+            gone += 1
+        elif not x["aside"]:
+            own.append(i)
+    under = [i == root for i in range(len(elements))]
+    for i in range(1, len(elements)):
+        under[i] = under[i] or under[elements[i]["up"]]
+    kept = _own(found, elements, template, own, {i for i in own if under[found[i]["element"]]}, inner > 0)
+    return kept, len({slot[found[i]["element"]] for i in kept}), gone + len(own) - len(kept)
+
+
+def _own(found: list[dict], elements: list[dict], template: set[int], among: list[int], whole: set[int], article: bool) -> list[int]:
+    """Of the blocks ``among``, those not the template's, and its texts that are part of the ``whole``: between the page's own, or after them in an article in an element that has something of the page's own, or is of no class."""
+    own = [i for i in among if found[i]["token"] not in template]
+    run = [i for i in own if i in whole]
+    if not run:
+        return own
+    varied = {found[i]["element"] for i in run}
+
+    def stays(i: int) -> bool:
+        e = found[i]["element"]
+        return i in whole and (run[0] < i < run[-1] or (article and i > run[-1] and (e in varied or not elements[e]["classed"])))
+
+    return [i for i in among if found[i]["token"] not in template or stays(i)]
 
 
 def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

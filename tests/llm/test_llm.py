@@ -692,6 +692,28 @@ def test_html_keeps_an_optional_second_article(spark):
     assert got == {i: f"lead {i}" + f"\n\nupdate {i}" * (i % 2) for i in range(10)}
 
 
+RECIPE = "<body><nav>menu</nav><article><p class=note>Free for members</p><h1>{t}</h1><h2>Ingredients</h2><ul><li>flour</li><li>{a}</li></ul><h2>Method</h2><p>{b}</p><p>Serves four</p><p class=legal>Terms apply</p></article><footer>f</footer>"
+ANSWERS = "<body><div class=top>Shop</div><main><h1>{t}</h1><dl><dt>How long is delivery?</dt><dd>{a}</dd><dt>Can I return it?</dt><dd>{b}</dd><dt>Is it new?</dt><dd>Yes.</dd></dl></main><div class=end>bye</div>"
+PRODUCT = "<body><div class=w8>Shop</div><div class=x1><h1>{t}</h1><table><tr><th>Weight</th><td>{a}</td></tr><tr><th>Colour</th><td>{b}</td></tr></table></div><div class=w9>Terms apply</div>"
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (RECIPE, ["{t}", "Ingredients", "flour", "{a}", "Method", "{b}", "Serves four"]),
+        (ANSWERS, ["{t}", "How long is delivery?", "{a}", "Can I return it?", "{b}", "Is it new?", "Yes."]),
+        (PRODUCT, ["{t}", "Weight", "{a}", "Colour", "{b}"]),
+    ],
+)
+def test_html_repeated_text_inside_the_article_stays(spark, page, want):
+    """Headings, questions and lines that all pages of a host have, between or after the page's own; notices before and legal lines after go."""
+    r = random.Random(27)
+    words = lambda n: " ".join(r.choice(["lorem", "ipsum", "dolor", "amet"]) for _ in range(n))
+    own = [{"t": f"Title {i}", "a": f"{words(5)} {i}", "b": f"{words(20)} {i}"} for i in range(9)]
+    got = {x["page_id"]: x["text"] for x in html.extract(spark.createDataFrame([(i, "http://h.example/", page.format(**o)) for i, o in enumerate(own)], "page_id long, url string, html string")).collect()}
+    assert got == {i: "\n\n".join(want).format(**o) for i, o in enumerate(own)}
+
+
 # 10
 
 
