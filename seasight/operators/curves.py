@@ -9,15 +9,15 @@ from pyspark.sql import functions as F
 def running(rows: DataFrame, bands: int = 256) -> DataFrame:
     """score, tp, n, n_pos: per row of (id, pos 0 or 1, score) how many rows and hits the threshold at its score takes, ties by id.
 
-    Counts run over bands of scores, then within each band, so that no task gets all rows.
+    No threshold takes a row without a score: it counts in n_pos alone. Counts run over bands of scores, then within each band, so that no task gets all rows.
     """
     x = rows.withColumn("band", F.floor(F.col("score") * -bands))
     sums = x.groupBy("band").agg(F.sum("pos").alias("b_tp"), F.count("*").alias("b_n"))
-    before = Window.orderBy("band").rowsBetween(Window.unboundedPreceding, -1)  # as many rows as bands
+    before = Window.orderBy(F.asc_nulls_last("band")).rowsBetween(Window.unboundedPreceding, -1)  # as many rows as bands
     whole = Window.orderBy("band").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     sums = sums.select("band", F.coalesce(F.sum("b_tp").over(before), F.lit(0)).alias("tp_0"), F.coalesce(F.sum("b_n").over(before), F.lit(0)).alias("n_0"), F.sum("b_tp").over(whole).alias("n_pos"))
     w = Window.partitionBy("band").orderBy(F.desc("score"), "id").rowsBetween(Window.unboundedPreceding, 0)
-    return x.join(sums, "band").select("score", (F.col("tp_0") + F.sum("pos").over(w)).alias("tp"), (F.col("n_0") + F.count("*").over(w)).alias("n"), "n_pos")
+    return x.filter("score is not null").join(sums, "band").select("score", (F.col("tp_0") + F.sum("pos").over(w)).alias("tp"), (F.col("n_0") + F.count("*").over(w)).alias("n"), "n_pos")
 
 
 def best_f1() -> Column:

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from seasight.functions import geo, spectral
-from seasight.operators import blocks, catalog, classifier, curves, detections, display, prompts, scene, screening
+from seasight.operators import blocks, catalog, classifier, curves, detections, display, prompts, scene, screening, stacks
 from seasight.operators.quantiles import percentiles
 from seasight.plans.queries import _CLOUD, _FDI, _NDWI, _SPECTRA, _WATER, _spectra, _table, query, r6, s6
 from seasight.settings import Settings
@@ -329,6 +329,23 @@ def window_blocks(spark, sf):
     return blocks.detect(b, count, "row_off long, col_off long, height int, width int, n_nir long, sum_scl long")
 
 
+@query("band_stack", f"""WITH n AS (SELECT r // 2 AS r, c // 2 AS c, avg(nir) AS nir FROM px GROUP BY 1, 2), k AS (SELECT r // 2 AS r, c // 2 AS c, scl, count(*) AS n FROM px GROUP BY 1, 2, 3),
+s AS (SELECT r, c, arg_min(scl, -n * 100 + scl) AS scl FROM k GROUP BY r, c), g AS (SELECT r // 2 AS r, c // 2 AS c, any_value(red) AS red FROM px WHERE r % 2 = 0 AND c % 2 = 0 GROUP BY 1, 2)
+SELECT r, c, {s6('100 * nir')} AS nir, CAST(scl AS DOUBLE) AS scl, red FROM n JOIN s USING (r, c) JOIN g USING (r, c)""")
+def band_stack(spark, sf):
+    """Near infrared and classes of the scene on a grid of twice the pixel size, beside a band that has it."""
+    px = view(spark, sf, "px")
+
+    def rows(band, value, every=1):
+        own = px.filter((c("r") % every == 0) & (c("c") % every == 0)).select(F.floor(c("r") / every).alias("r"), F.floor(c("c") / every).alias("c"), value.cast("double").alias("v"))
+        own = own.groupBy("r", (F.floor(c("c") / 16) * 16).cast("long").alias("c0")).agg(F.transform(F.array_sort(F.collect_list(F.struct("c", "v"))), lambda x: x["v"]).alias("values"))
+        return own.select(F.lit("s").alias("path"), F.lit(band).alias("band"), "r", "c0", "values")
+
+    stack = stacks.stack(rows("nir", c("nir")).union(rows("scl", c("scl"))).union(rows("red", c("red"), 2)), {"nir": 10, "scl": 10, "red": 20}, 20)
+    p = stacks.pixels(stacks.resample(stack, 20, 20, "nearest"), ["nir", "scl", "red"])
+    return p.select("r", "c", r6(100 * c("nir")).alias("nir"), "scl", "red")
+
+
 @query("scene_screened", f"""WITH RECURSIVE w AS (SELECT unnest([0, 50]) AS col_off), h AS (SELECT max(r) + 1 AS h FROM px), y AS (SELECT unnest(range(0, CASE WHEN h <= 64 THEN 1 ELSE CAST(ceil((h - 64) / 50e0) AS BIGINT) * 50 + 1 END, 50)) AS row_off FROM h),
 p AS (SELECT row_off, col_off, {_FDI} AS fdi, {_WATER} AND NOT {_CLOUD} AS clean FROM px JOIN y ON r >= row_off AND r < row_off + 64 JOIN w ON c >= col_off AND c < col_off + 64),
 t AS (SELECT row_off, col_off, greatest(0.006e0, coalesce(quantile_cont(fdi, 0.95e0) FILTER (WHERE clean), 0.006e0)) AS t FROM p GROUP BY ALL)

@@ -145,9 +145,10 @@ def read_rows(spark: SparkSession, path: str) -> DataFrame:
 
 
 def pixels(rows: DataFrame, bands: list[str] | None = None) -> DataFrame:
-    """path, r, c and a column per band: ``read_rows`` as a pixel table. The bands must share a grid."""
-    long = rows.select("path", "band", "r", "c0", F.posexplode("values").alias("i", "v")).select("path", "r", (F.col("c0") + F.col("i")).alias("c"), "band", "v")
-    return long.groupBy("path", "r", "c").pivot("band", bands).agg(F.first("v"))
+    """path, r, c and a column per band: ``read_rows`` as a pixel table. The bands must share a grid (``stacks.stack`` puts them on one)."""
+    from seasight.operators import stacks
+
+    return stacks.pixels(rows, bands or sorted(r["band"] for r in rows.select("band").distinct().collect()))
 
 
 def window(px: DataFrame, col_off: int, row_off: int, width: int, height: int) -> DataFrame:
