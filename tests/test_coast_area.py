@@ -14,11 +14,12 @@ SEGS = "seg_id long, image long, x0 double, y0 double, x1 double, y1 double"
 BOXES = "det_id long, image long, label string, xmin double, ymin double, xmax double, ymax double, score double"
 
 
-def strips(boxes, edges, reach, n=40_000):
-    """The area by the stretches that many thin strips have of both."""
-    lo, hi = min(b[0] for b in boxes), max(b[2] for b in boxes)
-    lo, hi = max(lo, edges[:, [0, 2]].min() - reach), min(hi, edges[:, [1, 1]].max() * 0 + edges[:, [0, 2]].max() + reach)
-    x = lo + (np.arange(n) + 0.5) * (hi - lo) / n
+def strips(boxes, edges, reach, each=1500):
+    """The area by the stretches that many thin strips have of both; strips end at the boxes' sides."""
+    ends = np.array([edges[:, [0, 2]].min() - reach, edges[:, [0, 2]].max() + reach])
+    sides = np.unique(np.clip(np.array([[b[0], b[2]] for b in boxes]).ravel(), *ends))
+    x = (sides[:-1, None] + np.diff(sides)[:, None] * (np.arange(each) + 0.5) / each).ravel()
+    wide, n = np.repeat(np.diff(sides) / each, each), (len(sides) - 1) * each
     spans = []
     for x0, y0, x1, y1 in edges:
         # the zone of an edge as the hull of its circles: highest and lowest of many points of the edge
@@ -36,7 +37,7 @@ def strips(boxes, edges, reach, n=40_000):
     order = np.argsort(low, axis=0)
     low, high = np.take_along_axis(low, order, 0), np.take_along_axis(high, order, 0)
     upto = np.maximum.accumulate(np.concatenate([np.full((1, n), -np.inf), high[:-1]]), axis=0)
-    return float(np.where(high > low, np.maximum(high - np.maximum(low, upto), 0), 0).sum() * (hi - lo) / n)
+    return float(np.where(high > low, np.maximum(high - np.maximum(low, upto), 0), 0).sum(axis=0) @ wide)
 
 
 def test_area_is_that_of_thin_strips(spark):
