@@ -188,6 +188,20 @@ def geo_centre(west="west", south="south", east="east", north="north") -> tuple[
     return (F.col(west) + F.col(east)) / 2, (F.col(south) + F.col(north)) / 2
 
 
+def finite_box(a: str = "") -> Column:
+    """All four ends are numbers."""
+    out = F.lit(True)
+    for k in ("xmin", "ymin", "xmax", "ymax"):
+        out = out & F.coalesce(F.abs(F.col(f"{a}{k}")) < float("inf"), F.lit(False)) & ~F.isnan(F.col(f"{a}{k}"))
+    return out
+
+
+def centre_size(width: float, height: float, a: str = "") -> Column:
+    """Centre and size of a box, as shares of an image's width and height: what detectors are trained on."""
+    x, y = centre(a)
+    return F.array(x / width, y / height, (F.col(f"{a}xmax") - F.col(f"{a}xmin")) / width, (F.col(f"{a}ymax") - F.col(f"{a}ymin")) / height)
+
+
 def xyxy(a: str = "") -> Column:
     return F.array(*[F.col(f"{a}{k}") for k in ("xmin", "ymin", "xmax", "ymax")])
 

@@ -86,8 +86,11 @@ def provider(endpoint: Column) -> Column:
 
 
 def search(scenes: DataFrame, west: float, south: float, east: float, north: float, start, end, max_cloud: float, limit: int) -> DataFrame:
-    """Scenes that overlap the box within the days, below ``max_cloud``; the clearest first, an unknown cloud cover as clear."""
-    hit = (F.col("west") <= east) & (F.col("east") >= west) & (F.col("south") <= north) & (F.col("north") >= south)
+    """Scenes that overlap the box within the days, below ``max_cloud``; the clearest first, an unknown cloud cover as clear. A box, or a scene, whose west is east of its east crosses the date line."""
+    crosses = F.col("west") > F.col("east")
+    either, both = (F.col("west") <= east) | (F.col("east") >= west), (F.col("west") <= east) & (F.col("east") >= west)
+    along = F.when(crosses, either).otherwise(both) if west <= east else crosses | either
+    hit = along & (F.col("south") <= north) & (F.col("north") >= south)
     cloud = F.coalesce("cloud", F.lit(0.0))
     return scenes.filter(hit & F.col("day").between(start, end) & (cloud < max_cloud)).orderBy(cloud, "scene_id").limit(limit)
 

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seasight.functions.geo import utm_inverse
+from seasight.functions.geo import finite_box, utm_inverse
 from seasight.functions.spectral import cloud_mask
 from seasight.lineage import keep
 from seasight.operators.pairs import box_pairs
@@ -69,8 +69,8 @@ def _edges(segs: DataFrame, reach: float) -> DataFrame:
 
 
 def meet(dets: DataFrame, segs: DataFrame, reach: float) -> DataFrame:
-    """Detections of an image beside the pieces of edges whose boxes, grown by ``reach``, they overlap: what the other functions begin with."""
-    d = dets.select("det_id", "image", "label", "xmin", "ymin", "xmax", "ymax")
+    """Detections of an image beside the pieces of edges whose boxes, grown by ``reach``, they overlap: what the other functions begin with. Boxes with an end that is no number have no place, and are left out."""
+    d = dets.filter(finite_box()).select("det_id", "image", "label", "xmin", "ymin", "xmax", "ymax")
     return keep(box_pairs(d, _edges(segs, reach), {"image": "s_image"}, ("xmin", "ymin", "xmax", "ymax"), ("gx0", "gy0", "gx1", "gy1"), 4 * reach))
 
 
@@ -317,7 +317,7 @@ def roll_up(
     cloud = F.when(cloud.between(0, 1), cloud).otherwise(F.raise_error(F.concat(F.lit("cloud fractions must be from 0 to 1, got "), cloud.cast("string"))).cast("double"))
     out = out.withColumn("cloud_fraction", cloud)
     share = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))
-    return out.select(
+    out = out.select(
         "seg_id",
         "name",
         observability(c("cloud_fraction"), blind_above, partial_above).alias("state"),
@@ -329,6 +329,7 @@ def roll_up(
         share(zero("front"), c("front_length")).alias("front_fraction"),
         F.coalesce("n_detections", F.lit(0)).alias("n_detections"),
     )
+    return keep(out)  # a row per segment, and read more than once where it is ranked
 
 
 def _order() -> list[Column]:

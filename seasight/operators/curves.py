@@ -45,6 +45,11 @@ def class_report(counts: DataFrame) -> DataFrame:
     return d.select("label", "support", zero(c("tp"), c("n_pred")).alias("precision"), zero(c("tp"), c("support")).alias("recall"), zero(2 * c("tp"), c("n_pred") + c("support")).alias("f1"))
 
 
+def debris_metrics(counts: DataFrame, label: str = "Marine Debris") -> DataFrame:
+    """The row of ``class_report`` of the class that all is about; none where neither side has it."""
+    return class_report(counts).filter(F.col("label") == label)
+
+
 def overall(counts: DataFrame) -> DataFrame:
     """One row: n, accuracy, macro_f1 of counts n by (truth, pred); macro over the labels of either side."""
     c = F.col

@@ -7,7 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from seasight.operators import coastal, detections
+from seasight.functions import geo
+from seasight.operators import catalog, coastal, curves, detections
 from seasight.operators.pairs import box_pairs
 
 SEGS = "seg_id long, image long, x0 double, y0 double, x1 double, y1 double"
@@ -148,3 +149,29 @@ def test_matching_from_one_to_ten_thousand_pixels(spark):
             pairs.append((u[0], -best[1]))
             del free[-best[1]]
     assert sorted((x["det_id"], x["gt_id"]) for x in detections.match(d, g.drop("score")).collect()) == sorted(pairs)
+
+
+def test_boxes_without_a_place_are_left_out(spark):
+    segs = spark.createDataFrame([(1, 0, 0.0, 0.0, 1000.0, 0.0)], SEGS)
+    nan, inf = float("nan"), float("inf")
+    rows = [(1, 0, "a", 100.0, 0.0, 110.0, 5.0, 0.5), (2, 0, "a", nan, 0.0, 110.0, 5.0, 0.5), (3, 0, "a", 100.0, -inf, 110.0, 5.0, 0.5), (4, 0, "a", 100.0, 0.0, None, 5.0, 0.5)]
+    d = spark.createDataFrame(rows, BOXES)
+    assert coastal.near(d, segs).count() == 1 and coastal.union_area(d, segs).first()["area"] == 50
+    assert d.filter("det_id = 1").select(geo.centre_size(200, 100).alias("b")).first()["b"] == [0.525, 0.025, 0.05, 0.05]
+
+
+def test_search_over_the_date_line(spark):
+    boxes = {"a": (170.0, 175.0), "b": (179.0, -179.0), "c": (-178.0, -170.0), "d": (0.0, 10.0), "e": (-175.0, 178.5)}
+    s = spark.createDataFrame([(k, "2024-01-01", 0.0, w, -1.0, e, 1.0) for k, (w, e) in boxes.items()], "scene_id string, day string, cloud double, west double, south double, east double, north double")
+
+    def found(west, east):
+        return {r["scene_id"] for r in catalog.search(s, west, -5, east, 5, "2024-01-01", "2024-12-31", 50, 10).collect()}
+
+    assert found(174, -177) == {"a", "b", "c", "e"} and found(179.5, -179.5) == {"b"}
+    assert found(-180, -179.5) == {"b"} and found(5, 20) == {"d", "e"}
+
+
+def test_debris_metrics(spark):
+    n = spark.createDataFrame([("Marine Debris", "Marine Debris", 3), ("Marine Debris", "Ship", 1), ("Ship", "Marine Debris", 2), ("Ship", "Ship", 9)], "truth string, pred string, n long")
+    r = curves.debris_metrics(n).first()
+    assert (r["support"], r["precision"], r["recall"]) == (4, 0.6, 0.75)
