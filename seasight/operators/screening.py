@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seasight.functions.spectral import FDI_THRESHOLD, INDICES, cloud_mask, water_mask
 from seasight.operators.quantiles import percentiles
+from seasight.operators.regions import labels
 
 TILE = ["tr", "tc"]
 MIN_CANDIDATES, MIN_REGION = 4, 8
@@ -32,27 +32,14 @@ def regions(px: DataFrame, mask: str = "candidate", connectivity: int = 8, least
     """tile, xmin, ymin, xmax, ymax (half-open), n_pixels: connected regions of the mask in each tile.
 
     A tile is the unit of the screening and bounded by its size, so that one
-    task labels it; regions that a tile's edge cuts stay apart.
+    task labels it; regions that a tile's edge cuts stay apart
+    (``regions.scene_regions`` joins them).
     """
 
     def label(rows: pd.DataFrame) -> pd.DataFrame:
-        r, c = rows["r"].to_numpy(), rows["c"].to_numpy()
-        at = {p: i for i, p in enumerate(zip(r.tolist(), c.tolist()))}
-        steps = [(0, 1), (1, 0)] + ([(1, 1), (1, -1)] if connectivity == 8 else [])
-        up = np.arange(len(rows))
-
-        def top(i: int) -> int:
-            while up[i] != i:
-                up[i] = up[up[i]]
-                i = up[i]
-            return i
-
-        for (y, x), i in at.items():
-            for dy, dx in steps:
-                j = at.get((y + dy, x + dx))
-                if j is not None:
-                    up[max(top(i), top(j))] = min(top(i), top(j))
-        g = pd.DataFrame({"k": [top(i) for i in range(len(rows))], "r": r, "c": c}).groupby("k").agg(ymin=("r", "min"), ymax=("r", "max"), xmin=("c", "min"), xmax=("c", "max"), n_pixels=("r", "size"))
+        d = rows.sort_values(["r", "c"]).drop_duplicates(["r", "c"])
+        d["k"] = labels(d["r"].to_numpy(), d["c"].to_numpy(), connectivity)
+        g = d.groupby("k").agg(ymin=("r", "min"), ymax=("r", "max"), xmin=("c", "min"), xmax=("c", "max"), n_pixels=("r", "size"))
         g = g[g["n_pixels"] >= least].reset_index(drop=True)
         return pd.DataFrame({**{k: rows[k].iloc[0] for k in tile}, "xmin": g["xmin"], "ymin": g["ymin"], "xmax": g["xmax"] + 1, "ymax": g["ymax"] + 1, "n_pixels": g["n_pixels"]}, columns=[*tile, "xmin", "ymin", "xmax", "ymax", "n_pixels"])
 
