@@ -92,7 +92,9 @@ def scene_regions(px: DataFrame, mask: str | Column = "candidate", connectivity:
         y, x = r % block, col % block
         rim = d[(y == 0) | (y == block - 1) | (x == 0) | (x == block - 1)].groupby("k")
         g = d.groupby("k").agg(first_r=("first_r", "first"), first_c=("first_c", "first"), xmin=("c", "min"), ymin=("r", "min"), xmax=("c", "max"), ymax=("r", "max"), n_pixels=("r", "size"), score=("_score", "max"))
-        g["rim_r"], g["rim_c"] = rim["r"].agg(list).reindex(g.index), rim["c"].agg(list).reindex(g.index)
+        for name in ("r", "c"):
+            at = rim[name].agg(list).to_dict()
+            g[f"rim_{name}"] = pd.Series([at.get(k) for k in g.index], g.index, object)
         out = g.reset_index(drop=True)
         for k in keys:
             out[k] = [rows[k].iloc[0]] * len(out)

@@ -7,6 +7,7 @@ import seasight.plans.coast  # noqa: F401  (registers its queries)
 import seasight.plans.frames  # noqa: F401  (likewise)
 import seasight.plans.more  # noqa: F401  (likewise)
 import seasight.plans.patches  # noqa: F401  (likewise)
+import seasight.plans.regions  # noqa: F401  (likewise)
 from seasight.plans.queries import QUERIES, SQL
 
 DATA = "/root/testdata/sf0.001"
