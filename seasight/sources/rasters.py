@@ -1,7 +1,8 @@
 """Raster files as pixel tables: GeoTIFFs without compression or deflated, in strips or tiles.
 
-A file is read whole by one task (2 GB at most, as Spark's binary files are);
-its pixels come as rows of values, cut to stretches of MOST columns.
+Headers are read first and say where a file's strips and tiles lie; tasks then
+read byte ranges, so that a file is many tasks' work and a window reads only
+what it meets. Pixels come as rows of values, cut to stretches of MOST columns.
 """
 
 from __future__ import annotations
@@ -12,10 +13,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MOST = 1024
+#: Bytes of an uncompressed strip that are read at a time, and of a header that are read at once.
+PIECE, HEAD = 1 << 22, 1 << 16
 # Numbers of the tags, and bytes of the field types, of the TIFF format.
 WIDTH, HEIGHT, BITS, COMPRESSION, STRIPS, SAMPLES, ROWS, STRIP_BYTES, PLANAR, PREDICTOR, TILE_W, TILE_H, TILES, TILE_BYTES, FORMAT = 256, 257, 258, 259, 273, 277, 278, 279, 284, 317, 322, 323, 324, 325, 339
 SCALE, TIEPOINT, MATRIX, GEO_KEYS, NO_DATA, METADATA = 33550, 33922, 34264, 34735, 42113, 42112
@@ -23,10 +27,34 @@ TYPES = {1: "B", 2: "s", 3: "H", 4: "I", 5: "II", 6: "b", 8: "h", 9: "i", 10: "i
 KINDS = {1: "u", 2: "i", 3: "f"}
 
 
+class Ranges:
+    """A file's bytes by ranges, from any store that Spark's workers see; slices of it are read when asked for."""
+
+    def __init__(self, path: str):
+        if path.startswith("file:"):
+            self.file = open("/" + path[5:].lstrip("/"), "rb")  # noqa: SIM115
+        else:
+            self.file = fs.FileSystem.from_uri(path)
+            self.file = self.file[0].open_input_file(self.file[1])
+        self.head = self.file.read(HEAD)
+
+    def __getitem__(self, part: slice) -> bytes:
+        if part.stop <= len(self.head):
+            return self.head[part]
+        self.file.seek(part.start)
+        return self.file.read(part.stop - part.start)
+
+    def __enter__(self) -> Ranges:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.file.close()
+
+
 class Tiff:
-    """The first image of a TIFF file."""
+    """The first image of a TIFF file, of its bytes or ``Ranges``."""
 
-    def __init__(self, data: bytes):
+    def __init__(self, data: bytes | Ranges):
         self.data, self.order = data, {b"II": "<", b"MM": ">"}.get(data[:2])
         if self.order is None or self._read("H", 2)[0] != 42:
             raise ValueError("not a TIFF file")
@@ -48,7 +76,8 @@ class Tiff:
         self.dtype = np.dtype(f"{self.order}{KINDS[self._one(FORMAT, 1)]}{self._one(BITS, 1) // 8}")
 
     def _read(self, code: str, at: int) -> tuple:
-        return struct.unpack_from(self.order + code, self.data, at)
+        code = self.order + code
+        return struct.unpack(code, self.data[at : at + struct.calcsize(code)])
 
     def _one(self, tag: int, default: int) -> int:
         return self.tags.get(tag, (default,))[0]
@@ -82,66 +111,133 @@ class Tiff:
         own = {int(m[1]): m[2] for m in re.finditer(r'<Item name="DESCRIPTION" sample="(\d+)"[^>]*>([^<]*)<', text)}
         return [own.get(i) or f"band{i + 1}" for i in range(self.bands)]
 
-    def array(self) -> np.ndarray:
-        """bands x height x width."""
+    def pieces(self, col_off: int = 0, row_off: int = 0, width: int | None = None, height: int | None = None, bands: list[str] | None = None) -> Iterator[tuple]:
+        """(plane, r0, r1, c0, c1, first row, tiles): the rows and columns of the window by strips and rows of tiles, at most MOST columns each.
+
+        ``tiles`` are (column, offset, bytes) of what is read. A plane is a
+        band, or -1 for all of them together; planes of no named band are left out.
+        """
         tiled, apart = TILES in self.tags, self._one(PLANAR, 1) == 2
-        w, h = (self.tags[TILE_W][0], self.tags[TILE_H][0]) if tiled else (self.width, self._one(ROWS, self.height))
-        h = min(h, self.height) if not tiled else h
+        w, h = (self.tags[TILE_W][0], self.tags[TILE_H][0]) if tiled else (self.width, min(self._one(ROWS, self.height), self.height))
         starts, sizes = self.tags[TILES if tiled else STRIPS], self.tags[TILE_BYTES if tiled else STRIP_BYTES]
         across, down = -(-self.width // w), -(-self.height // h)
-        per = 1 if apart else self.bands
-        out = np.zeros((self.bands, down * h, across * w), self.dtype)
-        for n, (at, size) in enumerate(zip(starts, sizes)):
-            plane, i = divmod(n, across * down)
-            y, x = divmod(i, across)
+        end_c = self.width if width is None else min(self.width, col_off + width)
+        end_r = self.height if height is None else min(self.height, row_off + height)
+        col, row = max(col_off, 0), max(row_off, 0)
+        if col >= end_c or row >= end_r:
+            return
+        line = w * (1 if apart else self.bands) * self.dtype.itemsize
+        some = max(1, PIECE // line) if self._one(COMPRESSION, 1) == 1 else h
+        for plane in [i for i, n in enumerate(self.names()) if bands is None or n in bands] if apart else [-1]:
+            for y in range(row // h, -(-end_r // h)):
+                for top in range(y * h, min((y + 1) * h, end_r), some):
+                    r0, r1 = max(top, row), min(top + some, (y + 1) * h, end_r)
+                    if r0 >= r1:
+                        continue
+                    for c0 in range(col, end_c, MOST):
+                        c1 = min(c0 + MOST, end_c)
+                        tiles, first = [], y * h
+                        for x in range(c0 // w, -(-c1 // w)):
+                            n = max(plane, 0) * across * down + y * across + x
+                            at, size = starts[n], sizes[n]
+                            if some < h:  # whole rows of bytes can be read alone
+                                at, size, first = at + (r0 - y * h) * line, (r1 - r0) * line, r0
+                            tiles.append((x * w, at, size))
+                        yield plane, r0, r1, c0, c1, first, tiles
+
+    def read(self, piece: tuple) -> np.ndarray:
+        """bands x rows x columns of a piece."""
+        plane, r0, r1, c0, c1, first, tiles = piece
+        per = self.bands if plane < 0 else 1
+        w = self.tags[TILE_W][0] if TILES in self.tags else self.width
+        out = np.zeros((per, r1 - r0, c1 - c0), self.dtype)
+        for x, at, size in tiles:
             raw = self.data[at : at + size]
             raw = zlib.decompress(raw) if self._one(COMPRESSION, 1) != 1 else raw
-            part = np.frombuffer(raw, self.dtype)
-            part = part[: len(part) // (w * per) * w * per].reshape(-1, w, per)
+            part = np.frombuffer(raw, self.dtype, len(raw) // (w * per * self.dtype.itemsize) * w * per).reshape(-1, w, per)[r0 - first : r1 - first]
             if self._one(PREDICTOR, 1) == 2:
                 part = np.cumsum(part, axis=1, dtype=self.dtype)
             elif self._one(PREDICTOR, 1) != 1:
                 raise ValueError("the predictor of floats can't be read")
-            for b in range(per):
-                out[plane if apart else b, y * h : y * h + len(part), x * w : (x + 1) * w] = part[..., b]
-        return out[:, : self.height, : self.width]
+            lo, hi = max(x, c0), min(x + w, c1)
+            out[:, : len(part), lo - c0 : hi - c0] = part[:, lo - x : hi - x].transpose(2, 0, 1)
+        return out
+
+    def array(self) -> np.ndarray:
+        """bands x height x width."""
+        out = np.zeros((self.bands, self.height, self.width), self.dtype)
+        for p in self.pieces():
+            out[slice(None) if p[0] < 0 else slice(p[0], p[0] + 1), p[1] : p[2], p[3] : p[4]] = self.read(p)
+        return out
 
 
-def _opened(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").load(path).select("path", "content")
+def files(spark: SparkSession, path: str) -> DataFrame:
+    """path, length of every file; contents are not read."""
+    return spark.read.format("binaryFile").load(path).select("path", "length")
 
 
 def profiles(spark: SparkSession, path: str) -> DataFrame:
-    """path, width, height, bands, dtype, epsg, transform, no_data, gsd, names of every file."""
+    """path, width, height, bands, dtype, epsg, transform, no_data, gsd, names of every file; only headers are read."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
             rows = []
-            for name, content in zip(p["path"], p["content"]):
-                t = Tiff(content)
-                m = t.transform()
-                rows.append((name, t.width, t.height, t.bands, t.dtype.name, t.epsg(), None if m is None else list(m), t.no_data(), None if m is None else abs(m[0]), t.names()))
+            for name in p["path"]:
+                with Ranges(name) as data:
+                    t = Tiff(data)
+                    m = t.transform()
+                    rows.append((name, t.width, t.height, t.bands, t.dtype.name, t.epsg(), None if m is None else list(m), t.no_data(), None if m is None else abs(m[0]), t.names()))
             yield pd.DataFrame(rows, columns=["path", "width", "height", "bands", "dtype", "epsg", "transform", "no_data", "gsd", "names"])
 
-    return _opened(spark, path).mapInPandas(run, "path string, width int, height int, bands int, dtype string, epsg int, transform array<double>, no_data double, gsd double, names array<string>")
+    return files(spark, path).select("path").mapInPandas(run, "path string, width int, height int, bands int, dtype string, epsg int, transform array<double>, no_data double, gsd double, names array<string>")
+
 
+def pieces(spark: SparkSession, path: str, window: tuple[int, int, int, int] | None = None, bands: list[str] | None = None) -> DataFrame:
+    """path, plane, r0, r1, c0, c1, first, tiles, bytes: what tasks read of every file, a row each; only headers are read here.
 
-def read_rows(spark: SparkSession, path: str) -> DataFrame:
-    """path, band, r, c0, values: the pixels of every file, by stretches of rows; no data and NaN are NULL."""
+    ``window`` is (col_off, row_off, width, height), cut to each file; strips and
+    tiles that it doesn't meet, and planes of other bands, are left out. A file
+    that the window misses has no row.
+    """
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
-            for name, content in zip(p["path"], p["content"]):
-                t = Tiff(content)
-                gap = t.no_data()
-                for band, plane in zip(t.names(), t.array()):
-                    for r, line in enumerate(plane.astype("float64")):
-                        if gap is not None:
-                            line[line == gap] = np.nan
-                        cut = [line[i : i + MOST] for i in range(0, len(line), MOST)]
-                        yield pd.DataFrame({"path": name, "band": band, "r": r, "c0": np.arange(len(cut)) * MOST, "values": [[None if x != x else x for x in v.tolist()] for v in cut]})
+            for name in p["path"]:
+                with Ranges(name) as data:
+                    rows = [(name, *x[:6], [dict(zip(("x", "at", "size"), t)) for t in x[6]], sum(t[2] for t in x[6])) for x in Tiff(data).pieces(*(window or ()), bands=bands)]
+                if rows:
+                    yield pd.DataFrame(rows, columns=["path", "plane", "r0", "r1", "c0", "c1", "first", "tiles", "bytes"])
+
+    return files(spark, path).select("path").mapInPandas(run, "path string, plane int, r0 long, r1 long, c0 long, c1 long, first long, tiles array<struct<x: long, at: long, size: long>>, bytes long")
+
 
-    return _opened(spark, path).mapInPandas(run, "path string, band string, r long, c0 long, values array<double>")
+def read_rows(spark: SparkSession, path: str, window: tuple[int, int, int, int] | None = None, bands: list[str] | None = None) -> DataFrame:
+    """path, band, r, c0, values: the pixels of every file, or of a window counted from its corner, by stretches of rows; no data and NaN are NULL.
+
+    ``pieces`` are dealt to tasks one by one, so that a large file is read by
+    many; a task holds one piece (a row of tiles or a strip, MOST columns of it)
+    at a time.
+    """
+    dx, dy = (max(window[0], 0), max(window[1], 0)) if window else (0, 0)
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            for name, own in p.groupby("path"):
+                with Ranges(name) as data:
+                    t = Tiff(data)
+                    gap, names = t.no_data(), t.names()
+                    for x in own.itertuples(index=False):
+                        planes = t.read((x.plane, x.r0, x.r1, x.c0, x.c1, x.first, [(q["x"], q["at"], q["size"]) for q in x.tiles])).astype("float64")
+                        if gap is not None:
+                            planes[planes == gap] = np.nan
+                        for band, plane in zip(names if x.plane < 0 else [names[x.plane]], planes):
+                            if bands is None or band in bands:
+                                values = [[None if v != v else v for v in line.tolist()] for line in plane]
+                                yield pd.DataFrame({"path": name, "band": band, "r": np.arange(x.r0, x.r1) - dy, "c0": x.c0 - dx, "values": values})
+
+    todo = pieces(spark, path, window, bands)
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return todo.repartition(n, "path", "plane", "r0", "c0").mapInPandas(run, "path string, band string, r long, c0 long, values array<double>")
 
 
 def pixels(rows: DataFrame, bands: list[str] | None = None) -> DataFrame:
