@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from seasight.operators import regions, screening
+from seasight.operators import patches, regions, screening
 from seasight.plans.queries import _CANDIDATES, _CLOUD, _WATER, query, r6, s6
 from seasight.views import view
 
@@ -40,3 +40,32 @@ def scored_boxes(spark, sf):
     """Pixels that score, gated by water and cloud, as boxes."""
     px = view(spark, sf, "px").withColumns({"image": F.lit(0), "p": c("nir") * 10})
     return regions.scored_boxes(px, "p", 0.15, "sargassum", least=2, block=32).select("label", r6(c("score")).alias("score"), "xmin", "ymin", "xmax", "ymax")
+
+
+_CHIPS = """z AS (SELECT r // 40 AS image, r % 40 AS r, c, nir, scl FROM px),
+w AS (SELECT image, r0, c0, count(*) AS n_pixels, count(*) FILTER (WHERE nir > 0.012e0) AS n_wanted, count(*) FILTER (WHERE nir IS NULL) / count(*) AS no_data, count(*) FILTER (WHERE scl = 6) / count(*) AS water, count(*) FILTER (WHERE scl IN (8, 9, 10)) / count(*) AS cloud
+  FROM z, (SELECT unnest(range(-5, 45, 5)) AS r0), (SELECT unnest(range(-5, 105, 5)) AS c0) WHERE r >= r0 AND r < r0 + 10 AND c >= c0 AND c < c0 + 10 GROUP BY image, r0, c0),
+g AS (SELECT *, CASE WHEN n_pixels < 100 THEN 'outside the scene' WHEN no_data > 0.02e0 THEN 'no data' WHEN water < 0.72e0 THEN 'too little water' WHEN cloud > 0.26e0 THEN 'cloud' WHEN n_wanted < 10 THEN 'too few wanted pixels' END AS reason FROM w)"""
+
+
+def _chips(spark, sf):
+    px = view(spark, sf, "px").withColumns({"image": F.floor(c("r") / 40), "r": c("r") % 40})
+    return patches.chip_windows(px, 10, 5, c("nir") > 0.012, c("nir").isNull(), 0.72, 10, 0.26)
+
+
+@query("chip_windows", f"WITH {_CHIPS} SELECT image, CAST(r0 AS BIGINT) AS r0, CAST(c0 AS BIGINT) AS c0, n_pixels, n_wanted, {s6('no_data')} AS no_data, {s6('water')} AS water, {s6('cloud')} AS cloud, reason FROM g")
+def chip_windows(spark, sf):
+    """Every candidate window with the reason that rejects it."""
+    return _chips(spark, sf).withColumns({x: r6(c(x)) for x in ("no_data", "water", "cloud")})
+
+
+_CHOICE = f"""WITH RECURSIVE {_CHIPS},
+o AS (SELECT image, r0, c0, row_number() OVER (PARTITION BY image ORDER BY n_wanted DESC, r0, c0) AS k FROM g WHERE reason IS NULL),
+s AS (SELECT image, CAST(0 AS BIGINT) AS k, CAST([] AS STRUCT(y BIGINT, x BIGINT)[]) AS took, false AS chosen, CAST(NULL AS BIGINT) AS r0, CAST(NULL AS BIGINT) AS c0 FROM (SELECT DISTINCT image FROM o)
+  UNION ALL SELECT s.image, o.k, CASE WHEN len(list_filter(took, lambda t: abs(t.y - o.r0) < 10 AND abs(t.x - o.c0) < 10)) = 0 THEN list_append(took, {{'y': CAST(o.r0 AS BIGINT), 'x': CAST(o.c0 AS BIGINT)}}) ELSE took END, len(list_filter(took, lambda t: abs(t.y - o.r0) < 10 AND abs(t.x - o.c0) < 10)) = 0, o.r0, o.c0 FROM s JOIN o ON s.image = o.image AND o.k = s.k + 1)"""
+
+
+@query("chosen_chips", f"{_CHOICE} SELECT g.image, CAST(g.r0 AS BIGINT) AS r0, CAST(g.c0 AS BIGINT) AS c0, g.n_wanted, CASE WHEN g.reason IS NOT NULL THEN g.reason WHEN NOT s.chosen THEN 'overlaps a better chip' END AS reason, coalesce(s.chosen, false) AS chosen FROM g LEFT JOIN s ON g.image = s.image AND g.r0 = s.r0 AND g.c0 = s.c0")
+def chosen_chips(spark, sf):
+    """Chips that don't overlap, best first, and why the others are out."""
+    return patches.choose_chips(_chips(spark, sf), 10).select("image", "r0", "c0", "n_wanted", "reason", "chosen")
