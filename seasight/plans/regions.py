@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from seasight.operators import patches, regions, screening
-from seasight.plans.queries import _CANDIDATES, _CLOUD, _WATER, query, r6, s6
+from seasight.functions import geo
+from seasight.operators import patches, polygons, regions, screening
+from seasight.plans.queries import _CANDIDATES, _CLOUD, _PAIRS, _WATER, query, r6, s6
 from seasight.views import view
 
 c = F.col
@@ -69,3 +70,11 @@ s AS (SELECT image, CAST(0 AS BIGINT) AS k, CAST([] AS STRUCT(y BIGINT, x BIGINT
 def chosen_chips(spark, sf):
     """Chips that don't overlap, best first, and why the others are out."""
     return patches.choose_chips(_chips(spark, sf), 10).select("image", "r0", "c0", "n_wanted", "reason", "chosen")
+
+
+@query("footprint_pairs", f"WITH p AS ({_PAIRS}) SELECT det_id, gt_id, {s6('iou')} AS iou FROM p")
+def footprint_pairs(spark, sf):
+    """Boxes through a turning, shearing map: their overlap is that of the boxes, as such a map keeps shares of areas."""
+    ring = geo.box_ring((0.8, 0.3, 100.0, -0.2, 1.1, 50.0))
+    d, g = (view(spark, sf, x).withColumn("ring", ring) for x in ("dets", "gts"))
+    return polygons.footprint_pairs(d, g, keys=("image", "label")).select("det_id", "gt_id", r6(c("iou")).alias("iou"))
