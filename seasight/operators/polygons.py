@@ -18,12 +18,20 @@ def _next(ring: Column, i: Column) -> Column:
     return F.get(ring, (i + 1) % F.size(ring))
 
 
+def _once(value: Column, f) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def signed_area(ring: Column) -> Column:
     """Positive where the corners go against the clock (y upwards); 0 for fewer than three corners, NULL for no ring."""
-    r = ring.cast(RING)
-    o = F.get(r, F.lit(0))  # from the first corner, so that far places lose no digits
-    cross = F.transform(r, lambda p, i: (p["x"] - o["x"]) * (_next(r, i)["y"] - o["y"]) - (_next(r, i)["x"] - o["x"]) * (p["y"] - o["y"]))
-    return F.when(r.isNotNull(), F.coalesce(F.aggregate(cross, F.lit(0.0), lambda s, v: s + v), F.lit(0.0)) / 2)
+
+    def of(r: Column) -> Column:
+        o = F.get(r, F.lit(0))  # from the first corner, so that far places lose no digits
+        cross = F.transform(r, lambda p, i: (p["x"] - o["x"]) * (_next(r, i)["y"] - o["y"]) - (_next(r, i)["x"] - o["x"]) * (p["y"] - o["y"]))
+        return F.when(r.isNotNull(), F.coalesce(F.aggregate(cross, F.lit(0.0), lambda s, v: s + v), F.lit(0.0)) / 2)
+
+    return _once(ring.cast(RING), of)
 
 
 def ring_area(ring: Column) -> Column:
