@@ -1,4 +1,4 @@
-"""A pixel classifier of the spectral features: Spark ML's random forest, with balanced class weights."""
+"""A pixel classifier of the spectral features: Spark ML's random forest or boosted trees, with balanced class weights."""
 
 from __future__ import annotations
 
@@ -9,8 +9,12 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from seasight.operators import boosting
+from seasight.operators.boosting import Boosted
 from seasight.operators.curves import permuted
 
+Model = PipelineModel | Boosted
+
 #: What a feature without data counts as: below any that has.
 MISSING = -9999.0
 
@@ -35,23 +39,25 @@ def fit(df: DataFrame, features: list[str], label: str = "label", trees: int = 6
     return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="_features"), index.setHandleInvalid("keep"), forest, named]).fit(d)
 
 
-def features_of(model: PipelineModel) -> list[str]:
-    return model.stages[0].getInputCols()
+def features_of(model: Model) -> list[str]:
+    return model.features if isinstance(model, Boosted) else model.stages[0].getInputCols()
 
 
-def classes_of(model: PipelineModel) -> list[str]:
-    return model.stages[-1].getLabels()
+def classes_of(model: Model) -> list[str]:
+    return model.classes if isinstance(model, Boosted) else model.stages[-1].getLabels()
 
 
-def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
+def predict(model: Model, df: DataFrame) -> DataFrame:
     """``df`` with predicted and proba (an array in the order of ``classes_of``)."""
+    if isinstance(model, Boosted):
+        return boosting.predict(model, df)
     d = _filled(df, features_of(model)).withColumn("_label", F.lit(classes_of(model)[0]))
     out = model.transform(d).withColumn("proba", vector_to_array("_probability"))
     own = [F.col(c) for c in df.columns if c not in features_of(model)]
     return out.select(*own, *features_of(model), "predicted", "proba")
 
 
-def probability(model: PipelineModel, df: DataFrame, name: str) -> DataFrame:
+def probability(model: Model, df: DataFrame, name: str) -> DataFrame:
     """``df`` with the probability of one class; a class that the model doesn't know raises."""
     classes = classes_of(model)
     if name not in classes:
@@ -71,12 +77,14 @@ def load(path: str, features: list[str]) -> PipelineModel:
     return model
 
 
-def importances(model: PipelineModel) -> list[tuple[str, float]]:
-    """Features with their share of the forest's gain, the most informative first; a value per feature."""
+def importances(model: Model) -> list[tuple[str, float]]:
+    """Features with their share of the trees' gain, the most informative first; a value per feature."""
+    if isinstance(model, Boosted):
+        return boosting.importances(model)
     return sorted(zip(features_of(model), model.stages[2].featureImportances.toArray().tolist()), key=lambda x: (-x[1], x[0]))
 
 
-def permutation_importances(model: PipelineModel, df: DataFrame, key: str, label: str = "label") -> list[tuple[str, float]]:
+def permutation_importances(model: Model, df: DataFrame, key: str, label: str = "label") -> list[tuple[str, float]]:
     """Features with what accuracy loses when their values are exchanged between rows, the most informative first; a value per feature."""
     right = lambda d: predict(model, d).agg(F.avg((F.col("predicted") == F.col(label).cast("string")).cast("double"))).first()[0]
     d = df.filter(F.col(label).isNotNull())
@@ -84,7 +92,7 @@ def permutation_importances(model: PipelineModel, df: DataFrame, key: str, label
     return sorted(((f, whole - right(permuted(d, f, key))) for f in features_of(model)), key=lambda x: (-x[1], x[0]))
 
 
-def confusion_counts(model: PipelineModel, df: DataFrame, label: str = "label") -> DataFrame:
+def confusion_counts(model: Model, df: DataFrame, label: str = "label") -> DataFrame:
     """truth, pred, n on rows that the model hasn't seen."""
     d = predict(model, df.filter(F.col(label).isNotNull()))
     return d.groupBy(F.col(label).cast("string").alias("truth"), F.col("predicted").alias("pred")).agg(F.count("*").alias("n"))

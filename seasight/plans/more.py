@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from seasight.functions import geo, spectral
-from seasight.operators import catalog, classifier, curves, detections
+from seasight.operators import boosting, catalog, classifier, curves, detections
 from seasight.plans.queries import _CLOUD, _COUNTS, _FDI, _MATCH, _SPECTRA, _SWEEP, _WATER, _match, _places, _spectra, _table, query, r6, s6
 from seasight.operators.quantiles import percentiles
 from seasight.sources.reports import markdown_rows
@@ -155,3 +155,12 @@ def forest_predict(spark, sf):
     e = _table(spark, sf, "embeddings").filter("embedding is not null").select("vec_id", "label", *[F.get("embedding", i).alias(n) for i, n in enumerate(names)])
     model = classifier.fit(e.filter("vec_id % 3 <> 1"), names, trees=20, depth=8)
     return classifier.predict(model, e).select("vec_id", "label", "predicted")
+
+
+@query("boosted_predict")
+def boosted_predict(spark, sf):
+    """No SQL: the tests hold the trees against a recursion. Learns from two thirds of the rows, predicts all."""
+    names = [f"f{i}" for i in range(64)]
+    e = _table(spark, sf, "embeddings").filter("embedding is not null").select("vec_id", "label", *[F.get("embedding", i).alias(n) for i, n in enumerate(names)])
+    model = boosting.fit(e.filter("vec_id % 3 <> 1"), names, rounds=8, rate=0.3, depth=3, bins=32)
+    return boosting.predict(model, e).select("vec_id", "label", "predicted")
