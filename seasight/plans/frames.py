@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from seasight.functions import geo, spectral
 from seasight.operators import blocks, catalog, classifier, curves, detections, display, prompts, scene, screening, stacks
 from seasight.operators.quantiles import percentiles
-from seasight.plans.queries import _CLOUD, _FDI, _NDWI, _SPECTRA, _WATER, _spectra, _table, query, r6, s6
+from seasight.plans.queries import _CLOUD, _FDI, _NDWI, _SPECTRA, _WATER, _spectra, _table, nms_sql, query, r6, s6
 from seasight.settings import Settings
 from seasight.sources.documents import PROPERTIES, collections, from_features
 from seasight.views import view
@@ -48,7 +48,7 @@ def targets_only(spark, sf):
 
 _INTER = "greatest(least(d.xmax, g.xmax) - greatest(d.xmin, g.xmin), 0) * greatest(least(d.ymax, g.ymax) - greatest(d.ymin, g.ymin), 0)"
 _IOU = f"({_INTER}) / ((d.xmax - d.xmin) * (d.ymax - d.ymin) + (g.xmax - g.xmin) * (g.ymax - g.ymin) - {_INTER})"
-# Matching and suppression one box after the other, by falling score, as recursive queries.
+# Matching one box after the other, by falling score, as a recursive query.
 _GREEDY = f"""WITH RECURSIVE t AS (SELECT gt_id, image, label, xmin - 1 AS xmin, ymin AS ymin, xmax + 3 AS xmax, ymax + 2 AS ymax FROM gts),
 p AS (SELECT d.det_id, g.gt_id, d.image, d.score, {_IOU} AS iou FROM marks d JOIN t g ON d.image = g.image AND d.xmin < g.xmax AND g.xmin < d.xmax AND d.ymin < g.ymax AND g.ymin < d.ymax WHERE {_IOU} >= 0.1),
 o AS (SELECT image, det_id, row_number() OVER (PARTITION BY image ORDER BY score DESC, det_id) AS k FROM (SELECT DISTINCT image, det_id, score FROM p)),
@@ -67,21 +67,12 @@ def match_overlapping(spark, sf):
     return detections.match(view(spark, sf, "marks"), _wide_gts(spark, sf), 0.1, False).select("det_id", "gt_id")
 
 
-def _nms_sql(same: str, threshold: float) -> str:
-    return f"""WITH RECURSIVE p AS (SELECT d.det_id, g.det_id AS by_id, d.image, {_IOU} AS iou FROM marks d JOIN marks g ON d.image = g.image {same} AND (g.score > d.score OR (g.score = d.score AND g.det_id < d.det_id)) AND d.xmin < g.xmax AND g.xmin < d.xmax AND d.ymin < g.ymax AND g.ymin < d.ymax WHERE {_IOU} > {threshold}e0),
-o AS (SELECT image, det_id, row_number() OVER (PARTITION BY image ORDER BY score DESC, det_id) AS k FROM marks WHERE det_id IN (SELECT det_id FROM p)),
-w AS (SELECT o.image, o.k, o.det_id, list(p.by_id) AS better FROM o JOIN p USING (det_id) GROUP BY ALL),
-s AS (SELECT image, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS gone, CAST(NULL AS BIGINT) AS last FROM (SELECT DISTINCT image FROM w)
-  UNION ALL SELECT s.image, w.k, CASE WHEN len(list_filter(better, lambda x: NOT list_contains(gone, x))) > 0 THEN list_append(gone, w.det_id) ELSE gone END, CASE WHEN len(list_filter(better, lambda x: NOT list_contains(gone, x))) > 0 THEN w.det_id END FROM s JOIN w ON s.image = w.image AND w.k = s.k + 1)
-SELECT det_id, label, score FROM marks WHERE det_id NOT IN (SELECT last FROM s WHERE last IS NOT NULL)"""
-
-
-@query("nms_overlapping", _nms_sql("AND d.label = g.label", 0.1))
+@query("nms_overlapping", nms_sql("SELECT * FROM marks", "AND d.label = g.label", 0.1))
 def nms_overlapping(spark, sf):
     return detections.nms(view(spark, sf, "marks"), 0.1).select("det_id", "label", "score")
 
 
-@query("nms_across_labels", _nms_sql("", 0.3))
+@query("nms_across_labels", nms_sql("SELECT * FROM marks", "", 0.3))
 def nms_across_labels(spark, sf):
     return detections.nms(view(spark, sf, "marks"), 0.3, ("image",)).select("det_id", "label", "score")
 

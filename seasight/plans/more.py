@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from seasight.functions import geo, spectral
 from seasight.operators import boosting, catalog, classifier, curves, detections
-from seasight.plans.queries import _CLOUD, _COUNTS, _FDI, _MATCH, _SPECTRA, _SWEEP, _WATER, _match, _places, _spectra, _table, query, r6, s6
+from seasight.plans.queries import _AP, _CLOUD, _COUNTS, _FDI, _MATCH, _SPECTRA, _SQUARE, _SWEEP, _TENS, _WATER, _match, _places, _spectra, _table, nms_sql, query, r6, s6
 from seasight.operators.quantiles import percentiles
 from seasight.sources.reports import markdown_rows
 from seasight.views import view
@@ -54,23 +54,30 @@ def confusion_pivot(spark, sf):
     return detections.confusion(*_match(spark, sf, False)).groupBy("truth").pivot("predicted", list(_KINDS)).agg(F.sum("n")).na.fill(0)
 
 
-@query("evaluation_report")
+_TWO = lambda e: f"printf('%.2f', floor(({e}) * 100 + 0.5e0) / 100)"
+
+
+@query("evaluation_report", _COUNTS + _AP[len(_MATCH) :] + f""", z AS (SELECT label, tp, fp, fn, ap FROM k LEFT JOIN ap USING (label) UNION ALL SELECT 'all', sum(tp), sum(fp), sum(fn), (SELECT avg(ap) FROM ap) FROM k)
+SELECT label, '| ' || concat_ws(' | ', label, CAST(tp AS BIGINT), CAST(fp AS BIGINT), CAST(fn AS BIGINT), {_TWO('tp / (tp + fp)')}, {_TWO('tp / (tp + fn)')}, {_TWO('2 * tp / (2 * tp + fp + fn)')}, {_TWO('ap')}) || ' |' AS line FROM z""")
 def evaluation_report(spark, sf):
-    """No SQL of its own: prf_per_class, prf_micro and ap_all_points have its columns."""
     return markdown_rows(detections.evaluate(view(spark, sf, "dets"), view(spark, sf, "gts"))).select("label", "line")
 
 
-@query("nms_agnostic")
+@query("nms_agnostic", nms_sql(_TENS, "", 0.5, _SQUARE))
 def nms_agnostic(spark, sf):
-    """No SQL: the tests hold it against brute force."""
     return detections.nms(view(spark, sf, "dets").withColumn("image", F.floor(c("image") / 10)), 0.5, ("image",)).select("det_id", "label", "score")
 
 
-@query("merge_tiles")
+_TILES = """SELECT det_id, image, label, score, xmin, ymin, least(xmax, 1875) AS xmax, least(ymax, 95) AS ymax
+FROM (SELECT det_id, floor(image / 2e0) AS image, label, score, xmin + image % 2 * 880 AS xmin, ymin, xmax + image % 2 * 880 AS xmax, ymax FROM dets)
+WHERE xmin < 1875 AND ymin < 95 AND (least(xmax, 1875) - xmin) * (least(ymax, 95) - ymin) >= 1"""
+
+
+@query("merge_tiles", nms_sql(_TILES, "AND d.label = g.label", 0.3, _SQUARE, "det_id, xmin, ymin, xmax, ymax"))
 def merge_tiles(spark, sf):
-    """No SQL, for suppression: the tests hold it against a scene that was never cut."""
-    d = view(spark, sf, "dets").withColumns({"x_off": (c("image") % 2) * 900.0, "y_off": F.lit(0.0), "image": F.floor(c("image") / 2)})
-    return detections.merge_tiles(d, 1900, 100).select("det_id", *detections.BOX)
+    """Tiles that share 122 columns, in which boxes of one label meet; the scene cuts boxes at two of its sides."""
+    d = view(spark, sf, "dets").withColumns({"x_off": (c("image") % 2) * 880.0, "y_off": F.lit(0.0), "image": F.floor(c("image") / 2)})
+    return detections.merge_tiles(d, 1875, 95, 0.3).select("det_id", *detections.BOX)
 
 
 @query("utm_inverse", f"SELECT c_custkey, {s6('c_custkey % 360 - 180 + 0.25e0')} AS lon, {s6('c_custkey % 170 - 85 + 0.25e0')} AS lat FROM customer WHERE abs(c_custkey % 170 - 85 + 0.25e0) < 80")
