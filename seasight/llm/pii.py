@@ -7,7 +7,10 @@ them are then held against the whole corpus: a word gives an entity (one value,
 or its whole kind) away as far as seeing it makes that entity less surprising,
 their pointwise mutual information. If that is ``alpha`` of the entity's own
 information content or above, even at the lower bound that the number of the
-word's places supports, the word is disclosing, and all its places become spans.
+word's places supports, and if at that bound half of its places or more are
+beside the entity, in two rows or more, the word is disclosing, and all its
+places become spans. The second condition keeps a word with a place or two from
+telling in a large corpus, where any value is surprising.
 """
 
 from __future__ import annotations
@@ -35,10 +38,12 @@ TERM = "term"
 NEAR = 5
 #: Share of an entity's information content that a word may give away, and the deviations of the lower bound (Wilson's, one-sided 95 %) on it.
 ALPHA, DEVIATIONS = 0.9, 1.645
+#: Share of a word's places, at that lower bound, and rows that a telling word has beside the entity, whatever the corpus's size.
+LEAST_SHARE, LEAST_ROWS = 0.5, 2
 #: What a word's places are counted under: below ALL is a kind, ALL every place, and a value is below zero.
 ALL = len(KINDS)
-#: Bits, and bits of Spark's bitmap buckets, of the filters that the second pass looks words up in; a join then decides.
-_BITS, _BUCKET = 1 << 26, 1 << 15
+#: Bits of Spark's bitmap buckets, bits a word, and most bits (128 MB), of the filters that the second pass looks words up in; a join then decides.
+_BUCKET, _PER_WORD, _MOST_BITS = 1 << 15, 32, 1 << 30
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]+\.[0-9]+\.[0-9]+")
@@ -140,21 +145,24 @@ def entity(kind: str, value: str) -> int:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """word, entity, n: a word's places in the batch, all of them (ALL), and those near each kind and each value."""
+    """word, entity, n, n_rows: a word's places in the batch, all of them (ALL, without rows), and those near each kind and each value."""
     for b in batches:
-        raw, counts = Counter(), Counter()
+        raw, counts, rows = Counter(), Counter(), Counter()
         for value in b.column("text"):
             text = value.as_py() or ""
             raw.update(_WORD.findall(text))
             own = all_spans(text)
             if own:
                 near = near_words(text, own)
-                counts.update((w, x) for _, w, x in {(s, w, x) for s, _, w, k, v in near for x in (KINDS.index(k), v)})
+                places = {(s, w, x) for s, _, w, k, v in near for x in (KINDS.index(k), v)}
+                counts.update((w, x) for _, w, x in places)
+                rows.update({(w, x) for _, w, x in places})
         for w, n in raw.items():
             counts[w.lower(), ALL] += n
         ids = {w: _id(w) for w in {w for w, _ in counts}}
         yield pa.RecordBatch.from_arrays(
-            [pa.array([ids[w] for w, _ in counts], pa.int64()), pa.array([x for _, x in counts], pa.int64()), pa.array(list(counts.values()), pa.int64())], names=["word", "entity", "n"]
+            [pa.array([ids[w] for w, _ in counts], pa.int64()), pa.array([x for _, x in counts], pa.int64()), pa.array(list(counts.values()), pa.int64()), pa.array([rows[k] for k in counts], pa.int64())],
+            names=["word", "entity", "n", "n_rows"],
         )
 
 
@@ -163,9 +171,10 @@ _WORDS = pa.list_(pa.struct([("word", pa.int64()), ("places", pa.list_(pa.struct
 
 
 def _filter(words: DataFrame) -> np.ndarray:
-    """Bits of the column word, as bytes; of a fixed size, however many words there are."""
-    v = F.pmod("word", F.lit(_BITS)) + 1
-    out = np.zeros(_BITS // 8, np.uint8)
+    """Bits of the column word, as bytes: a power of two, _PER_WORD a word or more, up to _MOST_BITS (beyond, more words pass on to the join)."""
+    size = min(_MOST_BITS, max(_BUCKET, 1 << (_PER_WORD * words.count()).bit_length()))
+    v = F.pmod("word", F.lit(size)) + 1
+    out = np.zeros(size // 8, np.uint8)
     for r in words.groupBy(F.bitmap_bucket_number(v).alias("at")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(v)).alias("bits")).collect():
         at = (r["at"] - 1) * _BUCKET // 8
         out[at : at + _BUCKET // 8] = np.frombuffer(r["bits"], np.uint8)
@@ -173,7 +182,7 @@ def _filter(words: DataFrame) -> np.ndarray:
 
 
 def _held(bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    at = np.mod(ids, _BITS)
+    at = np.mod(ids, len(bits) * 8)
     return (bits[at >> 3] >> (at & 7)) & 1 > 0
 
 
@@ -224,11 +233,15 @@ def _read(near_bits, all_bits):
     return run
 
 
-def judge(texts: DataFrame, alpha: float = ALPHA, deviations: float = DEVIATIONS) -> DataFrame:
-    """word, entity, n_pair, n_word, n_entity, elsewhere, tells: pairs that have ``alpha`` of the entity's content, and whether they do at the lower bound too."""
-    got = cut(texts.select("text").mapInArrow(_count, "word long, entity long, n long"))
+def counted(texts: DataFrame) -> DataFrame:
+    """word, entity, n, n_rows: places (and rows) in parts, of every word (entity ALL) and of those near a kind or a value."""
+    return cut(texts.select("text").mapInArrow(_count, "word long, entity long, n long, n_rows long"))
+
+
+def judge(got: DataFrame, alpha: float = ALPHA, deviations: float = DEVIATIONS, least_share: float = LEAST_SHARE, least_rows: int = LEAST_ROWS) -> DataFrame:
+    """word, entity, n_pair, n_rows, n_word, n_entity, elsewhere, tells, of ``counted``: pairs that have ``alpha`` of the entity's content, and whether the evidence does."""
     words = got.filter(F.col("entity") == ALL).groupBy("word").agg(F.sum("n").alias("n_word"))
-    pairs = cut(got.filter(F.col("entity") != ALL).groupBy("word", "entity").agg(F.sum("n").alias("n_pair")))
+    pairs = cut(got.filter(F.col("entity") != ALL).groupBy("word", "entity").agg(F.sum("n").alias("n_pair"), F.sum("n_rows").alias("n_rows")))
     total = got.filter(F.col("entity") == ALL).agg(F.sum("n")).first()[0]
     n = F.lit(float(total or 1))
     # an entity has one place at least: words with too small a share near any go before their pairs are joined
@@ -236,15 +249,16 @@ def judge(texts: DataFrame, alpha: float = ALPHA, deviations: float = DEVIATIONS
     known = cut(words.join(most, "word").filter(F.log(F.col("most") / F.col("n_word")) >= (alpha - 1) * F.log(n)))
     judged = cut(pairs.join(known, "word"))
     facts = pairs.groupBy("entity").agg(F.sum("n_pair").alias("n_entity"))
-    # four kinds, held by many words, and many values, held by few words each
+    # a few kinds, held by many words, and many values, held by few words each
     judged = judged.filter("entity >= 0").join(F.broadcast(facts.filter("entity >= 0")), "entity").union(judged.filter("entity < 0").join(facts.filter("entity < 0"), "entity"))
     m, p, z = F.col("n_word"), F.col("n_pair") / F.col("n_word"), deviations
     low = (p + z * z / 2 / m - z * F.sqrt(p * (1 - p) / m + z * z / 4 / m / m)) / (1 + z * z / m)
     enough = lambda share: F.log(share * n / F.col("n_entity")) >= alpha * F.log(n / F.col("n_entity"))
-    return judged.filter(enough(p)).select("word", "entity", "n_pair", "n_word", "n_entity", (F.col("n_word") > F.col("most")).alias("elsewhere"), enough(low).alias("tells"))
+    tells = enough(low) & (low >= least_share) & (F.col("n_rows") >= least_rows)
+    return judged.filter(enough(p)).select("word", "entity", "n_pair", "n_rows", "n_word", "n_entity", (F.col("n_word") > F.col("most")).alias("elsewhere"), tells.alias("tells"))
 
 
-def find(docs: DataFrame, alpha: float = ALPHA, deviations: float = DEVIATIONS, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+def find(docs: DataFrame, alpha: float = ALPHA, deviations: float = DEVIATIONS, least_share: float = LEAST_SHARE, least_rows: int = LEAST_ROWS, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
     """One row per row of ``docs``: row_no, doc_id, found and terms, both arrays of (start, kind, end), and clean, the SHA-256 of the sanitised text.
 
     kind is numbered as in KINDS, terms come after them. A word's counts are
@@ -253,16 +267,17 @@ def find(docs: DataFrame, alpha: float = ALPHA, deviations: float = DEVIATIONS,
     word and entity is log(n(word, entity) * n / (n(word) * n(entity))), the
     entity's information content log(n / n(entity)), with n(entity) the places
     near it. In place of n(word, entity) / n(word) stands its lower bound at
-    ``deviations``, so that few places count as little evidence but as some. All
-    places of a disclosing word outside personal data are terms, near it or
-    not. Null and empty texts have no spans; repeated rows each count; ids may
+    ``deviations``, so that few places count as little evidence but as some; it
+    must also be ``least_share`` or more, over ``least_rows`` rows (copies are
+    rows), however large the corpus. All places of a disclosing word outside
+    personal data are terms, near it or not. Null and empty texts have no spans; repeated rows each count; ids may
     be null; an empty table gives an empty result. row_no is ``row_col``, or a
     number of its own.
     """
     row = F.col(row_col) if row_col else F.monotonically_increasing_id()
     d = docs.select(row.alias("row_no"), F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = d.schema["doc_id"].dataType.simpleString()
-    telling = cut(judge(d, alpha, deviations).filter("tells").groupBy("word").agg(F.bool_or("elsewhere").alias("elsewhere")))
+    telling = cut(judge(counted(d), alpha, deviations, least_share, least_rows).filter("tells").groupBy("word").agg(F.bool_or("elsewhere").alias("elsewhere")))
     near_bits, all_bits = (d.sparkSession.sparkContext.broadcast(_filter(x)) for x in (telling, telling.filter("elsewhere")))
     rows = cut(d.mapInArrow(_read(near_bits, all_bits), f"row_no long, doc_id {kind}, spans array<struct<start:int,kind:int,end:int>>, words array<struct<word:long,places:array<struct<start:int,end:int>>>>, clean string, left string"))
     places = rows.select("row_no", F.explode("words").alias("x")).select("row_no", "x.word", "x.places").join(telling.select("word"), "word").select("row_no", F.explode("places").alias("p"))

@@ -448,7 +448,7 @@ def brute_judge(texts):
     """word, entity: pairs that tell, by counting places one by one."""
     from math import log
 
-    every, near, size = {}, {}, {}
+    every, near, size, rows = {}, {}, {}, {}
     for text in texts:
         spans = pii.all_spans(text)
         free = [m for m in pii._WORD.finditer(text) if not any(s < m.end() and e > m.start() for _, s, e in spans)]
@@ -462,11 +462,13 @@ def brute_judge(texts):
         for _, w, x in places:
             near[w, x] = near.get((w, x), 0) + 1
             size[x] = size.get(x, 0) + 1
+        for pair in {(w, x) for _, w, x in places}:
+            rows[pair] = rows.get(pair, 0) + 1
     n, z, out = sum(every.values()), pii.DEVIATIONS, set()
     for (w, x), k in near.items():
         m, p = every[w], k / every[w]
         low = (p + z * z / 2 / m - z * (p * (1 - p) / m + z * z / 4 / m / m) ** 0.5) / (1 + z * z / m)
-        if log(low * n / size[x]) >= pii.ALPHA * log(n / size[x]):
+        if log(low * n / size[x]) >= pii.ALPHA * log(n / size[x]) and low >= 0.5 and rows[w, x] >= 2:
             out.add((pii._id(w), x))
     return out
 
@@ -482,10 +484,30 @@ def test_disclosure_is_brute_force(spark):
             w += [names[k], f"p{k}@q.org" if k == 0 or r.random() < 0.8 else "10.0.0.7"]
         texts.append(" ".join([*w, *(r.choice(fill + names[1:2]) for _ in range(r.randrange(20)))]))
     d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {(x["word"], x["entity"]) for x in pii.judge(d).filter("tells").collect()}
+    got = {(x["word"], x["entity"]) for x in pii.judge(pii.counted(d)).filter("tells").collect()}
     assert got == brute_judge(texts) and got
 
 
+def test_a_single_place_tells_in_no_corpus(spark):
+    """However many other words there are, nor do many places in one row, or a word that is beside a value now and then."""
+    texts = ["ludmilla jo@q.org"] * 5 + ["quentin al@q.org"] + ["bartholomew bartholomew bartholomew bartholomew ed@q.org"] + ["wanda ty@q.org"] * 5 + ["wanda"] * 10
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = pii.counted(d)
+    for times in (10, 10_000, 10**9):
+        more = got.union(spark.createDataFrame([(1, pii.ALL, 40 * times, 0)], got.schema))
+        telling = {x["word"] for x in pii.judge(more).filter("tells and entity < 0").collect()}
+        assert telling == {pii._id("ludmilla")}
+
+
+def test_a_filter_has_room_for_its_words(spark):
+    """Of the words that aren't in it few pass, however many are."""
+    for n in (0, 1, 30_000):
+        bits = pii._filter(spark.range(n).select(F.xxhash64("id").alias("word")))
+        own = np.array([x["h"] for x in spark.range(n + 1000).select(F.xxhash64("id").alias("h")).collect()], np.int64)
+        held = pii._held(bits, own)
+        assert held[:n].all() and held[n:].mean() < 0.08
+
+
 def test_sanitise_edge_cases(spark, docs, empty):
     d = docs.withColumns({"_spans": F.lit(1), "spans": F.lit(2), "row": F.lit(3)})
     out = pii.sanitise(d)
