@@ -144,10 +144,25 @@ def entity(kind: str, value: str) -> int:
     return -1 - (_id(f"{kind}:{value}") & (1 << 63) - 1)
 
 
+#: Entries that a task adds up before it passes them on.
+_ENTRIES = 200_000
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """word, entity, n, n_rows: a word's places in the batch, all of them (ALL, without rows), and those near each kind and each value."""
+    """word, entity, n, n_rows: a word's places in a stretch of the task's rows, all of them (ALL, without rows), and those near each kind and each value."""
+    raw, counts, rows = Counter(), Counter(), Counter()
+
+    def flush() -> pa.RecordBatch:
+        for w, n in raw.items():
+            counts[w.lower(), ALL] += n
+        ids = {w: _id(w) for w in {w for w, _ in counts}}
+        columns = [ids[w] for w, _ in counts], [x for _, x in counts], list(counts.values()), [rows[k] for k in counts]
+        out = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["word", "entity", "n", "n_rows"])
+        for c in (raw, counts, rows):
+            c.clear()
+        return out
+
     for b in batches:
-        raw, counts, rows = Counter(), Counter(), Counter()
         for value in b.column("text"):
             text = value.as_py() or ""
             raw.update(_WORD.findall(text))
@@ -157,13 +172,9 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 places = {(s, w, x) for s, _, w, k, v in near for x in (KINDS.index(k), v)}
                 counts.update((w, x) for _, w, x in places)
                 rows.update({(w, x) for _, w, x in places})
-        for w, n in raw.items():
-            counts[w.lower(), ALL] += n
-        ids = {w: _id(w) for w in {w for w, _ in counts}}
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([ids[w] for w, _ in counts], pa.int64()), pa.array([x for _, x in counts], pa.int64()), pa.array(list(counts.values()), pa.int64()), pa.array([rows[k] for k in counts], pa.int64())],
-            names=["word", "entity", "n", "n_rows"],
-        )
+            if len(raw) + len(counts) >= _ENTRIES:
+                yield flush()
+    yield flush()
 
 
 _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
