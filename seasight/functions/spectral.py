@@ -26,7 +26,7 @@ def normalized_difference(a: Column, b: Column) -> Column:
 
 
 def slope(nir: float = NIR, scale: float = 1.0) -> float:
-    return (nir - RED) / (SWIR - RED) * scale
+    return (nir - RED) * scale / (SWIR - RED)  # one rounding: a value at a threshold is on the side that it is on in SQL
 
 
 def baseline_difference(nir: Column, low: Column, swir: Column, by: float) -> Column:
