@@ -23,3 +23,8 @@ AT_THRESHOLD = (570732, 8084, "signup", 0.0)
 def test_fixed_threshold_at_its_own_value(spark, tmp_path):
     got, want = both(spark, tmp_path, "fixed_vs_adaptive", [AT_THRESHOLD, (570733, 8084, "view", 50.0)])
     assert got == want
+
+
+def test_mask_at_the_fixed_threshold(spark, tmp_path):
+    got, want = both(spark, tmp_path, "masks", [AT_THRESHOLD, (570733, 8084, "view", 50.0)])
+    assert got == want and [r[0] for r in got] == [False, True]
