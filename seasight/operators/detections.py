@@ -98,9 +98,9 @@ def sweep(dets: DataFrame, gts: DataFrame, thresholds: tuple[float, ...] = THRES
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     d = d.join(sums, ["label", "band"]).join(truths, "label").withColumn("rank", F.row_number().over(w) + c("n"))
     d = d.withColumns({f"p{i}": (F.sum(f"h{i}").over(upto) + c(f"s{i}")) / c("rank") for i in each})
-    after = Window.partitionBy("label").orderBy("band").rowsBetween(1, Window.unboundedFollowing)
+    after = Window.partitionBy("label").orderBy(F.desc("band")).rowsBetween(Window.unboundedPreceding, -1)
     later = d.groupBy("label", "band").agg(*[F.max(f"p{i}").alias(f"m{i}") for i in each]).select("label", "band", *[F.max(f"m{i}").over(after).alias(f"m{i}") for i in each])
-    on = Window.partitionBy("label", "band").orderBy("rank").rowsBetween(0, Window.unboundedFollowing)
+    on = Window.partitionBy("label", "band").orderBy(F.desc("rank")).rowsBetween(Window.unboundedPreceding, 0)  # grows row by row; one that shrinks is computed anew for each
     d = d.withColumns({f"o{i}": F.max(f"p{i}").over(on) for i in each}).join(later, ["label", "band"])
     ap = d.groupBy("label").agg(*[(F.sum(c(f"h{i}") * F.greatest(f"o{i}", f"m{i}")) / F.max("n_gt")).alias(f"ap{i}") for i in each])
     one = F.explode(F.array(*[F.struct(F.lit(t).alias("threshold"), c(f"ap{i}").alias("ap")) for i, t in enumerate(thresholds)]))
@@ -174,9 +174,9 @@ def pr_curve(dets: DataFrame, gts: DataFrame, matches: DataFrame, keys: tuple[st
     d = d.join(sums, [*keys, "band"]).join(F.broadcast(truths), "label")
     d = d.withColumn("rank", (F.row_number().over(w) + F.col("n_0")).cast("long")).withColumn("tp", F.sum("hit").over(w.rowsBetween(Window.unboundedPreceding, 0)) + F.col("tp_0"))
     d = d.withColumns({"recall": F.col("tp") / F.col("n_gt"), "precision": F.col("tp") / F.col("rank")})
-    after = Window.partitionBy(*keys).orderBy("band").rowsBetween(1, Window.unboundedFollowing)
+    after = Window.partitionBy(*keys).orderBy(F.desc("band")).rowsBetween(Window.unboundedPreceding, -1)
     later = d.groupBy(*keys, "band").agg(F.max("precision").alias("b_most")).select(*keys, "band", F.max("b_most").over(after).alias("later"))
-    up = Window.partitionBy(*keys, "band").orderBy("rank").rowsBetween(0, Window.unboundedFollowing)
+    up = Window.partitionBy(*keys, "band").orderBy(F.desc("rank")).rowsBetween(Window.unboundedPreceding, 0)  # grows row by row; one that shrinks is computed anew for each
     d = d.withColumn("own", F.max("precision").over(up)).join(later, [*keys, "band"])
     return d.select(*keys, "det_id", "rank", "tp", "recall", "precision", F.greatest("own", "later").alias("envelope"), "hit", "n_gt")
 
