@@ -37,3 +37,13 @@ def test_the_sweeps_frames_grow(spark):
     out = detections.sweep(d, g)
     want = sum(e for e, f in zip(envelope(flags), flags) if f) / sum(flags)
     assert not shrinks(out) and {(r["threshold"], round(r["ap"], 9)) for r in out.collect()} == {(t, round(want, 9)) for t in detections.THRESHOLDS}
+
+
+def curve(spark):
+    flags, d, g = tables(spark)
+    return flags, d, g, detections.pr_curve(d, g, detections.match(d, g))
+
+
+def test_the_curves_frames_grow(spark):
+    flags, _, _, out = curve(spark)
+    assert not shrinks(out) and [r["envelope"] for r in out.orderBy("rank").collect()] == envelope(flags)
