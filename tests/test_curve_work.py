@@ -47,3 +47,10 @@ def curve(spark):
 def test_the_curves_frames_grow(spark):
     flags, _, _, out = curve(spark)
     assert not shrinks(out) and [r["envelope"] for r in out.orderBy("rank").collect()] == envelope(flags)
+
+
+def test_average_precision_and_the_evaluation_by_such_frames(spark):
+    flags, d, g, c = curve(spark)
+    want = sum(e for e, f in zip(envelope(flags), flags) if f) / sum(flags)
+    for out in (detections.average_precision(c), detections.evaluate(d, g).filter("label = 'a'")):
+        assert not shrinks(out) and out.first()["ap"] == pytest.approx(want)
