@@ -2,12 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BINS = 4096
 
 
+def between(lo: Column, hi: Column, d: Column) -> Column:
+    """The value ``d`` (0 to 1) of the way from ``lo`` to ``hi``: lo * (1 - d) + hi * d, the first product not rounded before the sum.
+
+    So DuckDB's quantile_cont does, and a value that lies between two roundings
+    goes the same way. The product's error comes from halves of 26 bits, whose
+    products are exact, and the sum's from its two parts.
+    """
+    a, b, y = lo, 1 - d, hi * d
+    head = lambda x: x * 134217729.0 - (x * 134217729.0 - x)
+    x = a * b
+    lost = (head(a) * head(b) - x + head(a) * (b - head(b)) + (a - head(a)) * head(b)) + (a - head(a)) * (b - head(b))
+    s = x + y
+    part = s - x
+    exact = s + (lost + ((x - (s - part)) + (y - part)))
+    # equal ends are the value; halves of huge values overflow, and infinite ones have no error
+    return F.when(lo == hi, lo).when(F.greatest(F.abs(lo), F.abs(hi)) < 1e290, exact).otherwise(s)
+
+
 def percentiles(df: DataFrame, value: str, fractions: dict[str, float], keys: tuple[str, ...] = (), bins: int = BINS) -> DataFrame:
     """keys, and a column per name of ``fractions``: exact percentiles, interpolated, of the finite values of each group.
 
@@ -30,6 +48,6 @@ def percentiles(df: DataFrame, value: str, fractions: dict[str, float], keys: tu
     some = binned.join(F.broadcast(asked.select(*own, "bin").distinct()), [*own, "bin"], "left_semi").groupBy(*own, "bin", "v").agg(F.count("*").alias("times"))
     some = some.withColumn("upto", F.sum("times").over(Window.partitionBy(*own, "bin").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)))
     hit = some.join(F.broadcast(asked), [*own, "bin"]).filter((c("rank") < c("before") + c("upto")) & (c("rank") >= c("before") + c("upto") - c("times")))
-    share = F.when(c("rank") == F.floor("at"), 1 - (c("at") - F.floor("at"))).otherwise(c("at") - F.floor("at"))
-    one = lambda k: F.sum(F.when(c("name") == k, c("v") * share)).alias(k)
+    of = lambda k, end: F.max(F.when((c("name") == k) & (c("rank") == end("at")), c("v")))
+    one = lambda k: between(of(k, F.floor), of(k, F.ceil), F.max(F.when(c("name") == k, c("at") - F.floor("at")))).alias(k)
     return hit.groupBy(*keys).agg(*map(one, fractions))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seasight.functions.spectral import FDI_THRESHOLD, INDICES, cloud_mask, water_mask
-from seasight.operators.quantiles import percentiles
+from seasight.operators.quantiles import between, percentiles
 from seasight.operators.regions import labels
 
 TILE = ["tr", "tc"]
@@ -18,7 +18,13 @@ MIN_CANDIDATES, MIN_REGION = 4, 8
 
 def adaptive_threshold(fdi: Column, clean: Column, percentile: float = 0.999, floor: float = FDI_THRESHOLD) -> Column:
     """An aggregate of a tile, which bounds what it holds: the percentile of the index over clean water, the floor at least; the floor where there's none."""
-    return F.greatest(F.lit(floor), F.coalesce(F.percentile(F.when(clean, fdi), F.lit(percentile)), F.lit(floor)))
+    values = F.sort_array(F.collect_list(F.when(clean, fdi)))
+
+    def at(v: Column) -> Column:
+        k = (F.size(v) - 1) * F.lit(float(percentile))
+        return between(F.get(v, F.floor(k).cast("int")), F.get(v, F.ceil(k).cast("int")), k - F.floor(k))
+
+    return F.greatest(F.lit(floor), F.coalesce(F.get(F.transform(F.array(values), at), F.lit(0)), F.lit(floor)))
 
 
 def candidates(px: DataFrame, percentile: float = 0.999, floor: float = FDI_THRESHOLD, tile: list[str] = TILE) -> DataFrame:

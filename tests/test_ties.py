@@ -1,9 +1,15 @@
 """Values at a limit: the queries beside their SQL on small tables that have such values."""
 
+import random
+from fractions import Fraction
+
 import duckdb
 import pandas as pd
+import pytest
+from pyspark.sql import functions as F
 
 import seasight.plans.frames  # noqa: F401  (registers its queries)
+from seasight.operators.quantiles import between
 from seasight.plans.queries import QUERIES, SQL
 
 
@@ -28,3 +34,25 @@ def test_fixed_threshold_at_its_own_value(spark, tmp_path):
 def test_mask_at_the_fixed_threshold(spark, tmp_path):
     got, want = both(spark, tmp_path, "masks", [AT_THRESHOLD, (570733, 8084, "view", 50.0)])
     assert got == want and [r[0] for r in got] == [False, True]
+
+
+def tile(seed=1782):
+    """A tile of 24 pixels with values equal but for the rounding of their index beside its threshold."""
+    r = random.Random(seed)
+    return [(e, r.randrange(21), "view", float(r.choice([30, 40, 50, 60, 70, 80, 85, 90, 95, 100, 100, 110]))) for e in range(1, 25)]
+
+
+@pytest.mark.parametrize("name", ["scene_screened", "screen_summary", "screen_tiles", "screen_verdicts"])
+def test_screening_of_values_beside_the_tiles_threshold(spark, tmp_path, name):
+    got, want = both(spark, tmp_path, name, tile())
+    assert got == want
+
+
+def test_between_rounds_as_the_sql_engine_does(spark):
+    """lo * (1 - d) + hi * d, its first product exact; 2,000 draws, of which about one in seven is another number if both are rounded."""
+    r = random.Random(3)
+    rows = [(lo, lo + r.random() * r.choice([1, 1e-3, 1e-16]), r.random()) for lo in (r.uniform(-0.1, 0.1) for _ in range(2000))]
+    got = [x[0] for x in spark.createDataFrame(rows, "lo double, hi double, d double").select(between(F.col("lo"), F.col("hi"), F.col("d"))).collect()]
+    assert got == [lo if lo == hi else float(Fraction(lo) * Fraction(1 - d) + Fraction(hi * d)) for lo, hi, d in rows]
+    odd = spark.createDataFrame([(0.0, float("inf"), 0.5), (1e308, 1.5e308, 0.5), (None, 1.0, 0.5)], "lo double, hi double, d double")
+    assert [x[0] for x in odd.select(between(F.col("lo"), F.col("hi"), F.col("d"))).collect()] == [float("inf"), 1.25e308, None]
