@@ -56,3 +56,14 @@ def test_between_rounds_as_the_sql_engine_does(spark):
     assert got == [lo if lo == hi else float(Fraction(lo) * Fraction(1 - d) + Fraction(hi * d)) for lo, hi, d in rows]
     odd = spark.createDataFrame([(0.0, float("inf"), 0.5), (1e308, 1.5e308, 0.5), (None, 1.0, 0.5)], "lo double, hi double, d double")
     assert [x[0] for x in odd.select(between(F.col("lo"), F.col("hi"), F.col("d"))).collect()] == [float("inf"), 1.25e308, None]
+
+
+@pytest.mark.parametrize("seed", [7, 35])
+def test_detector_at_its_limit(spark, tmp_path, seed):
+    """63 pixels with data whose mean is the limit but for rounding; adding them up in another order gives the other side."""
+    r = random.Random(seed)
+    cents = [r.randrange(0, 11001) for _ in range(63)]
+    cents[-1] += 5500 * 63 - sum(cents)
+    at = [(y * 100 + x) for y in range(8) for x in range(8)]
+    got, want = both(spark, tmp_path, "scene_detect", [(e, 1, "view", v / 100) for e, v in zip(at, [0, *cents])])
+    assert got == want
