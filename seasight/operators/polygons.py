@@ -82,10 +82,22 @@ def footprint_pairs(a: DataFrame, b: DataFrame, least: float = 0.5, cell: float
     def side(df: DataFrame, key: str, x: str) -> DataFrame:
         at = lambda f, k: f(F.transform("ring", lambda p: p[k])).cast("double")
         ends = {f"{x}x0": at(F.array_min, "x"), f"{x}y0": at(F.array_min, "y"), f"{x}x1": at(F.array_max, "x"), f"{x}y1": at(F.array_max, "y")}
-        return df.filter("size(ring) > 2").select(key, *[c(k).alias(f"{x}{k}") for k in keys], c("ring").alias(f"{x}ring"), *[v.alias(k) for k, v in ends.items()])
+        of = F.struct(*[v.alias(k) for k, v in (ends | {f"{x}area": ring_area(c("ring"))}).items()])
+        d = df.filter("size(ring) > 2").select(key, *[c(k).alias(f"{x}{k}") for k in keys], c("ring").alias(f"{x}ring"), F.inline(F.array(of)))  # once a ring
+        return d.filter(c(f"{x}area") > 0)  # others share none
 
     box = lambda x: tuple(f"{x}{k}" for k in ("x0", "y0", "x1", "y1"))
     p = box_pairs(side(a, "det_id", "p_"), side(b, "gt_id", "q_"), {f"p_{k}": f"q_{k}" for k in keys}, box("p_"), box("q_"), cell)
-    p = p.withColumn("shared", ring_area(overlap_ring(c("p_ring"), c("q_ring"))))
-    iou = c("shared") / (ring_area(c("p_ring")) + ring_area(c("q_ring")) - c("shared"))
-    return p.filter("shared > 0").select("det_id", "gt_id", "shared", iou.alias("iou")).filter(c("iou") >= least)
+
+    def length(k: str) -> Column:
+        ends = [c(f"{x}{k}{i}") for x in ("p_", "q_") for i in (0, 1)]
+        slack = sum((F.abs(e) for e in ends), F.lit(0.0)) * 1e-9
+        return F.least(ends[1], ends[3]) - F.greatest(ends[0], ends[2]) + slack
+
+    # the boxes' overlap is no smaller than the rings': what it already leaves below ``least`` isn't clipped
+    whole = c("p_area") + c("q_area")
+    p = p.filter(length("x") * length("y") * (1 + least) >= least * whole * (1 - 1e-6))
+    found = lambda s: F.struct(s.alias("shared"), (s / (whole - s)).alias("iou"))
+    both = F.transform(F.array(ring_area(overlap_ring(c("p_ring"), c("q_ring")))), found)
+    # filtered within the array, as a filter on a column would clip each pair anew for every name in it
+    return p.select("det_id", "gt_id", F.inline(F.filter(both, lambda x: (x["shared"] > 0) & (x["iou"] >= least))))

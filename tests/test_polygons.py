@@ -43,3 +43,14 @@ def test_edges_of_rings(spark):
     a = spark.createDataFrame([(1, 5, square), (2, None, square), (3, 5, None), (4, 5, flat)], f"det_id long, image long, ring {polygons.RING}")
     pairs = polygons.footprint_pairs(a, a.withColumnRenamed("det_id", "gt_id"), 0.1).collect()
     assert [tuple(p) for p in pairs] == [(1, 1, 4.0, 1.0)]
+
+
+def test_a_pair_is_clipped_once(spark):
+    """No filter or join condition clips; pairs whose boxes overlap too little for ``least`` go before, those at it stay."""
+    square = [(0.0, 0.0), (3.0, 0.0), (3.0, 1.0), (0.0, 1.0)]
+    a = spark.createDataFrame([(1, 5, square)], f"det_id long, image long, ring {polygons.RING}")
+    b = spark.createDataFrame([(k, 5, [(x + k, y) for x, y in square]) for k in (0, 1, 2, 3)], f"gt_id long, image long, ring {polygons.RING}")
+    out = polygons.footprint_pairs(a, b, 0.5)
+    plan = out._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert not [x for x in plan if "flatten(" in x and ("Filter" in x or "Join" in x)] and sum(x.count("flatten(") for x in plan) == 1
+    assert sorted(map(tuple, out.collect())) == [(1, 0, 3.0, 1.0), (1, 1, 2.0, 0.5)]
