@@ -65,10 +65,10 @@ def screen(px: DataFrame, percentile: float = 0.999, tile: list[str] = TILE) ->
 
 
 def summary(tiles: DataFrame) -> DataFrame:
-    """One row: n_tiles, n_accepted, accept_rate, work_avoided, candidate_pixels; zeros for no tile."""
+    """One row: n_tiles, n_accepted, accept_rate, work_avoided, candidate_pixels; zeros for no tile. Rates have 4 digits: whole ten-thousandths of the double, half to even, as SQL's round_even."""
     n, yes = F.count("*"), F.count_if("accepted")
-    rate = F.when(n > 0, F.bround(yes / n, 4)).otherwise(F.lit(0.0))
-    return tiles.agg(n.alias("n_tiles"), yes.alias("n_accepted"), rate.alias("accept_rate"), F.when(n > 0, F.bround(1 - yes / n, 4)).otherwise(F.lit(0.0)).alias("work_avoided"), F.coalesce(F.sum("candidate_pixels"), F.lit(0)).alias("candidate_pixels"))
+    share = lambda x: F.when(n > 0, F.rint(x * 1e4) / 1e4).otherwise(F.lit(0.0))
+    return tiles.agg(n.alias("n_tiles"), yes.alias("n_accepted"), share(yes / n).alias("accept_rate"), share(1 - yes / n).alias("work_avoided"), F.coalesce(F.sum("candidate_pixels"), F.lit(0)).alias("candidate_pixels"))
 
 
 def index_stats(px: DataFrame, names: list[str]) -> DataFrame:

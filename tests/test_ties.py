@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import seasight.plans.frames  # noqa: F401  (registers its queries)
+from seasight.operators import screening
 from seasight.operators.quantiles import between
 from seasight.plans.queries import QUERIES, SQL
 
@@ -48,6 +49,14 @@ def test_screening_of_values_beside_the_tiles_threshold(spark, tmp_path, name):
     assert got == want
 
 
+@pytest.mark.parametrize("n, yes", [(160, 87), (160, 93), (1600, 34), (9600, 204), (9600, 972)])
+def test_rates_halfway_between_two_roundings(spark, n, yes):
+    """Shares of tiles that end in a five at the fifth digit, as the SQL's round_even has them."""
+    tiles = spark.range(n).select((F.col("id") < yes).alias("accepted"), F.lit(0).cast("long").alias("candidate_pixels"))
+    want = duckdb.connect().execute(f"SELECT round_even({yes} / {n}, 4), round_even(1 - {yes} / {n}, 4)").fetchone()
+    assert screening.summary(tiles).select("accept_rate", "work_avoided").first()[:] == want
+
+
 def test_between_rounds_as_the_sql_engine_does(spark):
     """lo * (1 - d) + hi * d, its first product exact; 2,000 draws, of which about one in seven is another number if both are rounded."""
     r = random.Random(3)
