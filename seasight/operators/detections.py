@@ -81,11 +81,13 @@ THRESHOLDS = tuple(round(0.5 + 0.05 * i, 2) for i in range(10))
 def sweep(dets: DataFrame, gts: DataFrame, thresholds: tuple[float, ...] = THRESHOLDS) -> DataFrame:
     """threshold, label, ap: average precision at every IoU threshold.
 
-    Boxes are joined to pairs once, and a detection carries an array of hits,
+    Boxes are joined to pairs once, kept before they are repeated by threshold
+    (in one step with the join, that took most of its time), and a detection carries an array of hits,
     one per threshold, through one pass of running counts (as in ``pr_curve``).
     """
     level = F.explode(F.array(*[F.lit(t) for t in thresholds]))
-    matches = greedy(iou_pairs(dets, gts, min(thresholds)).withColumn("threshold", level).filter("iou >= threshold"), ("threshold",))
+    pairs = keep(iou_pairs(dets, gts, min(thresholds)))
+    matches = greedy(pairs.withColumn("threshold", level).filter("iou >= threshold"), ("threshold",))
     hits = matches.groupBy("det_id").agg(F.collect_set("threshold").alias("at"))
     c, each = F.col, range(len(thresholds))
     d = dets.select("label", "det_id", "score").join(hits, "det_id", "left").withColumn("band", F.coalesce(F.floor(c("score") * -BANDS), F.lit(1)))

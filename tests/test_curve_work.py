@@ -39,6 +39,14 @@ def test_the_sweeps_frames_grow(spark):
     assert not shrinks(out) and {(r["threshold"], round(r["ap"], 9)) for r in out.collect()} == {(t, round(want, 9)) for t in detections.THRESHOLDS}
 
 
+def test_the_sweep_keeps_its_pairs_before_it_repeats_them_by_threshold(spark, monkeypatch):
+    _, d, g = tables(spark, 20)
+    own, seen = detections.greedy, []
+    monkeypatch.setattr(detections, "greedy", lambda pairs, keys=(): seen.append(pairs) or own(pairs, keys))
+    detections.sweep(d, g)
+    assert "Join" not in seen[0]._jdf.queryExecution().optimizedPlan().toString() and seen[0].count() == 10 * g.count()
+
+
 def curve(spark):
     flags, d, g = tables(spark)
     return flags, d, g, detections.pr_curve(d, g, detections.match(d, g))
